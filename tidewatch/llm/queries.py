@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import language_id, packing, quality_rules, url_filters
+from tidewatch.llm import language_id, packing, quality_rules, substring_dedup, suffix_dedup, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,16 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_packed(_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def held_out():
     return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
 
@@ -51,7 +61,9 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op2_packing": op2_packing,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_language_id": op4_language_id,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_quality_rules": op7_quality_rules,
         "op9_url_filters": op9_url_filters,
     }
