@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import language_id, packing, quality_rules, substring_dedup, suffix_dedup, url_filters
+from tidewatch.llm import language_id, ngram_join, packing, quality_rules, substring_dedup, suffix_dedup, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def tokens_packed(docs: DataFrame) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -60,6 +64,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op2_packing": op2_packing,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_language_id": op4_language_id,
