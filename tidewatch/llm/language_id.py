@@ -121,16 +121,13 @@ def identify(docs: DataFrame, prototypes: Prototypes, id_col: str = "doc_id", te
     A text that is null, empty or has no letter gets ``und`` and 0.  Of equal cosines the alphabetically first language
     wins.  Rows are independent of each other, so repeated rows get equal values and an empty table stays empty.
     """
-    out = [f for f in docs.schema.fields if f.name.lower() not in ("lang_pred", "score")]
-    text_at = [f.name for f in out].index(text_col)
-    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(out)) + ", lang_pred string, score double"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         profile = Profiler()
         for batch in batches:
-            found = [("und", 0.0) if (v := profile(t)) is None else prototypes.nearest(v) for t in batch[f"c{text_at}"]]
-            batch["lang_pred"], batch["score"] = [f[0] for f in found], [f[1] for f in found]
-            yield batch
+            found = [("und", 0.0) if (v := profile(t)) is None else prototypes.nearest(v) for t in batch]
+            yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
-    named = docs.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(out)]).mapInPandas(run, schema)
-    return named.toDF(*[f.name for f in out], "lang_pred", "score")
+    kept = [f"`{c}`" for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    found = docs.select(*kept, predict(F.col(text_col).cast("string")).alias("__found"))
+    return found.select(*kept, "__found.lang_pred", "__found.score")

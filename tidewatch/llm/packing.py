@@ -127,8 +127,6 @@ def pack(
     read.  An empty table gives no row.  Memory is that of one batch of texts and fewer than 2 * sqrt(capacity) open
     sequences.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = Encoder(tokenizer_path, ranks_path, pattern)
         packer = Packer(capacity, TaskContext.get().partitionId() << 33)
@@ -142,5 +140,5 @@ def pack(
             yield pd.DataFrame(rows, columns=names)
         yield pd.DataFrame(list(packer.finish()), columns=names)
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, f"doc {kind}, {SCHEMA}")
-    return out.withColumnRenamed("doc", id_col)
+    out = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, f"doc string, {SCHEMA}")
+    return out.withColumn("doc", F.col("doc").cast(docs.schema[id_col].dataType)).withColumnRenamed("doc", id_col)

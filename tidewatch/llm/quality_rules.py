@@ -135,23 +135,18 @@ def judge(docs: DataFrame, verdict: Verdict, text_col: str = "text") -> DataFram
     A null or empty text has no words and fails the base rules.  Whole texts are read, however long.  Rows are
     independent, so repeated rows get equal values and an empty table stays empty.
     """
-    own = {*COUNTS, "base_failed", "quality_score", "kept"}
-    out = [f for f in docs.schema.fields if f.name.lower() not in own]
-    text_at = [f.name for f in out].index(text_col)
-    added = ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, quality_score double, kept boolean"
-    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(out)) + f", {added}"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, quality_score double, kept boolean")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [measure(t) for t in batch[f"c{text_at}"]]
+            found = [measure(t) for t in batch]
             counts = np.array([c for c, _ in found], dtype=np.int64).reshape(len(found), len(COUNTS))
-            for i, name in enumerate(COUNTS):
-                batch[name] = counts[:, i]
-            failed = (counts[:, 0] < 10) | (100 * counts[:, 4] > 20 * counts[:, 0])
-            score = verdict.trees.probability(np.array([f for _, f in found]).reshape(len(found), len(FEATURES)))
-            batch["base_failed"], batch["quality_score"] = failed, score
-            batch["kept"] = ~failed & (score >= verdict.threshold)
-            yield batch
-
-    named = docs.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(out)]).mapInPandas(run, schema)
-    return named.toDF(*[f.name for f in out], *COUNTS, "base_failed", "quality_score", "kept")
+            out = pd.DataFrame(counts, columns=COUNTS)
+            out["base_failed"] = (counts[:, 0] < 10) | (100 * counts[:, 4] > 20 * counts[:, 0])
+            out["quality_score"] = verdict.trees.probability(np.array([f for _, f in found]).reshape(len(found), len(FEATURES)))
+            out["kept"] = ~out["base_failed"] & (out["quality_score"] >= verdict.threshold)
+            yield out
+
+    own = [*COUNTS, "base_failed", "quality_score", "kept"]
+    kept = [f"`{c}`" for c in docs.columns if c.lower() not in own]
+    found = docs.select(*kept, score(F.col(text_col).cast("string")).alias("__found"))
+    return found.select(*kept, *[f"__found.{c}" for c in own])

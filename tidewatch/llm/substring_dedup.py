@@ -85,7 +85,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     """
     folder = folder or common.shared_dir(docs.sparkSession)
     spans = windows.gathered(repeated_spans(docs, window, folder, id_col, text_col))
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = docs.schema[id_col].dataType
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -97,5 +97,5 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
                 rows.append((i, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
             yield pd.DataFrame(rows, columns=["id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    out = windows.keyed(docs, id_col, text_col).join(spans.hint("shuffle_hash"), "key", "left").select("id", "text", "spans")
-    return out.mapInPandas(cut, f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string").withColumnRenamed("id", id_col)
+    out = windows.keyed(docs, id_col, text_col).join(spans.hint("shuffle_hash"), "key", "left").select(F.col("id").cast("string").alias("id"), "text", "spans")
+    return out.mapInPandas(cut, "id string, n_words long, n_removed long, kept_sha256 string, kept_text string").withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)

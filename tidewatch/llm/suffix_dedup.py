@@ -107,7 +107,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     """
     folder = folder or common.shared_dir(docs.sparkSession)
     spans = windows.gathered(repeated_spans(docs, length, folder, id_col, text_col))
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = docs.schema[id_col].dataType
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -120,5 +120,5 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                 rows.append((i, len(raw), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), None if text is None else kept.decode("utf-8", "replace")))
             yield pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
-    out = windows.keyed(docs, id_col, text_col).join(spans.hint("shuffle_hash"), "key", "left").select("id", "text", "spans")
-    return out.mapInPandas(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string").withColumnRenamed("id", id_col)
+    out = windows.keyed(docs, id_col, text_col).join(spans.hint("shuffle_hash"), "key", "left").select(F.col("id").cast("string").alias("id"), "text", "spans")
+    return out.mapInPandas(cut, "id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string").withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
