@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import language_id, ngram_join, packing, quality_rules, substring_dedup, suffix_dedup, url_filters
+from tidewatch.llm import html_extract, language_id, ngram_join, packing, quality_rules, sentencepiece_viterbi, substring_dedup, suffix_dedup, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -62,15 +66,31 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's ids, counted and hashed, and what they decode to."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(docs, model), model)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.xxhash64("ids").alias("ids_hash"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.col("text")).alias("round_trip"),
+    )
+
+
 def queries() -> dict:
     return {
         "op1_ngram_join": op1_ngram_join,
         "op2_packing": op2_packing,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_language_id": op4_language_id,
+        "op5_html_extraction": op5_html_extraction,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_quality_rules": op7_quality_rules,
         "op9_url_filters": op9_url_filters,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
