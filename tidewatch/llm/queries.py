@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import html_extract, language_id, ngram_join, packing, quality_rules, sentencepiece_viterbi, substring_dedup, suffix_dedup, url_filters
+from tidewatch.llm import html_extract, language_id, media_jpeg, ngram_join, packing, quality_rules, sentencepiece_viterbi, substring_dedup, suffix_dedup, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,21 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, verdict).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "quality_score")
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = media_jpeg.measure(media_jpeg.store(docs, "text"))
+    return stored.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        "read_back.payload_bytes",
+        "read_back.payload_sha256",
+        "read_back.tail_crc32",
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "read_back.feature",
+    )
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filters.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict", "score")
@@ -89,6 +104,7 @@ def queries() -> dict:
         "op5_html_extraction": op5_html_extraction,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_quality_rules": op7_quality_rules,
+        "op8_media_columns": op8_media_columns,
         "op9_url_filters": op9_url_filters,
         "op10_sentencepiece": op10_sentencepiece,
     }
