@@ -7,8 +7,9 @@ stage's ``docs``.  All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewatch.llm import common, quality_rules
+from tidewatch.llm import common, ngram_join, quality_rules, suffix_dedup
 from tidewatch.llm import queries as llm
 
 #: No stage can be written in SQL as a whole; tests hold ``run`` against brute force.
@@ -29,6 +30,19 @@ def quality_rule(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_rules.judge(docs, verdict).filter("kept").select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the smallest id stays; those without an id stay too."""
+    groups = ngram_join.join(docs.select("doc_id", "text"))
+    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes passages out that stand elsewhere in the corpus too; ``n_chars`` counts what is left."""
+    rest = suffix_dedup.remove_repeats(docs, keep=[c for c in docs.columns if c not in ("doc_id", "text")])
+    return rest.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of what is left."""
     return llm.tokens_packed(docs)
@@ -37,6 +51,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language ID", language_id),
     ("quality rules", quality_rule),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
     ("packing", packing),
 ]
 

@@ -85,17 +85,15 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     """
     folder = folder or common.shared_dir(docs.sparkSession)
     spans = windows.gathered(repeated_spans(docs, window, folder, id_col, text_col))
-    kind = docs.schema[id_col].dataType
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for i, text, found in zip(batch["id"], batch["text"], batch["spans"]):
-                words = (text or "").encode("utf-8", "surrogatepass").split()
-                gone = windows.covered(found, len(words), window)
-                kept = b" ".join([w for w, g in zip(words, gone) if not g] if gone.any() else words)
-                rows.append((i, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
-            yield pd.DataFrame(rows, columns=["id", "n_words", "n_removed", "kept_sha256", "kept_text"])
-
-    out = windows.keyed(docs, id_col, text_col).join(spans.hint("shuffle_hash"), "key", "left").select(F.col("id").cast("string").alias("id"), "text", "spans")
-    return out.mapInPandas(cut, "id string, n_words long, n_removed long, kept_sha256 string, kept_text string").withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
+    @F.pandas_udf("n_words long, n_removed long, kept_sha256 string, kept_text string")
+    def cut(texts: pd.Series, found_spans: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, found in zip(texts, found_spans):
+            words = (text or "").encode("utf-8", "surrogatepass").split()
+            gone = windows.covered(found, len(words), window)
+            kept = b" ".join([w for w, g in zip(words, gone) if not g] if gone.any() else words)
+            rows.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
+        return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", "kept_text"])
+
+    out = windows.keyed(docs, id_col, text_col).join(spans.hint("shuffle_hash"), "key", "left").withColumn("_cut", cut("text", "spans"))
+    return out.select(F.col("id").alias(id_col), "_cut.*")

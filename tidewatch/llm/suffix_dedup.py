@@ -97,28 +97,29 @@ def repeated_spans(docs: DataFrame, length: int, folder: str, id_col: str, text_
     return found.filter("todo is null").select("key", "p", "n").unionByName(compared)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
-    """``id_col, n_bytes, n_removed, n_spans, kept_sha256, kept_text`` of every row of ``docs``.
+def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``id_col, n_bytes, n_removed, n_spans, kept_sha256, kept_text`` of every row of ``docs``, and the columns that ``keep`` names.
 
     Every byte goes that a string of ``length`` bytes covers which also starts anywhere else, in this document or
-    another; nothing is judged on what is left.  A null text counts as empty; its ``kept_text`` is null.  Rows with equal texts are copies of
-    each other, also where their ids are equal or null.  Where removal cuts a character, ``kept_text`` shows the
-    replacement character; ``kept_sha256`` is that of the bytes themselves.  Other columns are not read.
+    another; nothing is judged on what is left.  A null text counts as empty; its ``kept_text`` is
+    null.  Rows with equal texts are copies of
+    each other, also where their ids are equal or null.  ``kept_text``
+    leaves out what remains of a character that removal cuts; ``kept_sha256`` is that of the bytes themselves.  Other columns are not read.
     """
     folder = folder or common.shared_dir(docs.sparkSession)
     spans = windows.gathered(repeated_spans(docs, length, folder, id_col, text_col))
-    kind = docs.schema[id_col].dataType
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for i, text, found in zip(batch["id"], batch["text"], batch["spans"]):
-                raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-                gone = windows.covered(found, len(raw), length)
-                kept = raw[~gone].tobytes()
-                runs = int(np.diff(gone.astype(np.int8), prepend=np.int8(0)).clip(0).sum())
-                rows.append((i, len(raw), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), None if text is None else kept.decode("utf-8", "replace")))
-            yield pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
-
-    out = windows.keyed(docs, id_col, text_col).join(spans.hint("shuffle_hash"), "key", "left").select(F.col("id").cast("string").alias("id"), "text", "spans")
-    return out.mapInPandas(cut, "id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string").withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
+    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    def cut(texts: pd.Series, found_spans: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, found in zip(texts, found_spans):
+            raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+            gone = windows.covered(found, len(raw), length)
+            kept = raw[~gone].tobytes()
+            runs = int(np.diff(gone.astype(np.int8), prepend=np.int8(0)).clip(0).sum())
+            rows.append((len(raw), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), None if text is None else kept.decode("utf-8", "ignore")))
+        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+
+    more = [F.col(f"`{c}`").alias(f"_keep{i}") for i, c in enumerate(keep or [])]
+    out = windows.keyed(docs, id_col, text_col, *more).join(spans.hint("shuffle_hash"), "key", "left")
+    out = out.withColumn("_cut", cut("text", "spans"))
+    return out.select(F.col("id").alias(id_col), "_cut.*", *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep or [])])
