@@ -65,7 +65,7 @@ def at_ticks(hits: DataFrame, start: int, step: int, end: int, halflife: float)
     first = F.greatest(F.ceil((F.col("t") - start) / step), F.lit(0))
     until = F.least(F.coalesce(F.col("next_t") - 1, F.lit(end)), F.col("t") + int(HORIZON * halflife), F.lit(end))
     last = F.floor((until - start) / step)
-    rows = hits.filter(last >= first).withColumn("tick", F.explode(F.sequence(first.cast("long"), last.cast("long"))) * step + start)
+    rows = hits.filter(last >= first).withColumn("_k", F.explode(F.sequence(first.cast("long"), last.cast("long")))).withColumn("tick", F.col("_k") * step + start).drop("_k")
     return rows.withColumn("value", F.pow(F.lit(2.0), F.col("level") - F.col("tick") / halflife))
 
 
@@ -143,7 +143,7 @@ def emissions(lv: DataFrame, emit_every: float, cfg: Fusion = Fusion()) -> DataF
                 since, last = r.tick, r.global_score
         return pd.DataFrame(out, columns=["tick", "window_start", "global_score", "level"])
 
-    return lv.groupBy(F.lit(1)).applyInPandas(run, "tick long, window_start long, global_score double, level string")
+    return lv.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "tick long, window_start long, global_score double, level string")
 
 
 def level_alerts(lv: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.config import Rate
@@ -52,9 +52,7 @@ class Forest:
         self.path: list[float] = []
         for _ in range(trees):
             self.roots.append(self._grow(x[rng.choice(len(x), self.sample, replace=False)], 0, int(np.ceil(np.log2(max(2, self.sample)))), rng))
-        depths = self.depth(x)
         self.offset = 0.5  # score_samples is -2 ** (-depth / c); decision = score_samples + offset
-        del depths
 
     @staticmethod
     def c(n: float) -> float:
@@ -113,7 +111,7 @@ def score(vecs: DataFrame, res: DataFrame, cfg: Rate = Rate()) -> DataFrame:
     forest, reference = Forest(scaled), knn_reference(scaled, cfg.neighbours)
 
     @F.pandas_udf("iso double, knn_ratio double, mv_score double")
-    def run(batches: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for cols in batches:
             x = (np.stack([c.to_numpy(dtype=float) for c in cols], axis=1) - mean) / std
             iso = np.clip(-forest.decision(x) / 0.15, 0, 1)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -140,7 +138,7 @@ def cohort_states(ips: DataFrame, cfg: Rate = Rate()) -> DataFrame:
 
     rows = ips.select("bucket", "entity_id", "event_count", F.col("first.t").alias("first_t"), F.col("first.event_id").alias("first_id"), F.col("first.rep").alias("first_rep"))
     parts = rows.groupBy("bucket").applyInPandas(reduce, "bucket long, m long, power double, shift double, c0 double, c1 double, c2 double, mean1 double, var1 double")
-    return parts.groupBy(F.lit(1)).applyInPandas(fold, "bucket long, n long, mean double, var double")
+    return parts.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(fold, "bucket long, n long, mean double, var double")
 
 
 def cohort_scores(feats: DataFrame, cfg: Rate = Rate()) -> DataFrame:

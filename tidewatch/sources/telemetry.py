@@ -14,9 +14,11 @@ RAW_SCHEMA = T.StructType(
         ("raw_payload_valid", T.BooleanType()), ("log_message", T.StringType()),
     )]
 )
-#: Injections of the adapter, as epoch seconds: an hour that repeats five times, and a user whose last days repeat three times.
+#: Injections of the adapter, as epoch seconds: an hour that repeats five times, and a user whose last days repeat six times.
 BURST = (1705752000, 1705755600)
 DRIFT_USER, DRIFT_FROM = 7, 1705795200
+#: The user's repetitions come one after another, so many seconds apart, and end here.
+SPREAD, UNTIL = 21600, 1706659200
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -55,9 +57,10 @@ def telemetry(events: DataFrame) -> DataFrame:
     t = F.col("t")
     burst = (t >= BURST[0]) & (t < BURST[1])
     drift = (F.col("user_id") == DRIFT_USER) & (t >= DRIFT_FROM)
-    copies = F.when(burst, 5).when(drift, 3).otherwise(1)
+    copies = F.when(burst, 5).when(drift, 6).otherwise(1)
     base = events.select("event_id", epoch().alias("t"), "user_id", "event_type", F.col("value").alias("amount"))
     base = base.withColumn("rep", F.explode(F.sequence(F.lit(0), copies - 1)))
+    base = base.withColumn("t", F.when(burst, t).otherwise(t + F.col("rep") * SPREAD)).filter(t < UNTIL)
     again = F.col("rep") > 0
     kind = e % 60
     who = F.concat(F.lit("user-"), F.col("user_id").cast("string"))
@@ -105,8 +108,8 @@ TELEMETRY_SQL = f"""
 tele_base AS (
   SELECT event_id, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS t, user_id, event_type, value AS amount FROM events
 ), tele_rep AS (
-  SELECT b.*, r.rep FROM tele_base b JOIN (SELECT unnest(range(5)) AS rep) r
-  ON r.rep < CASE WHEN t >= {BURST[0]} AND t < {BURST[1]} THEN 5 WHEN user_id = {DRIFT_USER} AND t >= {DRIFT_FROM} THEN 3 ELSE 1 END
+  SELECT * FROM (SELECT b.* EXCLUDE (t), CASE WHEN t >= {BURST[0]} AND t < {BURST[1]} THEN t ELSE t + r.rep * {SPREAD} END AS t, r.rep FROM tele_base b JOIN (SELECT unnest(range(6)) AS rep) r
+  ON r.rep < CASE WHEN t >= {BURST[0]} AND t < {BURST[1]} THEN 5 WHEN user_id = {DRIFT_USER} AND t >= {DRIFT_FROM} THEN 6 ELSE 1 END) WHERE t < {UNTIL}
 ), tele_cols AS (
   SELECT *, CASE WHEN event_id % 97 = 0 THEN NULL ELSE 'user-' || user_id END AS payer_id,
     'merchant-' || (event_id % 200) AS payee_id,
