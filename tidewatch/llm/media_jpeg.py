@@ -60,14 +60,13 @@ def code_words(counts: list[int], symbols: list[int]) -> dict[int, tuple[int, in
     return out
 
 
-def lookup(counts: list[int], symbols: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbol and code length by the next 16 bits; length 0 where no code fits."""
-    symbol, size = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+def lookup(counts: list[int], symbols: list[int]) -> np.ndarray:
+    """Code length times 256 plus symbol by the next 16 bits; 0 where no code fits."""
+    out = np.zeros(1 << 16, dtype=np.int64)
     for s, (code, length) in code_words(counts, symbols).items():
         low = code << (16 - length)
-        symbol[low : low + (1 << (16 - length))] = s
-        size[low : low + (1 << (16 - length))] = length
-    return symbol, size
+        out[low : low + (1 << (16 - length))] = length << 8 | s
+    return out
 
 
 class Bits:
@@ -95,13 +94,15 @@ class Bits:
         return self.words.astype(">u4").view(np.uint8).reshape(len(self.words), -1), n
 
 
+_SIZE = np.array([abs(v).bit_length() for v in range(-256, 256)], dtype=np.int64)
+_EXTRA = np.array([v + (1 << abs(v).bit_length()) - 1 if v < 0 else v for v in range(-256, 256)], dtype=np.int64)
+_HALF = np.array([0] + [1 << (n - 1) for n in range(1, 16)], dtype=np.int64)
+_FULL = np.array([(1 << n) - 1 for n in range(16)], dtype=np.int64)
+
+
 def _magnitude(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Size category and extra bits."""
-    a = np.abs(v)
-    size = np.zeros(len(v), dtype=np.int64)
-    for b in range(9):
-        size += a >> b > 0
-    return size, np.where(v < 0, v + (np.int64(1) << size) - 1, v)
+    """Size category and extra bits of values from -256 to 255."""
+    return _SIZE[v + 256], _EXTRA[v + 256]
 
 
 def _encode_scan(c: np.ndarray, scan: tuple[int, int, int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -124,9 +125,10 @@ def _encode_scan(c: np.ndarray, scan: tuple[int, int, int, int]) -> tuple[np.nda
     out = Bits(n, (last - first + 1) * 26 + 32)
     run = np.zeros(n, dtype=np.int64)
     if not high:
+        wide = c[:, first : last + 1].T.astype(np.int64)
+        shifted = np.ascontiguousarray(np.where(wide < 0, -(-wide >> low), wide >> low))
         for k in range(first, last + 1):
-            v = c[:, k].astype(np.int64)
-            v = np.sign(v) * (np.abs(v) >> low)
+            v = shifted[k - first]
             rows = np.flatnonzero(v)
             while len(far := rows[run[rows] > 15]):
                 out.put(far, np.full(len(far), code[0xF0]), np.full(len(far), length[0xF0]))
@@ -237,37 +239,39 @@ def write(payloads: list[bytes]) -> list[bytes]:
 class Reader:
     """Entropy-coded segments laid end to end, without stuffing, each with a bit position of its own."""
 
-    def __init__(self, segments: list[bytes]) -> None:
-        sizes = np.array([len(s) + 8 for s in segments], dtype=np.int64)
-        # what follows a segment's end is read as ones at most
-        raw = np.frombuffer(b"".join(s + b"\xff" * 8 for s in segments) + b"\xff" * 8, dtype=np.uint8)
-        wide = np.zeros(len(raw), dtype=np.uint64)
+    def __init__(self, raw: np.ndarray) -> None:
+        self.raw = np.concatenate([raw, np.full(16, 0xFF, dtype=np.uint8)])
+        self.wide = np.zeros(len(self.raw), dtype=np.uint64)  # the 40 bits from each byte on
         for k in range(5):
-            wide[: len(raw) - k] |= raw[k:].astype(np.uint64) << np.uint64(32 - 8 * k)
-        self.wide = wide
-        self.at = np.concatenate([[0], np.cumsum(sizes)[:-1]]) * 8
+            self.wide[: len(self.raw) - k] |= self.raw[k:].astype(np.uint64) << np.uint64(32 - 8 * k)
+        self.at = np.zeros(0, dtype=np.int64)
 
-    def peek16(self, rows: np.ndarray) -> np.ndarray:
-        at = self.at[rows]
-        return (self.wide[at >> 3] >> (24 - (at & 7)).astype(np.uint64) & np.uint64(0xFFFF)).astype(np.int64)
+    def seek(self, starts: np.ndarray) -> None:
+        self.at = starts * 8
 
     def take(self, rows: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The next n bits, at most 16, of each row."""
-        v = self.peek16(rows) >> (16 - n)
+        at = self.at[rows]
+        v = self.wide[at >> 3] >> (40 - (at & 7) - n).astype(np.uint64) & ((np.uint64(1) << n.astype(np.uint64)) - np.uint64(1))
         self.at[rows] += n
-        return v
+        return v.astype(np.int64)
 
-    def symbol(self, rows: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        bits = self.peek16(rows)
-        if len(rows) and not table[1][bits].all():
+    def symbol(self, rows: np.ndarray, table: np.ndarray, mask: int = 15) -> tuple[np.ndarray, np.ndarray]:
+        """The next symbol of each row, and the extra bits whose number stands in its low bits."""
+        at = self.at[rows]
+        word, used = self.wide[at >> 3], at & 7
+        found = table[(word >> (24 - used).astype(np.uint64) & np.uint64(0xFFFF)).astype(np.int64)]
+        if not found.all():
             raise ValueError("a code that no table has")
-        self.at[rows] += table[1][bits]
-        return table[0][bits]
+        size = found & mask
+        total = (found >> 8) + size
+        extra = (word >> (40 - used - total).astype(np.uint64)).astype(np.int64) & _FULL[size]
+        self.at[rows] = at + total
+        return found & 255, extra
 
 
 def _extend(v: np.ndarray, size: np.ndarray) -> np.ndarray:
-    half = np.int64(1) << np.maximum(size - 1, 0)
-    return np.where((v < half) & (size > 0), v - (np.int64(1) << size) + 1, v)
+    return np.where(v < _HALF[size], v - _FULL[size], v)
 
 
 def _dc_scan(reader: Reader, units: list[np.ndarray], coefficients: np.ndarray, table, high: int, low: int, kinds: list[np.ndarray]) -> None:
@@ -278,11 +282,10 @@ def _dc_scan(reader: Reader, units: list[np.ndarray], coefficients: np.ndarray,
         if high:
             coefficients[block[rows], 0] |= reader.take(rows, np.ones(len(rows), dtype=np.int64)) << low
             continue
-        size = np.zeros(len(rows), dtype=np.int64)
         for c in np.unique(kind[rows]):
-            of = kind[rows] == c
-            size[of] = reader.symbol(rows[of], table[int(c)])
-        guess[rows, kind[rows]] += _extend(reader.take(rows, size), size)
+            of = rows[kind[rows] == c]
+            size, extra = reader.symbol(of, table[int(c)])
+            guess[of, c] += _extend(extra, size)
         coefficients[block[rows], 0] = guess[rows, kind[rows]] << low
 
 
@@ -292,47 +295,56 @@ def _ac_scan(reader: Reader, units: list[np.ndarray], c: np.ndarray, table, firs
     for block in units:
         live = np.flatnonzero(block >= 0)
         k = np.full(len(block), first)
-        skip = np.zeros(len(block), dtype=np.int64)  # zeros to pass before ``fresh`` is set; refinement only
-        fresh = np.zeros(len(block), dtype=np.int64)
-        idle = live[bands[live] > 0]
-        bands[idle] -= 1
-        todo = live[np.isin(live, idle, invert=True)] if len(idle) else live
-        if high and len(idle):
-            _refine(reader, idle, block, c, np.full(len(block), first), last, np.full(len(block), 1 << 20), one)
+        idle = bands[live] > 0
+        if idle.any():
+            rows = live[idle]
+            bands[rows] -= 1
+            if high:
+                _refine_rest(reader, rows, block, c, k, last, one)
+        todo = live[~idle]
         while len(todo):
-            s = reader.symbol(todo, table)
+            s, extra = reader.symbol(todo, table)
             run, size = s >> 4, s & 15
             end = (size == 0) & (run < 15)
             if end.any():
                 rows = todo[end]
                 bands[rows] = (np.int64(1) << run[end]) - 1 + reader.take(rows, run[end])
                 if high:
-                    _refine(reader, rows, block, c, k, last, np.full(len(block), 1 << 20), one)
-                todo, run, size = todo[~end], run[~end], size[~end]
+                    _refine_rest(reader, rows, block, c, k, last, one)
+                todo, run, size, extra = todo[~end], run[~end], size[~end], extra[~end]
+            got = size > 0
+            rows = todo[got]
             if not high:
                 k[todo] += run
-                got = size > 0
-                rows = todo[got]
                 if (k[todo] > last).any():
                     raise ValueError("a run beyond the end of a band")
-                c[block[rows], k[rows]] = _extend(reader.take(rows, size[got]), size[got]) << low
-                k[todo] += 1
-            else:
-                got = size > 0
-                fresh[todo] = 0
-                sign = reader.take(todo[got], np.ones(int(got.sum()), dtype=np.int64))
-                fresh[todo[got]] = np.where(sign > 0, one, -one)
+                c[block[rows], k[rows]] = _extend(extra[got], size[got]) << low
+            elif len(todo):
+                value = np.zeros(len(block), dtype=np.int64)
+                value[rows] = np.where(extra[got] > 0, one, -one)
+                skip = np.zeros(len(block), dtype=np.int64)
                 skip[todo] = run
-                _refine(reader, todo, block, c, k, last, skip, one)
-                rows = todo[got & (k[todo] <= last)]
-                c[block[rows], k[rows]] = fresh[rows]
-                k[todo] += 1
+                _refine_run(reader, todo, block, c, k, last, skip, one)
+                rows = rows[k[rows] <= last]
+                c[block[rows], k[rows]] = value[rows]
+            k[todo] += 1
             todo = todo[k[todo] <= last]
 
 
-def _refine(reader: Reader, rows: np.ndarray, block: np.ndarray, c: np.ndarray, k: np.ndarray, last: int, skip: np.ndarray, one: np.int64) -> None:
+def _refine_rest(reader: Reader, rows: np.ndarray, block: np.ndarray, c: np.ndarray, k: np.ndarray, last: int, one: np.int64) -> None:
+    """One more bit of every known coefficient from ``k`` to the end of the band; their bits follow each other."""
+    first = int(k[rows].min())
+    v = c[block[rows], first : last + 1]
+    known = (v != 0) & (np.arange(first, last + 1) >= k[rows][:, None])
+    at = reader.at[rows][:, None] + np.cumsum(known, axis=1) - known
+    bit = reader.raw[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+    grow = known & (bit > 0) & (np.abs(v) & one == 0)
+    c[block[rows], first : last + 1] = np.where(grow, v + np.sign(v) * one, v)
+    reader.at[rows] += known.sum(axis=1)
+
+
+def _refine_run(reader: Reader, rows: np.ndarray, block: np.ndarray, c: np.ndarray, k: np.ndarray, last: int, skip: np.ndarray, one: np.int64) -> None:
     """Pass ``skip`` zeros from ``k`` on and read one more bit of every coefficient on the way; ends at the next zero."""
-    skip = skip.copy()
     while len(rows := rows[k[rows] <= last]):
         at = c[block[rows], k[rows]]
         known = at != 0
@@ -340,9 +352,8 @@ def _refine(reader: Reader, rows: np.ndarray, block: np.ndarray, c: np.ndarray,
         skip[rows[~known]] -= 1
         more = rows[known]
         if len(more):
-            bit = reader.take(more, np.ones(len(more), dtype=np.int64))
             v = at[known]
-            grow = (bit > 0) & (np.abs(v) & one == 0)
+            grow = (reader.take(more, np.ones(len(more), dtype=np.int64)) > 0) & (np.abs(v) & one == 0)
             c[block[more], k[more]] = np.where(grow, v + np.sign(v) * one, v)
         rows = rows[~stop]
         k[rows] += 1
@@ -358,23 +369,36 @@ class Frame:
         self.comment = b""
 
 
-def _split_stream(data: bytes, at: int) -> tuple[list[bytes], int]:
-    """Segments between restart markers from ``at`` on, and where the next marker stands."""
-    raw = np.frombuffer(data, dtype=np.uint8)
-    ff = np.flatnonzero(raw[at:-1] == 0xFF) + at
-    after = raw[ff + 1]
-    stop = ff[(after != 0) & ((after < 0xD0) | (after > 0xD7))]
-    end = int(stop[0]) if len(stop) else len(data)
-    cuts = ff[(after >= 0xD0) & (after <= 0xD7) & (ff < end)]
-    bounds = [at, *(int(x) for x in cuts), end]
-    return [data[(a if i == 0 else a + 2) : b].replace(b"\xff\x00", b"\xff") for i, (a, b) in enumerate(zip(bounds, bounds[1:]))], end
+class _Stream:
+    """A file's bytes and where the bytes FF stand in it."""
+
+    def __init__(self, data: bytes) -> None:
+        self.raw = np.frombuffer(data, dtype=np.uint8)
+        self.ff = np.flatnonzero(self.raw[:-1] == 0xFF)
+        self.after = self.raw[self.ff + 1]
+        self.restart = (self.after >= 0xD0) & (self.after <= 0xD7)
+        self.stops = self.ff[(self.after != 0) & ~self.restart]
+
+    def split(self, at: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Bytes from ``at`` on without stuffing and restart markers, where each segment starts in them, and where the next marker stands."""
+        i = int(np.searchsorted(self.stops, at))
+        end = int(self.stops[i]) if i < len(self.stops) else len(self.raw)
+        a, b = np.searchsorted(self.ff, (at, end))
+        ff, restart = self.ff[a:b] - at, self.restart[a:b]
+        use = np.ones(end - at, dtype=bool)
+        use[ff + 1] = False  # after FF stands 00 or a restart marker's second byte
+        cuts = ff[restart]
+        use[cuts] = False
+        # of what is left out before a cut: two bytes for each restart marker, one for each stuffed 00
+        gone = np.cumsum(np.where(restart, 2, 1))[restart]
+        return self.raw[at:end][use], np.concatenate([[0], cuts + 2 - gone]), end
 
 
 def read(files: list[bytes]) -> list[Frame]:
     """Coefficient arrays of progressive files; scans that files have alike are decoded together."""
     frames, plans = [], []
     for data in files:
-        frame, huff, scans, at = Frame(), {}, [], 2
+        frame, huff, scans, at, whole = Frame(), {}, [], 2, _Stream(data)
         if data[:2] != b"\xff\xd8":
             raise ValueError("not a JPEG file")
         while at + 4 <= len(data):
@@ -417,8 +441,8 @@ def read(files: list[bytes]) -> list[Frame]:
                 n = body[0]
                 of = [(next(j for j, c in enumerate(frame.components) if c["id"] == body[1 + 2 * i]), body[2 + 2 * i]) for i in range(n)]
                 band = (body[1 + 2 * n], body[2 + 2 * n], body[3 + 2 * n] >> 4, body[3 + 2 * n] & 15)
-                segments, at = _split_stream(data, at)
-                scans.append((band, of, dict(huff), segments, frame.restart))
+                stream, starts, at = whole.split(at)
+                scans.append((band, of, dict(huff), (stream, starts), frame.restart))
         frames.append(frame)
         plans.append(scans)
     total = 0
@@ -435,31 +459,35 @@ def read(files: list[bytes]) -> list[Frame]:
                 tables = tuple(huff.get((t >> 4) if band[0] == 0 else 0x10 | t & 15) for _, t in of)
                 alike.setdefault((band, tables, tuple(c for c, _ in of) if band[0] == 0 else ()), []).append(i)
         for (band, tables, _), members in alike.items():
-            segments, units, kinds = [], [], []
+            streams, starts, units, kinds, base = [], [], [], [], 0
             for i in members:
-                _, of, _, parts, restart = plans[i][step]
+                _, of, _, (stream, begin), restart = plans[i][step]
                 order, kind = _block_order(frames[i], [c for c, _ in of])
                 per = (restart or len(order)) * (order.shape[1])
                 flat, kflat = order.reshape(-1), kind.reshape(-1)
                 count = -(-len(flat) // per)
-                if len(parts) < count:
+                if len(begin) < count:
                     raise ValueError("a scan ends too early")
-                whole = np.full(count * per, -1, dtype=np.int64)
-                kwhole = np.zeros(count * per, dtype=np.int64)
-                whole[: len(flat)], kwhole[: len(flat)] = flat, kflat
-                segments += parts[:count]
+                spare = count * per - len(flat)
+                whole = np.concatenate([flat, np.full(spare, -1)]) if spare else flat
+                kwhole = np.concatenate([kflat, np.zeros(spare, dtype=np.int64)]) if spare else kflat
+                streams.append(stream)
+                starts.append(begin[:count] + base)
+                base += len(stream)
                 units.append(whole.reshape(count, per))
                 kinds.append(kwhole.reshape(count, per))
             most = max(u.shape[1] for u in units)
-            pad = lambda x, fill: np.concatenate([np.pad(u, ((0, 0), (0, most - u.shape[1])), constant_values=fill) for u in x]).T
+            pad = lambda x, fill: np.concatenate([np.pad(u, ((0, 0), (0, most - u.shape[1])), constant_values=fill) if u.shape[1] < most else u for u in x]).T
             all_units, all_kinds = pad(units, -1), pad(kinds, 0)
             if band[0] == 0:
                 order = [c for c, _ in plans[members[0]][step][1]]
                 codes = {c: lookup(*t) for c, t in zip(order, tables) if t}
             else:
                 codes = lookup(*tables[0])
-            for a in range(0, len(segments), STEP):
-                by_unit, reader = list(all_units[:, a : a + STEP]), Reader(segments[a : a + STEP])
+            reader, begin = Reader(np.concatenate(streams)), np.concatenate(starts)
+            for a in range(0, len(begin), STEP):
+                by_unit = list(all_units[:, a : a + STEP])
+                reader.seek(begin[a : a + STEP])
                 if band[0] == 0:
                     _dc_scan(reader, by_unit, coefficients, codes, band[2], band[3], list(all_kinds[:, a : a + STEP]))
                 else:
