@@ -106,6 +106,6 @@ def attempt() -> Column:
 
 def label_groups(labels: Column) -> Column:
     """Tags of a label line without the benign one, variants grouped."""
-    tags = F.transform(F.split(labels, ","), F.trim)
+    tags = F.transform(F.split(labels, ","), lambda t: F.trim(t))
     grouped = F.transform(tags, lambda t: F.when(t.startswith("webshell"), "webshell").when(t.startswith("mail-curl"), "mail-curl").otherwise(t))
     return F.array_sort(F.array_distinct(F.filter(grouped, lambda t: (t != "0") & (t != ""))))
