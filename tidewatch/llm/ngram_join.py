@@ -11,9 +11,10 @@ partners that differ by one element there and so lets such a segment prove two d
 document is probed with its rarest keys only, and of the most frequent ones it leaves out as much weight as q - 1
 allows.  A document whose shared keys weigh less than q can have no partner and leaves the join at once.
 
-Candidates are verified on the full sets.  Only connections matter for components, so a key with many documents first
-yields a star around its smallest one; once those are verified and merged, all pairs of a key that still lie in
-different components are verified too.  Nothing is capped.
+Candidates whose parity sketches already differ in too many bits are none; the others are verified on the full sets.  Only connections matter for components, so a key with many documents first
+yields a star around its smallest one, and then, across the components so far, a few pairs for each document, different ones for each key; once
+those are verified and merged, all pairs of a key that still lie in different components are verified too.  Nothing is
+capped.
 """
 
 from __future__ import annotations
@@ -54,6 +55,16 @@ def set_id(s: np.ndarray) -> int:
     return int(windows.mix(windows.prefix(s)[-1:] + np.uint64(len(s))).view(np.int64)[0]) if len(s) else 0
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """512 bits, each the parity of the elements that fall on it.
+
+    An element in only one of two sets turns one bit, so sketches differ in no more bits than their sets in elements: a
+    pair whose sketches differ in more bits than linked sets may is none, for certain.
+    """
+    odd = np.bincount((windows.mix(s + np.uint64(7)) >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<u8")
+
+
 class Bands:
     """Sizes, segments and distances for a similarity of ``num`` / ``den`` or more."""
 
@@ -107,7 +118,11 @@ def signatures(s: np.ndarray, band: int, bands: Bands) -> tuple[np.ndarray, np.n
 
 #: A set in a row of keys: name, size, weight of all its segments there, its component, and its keys in this row.
 DOC = np.dtype([("sid", "<i8"), ("n", "<i4"), ("cap", "<i4"), ("comp", "<i8"), ("own", "?"), ("keys", "<i4")])
+#: The same with its sketch, as pairs are made from it.
+SKETCHED = np.dtype([*DOC.descr, ("sketch", "<u8", (8,))])
 FORM = "bucket int, docs binary, keys binary, kinds binary, freq binary"
+#: What is told of each row beside its keys.
+INFO = "key long, id string, size long, sid long"
 #: Bits of a key that are kept: enough to tell keys of one shuffle partition apart; a clash costs a verification.
 _BITS = np.uint64(0xFFFFFFFFFFFF)
 
@@ -127,13 +142,13 @@ def _pack(doc: np.ndarray, table: np.ndarray, key: np.ndarray, kind: np.ndarray,
     return pd.DataFrame(rows, columns=["bucket", "docs", "keys", "kinds", "freq"])
 
 
-def _unpack(batches: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(batches: Iterator[pd.DataFrame], form: np.dtype = DOC) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Place in the table, table, keys, kinds, frequencies of all rows of a partition."""
     parts: dict[str, list[bytes]] = {"docs": [], "keys": [], "kinds": [], "freq": []}
     for b in batches:
         for name, held in parts.items():
             held += list(b[name])
-    table = np.frombuffer(b"".join(parts["docs"]), dtype=DOC)
+    table = np.frombuffer(b"".join(parts["docs"]), dtype=form)
     six = np.frombuffer(b"".join(parts["keys"]), dtype=np.uint8).reshape(-1, 6)
     key = np.zeros((len(six), 8), dtype=np.uint8)
     key[:, :6] = six
@@ -146,11 +161,11 @@ def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.append(at[1:], len(columns[0])) if len(at) else at
 
 
-def _bucket(x: np.ndarray, buckets: int) -> np.ndarray:
-    return ((windows.mix(x.astype(np.uint64)) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+def _bucket(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    return labels[((windows.mix(x.astype(np.uint64)) >> np.uint64(33)) % np.uint64(len(labels))).astype(np.int64)]
 
 
-def index(sets: Iterator[tuple[int, np.ndarray]], bands: Bands, buckets: int) -> pd.DataFrame:
+def index(sets: Iterator[tuple[int, np.ndarray]], bands: Bands, labels: np.ndarray) -> pd.DataFrame:
     """Packed keys of a batch of (name, set)."""
     table, keys, kinds = [], [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.uint8)]
     for sid, s in sets:
@@ -165,14 +180,19 @@ def index(sets: Iterator[tuple[int, np.ndarray]], bands: Bands, buckets: int) ->
             kinds.append(kind)
     doc = np.repeat(np.arange(len(table)), [len(k) for k in keys[1:]])
     key = np.concatenate(keys)
-    return _pack(doc, np.array(table, dtype=DOC), key, np.concatenate(kinds), None, _bucket(key & _BITS, buckets))
+    return _pack(doc, np.array(table, dtype=DOC), key, np.concatenate(kinds), None, _bucket(key & _BITS, labels))
 
 
-def shared(buckets: int):
-    """Of a partition of keys those that two sets or more have, one of them in its own band; back to the sets."""
+def shared(labels: np.ndarray):
+    """Of a partition of keys those that two sets or more have, one of them in its own band; back to the sets. What is told of rows passes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, table, key, kind, _ = _unpack(batches)
+        held = []
+        for batch in batches:
+            told = batch["docs"].map(len) == 0
+            yield batch[told].assign(bucket=-1)
+            held.append(batch[~told])
+        doc, table, key, kind, _ = _unpack(held)
         order = np.argsort(key)
         sorted_key = key[order]
         twice = np.zeros(len(key), dtype=bool)
@@ -189,12 +209,13 @@ def shared(buckets: int):
         size = np.bincount(group, windows.starts_of(k, sid)) if len(k) else np.zeros(0)
         keep = ((np.bincount(group, own) > 0) & (np.bincount(group, what < 2) > 0) & (size > 1))[group] if len(k) else np.zeros(0, dtype=bool)
         d, k, what = d[keep], k[keep], what[keep]
-        yield _pack(d, table, k, what, size[group][keep].astype("<u4") if len(group) else np.zeros(0, dtype="<u4"), _bucket(sid[keep], buckets))
+        freq = size[group][keep].astype("<u4") if len(group) else np.zeros(0, dtype="<u4")
+        yield _pack(d, table, k, what, freq, _bucket(sid[keep], labels)).assign(key=0, id="", size=0, sid=0)
 
     return run
 
 
-def allocate(bands: Bands, buckets: int):
+def allocate(bands: Bands, labels: np.ndarray):
     """All shared keys of each set: it stays if they weigh enough, and is probed with the rarest (``freq`` 1, else 0)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,52 +235,82 @@ def allocate(bands: Bands, buckets: int):
         before = upto - weight - (upto[start] - weight[start])[group]  # within the set, rarest first
         stays = (total >= q)[group]
         probe = own & (total[group] - before > (q - 1)[group])  # what is left out weighs q - 1 at most
-        yield _pack(doc[stays], table, key[stays], kind[stays], probe[stays].astype("<u4"), _bucket(sid[stays], buckets))
+        yield _pack(doc[stays], table, key[stays], kind[stays], probe[stays].astype("<u4"), _bucket(sid[stays], labels))
 
     return run
 
 
-def by_key(buckets: int):
-    """Of a partition of sets, with their components where the rows have them, the keys again."""
+def by_key(labels: np.ndarray):
+    """Of a partition of sets the keys again, each set with its component and sketch.
+
+    These come as rows of ``SKETCHED`` without keys, in ``kinds``.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, table, key, kind, freq = _unpack(batches)
-        table = table.copy()
-        named = np.flatnonzero(table["keys"] == 0)  # components
-        if len(named):
-            named = named[np.argsort(table["sid"][named])]
-            at = np.minimum(np.searchsorted(table["sid"][named], table["sid"]), len(named) - 1)
-            hit = table["sid"][named][at] == table["sid"]
-            table["comp"] = np.where(hit, table["comp"][named][at], table["sid"])
-        yield _pack(doc, table, key, kind, freq, _bucket(key, buckets))
+        held, told = [], [b""]
+        for batch in batches:
+            extra = batch["docs"].map(len) == 0
+            told += list(batch.loc[extra, "kinds"])
+            held.append(batch[~extra])
+        doc, table, key, kind, freq = _unpack(held)
+        names = np.frombuffer(b"".join(told), dtype=SKETCHED)
+        names = names[np.argsort(names["sid"])]
+        full = np.zeros(len(table), dtype=SKETCHED)
+        for f in DOC.names:
+            full[f] = table[f]
+        if len(names):
+            at = np.minimum(np.searchsorted(names["sid"], table["sid"]), len(names) - 1)
+            full["comp"], full["sketch"] = names["comp"][at], names["sketch"][at]
+        yield _pack(doc, full, key, kind, freq, _bucket(key, labels))
 
     return run
 
 
-def pairs(bands: Bands, every: bool):
-    """Candidates of a partition of keys: stars, or with ``every`` all pairs of different components."""
+#: Of a key's sets in an order that the key itself mixes, those so many places apart are tried before all pairs are.
+NEAR = (1, 2)
+
+
+def pairs(bands: Bands, step: str):
+    """Candidates of a partition of keys: a star; or sets that a mixed order puts near each other; or all pairs. The latter two across components only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, table, key, kind, probe = _unpack(batches)
+        doc, table, key, kind, probe = _unpack(batches, SKETCHED)
         sid, n = table["sid"][doc], table["n"][doc].astype(np.int64)
         order = np.lexsort((sid, n, key))
         doc, key, kind, probe, sid, n = doc[order], key[order], kind[order], probe[order] > 0, sid[order], n[order]
         comp, most, found = table["comp"][doc], bands.largest(n), set()
+        sketches = table["sketch"]
+
+        def may_link(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return np.bitwise_count(sketches[doc[i]] ^ sketches[doc[j]]).sum(axis=-1) <= bands.apart(n[i], n[j])
+
         for s, e in zip(*_runs(key)):
             if e - s < 2 or not probe[s:e].any():
                 continue
-            if not every:  # from the smallest set to all that may link with it, then from the next one beyond
+            if step == "star":  # from the smallest set to all that may link with it, then from the next one beyond
                 at = s
                 while at < e - 1:
                     to = at + int(np.searchsorted(n[at:e], most[at], "right"))
-                    found.update((int(sid[at]), int(x)) for x in sid[at + 1 : to] if x != sid[at])
+                    other = np.arange(at + 1, to)
+                    other = other[sid[other] != sid[at]]
+                    found.update((int(sid[at]), int(x)) for x in sid[other[may_link(np.full(len(other), at), other)]])
                     at = max(to, at + 1)
-            elif comp[s] != comp[s:e].min() or comp[s] != comp[s:e].max():
+            elif comp[s:e].min() == comp[s:e].max():
+                continue
+            elif step == "near":
+                mixed = s + np.argsort(windows.mix(sid[s:e].view(np.uint64) ^ key[s]))
+                for far in NEAR:
+                    i, j = np.minimum(mixed[:-far], mixed[far:]), np.maximum(mixed[:-far], mixed[far:])
+                    use = (comp[i] != comp[j]) & (n[j] <= most[i]) & ((kind[i] < 2) | (kind[j] < 2))
+                    i, j = i[use], j[use]
+                    use = may_link(i, j)
+                    found.update(zip(sid[i[use]].tolist(), sid[j[use]].tolist()))
+            else:
                 for i in s + np.flatnonzero(probe[s:e]):
                     to = s + int(np.searchsorted(n[s:e], most[i], "right"))
                     other = np.arange(i + 1, to)
                     other = other[(comp[other] != comp[i]) & ((kind[other] < 2) | (kind[i] < 2))]
-                    found.update((int(sid[i]), int(x)) for x in sid[other])
+                    found.update((int(sid[i]), int(x)) for x in sid[other[may_link(np.full(len(other), i), other)]])
             if len(found) > 200_000:
                 yield pd.DataFrame(list(found), columns=["a", "b"])
                 found = set()
@@ -313,7 +364,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4, id_col: str =
     """
     spark = docs.sparkSession
     folder, parts, bands = folder or common.shared_dir(spark), common.width(spark), Bands(num, den)
-    buckets = 2 * parts
+    labels = np.array(common.even_labels(spark, parts), dtype=np.int64)
     keyed = windows.keyed(docs, id_col, text_col)
 
     def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -327,16 +378,15 @@ def join(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4, id_col: str =
                 if name:
                     held[name] = s
             rows = pd.DataFrame(info, columns=["key", "id", "size", "sid"])
-            yield rows.assign(bucket=-1, docs=b"", keys=b"", kinds=b"", freq=b"")
-            yield index(held.items(), bands, buckets).assign(key=0, id="", size=0, sid=0)
+            yield rows.assign(bucket=labels[rows["key"] % parts], docs=b"", keys=b"", kinds=b"", freq=b"")
+            yield index(held.items(), bands, labels).assign(key=0, id="", size=0, sid=0)
 
-    first = keyed.select("key", F.col("id").cast("string").alias("id"), "text").mapInPandas(named, f"key long, id string, size long, sid long, {FORM}")
-    rows = common.cut_lineage(first, folder, "keys")
+    first = keyed.select("key", F.col("id").cast("string").alias("id"), "text").mapInPandas(named, f"{INFO}, {FORM}")
+    rows = common.cut_lineage(first.repartition(parts, "bucket").mapInPandas(shared(labels), f"{INFO}, {FORM}"), folder, "shared")
     info = rows.filter("bucket < 0").select("key", F.col("id").cast("long").alias("id"), F.col("size").alias("n_shingles"), "sid")
     fields = [x.split()[0] for x in FORM.split(", ")]
     packed = rows.filter("bucket >= 0").select(*fields)
-    back = packed.repartition(parts, "bucket").mapInPandas(shared(buckets), FORM)
-    kept = common.cut_lineage(back.repartition(parts, "bucket").mapInPandas(allocate(bands, buckets), FORM), folder, "kept")
+    kept = common.cut_lineage(packed.repartition(parts, "bucket").mapInPandas(allocate(bands, labels), FORM), folder, "kept")
 
     def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -344,31 +394,33 @@ def join(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4, id_col: str =
 
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"sid": batch["sid"], "data": [shingles(t, n).tobytes() for t in batch["text"]]})
+            found = [shingles(t, n) for t in batch["text"]]
+            yield pd.DataFrame({"sid": batch["sid"], "data": [s.tobytes() for s in found], "sketch": [sketch(s).tobytes() for s in found]})
 
     wanted = kept.select("docs").mapInPandas(names, "sid long").distinct()
     one = info.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("key").alias("key")).select("key", "sid")
-    sets = keyed.select("key", "text").join(one.hint("shuffle_hash"), "key").select("sid", "text").mapInPandas(full, "sid long, data binary")
+    sets = keyed.select("key", "text").join(one.hint("shuffle_hash"), "key").select("sid", "text").mapInPandas(full, "sid long, data binary, sketch binary")
     sets = common.cut_lineage(sets, folder, "sets")
 
-    def candidates(rows_: DataFrame, every: bool) -> DataFrame:
-        return rows_.repartition(parts, "bucket").mapInPandas(by_key(buckets), FORM).repartition(parts, "bucket").mapInPandas(pairs(bands, every), "a long, b long").distinct()
-
-    stars = common.cut_lineage(candidates(kept, False), folder, "stars")
-    links = common.cut_lineage(verified(stars, sets, num, den), folder, "links")
-
-    def labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            table = np.zeros(len(batch), dtype=DOC)
+            table = np.zeros(len(batch), dtype=SKETCHED)
             table["sid"], table["comp"] = batch["sid"], batch["comp"]
-            where = _bucket(table["sid"], buckets)
-            yield pd.DataFrame([(int(b), table[where == b].tobytes(), b"", b"", b"") for b in np.unique(where)], columns=fields)
-
-    first_comp = components(links, folder, "first")
-    rest = candidates(kept.unionByName(first_comp.mapInPandas(labels, FORM)), True)
-    rest = common.cut_lineage(rest.join(stars, ["a", "b"], "left_anti"), folder, "rest")
-    more = common.cut_lineage(verified(rest, sets, num, den), folder, "more")
-    comp = components(links.unionByName(more), folder, "second")
+            if len(batch):
+                table["sketch"] = np.frombuffer(b"".join(batch["sketch"]), dtype="<u8").reshape(-1, 8)
+            where = _bucket(table["sid"], labels)
+            yield pd.DataFrame([(int(b), b"", b"", table[where == b].tobytes(), b"") for b in np.unique(where)], columns=fields)
+
+    tried = links = comp = None
+    for step in ("star", "near", "all"):
+        named_sets = sets.select("sid", "sketch").withColumn("comp", F.col("sid")) if comp is None else sets.select("sid", "sketch").join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+        keys = kept.unionByName(named_sets.select("sid", "comp", "sketch").mapInPandas(labelled, FORM))
+        by_keys = keys.repartition(parts, "bucket").mapInPandas(by_key(labels), FORM).repartition(parts, "bucket")
+        found = by_keys.mapInPandas(pairs(bands, step), "a long, b long").distinct()
+        found = common.cut_lineage(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), folder, step)
+        good = common.cut_lineage(verified(found, sets, num, den), folder, f"{step}-links")
+        tried, links = (found, good) if tried is None else (tried.unionByName(found), links.unionByName(good))
+        comp = components(links, folder, f"{step}-components")
 
     whole = info.join(comp, "sid", "left").select("id", "n_shingles", F.when(F.col("sid") != 0, F.coalesce("comp", "sid")).alias("comp"))
     least = whole.filter("comp is not null").groupBy("comp").agg(F.min("id").alias("component_id"))
