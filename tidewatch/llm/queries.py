@@ -85,14 +85,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's ids, counted and hashed, and what they decode to."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(docs, model), model)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_ids"),
-        F.xxhash64("ids").alias("ids_hash"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.col("text")).alias("round_trip"),
-    )
+    return sentencepiece_viterbi.digest(docs, model).select("doc_id", "digest.*")
 
 
 def queries() -> dict:
@@ -110,5 +103,51 @@ def queries() -> dict:
     }
 
 
+#: Words of every text, in order.
+_WORDS = r"""words AS (
+  SELECT doc_id, list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents)"""
+
+_OP1 = (
+    "WITH RECURSIVE "
+    + _WORDS.replace("{text}", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    + """
+, sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words
+), items AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), shared AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS common FROM items a JOIN items b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (SELECT x, y FROM shared WHERE 100 * common >= 75 * (nx + ny - common)
+), edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.y FROM reach r JOIN edges e ON e.x = r.b)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY 1) c ON c.a = s.doc_id"""
+)
+
+_OP3 = """WITH raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), wins AS (SELECT doc_id, unnest(range(0, n - 399)) AS p, h FROM raw WHERE n >= 400
+), keys AS (SELECT doc_id, p, md5(substring(h, 2 * p + 1, 800)) AS k FROM wins
+), many AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY k) AS c FROM keys) WHERE c > 1
+), gaps AS (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 400 THEN 0 ELSE 1 END AS fresh FROM many
+), runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM gaps
+), spans AS (SELECT doc_id, r, min(p) AS a, max(p) + 400 AS b FROM runs GROUP BY 1, 2
+), cut AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS since, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next FROM spans
+), kept AS (SELECT c.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substring(h, 2 * since + 1, 2 * (a - since)) || CASE WHEN next IS NULL THEN substring(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS rest
+  FROM cut c JOIN raw USING (doc_id) GROUP BY 1)
+SELECT r.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM raw r LEFT JOIN kept k ON k.doc_id = r.doc_id"""
+
+_OP6 = (
+    "WITH "
+    + _WORDS.replace("{text}", "coalesce(text, '')")
+    + """
+, wins AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS p, w FROM words WHERE len(w) >= 20
+), keys AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 19], ' ')) AS k FROM wins
+), late AS (SELECT doc_id, p FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS r FROM keys) WHERE r > 1
+), gone AS (SELECT DISTINCT doc_id, p + i AS at FROM late, (SELECT unnest(range(20)) AS i)
+), gone_list AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY 1
+), one AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM words
+), kept AS (SELECT o.doc_id, string_agg(word, ' ' ORDER BY o.at) AS rest FROM one o ANTI JOIN gone g ON g.doc_id = o.doc_id AND g.at = o.at GROUP BY 1)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM words w LEFT JOIN gone_list g ON g.doc_id = w.doc_id LEFT JOIN kept k ON k.doc_id = w.doc_id"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the operators that SQL can express; the others rest on tokenizers, trained models or a file format."""
+    return {"op1_ngram_join": _OP1, "op3_suffix_dedup": _OP3, "op6_substring_dedup": _OP6}
