@@ -9,7 +9,9 @@ searched on their own, and a bounded table remembers those that come again.
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Stretches that the table remembers, at most; it starts anew when full.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Below the worst piece by so much scores a character that has no piece; it is written as bytes.
 UNKNOWN = 10.0
 
@@ -172,6 +174,11 @@ class Encoder:
         return out
 
 
+def joined(ids: list[int], table: list[bytes]) -> str:
+    raw = b"".join([table[i] for i in ids if 0 <= i < len(table)])
+    return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+
+
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with the ids of its texts in ``ids_col``: the segmentation with the largest sum of scores.
 
@@ -199,14 +206,31 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str =
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = Vocabulary(model_path).bytes_of
-
-        def one(ids) -> str | None:
-            if ids is None:
-                return None
-            raw = b"".join([table[i] for i in ids.tolist() if 0 <= i < len(table)])
-            return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
-
         for batch in batches:
-            yield batch.map(one, na_action="ignore") if batch.isna().any() else batch.map(one)
+            yield pd.Series([None if ids is None else joined(ids.tolist(), table) for ids in batch], dtype=object)
 
     return df.withColumn(text_col, run(F.col(f"`{ids_col}`")))
+
+
+def digest(docs: DataFrame, model_path: str, text_col: str = "text", into: str = "digest") -> DataFrame:
+    """``docs`` with a struct of each text's number of ids, their CRC-32 (little-endian, four bytes each), and the SHA-256 of
+    what they decode to and whether that is the text; null for a null text.  Ids and decoded texts stay in the task.
+    """
+
+    @F.pandas_udf("n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        vocabulary = Vocabulary(model_path)
+        encoder = Encoder(vocabulary)
+        for batch in batches:
+            rows: list[tuple] = []
+            for text in batch:
+                if text is None:
+                    rows.append((None, None, None, None))
+                    continue
+                ids = encoder(text)
+                back = joined(ids, vocabulary.bytes_of)
+                sha = hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()
+                rows.append((len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()), sha, back == text))
+            yield pd.DataFrame(rows, columns=["n_ids", "ids_crc32", "decoded_sha256", "round_trip"]).astype({"n_ids": "Int64", "ids_crc32": "Int64", "round_trip": "boolean"})
+
+    return docs.withColumn(into, run(F.col(f"`{text_col}`").cast("string")))
