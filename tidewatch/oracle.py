@@ -361,6 +361,14 @@ SELECT tick, window_start, global_score, level FROM emit WHERE emitted""",
         "alert_dedup": _with("sent", "SELECT t, alert_type, entity_type, entity_id, sent, suppressed_prior FROM sent"),
         "dedup_stats": _with("sent", "SELECT alert_type, count(*) FILTER (sent) AS sent, count(*) FILTER (NOT sent) AS suppressed FROM sent GROUP BY 1"),
         "error_monitor_sliding": _with("monitor", f"SELECT t, errors, errors || ' errors in the last {S} s' AS summary FROM monitor"),
+        "notification_text": _with(
+            "monitor",
+            f""", m AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY t) AS i FROM monitor), throttle AS (
+  SELECT t, errors, i, t AS anchor, true AS sent, 0 AS held, 0 AS prior FROM m WHERE i = 1
+  UNION ALL SELECT k.t, k.errors, k.i, CASE WHEN k.t - p.anchor >= {DEDUP + 1} THEN k.t ELSE p.anchor END, k.t - p.anchor >= {DEDUP + 1}, CASE WHEN k.t - p.anchor >= {DEDUP + 1} THEN 0 ELSE p.held + 1 END,
+    CASE WHEN k.t - p.anchor >= {DEDUP + 1} THEN p.held ELSE 0 END FROM throttle p JOIN m k ON k.i = p.i + 1)
+SELECT t, '[MEDIUM] error_rate_spike global:global - ' || errors || ' errors in the last {S} s' || CASE WHEN prior > 0 THEN ' (+' || prior || ' suppressed)' ELSE '' END AS message FROM throttle WHERE sent""",
+        ).replace("WITH tele", "WITH RECURSIVE tele", 1),
         "confusion_metrics": _with("truth", f"SELECT tp, fp, fn, tn, {rate('tp', '(tp + fp)')} AS precision, {rate('tp', '(tp + fn)')} AS recall, {rate('2 * tp', '(2 * tp + fp + fn)')} AS f1, {rate('fp', '(fp + tn)')} AS fp_rate FROM (SELECT count(*) FILTER (attack AND flagged) AS tp, count(*) FILTER (NOT attack AND flagged) AS fp, count(*) FILTER (attack AND NOT flagged) AS fn, count(*) FILTER (NOT attack AND NOT flagged) AS tn FROM judged)"),
         "family_recall": _with("truth", f"SELECT kind, count(*) AS windows, count(*) FILTER (flagged) AS found, {R('count(*) FILTER (flagged) / count(*)', 4)} AS recall FROM (SELECT unnest(kinds) AS kind, flagged FROM judged) GROUP BY 1"),
         "counter_rates": _with("samples", f"SELECT event_type, t, counter, CASE WHEN counter >= lag(counter) OVER w THEN {R('(counter - lag(counter) OVER w) / (t - lag(t) OVER w)', 6)} END AS rate FROM samples WINDOW w AS (PARTITION BY event_type ORDER BY t)"),
