@@ -31,10 +31,15 @@ def quality_rule(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays; those without an id stay too."""
-    groups = ngram_join.join(docs.select("doc_id", "text"))
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi").select(*docs.columns)
+    """Of each group of near duplicates one row stays: of the smallest id, null last, then of the smallest key and columns.
+
+    Rows without a word are in no group and all stay.  Rows with equal id and text fall together before any is dealt out.
+    """
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    row = F.struct(*[F.col(c) for c in docs.columns if c != "text"], F.col("text"))
+    distinct = docs.filter(worded).groupBy(common.row_key().alias("key")).agg(F.min(row).alias("row"))
+    stay = distinct.join(ngram_join.survivors(docs.select("doc_id", "text")), "key", "left_semi").select("row.*").select(*docs.columns)
+    return stay.unionByName(docs.filter(~worded))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -452,3 +452,21 @@ def test_pipeline_stages_in_order(spark, sf):
 
 def test_run_is_the_stages_together(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_near_duplicates_keep_one_row_of_each_group(spark):
+    same, other, lone, named = prose(101, 200), prose(102, 200), prose(103, 200), prose(104, 200)
+    near = " ".join(same.split()[:-1] + ["changed"])
+    assert min(map(len, (same, other, lone, named))) > 400
+    rows = [
+        (1, same, "b"), (1, same, "a"), (1, same, "a"), (2, near, "a"), (None, same, "a"),  # repeated rows, a near copy and a null id
+        (None, other, "a"), (None, other, "a"), (None, lone, "a"),  # null ids only
+        (3, named, "a"), (4, prose(105, 200), "a"), (4, named, "a"),  # a namesake of a survivor is a copy
+        (5, "", "a"), (5, "", "a"), (None, None, "a"), (6, " \t\n", "a"),  # without words
+    ]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    stay = corpus_pipeline.near_duplicates(spark, docs, "")
+    want = [(1, same, "a"), (None, other, "a"), (None, lone, "a"), (3, named, "a"), (4, rows[9][1], "a"), *rows[11:]]
+    assert stay.columns == docs.columns and Counter(tuple(r) for r in stay.select("doc_id", "text", "source").collect()) == Counter(want)
+    rest = corpus_pipeline.repeated_passages(spark, spark.createDataFrame(stay.collect(), docs.schema), "")
+    assert Counter(tuple(r) for r in rest.select("doc_id", "text", "source").collect()) == Counter(want)

@@ -355,13 +355,8 @@ def verified(found: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return with_x.join(sets.select(F.col("sid").alias("b"), F.col("data").alias("y")), "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
-def join(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
-    """``id_col, n_shingles, component_id`` of every row: rows whose sets have a Jaccard similarity of ``num / den`` or more link.
-
-    ``component_id`` is the smallest id (an integer) that a row reaches by links, itself included; rows with a null id
-    link too, and a component of such rows only has null.  A null or empty text and one without words have an empty set,
-    which links with nothing.  Repeated rows and rows with equal sets are linked.  Other columns are not read.
-    """
+def members(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
+    """``key, id, n_shingles, comp`` of every row: its ``common.row_key`` and the name of its component, null for an empty set."""
     spark = docs.sparkSession
     folder, parts, bands = folder or common.shared_dir(spark), common.width(spark), Bands(num, den)
     labels = np.array(common.even_labels(spark, parts), dtype=np.int64)
@@ -422,7 +417,23 @@ def join(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4, id_col: str =
         tried, links = (found, good) if tried is None else (tried.unionByName(found), links.unionByName(good))
         comp = components(links, folder, f"{step}-components")
 
-    whole = info.join(comp, "sid", "left").select("id", "n_shingles", F.when(F.col("sid") != 0, F.coalesce("comp", "sid")).alias("comp"))
+    return info.join(comp, "sid", "left").select("key", "id", "n_shingles", F.when(F.col("sid") != 0, F.coalesce("comp", "sid")).alias("comp"))
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``key`` of one document of each component: that of the smallest id, null last, and then of the smallest key. Empty sets have none."""
+    whole = members(docs, id_col=id_col, text_col=text_col).filter("comp is not null")
+    return whole.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("least")).select("least.key")
+
+
+def join(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
+    """``id_col, n_shingles, component_id`` of every row: rows whose sets have a Jaccard similarity of ``num / den`` or more link.
+
+    ``component_id`` is the smallest id (an integer) that a row reaches by links, itself included; rows with a null id
+    link too, and a component of such rows only has null.  A null or empty text and one without words have an empty set,
+    which links with nothing.  Repeated rows and rows with equal sets are linked.  Other columns are not read.
+    """
+    whole = members(docs, n, num, den, id_col, text_col, folder)
     least = whole.filter("comp is not null").groupBy("comp").agg(F.min("id").alias("component_id"))
     out = whole.join(least, "comp", "left").select("id", "n_shingles", F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     kind = docs.schema[id_col].dataType
