@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch import queries
 from tidewatch.config import Drift, Fusion, Rate
 from tidewatch.functions import logs
 from tidewatch.operators import content, dedup, drift, evaluate, fusion, multivariate, normalize, rate, templates
@@ -240,3 +241,17 @@ def test_emissions_follow_cadence_change_and_transition(spark):
 def test_formula_of_breadth(spark):
     st = spark.createDataFrame([(0, "payer", str(i), 1, 0.3) for i in range(4)], "tick long, entity_type string, entity_id string, active_models long, entity_score double")
     assert fusion.picture(st).first()["global_score"] == pytest.approx(round(0.3 + Fusion().breadth * math.log1p(3), 4))
+
+
+def test_neighbours_of_all_vectors_in_the_whole_reservoir(spark, sf):
+    feats = queries.feats(spark, sf)
+    rows = multivariate.vectors(feats).orderBy(F.desc("bucket"), F.desc("first.t"), F.desc("first.event_id"), F.desc("first.rep"), "entity_id").toPandas()
+    x = rows[list(multivariate.VECTOR)].to_numpy(dtype=float)
+    res = x[(rows["bucket"] < queries.END).to_numpy()][: Rate().reservoir]
+    mean, std = res.mean(axis=0), np.where(res.std(axis=0) == 0, 1.0, res.std(axis=0))
+    dist = lambda a, b: np.sort([[math.dist(p, q) for q in b] for p in a], axis=1)
+    z, p = (x - mean) / std, (res - mean) / std
+    ratio = dist(z, p)[:, :5].mean(axis=1) / np.percentile(dist(p, p)[:, 1:6].mean(axis=1), 99)
+    got = {(r["bucket"], r["entity_id"]): r["ratio"] for r in queries.knn_ratio_all(spark, sf).collect()}
+    assert len(got) == len(rows) > 400 and len({b // 86400 for b, _ in got}) > 1
+    assert got == pytest.approx(dict(zip(zip(rows["bucket"], rows["entity_id"]), ratio)), abs=1e-5)

@@ -285,6 +285,10 @@ def _final(kind: str, more: str = "") -> str:
     return _with("ew_mean", f"SELECT entity_id, max(i) AS n, {cols} FROM ew WHERE entity_type = '{kind}'{more} GROUP BY 1")
 
 
+#: Distances of a row of the named table to all points, as a list beside it: no pair becomes a row.
+_DISTANCES = "list_transform(pts, lambda q: sqrt(" + " + ".join(f"({{0}}.{c} - q[{i}]) * ({{0}}.{c} - q[{i}])" for i, c in enumerate(_V, 1)) + "))"
+
+
 def oracle_sql() -> dict[str, str]:
     rate = lambda a, b: f"CASE WHEN {b} > 0 THEN {R(f'({a}) / ({b})', 4)} ELSE 0.0 END"
     q = {
@@ -320,6 +324,12 @@ def oracle_sql() -> dict[str, str]:
             f""", res AS (SELECT * FROM vec WHERE bucket < {END - 86400} {_RES} 400), late AS (SELECT * FROM vec WHERE bucket >= {END - 86400}), {_std('z', 'late', 'res')}, {_std('p', 'res', 'res')}
 , near AS (SELECT z.bucket, z.entity_id, sqrt({' + '.join(f'(z.{c} - p.{c}) * (z.{c} - p.{c})' for c in _V)}) AS d FROM z, p), ranked AS (SELECT *, row_number() OVER (PARTITION BY bucket, entity_id ORDER BY d) AS r FROM near)
 SELECT bucket, entity_id, {R('avg(d)', 6)} AS mean_distance FROM ranked WHERE r <= 5 GROUP BY 1, 2""",
+        ),
+        "knn_ratio_all": _with(
+            "vec",
+            f""", res AS (SELECT * FROM vec {_RES} 4000), {_std('z', 'vec', 'res')}, {_std('p', 'res', 'res')}, points AS MATERIALIZED (SELECT list([{', '.join(_V)}]) AS pts FROM p)
+, ref AS MATERIALIZED (SELECT greatest(quantile_cont(list_avg(list_sort({_DISTANCES.format('p')})[2:6]), 0.99), 1e-6) AS p99, count(*) AS n FROM p, points)
+SELECT bucket, entity_id, CASE WHEN n < 200 THEN 0.0 ELSE {R(f"list_avg(list_sort({_DISTANCES.format('z')})[1:5]) / p99", 6)} END AS ratio FROM z, points, ref""",
         ),
         "log_parse": _with("line", "SELECT event_id, rep, log_ip, log_payer, method, path, code, nbytes, latency, msg, family, level FROM line"),
         "log_families": _with("line", "SELECT family, level, count(*) AS lines FROM line GROUP BY 1, 2"),

@@ -257,6 +257,13 @@ def knn_distance_ratio(spark, sf_dir):
     return multivariate.nearest(z, points).select("bucket", "entity_id", rnd(F.col("mean_distance"), 6).alias("mean_distance"))
 
 
+@query
+def knn_ratio_all(spark, sf_dir):
+    """Every vector's mean distance to the five nearest of the whole reservoir, over the 99th percentile of its points' own."""
+    v = multivariate.vectors(feats(spark, sf_dir))
+    return multivariate.score(v, multivariate.reservoir(v, END)).select("bucket", "entity_id", rnd(F.col("knn_ratio"), 6).alias("ratio"))
+
+
 @query
 def isolation_scores(spark, sf_dir):
     v = multivariate.vectors(feats(spark, sf_dir))
