@@ -255,3 +255,22 @@ def test_neighbours_of_all_vectors_in_the_whole_reservoir(spark, sf):
     got = {(r["bucket"], r["entity_id"]): r["ratio"] for r in queries.knn_ratio_all(spark, sf).collect()}
     assert len(got) == len(rows) > 400 and len({b // 86400 for b, _ in got}) > 1
     assert got == pytest.approx(dict(zip(zip(rows["bucket"], rows["entity_id"]), ratio)), abs=1e-5)
+
+
+def test_rate_score_is_the_maximum_with_the_multivariate_one(spark, sf):
+    mv = {(r["bucket"], r["entity_id"]): r["mv_score"] for r in queries.isolation_scores(spark, sf).collect()}
+    want, odd = {}, 0
+    for r in rate.z_scores(queries.feats(spark, sf)).collect():
+        key, cfg = (r["bucket"], r["entity_type"], r["entity_id"]), Rate()
+        z = [r["event_count_z"], r["mean_payload_z"], r["error_ratio_z"]]
+        parts = [(min(1.0, x / (2 * cfg.z)), k) for x, k in zip(z, ("rate_spike", "payload_anomaly", "error_ratio_spike")) if x > cfg.z]
+        m = mv.get((key[0], key[2]), 0.0) if key[1] == "payer" else 0.0
+        parts += [(m, "multivariate_outlier")] * (m >= cfg.multivariate)
+        flagged = bool(parts) and r["n"] >= cfg.warmup
+        if key[1] == "global" or (key[1] == "payer" and (flagged or r["event_count"] >= cfg.min_events)):
+            want[key] = (max([p for p, _ in parts], default=0.0), parts[0][1] if parts else None, flagged)
+            odd += bool(parts) and parts[0][1] == "multivariate_outlier"
+    got = {(r["bucket"], r["entity_type"], r["entity_id"]): r for r in queries.rate_scores_multivariate(spark, sf).collect()}
+    assert odd and got.keys() == want.keys()
+    for key, (score, kind, flagged) in want.items():
+        assert got[key]["score"] == pytest.approx(score, abs=1e-4) and (got[key]["alert_type"], got[key]["is_anomalous"]) == (kind, flagged)

@@ -33,9 +33,16 @@ def feats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buckets.features(buckets.grains(tele(spark, sf_dir), SECONDS))
 
 
-def rate_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rate_scored(f: DataFrame, whole: bool) -> DataFrame:
+    """Rate scores; ``whole`` has the multivariate component too (M3), which SQL cannot follow."""
+    v = multivariate.vectors(f)
+    mv = multivariate.score(v, multivariate.reservoir(v, END)).select("bucket", "entity_id", "mv_score") if whole else None
+    return rate.score(rate.z_scores(f), multivariate=mv)
+
+
+def rate_docs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     f = feats(spark, sf_dir)
-    return rate.documents(rate.score(rate.z_scores(f)), rate.cohort_scores(f), SECONDS)
+    return rate.documents(rate_scored(f, whole), rate.cohort_scores(f), SECONDS)
 
 
 def content_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,28 +62,28 @@ def drift_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 DRIFT = drift.Drift(amount_floor=50.0)
 
 
-def score_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def score_docs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Documents of the three scorers."""
-    docs = rate_docs(spark, sf_dir).unionByName(content.documents(content_scored(spark, sf_dir), SECONDS))
+    docs = rate_docs(spark, sf_dir, whole).unionByName(content.documents(content_scored(spark, sf_dir), SECONDS))
     return docs.unionByName(drift.documents(drift_states(spark, sf_dir), SECONDS))
 
 
-def scorer_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scorer_alerts(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Alerts of the three scorers and of the monitor in one stream."""
     cols = ["t", "alert_type", "severity", "entity_type", "entity_id", "score", "source", "summary"]
-    out = rate.alerts(rate_docs(spark, sf_dir)).select(cols)
+    out = rate.alerts(rate_docs(spark, sf_dir, whole)).select(cols)
     out = out.unionByName(content.alerts(content.documents(content_scored(spark, sf_dir), SECONDS)).select(cols))
     out = out.unionByName(drift.alerts(drift_states(spark, sf_dir), SECONDS, DRIFT).select(cols))
     return out.unionByName(dedup.monitor(tele(spark, sf_dir), SECONDS, SECONDS // 6, 30).select(cols))
 
 
-def states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = fusion.contributions(fusion.gate(score_docs(spark, sf_dir)), halflife=HALFLIFE)
+def states(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    hits = fusion.contributions(fusion.gate(score_docs(spark, sf_dir, whole)), halflife=HALFLIFE)
     return fusion.entity_states(fusion.at_ticks(hits, START, TICK, END, HALFLIFE))
 
 
-def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.levels(spark, fusion.picture(states(spark, sf_dir)), START, TICK, END)
+def levels(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return fusion.levels(spark, fusion.picture(states(spark, sf_dir, whole)), START, TICK, END)
 
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -521,5 +528,25 @@ def growth_streaks(spark, sf_dir):
     return rows.select("event_type", "t", "streak")
 
 
+# -- with the multivariate component (M3): an isolation forest has no SQL --------------------------------------------------
+
+
+def rate_scores_multivariate(spark, sf_dir):
+    rows = rate_scored(feats(spark, sf_dir), True)
+    return rows.select("bucket", "entity_type", "entity_id", "event_count", "score", "alert_type", F.concat_ws("; ", "reasons").alias("reasons"), "is_anomalous", "warming_up")
+
+
+def scorer_alerts_multivariate(spark, sf_dir):
+    return scorer_alerts(spark, sf_dir, True)
+
+
+def threat_levels_multivariate(spark, sf_dir):
+    return levels(spark, sf_dir, True).select("tick", "global_score", "level")
+
+
+def multivariate_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (rate_scores_multivariate, scorer_alerts_multivariate, threat_levels_multivariate)}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
