@@ -421,6 +421,23 @@ def test_viterbi_is_optimal_and_reversible(spark, sf):
     assert s.widest <= 4 * v.longest and len(s.committed) > 100
 
 
+@pytest.mark.parametrize("block", [40, 1 << 15])
+def test_blocks_do_not_change_ids(spark, sf, block, monkeypatch):
+    """Long texts, runs without a convergence point, empty and null texts, whatever block they are cut into."""
+    encoder = sentencepiece_viterbi.Encoder(sentencepiece_viterbi.Vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    texts = [None, "", "a" * 700, "=" * 300 + " end", "日本語 and ẞ é 👍" * 20, "▁x▁", "\0 \0", prose(9, 20_000)]
+    texts += [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(20).collect()]
+    whole = [encoder(t) for t in texts]
+    monkeypatch.setattr(sentencepiece_viterbi, "BLOCK", block)
+    assert [None if x is None else x.tolist() for x in encoder.many(texts)] == whole
+
+
+def test_sentencepiece_of_nothing(spark):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    nothing = spark.createDataFrame([], "doc_id long, text string, digest string, ids string")
+    assert sentencepiece_viterbi.digest(nothing, model).count() == 0 and sentencepiece_viterbi.encode(nothing, model).count() == 0
+
+
 def test_encode_and_decode_columns(spark, docs):
     model = public_tokenizers.path("piece_bpe_32k.model")
     r = sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(docs, model), model).collect()
