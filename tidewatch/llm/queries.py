@@ -63,16 +63,19 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    stored = media_jpeg.measure(media_jpeg.store(docs, "text"))
+    stored = media_jpeg.store(docs, "text")
     return stored.select(
         "doc_id",
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-        "read_back.payload_bytes",
-        "read_back.payload_sha256",
-        "read_back.tail_crc32",
-        F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"),
-        "read_back.feature",
+        "stored.payload_bytes",
+        "stored.payload_sha256",
+        "stored.tail_crc32",
+        F.octet_length("stored.media").cast("long").alias("media_bytes"),
+        F.sha2("stored.media", 256).alias("media_sha256"),
+        "stored.feature",
+        "stored.height",
+        "stored.width",
+        "stored.rgb",
     )
 
 
