@@ -210,16 +210,16 @@ def brute_words(rows, window=20):
 def test_suffix_dedup_matches_brute_force(docs):
     got = suffix_dedup.remove_repeats(docs, keep=["key", "id"])
     assert got.columns[-2:] == ["key", "id"]
-    assert Counter(tuple(r)[:5] for r in got.drop("kept_text", "key", "id").collect()) == brute_bytes(corpus())
+    assert Counter(tuple(r)[:5] for r in got.collect()) == brute_bytes(corpus())
 
 
 def test_substring_dedup_matches_brute_force(docs):
-    assert Counter(tuple(r) for r in substring_dedup.remove_repeats(docs).drop("kept_text").collect()) == brute_words(corpus())
+    assert Counter(tuple(r) for r in substring_dedup.remove_repeats(docs).drop("text").collect()) == brute_words(corpus())
 
 
 def test_dedup_of_the_test_table_matches_brute_force(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    assert Counter(tuple(r) for r in queries.op3_suffix_dedup(spark, sf).collect()) == brute_bytes(rows)
+    assert Counter(tuple(r)[:5] for r in queries.op3_suffix_dedup(spark, sf).collect()) == brute_bytes(rows)
     assert Counter(tuple(r) for r in queries.op6_substring_dedup(spark, sf).collect()) == brute_words(rows)
 
 
@@ -227,24 +227,68 @@ def test_dedup_of_nothing(spark):
     assert suffix_dedup.remove_repeats(empty(spark)).collect() == [] and substring_dedup.remove_repeats(empty(spark)).collect() == []
 
 
-def test_family_marks_what_any_two_batches_share():
-    rng, family, seen = np.random.default_rng(0), suffix_dedup.Family(), []
-    for _ in range(20):
-        keys = rng.integers(0, 3000, int(rng.integers(1, 200)), dtype=np.uint64)
-        family.add(keys)
-        seen += keys.tolist()
-        sizes = [len(k) for k, _ in family.levels]
+@pytest.mark.parametrize("length", [1, 2, 3, 5, 8, 11, 16, 30, 40])
+def test_family_marks_what_any_two_stretches_share(length):
+    rng, family, pieces = np.random.default_rng(length), suffix_dedup.Family(length), []
+    for _ in range(12):
+        batch = [bytes(rng.integers(0, 2, int(rng.integers(0, 90)), dtype=np.uint8)) for _ in range(int(rng.integers(1, 6)))]
+        if pieces:
+            batch.append(pieces[int(rng.integers(len(pieces)))][3:] + b"\0\0\0")
+        family.add(batch)
+        pieces += batch
+        sizes = [len(x.order) for x in family.levels]
         assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
-    counts = Counter(seen)
-    assert family.marks.tolist() == [counts[k] > 1 for k in seen]
+        for x in family.levels:
+            suffixes = [bytes(x.text[p : p + length]) for p in x.order]
+            assert suffixes == sorted(set(suffixes))
+    whole = [p[k : k + length] for p in pieces for k in range(len(p) - length + 1)]
+    counts = Counter(whole)
+    assert family.marks().tolist() == [counts[x] > 1 for x in whole]
+
+
+@pytest.mark.parametrize("window", [1, 3, 4, 7, 20])
+def test_factors_cover_what_stands_before(window):
+    rng = np.random.default_rng(window)
+    stretches = [rng.integers(0, 2, int(rng.integers(0, 60)), dtype=np.uint64) for _ in range(20)]
+    stretches.append(np.concatenate([stretches[3], stretches[5], stretches[3]]))
+    seen = set()
+    for s, found in zip(stretches, substring_dedup.Block(stretches, window).factors()):
+        want = []
+        for p in range(len(s) - window + 1):
+            k = s[p : p + window].tobytes()
+            want.append(k in seen)
+            seen.add(k)
+        got = np.zeros(len(want), dtype=bool)
+        for start, n in found:
+            assert n >= window
+            got[start : start + n - window + 1] = True
+        assert got.tolist() == want
+
+
+def thue_morse(n: int) -> str:
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+def test_words_that_fool_polynomials_differ(spark):
+    a = thue_morse(1024)
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{a} " + prose(50, 30)), (2, f"{b} " + prose(50, 30)), (3, a), (4, b), (5, a)]
+    values = substring_dedup.word_split(f"{a} {b} {a}")[0]
+    assert values[0] == values[2] != values[1]
+    two = "x " * 40 + " ".join("xy"[i.bit_count() & 1] for i in range(64))
+    rows += [(6, two), (7, two.translate(str.maketrans("xy", "yx")))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in ngram_join.join(docs).collect()) == brute_components(rows)
+    assert Counter(tuple(r) for r in substring_dedup.remove_repeats(docs).drop("text").collect()) == brute_words(rows)
+    assert Counter(tuple(r)[:5] for r in suffix_dedup.remove_repeats(docs).collect()) == brute_bytes(rows)
 
 
 @pytest.mark.parametrize("part", [64, 1 << 19])
 def test_ranges_cover_every_window_once(part, monkeypatch):
     monkeypatch.setattr(windows, "PART", part)
     values = windows.mix(np.random.default_rng(1).integers(0, 4, 700, dtype=np.uint64))
-    p, n, _, _ = windows.ranges(values, 20, 6)
-    assert p[0] == 0 and (p[1:] == (p + n)[:-1]).all() and p[-1] + n[-1] == 700 - 19
+    p, n, _, digest = windows.ranges(values, values, 20, 6)
+    assert p[0] == 0 and (p[1:] == (p + n)[:-1]).all() and p[-1] + n[-1] == 700 - 19 and len(digest) == 16 * len(p)
 
 
 # -- 4, 7, 9 ------------------------------------------------------------------------------------------------------------
@@ -583,7 +627,8 @@ def test_pipeline_stages_in_order(spark, sf):
     rows = [(r.doc_id, r.text) for r in before]
     assert {r.doc_id for r in after} == {i for i, _, c in brute_components(rows) if i == c}
     before, after = kept["suffix-array dedup"]
-    want = {k[0]: k[4] for k in brute_bytes([(r.doc_id, r.text) for r in before])}
+    want = {k[0]: k[4] for k in brute_bytes([(r.doc_id, r.text) for r in before], corpus_pipeline.PASSAGE_BYTES)}
+    assert sum(k[2] > 0 for k in brute_bytes([(r.doc_id, r.text) for r in before], corpus_pipeline.PASSAGE_BYTES)) > 0
     assert all(hashlib.sha256(r.text.encode()).hexdigest() == want[r.doc_id] or not r.text.isascii() for r in after) and all(r.n_chars == len(r.text) for r in after)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in after}

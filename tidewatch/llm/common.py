@@ -5,17 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the shared checkpoint folder, for tables that outlive the executors which wrote them.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; only where it is unset (tests) a temporary one is made.
+    The cluster names that folder in ``spark.checkpoint.dir``; only a session on one machine (tests) may leave it unset.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tidewatch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tidewatch-{uuid.uuid4().hex}"
@@ -33,9 +35,10 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def row_key(id_col: str = "doc_id", text_col: str = "text"):
-    """64-bit key of a document: rows with equal id and equal text are the same document, all others are distinct."""
-    return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).isNull(), F.col(text_col))
+def row_keys(id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Column]:
+    """128 bits in two columns that name a document: rows with equal id and equal text are the same one, all others are distinct."""
+    parts = F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").isNull(), F.col(f"`{text_col}`")
+    return F.xxhash64(*parts), F.xxhash64(F.lit("second"), *parts)
 
 
 def even_labels(spark: SparkSession, parts: int) -> list[int]:

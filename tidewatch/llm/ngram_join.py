@@ -11,14 +11,17 @@ partners that differ by one element there and so lets such a segment prove two d
 document is probed with its rarest keys only, and of the most frequent ones it leaves out as much weight as q - 1
 allows.  A document whose shared keys weigh less than q can have no partner and leaves the join at once.
 
-Candidates whose parity sketches already differ in too many bits are none; the others are verified on the full sets.  Only connections matter for components, so a key with many documents first
-yields a star around its smallest one, and then, across the components so far, a few pairs for each document, different ones for each key; once
-those are verified and merged, all pairs of a key that still lie in different components are verified too.  Nothing is
-capped.
+Candidates whose parity sketches already differ in too many bits are none; the others are verified on the full sets.
+Only connections matter for components, so a key with many documents first yields a star or a few around its most
+central ones, those that share most keys with others: of near copies of one text, that is the text itself, for every
+key.  Then, across the components so far, come a few pairs for each document, different ones for each key.  After
+each step components are contracted, and in the end all pairs of a key that still lie in different components are
+verified too.  Nothing is capped.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import common, windows
 
-#: Sets of fewer elements have a segment for every element.
+#: Sets of fewer elements have a segment for every element: with hashed segments they would have so few that the weight a
+#: link needs falls to 0 for some sets.  The scheme, weights and verification are the same.
 SMALL = 48
 #: A band reaches from a size to twice that size; its smallest sets have so many segments for each element.
 SPREAD = 1.1
@@ -43,16 +47,16 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     starts, ends = windows.words(raw)
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    h = windows.prefix(windows.word_values(raw, starts, ends))
+    values = windows.word_values(raw, starts, ends)
     if len(starts) < n:
-        return windows.mix(windows.grams(h, len(starts)) + np.uint64(len(starts)))
-    found = np.sort(windows.grams(h, n))
+        return windows.mix(windows.tuples(values, len(starts)) + np.uint64(len(starts)))
+    found = np.sort(windows.tuples(values, n))
     return found[windows.starts_of(found)]
 
 
 def set_id(s: np.ndarray) -> int:
     """A 64-bit name of a set; 0 for the empty one."""
-    return int(windows.mix(windows.prefix(s)[-1:] + np.uint64(len(s))).view(np.int64)[0]) if len(s) else 0
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) or 1 if len(s) else 0
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -98,9 +102,9 @@ class Bands:
         return [(band, True)] + [(band - 1, False)] * (band > 0 and self.largest(self.lower[band] - 1) >= n)
 
 
-def signatures(s: np.ndarray, band: int, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+def signatures(s: np.ndarray, band: int, bands: Bands, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the band's segments of a set and their kinds: 0 whole, weight 1; 1 whole, weight 2; 2 one element left out."""
-    salt = np.uint64((band + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    salt = np.uint64((band + 1 + 64 * seed) * 0x9E3779B97F4A7C15 % (1 << 64))
     if band == 0:
         return windows.mix(s + salt), np.zeros(len(s), dtype=np.uint8)
     spread = windows.mix(s ^ salt)
@@ -110,19 +114,20 @@ def signatures(s: np.ndarray, band: int, bands: Bands) -> tuple[np.ndarray, np.n
     first = windows.starts_of(segment)
     cut = np.flatnonzero(first)
     total = np.add.reduceat(spread, cut) + segment[cut] * _SEGMENT + salt
-    two = segment[cut] % np.uint64(DELETE_EVERY) == 0
+    two = (segment[cut] % np.uint64(DELETE_EVERY) == 0) & (np.diff(np.append(cut, len(s))) > 1)  # a lone element's key goes with it
     inside = np.repeat(two, np.diff(np.append(cut, len(s))))
     less = (np.repeat(total, np.diff(np.append(cut, len(s)))) - spread)[inside]
     return windows.mix(np.concatenate([total, less])), np.concatenate([two.astype(np.uint8), np.full(len(less), 2, dtype=np.uint8)])
 
 
-#: A set in a row of keys: name, size, weight of all its segments there, its component, and its keys in this row.
-DOC = np.dtype([("sid", "<i8"), ("n", "<i4"), ("cap", "<i4"), ("comp", "<i8"), ("own", "?"), ("keys", "<i4")])
+#: A set in a row of keys: name, size, weight of all its segments there, sets that share its keys (each counted for every key),
+#: its component, and its keys in this row.
+DOC = np.dtype([("sid", "<i8"), ("n", "<i4"), ("cap", "<i4"), ("mass", "<i8"), ("comp", "<i8"), ("own", "?"), ("keys", "<i4")])
 #: The same with its sketch, as pairs are made from it.
 SKETCHED = np.dtype([*DOC.descr, ("sketch", "<u8", (8,))])
 FORM = "bucket int, docs binary, keys binary, kinds binary, freq binary"
 #: What is told of each row beside its keys.
-INFO = "key long, id string, size long, sid long"
+INFO = "key long, key2 long, id string, size long, sid long"
 #: Bits of a key that are kept: enough to tell keys of one shuffle partition apart; a clash costs a verification.
 _BITS = np.uint64(0xFFFFFFFFFFFF)
 
@@ -165,17 +170,21 @@ def _bucket(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return labels[((windows.mix(x.astype(np.uint64)) >> np.uint64(33)) % np.uint64(len(labels))).astype(np.int64)]
 
 
-def index(sets: Iterator[tuple[int, np.ndarray]], bands: Bands, labels: np.ndarray) -> pd.DataFrame:
+class Clash(Exception):
+    """Too many elements of one set share their segments, so that it could miss a partner."""
+
+
+def index(sets: Iterator[tuple[int, np.ndarray]], bands: Bands, labels: np.ndarray, seed: int = 0) -> pd.DataFrame:
     """Packed keys of a batch of (name, set)."""
     table, keys, kinds = [], [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.uint8)]
     for sid, s in sets:
         for band, own in bands.schemes(len(s)):
-            key, kind = signatures(s, band, bands)
+            key, kind = signatures(s, band, bands, seed)
             cap = len(kind) + int((kind == 1).sum()) - int((kind == 2).sum())
             n = np.int64(len(s))
             if cap <= bands.distance(n, np.bool_(own)):
-                raise ValueError("too many n-grams of one document share their segments' hashes")  # beyond ten standard deviations
-            table.append((sid, len(s), cap, sid, own, 0))
+                raise Clash  # beyond ten standard deviations
+            table.append((sid, len(s), cap, 0, sid, own, 0))
             keys.append(key)
             kinds.append(kind)
     doc = np.repeat(np.arange(len(table)), [len(k) for k in keys[1:]])
@@ -210,7 +219,7 @@ def shared(labels: np.ndarray):
         keep = ((np.bincount(group, own) > 0) & (np.bincount(group, what < 2) > 0) & (size > 1))[group] if len(k) else np.zeros(0, dtype=bool)
         d, k, what = d[keep], k[keep], what[keep]
         freq = size[group][keep].astype("<u4") if len(group) else np.zeros(0, dtype="<u4")
-        yield _pack(d, table, k, what, freq, _bucket(sid[keep], labels)).assign(key=0, id="", size=0, sid=0)
+        yield _pack(d, table, k, what, freq, _bucket(sid[keep], labels)).assign(key=0, key2=0, id="", size=0, sid=0)
 
     return run
 
@@ -234,6 +243,9 @@ def allocate(bands: Bands, labels: np.ndarray):
         upto = np.cumsum(weight)
         before = upto - weight - (upto[start] - weight[start])[group]  # within the set, rarest first
         stays = (total >= q)[group]
+        runs, to = _runs(sid)
+        table = table.copy()
+        table["mass"][doc] = np.repeat(np.add.reduceat(freq.astype(np.int64), runs), to - runs)
         probe = own & (total[group] - before > (q - 1)[group])  # what is left out weighs q - 1 at most
         yield _pack(doc[stays], table, key[stays], kind[stays], probe[stays].astype("<u4"), _bucket(sid[stays], labels))
 
@@ -266,17 +278,20 @@ def by_key(labels: np.ndarray):
     return run
 
 
+#: Stars that a key yields, each among the sets that the one before did not reach.
+STARS = 3
 #: Of a key's sets in an order that the key itself mixes, those so many places apart are tried before all pairs are.
 NEAR = (1, 2)
+PAIR = "a long, b long, x long, y long"
 
 
 def pairs(bands: Bands, step: str):
-    """Candidates of a partition of keys: a star; or sets that a mixed order puts near each other; or all pairs. The latter two across components only."""
+    """Candidates a, b of a partition of keys and their components x, y: stars; or sets that a mixed order puts near each other; or all pairs. The latter two across components only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         doc, table, key, kind, probe = _unpack(batches, SKETCHED)
         sid, n = table["sid"][doc], table["n"][doc].astype(np.int64)
-        order = np.lexsort((sid, n, key))
+        order = np.lexsort((sid, -table["mass"][doc] if step == "star" else n, key))
         doc, key, kind, probe, sid, n = doc[order], key[order], kind[order], probe[order] > 0, sid[order], n[order]
         comp, most, found = table["comp"][doc], bands.largest(n), set()
         sketches = table["sketch"]
@@ -284,17 +299,26 @@ def pairs(bands: Bands, step: str):
         def may_link(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return np.bitwise_count(sketches[doc[i]] ^ sketches[doc[j]]).sum(axis=-1) <= bands.apart(n[i], n[j])
 
+        def put(i: np.ndarray, j: np.ndarray) -> None:
+            turn = sid[i] > sid[j]
+            i, j = np.where(turn, j, i), np.where(turn, i, j)
+            found.update(zip(sid[i].tolist(), sid[j].tolist(), comp[i].tolist(), comp[j].tolist()))
+
         for s, e in zip(*_runs(key)):
             if e - s < 2 or not probe[s:e].any():
                 continue
-            if step == "star":  # from the smallest set to all that may link with it, then from the next one beyond
-                at = s
-                while at < e - 1:
-                    to = at + int(np.searchsorted(n[at:e], most[at], "right"))
-                    other = np.arange(at + 1, to)
-                    other = other[sid[other] != sid[at]]
-                    found.update((int(sid[at]), int(x)) for x in sid[other[may_link(np.full(len(other), at), other)]])
-                    at = max(to, at + 1)
+            if step == "star":
+                left = np.arange(s, e)
+                for _ in range(STARS):
+                    hub, left = left[0], left[1:]
+                    left = left[sid[left] != sid[hub]]
+                    if not len(left):
+                        break
+                    near = (np.maximum(n[left], n[hub]) <= np.minimum(most[left], most[hub])) & may_link(np.full(len(left), hub), left)
+                    put(np.full(int(near.sum()), hub), left[near])
+                    left = left[~near]
+                    if len(left) < 2:
+                        break
             elif comp[s:e].min() == comp[s:e].max():
                 continue
             elif step == "near":
@@ -304,23 +328,24 @@ def pairs(bands: Bands, step: str):
                     use = (comp[i] != comp[j]) & (n[j] <= most[i]) & ((kind[i] < 2) | (kind[j] < 2))
                     i, j = i[use], j[use]
                     use = may_link(i, j)
-                    found.update(zip(sid[i[use]].tolist(), sid[j[use]].tolist()))
+                    put(i[use], j[use])
             else:
                 for i in s + np.flatnonzero(probe[s:e]):
                     to = s + int(np.searchsorted(n[s:e], most[i], "right"))
                     other = np.arange(i + 1, to)
                     other = other[(comp[other] != comp[i]) & ((kind[other] < 2) | (kind[i] < 2))]
-                    found.update((int(sid[i]), int(x)) for x in sid[other[may_link(np.full(len(other), i), other)]])
+                    other = other[may_link(np.full(len(other), i), other)]
+                    put(np.full(len(other), i), other)
             if len(found) > 200_000:
-                yield pd.DataFrame(list(found), columns=["a", "b"])
+                yield pd.DataFrame(list(found), columns=["a", "b", "x", "y"])
                 found = set()
-        yield pd.DataFrame(list(found), columns=["a", "b"])
+        yield pd.DataFrame(list(found), columns=["a", "b", "x", "y"])
 
     return run
 
 
 def components(links: DataFrame, folder: str, name: str) -> DataFrame:
-    """(sid, comp) of every linked set: the smallest name that it is connected with.
+    """(sid, comp) of every name in the links a, b: the smallest one that it is connected with.
 
     Labels move along links to their minimum and then to their label's label, until none changes.
     """
@@ -344,19 +369,20 @@ def verified(found: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch["x"], batch["y"]):
+            for x, y in zip(batch["one"], batch["other"]):
                 x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
                 both = np.sort(np.concatenate([x, y]))
                 common_ = int((both[1:] == both[:-1]).sum())
                 keep.append(den * common_ >= num * (len(both) - common_))
-            yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
+            yield batch.loc[np.array(keep, dtype=bool), ["a", "b", "x", "y"]]
 
-    with_x = found.join(sets.select(F.col("sid").alias("a"), F.col("data").alias("x")), "a")
-    return with_x.join(sets.select(F.col("sid").alias("b"), F.col("data").alias("y")), "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+    with_one = found.join(sets.select(F.col("sid").alias("a"), F.col("data").alias("one")), "a")
+    both = with_one.join(sets.select(F.col("sid").alias("b"), F.col("data").alias("other")), "b")
+    return both.select("a", "b", "x", "y", "one", "other").mapInPandas(run, PAIR)
 
 
-def members(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
-    """``key, id, n_shingles, comp`` of every row: its ``common.row_key`` and the name of its component, null for an empty set."""
+def members(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, seed: int = 0) -> DataFrame:
+    """``key, key2, id, n_shingles, comp`` of every row: its ``common.row_keys`` and the name of its component, null for an empty set."""
     spark = docs.sparkSession
     folder, parts, bands = folder or common.shared_dir(spark), common.width(spark), Bands(num, den)
     labels = np.array(common.even_labels(spark, parts), dtype=np.int64)
@@ -366,19 +392,27 @@ def members(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4, id_col: str
         for batch in batches:
             held = {}
             info = []
-            for key, i, text in zip(batch["key"], batch["id"], batch["text"]):
+            for key, key2, i, text in zip(batch["key"], batch["key2"], batch["id"], batch["text"]):
                 s = shingles(text, n)
                 name = set_id(s)
-                info.append((key, i, len(s), name))
+                info.append((key, key2, i, len(s), name))
                 if name:
                     held[name] = s
-            rows = pd.DataFrame(info, columns=["key", "id", "size", "sid"])
+            try:
+                found = index(held.items(), bands, labels, seed).assign(key=0, key2=0, id="", size=0, sid=0)
+            except Clash:
+                info.append((0, 0, None, -1, 0))
+                found = None
+            rows = pd.DataFrame(info, columns=["key", "key2", "id", "size", "sid"])
             yield rows.assign(bucket=labels[rows["key"] % parts], docs=b"", keys=b"", kinds=b"", freq=b"")
-            yield index(held.items(), bands, labels).assign(key=0, id="", size=0, sid=0)
+            if found is not None:
+                yield found
 
-    first = keyed.select("key", F.col("id").cast("string").alias("id"), "text").mapInPandas(named, f"{INFO}, {FORM}")
+    first = keyed.select("key", "key2", F.col("id").cast("string").alias("id"), "text").mapInPandas(named, f"{INFO}, {FORM}")
     rows = common.cut_lineage(first.repartition(parts, "bucket").mapInPandas(shared(labels), f"{INFO}, {FORM}"), folder, "shared")
-    info = rows.filter("bucket < 0").select("key", F.col("id").cast("long").alias("id"), F.col("size").alias("n_shingles"), "sid")
+    if rows.filter("size < 0").limit(1).count():  # segments are dealt anew, by other hashes, for all
+        return members(docs, n, num, den, id_col, text_col, f"{folder}/again", seed + 1)
+    info = rows.filter("bucket < 0").select("key", "key2", F.col("id").cast("long").alias("id"), F.col("size").alias("n_shingles"), "sid")
     fields = [x.split()[0] for x in FORM.split(", ")]
     packed = rows.filter("bucket >= 0").select(*fields)
     kept = common.cut_lineage(packed.repartition(parts, "bucket").mapInPandas(allocate(bands, labels), FORM), folder, "kept")
@@ -393,8 +427,8 @@ def members(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4, id_col: str
             yield pd.DataFrame({"sid": batch["sid"], "data": [s.tobytes() for s in found], "sketch": [sketch(s).tobytes() for s in found]})
 
     wanted = kept.select("docs").mapInPandas(names, "sid long").distinct()
-    one = info.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("key").alias("key")).select("key", "sid")
-    sets = keyed.select("key", "text").join(one.hint("shuffle_hash"), "key").select("sid", "text").mapInPandas(full, "sid long, data binary, sketch binary")
+    one = info.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("key", "key2")).alias("row")).select("row.*", "sid")
+    sets = keyed.select("key", "key2", "text").join(one.hint("shuffle_hash"), windows.KEY).select("sid", "text").mapInPandas(full, "sid long, data binary, sketch binary")
     sets = common.cut_lineage(sets, folder, "sets")
 
     def labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -406,24 +440,29 @@ def members(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4, id_col: str
             where = _bucket(table["sid"], labels)
             yield pd.DataFrame([(int(b), b"", b"", table[where == b].tobytes(), b"") for b in np.unique(where)], columns=fields)
 
-    tried = links = comp = None
+    tried = comp = None
     for step in ("star", "near", "all"):
         named_sets = sets.select("sid", "sketch").withColumn("comp", F.col("sid")) if comp is None else sets.select("sid", "sketch").join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
         keys = kept.unionByName(named_sets.select("sid", "comp", "sketch").mapInPandas(labelled, FORM))
         by_keys = keys.repartition(parts, "bucket").mapInPandas(by_key(labels), FORM).repartition(parts, "bucket")
-        found = by_keys.mapInPandas(pairs(bands, step), "a long, b long").distinct()
+        found = by_keys.mapInPandas(pairs(bands, step), PAIR).distinct()
         found = common.cut_lineage(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), folder, step)
-        good = common.cut_lineage(verified(found, sets, num, den), folder, f"{step}-links")
-        tried, links = (found, good) if tried is None else (tried.unionByName(found), links.unionByName(good))
-        comp = components(links, folder, f"{step}-components")
+        good = common.cut_lineage(verified(found, sets, num, den).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), folder, f"{step}-links")
+        tried = found.select("a", "b") if tried is None else tried.unionByName(found.select("a", "b"))
+        merged = components(good, folder, f"{step}-components")  # of components, not of sets: what is merged already is one
+        if comp is None:
+            comp = merged
+            continue
+        moved = named_sets.select("sid", "comp").join(merged.select(F.col("sid").alias("comp"), F.col("comp").alias("new")), "comp", "left")
+        comp = common.cut_lineage(moved.select("sid", F.coalesce("new", "comp").alias("comp")), folder, f"{step}-labels")
 
-    return info.join(comp, "sid", "left").select("key", "id", "n_shingles", F.when(F.col("sid") != 0, F.coalesce("comp", "sid")).alias("comp"))
+    return info.join(comp, "sid", "left").select("key", "key2", "id", "n_shingles", F.when(F.col("sid") != 0, F.coalesce("comp", "sid")).alias("comp"))
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``key`` of one document of each component: that of the smallest id, null last, and then of the smallest key. Empty sets have none."""
+    """``key, key2`` of one document of each component: that of the smallest id, null last, and then of the smallest keys. Empty sets have none."""
     whole = members(docs, id_col=id_col, text_col=text_col).filter("comp is not null")
-    return whole.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("least")).select("least.key")
+    return whole.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key", "key2")).alias("least")).select("least.key", "least.key2")
 
 
 def join(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
@@ -433,8 +472,10 @@ def join(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4, id_col: str =
     link too, and a component of such rows only has null.  A null or empty text and one without words have an empty set,
     which links with nothing.  Repeated rows and rows with equal sets are linked.  Other columns are not read.
     """
+    folder = folder or common.shared_dir(docs.sparkSession)
     whole = members(docs, n, num, den, id_col, text_col, folder)
-    least = whole.filter("comp is not null").groupBy("comp").agg(F.min("id").alias("component_id"))
+    # written, so that a component in a large share of all rows is split in the join
+    least = common.cut_lineage(whole.filter("comp is not null").groupBy("comp").agg(F.min("id").alias("component_id")), folder, "least")
     out = whole.join(least, "comp", "left").select("id", "n_shingles", F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     kind = docs.schema[id_col].dataType
     return out.select(F.col("id").cast(kind).alias(id_col), "n_shingles", F.col("component_id").cast(kind).alias("component_id"))

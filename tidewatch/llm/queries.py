@@ -27,7 +27,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +123,7 @@ _OP1 = (
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY 1) c ON c.a = s.doc_id"""
 )
 
-_OP3 = """WITH raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+_OP3 = """WITH raw AS (SELECT doc_id, text AS t, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
 ), wins AS (SELECT doc_id, unnest(range(0, n - 399)) AS p, h FROM raw WHERE n >= 400
 ), keys AS (SELECT doc_id, p, md5(substring(h, 2 * p + 1, 800)) AS k FROM wins
 ), many AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY k) AS c FROM keys) WHERE c > 1
@@ -133,7 +133,8 @@ _OP3 = """WITH raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octe
 ), cut AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS since, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next FROM spans
 ), kept AS (SELECT c.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substring(h, 2 * since + 1, 2 * (a - since)) || CASE WHEN next IS NULL THEN substring(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS rest
   FROM cut c JOIN raw USING (doc_id) GROUP BY 1)
-SELECT r.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM raw r LEFT JOIN kept k ON k.doc_id = r.doc_id"""
+SELECT r.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256,
+  CASE WHEN t IS NOT NULL THEN decode(unhex(coalesce(rest, h))) END AS text FROM raw r LEFT JOIN kept k ON k.doc_id = r.doc_id"""
 
 _OP6 = (
     "WITH "

@@ -2,13 +2,15 @@
 
 Of the k-grams in a window the one with the smallest hash is its anchor, so equal windows have equal anchors at equal
 places, and consecutive windows share one: a sequence falls into *ranges* of windows with a common anchor, about one
-range for every half window.  Windows can only be equal if their anchors are, and two ranges of equal content are
-equal in every window.  So anchors are shuffled, not windows, and window by window comparison is left to the few ranges
-whose anchor repeats while their content does not.  Positions are exact, and so are results up to 64-bit fingerprints.
+range for every half window.  Windows can only be equal if their anchors are, and copies of a whole range, known by a
+cryptographic digest of 128 bits, are equal in every window.  So anchors are shuffled, not windows, and the operators
+compare only ranges whose anchor repeats while their content does not.  Fingerprints of anchors only route; two
+different anchors with one fingerprint cost a comparison.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,8 +67,13 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix((h[k:] - h[:n]) * _tables["down"][:n]) if n > 0 else np.zeros(0, dtype=np.uint64)
 
 
-def spans(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix((h[end] - h[start]) * _tables["down"][start])
+def tuples(values: np.ndarray, k: int) -> np.ndarray:
+    """Fingerprints of all k consecutive values: each is mixed with its place, so that no arrangement of values collides by construction."""
+    m = max(0, len(values) - k + 1)
+    out = np.zeros(m, dtype=np.uint64)
+    for j in range(k):
+        out += mix(values[j : j + m] + np.uint64((2 * j + 1) * _BASE % (1 << 64)))
+    return mix(out)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -91,19 +98,34 @@ def words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+#: Bytes of a word that the table tells apart by their place; longer words have a digest.
+_PLACES = 64
+
+
 def word_values(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit fingerprint of every word."""
-    out, step = np.empty(len(starts), dtype=np.uint64), 1 << 17
+    """A 64-bit fingerprint of every word: random numbers for each byte at each place, added up and mixed."""
+    if "places" not in _tables:
+        _tables["places"] = np.random.default_rng(20240301).integers(0, 1 << 64, (_PLACES, 256), dtype=np.uint64).reshape(-1)
+    out, step = np.empty(len(starts), dtype=np.uint64), 1 << 15
     for i in range(0, len(starts), step):  # bounded memory for very long texts
         s, e = starts[i : i + step], ends[i : i + step]
-        h = prefix(byte_values()[raw[s[0] : e[-1]]])
-        out[i : i + step] = mix(spans(h, s - s[0], e - s[0]) + (e - s).astype(np.uint64))
+        size, base = e - s, int(s[0])
+        word = np.zeros(int(e[-1]) - base + 1, dtype=np.int64)
+        word[s - base] = np.diff(s - base, prepend=0)
+        place = np.minimum(np.arange(len(word) - 1) - np.cumsum(word)[:-1], _PLACES - 1)
+        part = raw[base : e[-1]]
+        total = np.zeros(len(word), dtype=np.uint64)
+        np.cumsum(_tables["places"][place * 256 + part], out=total[1:])
+        out[i : i + step] = mix(total[e - base] - total[s - base] + size.astype(np.uint64))
+        for k in np.flatnonzero(size > _PLACES):
+            out[i + k] = int.from_bytes(hashlib.blake2b(raw[s[k] : e[k]].tobytes(), digest_size=8).digest(), "little")
     return out
 
 
-def ranges(values: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows, anchor and content fingerprint of each range."""
-    found = []
+def ranges(values: np.ndarray, content: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """First window, number of windows, anchor and content digest of each range; ``content`` are the elements themselves."""
+    found, digests = [], []
+    raw, size = memoryview(np.ascontiguousarray(content)).cast("B"), content.itemsize
     for at in range(0, max(0, len(values) - window + 1), PART):
         part = values[at : at + PART + window - 1]
         h, m = prefix(part), len(part) - window + 1
@@ -112,17 +134,18 @@ def ranges(values: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndar
         anchor = (sliding_min(order, window - k + 1) & _LOW).astype(np.int64)
         cut = np.flatnonzero(np.diff(anchor)) + 1
         first, last = np.concatenate([[0], cut]), np.concatenate([cut, [m]])
-        place = ((anchor[first] - first) << 32 | (last - first)).astype(np.uint64)
-        found.append((first + at, last - first, kh[anchor[first]], mix(spans(h, first, last - 1 + window) ^ mix(place))))
+        found.append((first + at, last - first, kh[anchor[first]]))
+        digests += [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(((first + at) * size).tolist(), ((last + at + window - 1) * size).tolist())]
     if not found:
         zero = np.zeros(0, dtype=np.int64)
-        return zero, zero, zero.astype(np.uint64), zero.astype(np.uint64)
-    return tuple(np.concatenate(x) for x in zip(*found))
+        return zero, zero, zero.astype(np.uint64), b""
+    return *(np.concatenate(x) for x in zip(*found)), b"".join(digests)
 
 
 #: A range on its way: anchor, content, row key, rank of the document, first window, windows, copies (2: two or more).
-RANGE = np.dtype([("f", "<u8"), ("rh", "<u8"), ("key", "<i8"), ("rank", "<i8"), ("p", "<i8"), ("n", "<i4"), ("c", "<i4")])
-SETTLED = "key long, p long, n int"
+RANGE = np.dtype([("f", "<u8"), ("r1", "<u8"), ("r2", "<u8"), ("key", "<i8"), ("key2", "<i8"), ("rank", "<i8"), ("p", "<i8"), ("n", "<i4"), ("c", "<i4")])
+KEY = ["key", "key2"]
+SETTLED = "key long, key2 long, p long, n int"
 
 
 def starts_of(*columns: np.ndarray) -> np.ndarray:
@@ -140,20 +163,20 @@ def settle(r: np.ndarray, keep_first: bool) -> tuple[np.ndarray, np.ndarray, np.
 
     ``keep_first``: the first in document order doesn't count as a repetition; else all of two or more do.
     """
-    r = r[np.lexsort((r["p"], r["key"], r["rank"], r["rh"], r["f"]))]
-    first = starts_of(r["f"], r["rh"])
+    r = r[np.lexsort((r["p"], r["key2"], r["key"], r["rank"], r["r2"], r["r1"], r["f"]))]
+    first = starts_of(r["f"], r["r1"], r["r2"])
     group = np.cumsum(first) - 1
     copies = np.bincount(group, r["c"]).astype(np.int64) if len(r) else np.zeros(0, dtype=np.int64)
     if keep_first:
         head = r[first][group] if len(r) else r
-        return r, first, (r["p"] != head["p"]) | (r["key"] != head["key"]) | (r["rank"] != head["rank"])
+        return r, first, (r["p"] != head["p"]) | (r["key"] != head["key"]) | (r["key2"] != head["key2"]) | (r["rank"] != head["rank"])
     return r, first, copies[group] >= 2
 
 
 def exchange(docs: DataFrame, split, window: int, k: int, keep_first: bool, parts: int) -> DataFrame:
     """Ranges that repeat as a whole (``todo`` null) and those to compare window by window.
 
-    ``docs`` has ``key``, ``rank`` and ``text``; ``split`` makes the values of a text's elements.  Each task first
+    ``docs`` has ``key``, ``key2``, ``rank`` and ``text``; ``split`` makes a text's elements and their values.  Each task first
     settles what it can among its own ranges, so of a passage in a third of all documents one range a batch is shuffled.
     ``todo``: 1 if it has to be answered, 0 if others need it only; one range stands for all of the same content.
     """
@@ -162,10 +185,12 @@ def exchange(docs: DataFrame, split, window: int, k: int, keep_first: bool, part
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             held: list[np.ndarray] = []
-            for key, rank, text in zip(batch["key"], batch["rank"], batch["text"]):
-                p, n, f, rh = ranges(split(text or ""), window, k)
+            for key, key2, rank, text in zip(batch["key"], batch["key2"], batch["rank"], batch["text"]):
+                content, values = split(text or "")
+                p, n, f, digest = ranges(values, content, window, k)
                 one = np.empty(len(p), dtype=RANGE)
-                one["f"], one["rh"], one["key"], one["rank"], one["p"], one["n"], one["c"] = f, rh, key, rank, p, n, 1
+                both = np.frombuffer(digest, dtype="<u8").reshape(-1, 2)
+                one["f"], one["r1"], one["r2"], one["key"], one["key2"], one["rank"], one["p"], one["n"], one["c"] = f, both[:, 0], both[:, 1], key, key2, rank, p, n, 1
                 held.append(one)
             if not held:
                 continue
@@ -183,7 +208,7 @@ def exchange(docs: DataFrame, split, window: int, k: int, keep_first: bool, part
 
     def settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def out(x: np.ndarray, todo) -> pd.DataFrame:
-            return pd.DataFrame({"key": x["key"], "rank": x["rank"], "p": x["p"], "n": x["n"], "f": x["f"].view(np.int64), "todo": pd.array(todo, dtype="Int32")})
+            return pd.DataFrame({"key": x["key"], "key2": x["key2"], "rank": x["rank"], "p": x["p"], "n": x["n"], "f": x["f"].view(np.int64), "todo": pd.array(todo, dtype="Int32")})
 
         held: list[np.ndarray] = []
         for batch in batches:
@@ -202,18 +227,19 @@ def exchange(docs: DataFrame, split, window: int, k: int, keep_first: bool, part
         open_ = kinds > 1
         yield out(reps[open_], np.where(known[first][open_], 0, 1))
 
-    return docs.mapInPandas(local, "bucket int, data binary").repartition(parts, "bucket").mapInPandas(settled, "key long, rank long, p long, n int, f long, todo int")
+    return docs.mapInPandas(local, "bucket int, data binary").repartition(parts, "bucket").mapInPandas(settled, "key long, key2 long, rank long, p long, n int, f long, todo int")
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     from tidewatch.llm import common
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), common.row_key(id_col, text_col).alias("key"), *more)
+    key, key2 = common.row_keys(id_col, text_col)
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), key.alias("key"), key2.alias("key2"), *more)
 
 
 def gathered(spans_df: DataFrame) -> DataFrame:
     """One row for each document: its ranges in one array, which the document's own length bounds."""
-    return spans_df.groupBy("key").agg(F.collect_list(F.struct("p", "n", *[c for c in ("f", "todo", "rank") if c in spans_df.columns])).alias("spans"))
+    return spans_df.groupBy(*KEY).agg(F.collect_list(F.struct("p", "n", *[c for c in ("f", "todo", "rank") if c in spans_df.columns])).alias("spans"))
 
 
 def covered(spans_list, length: int, window: int) -> np.ndarray:
