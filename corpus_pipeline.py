@@ -16,6 +16,9 @@ from tidewatch.llm import queries as llm
 ORACLE_SQL = None
 #: Documents below this cosine with their nearest language are rejected, as are those without a letter.
 LEAST_COSINE = 0.15
+#: Bytes from which on a string that stands elsewhere too is a repeated passage: some 30 to 35 words, so that a passage of 50
+#: short words is one too.  (The operator's own query asks for 400.)
+PASSAGE_BYTES = 200
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,15 +40,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     row = F.struct(*[F.col(c) for c in docs.columns if c != "text"], F.col("text"))
-    distinct = docs.filter(worded).groupBy(common.row_key().alias("key")).agg(F.min(row).alias("row"))
-    stay = distinct.join(ngram_join.survivors(docs.select("doc_id", "text")), "key", "left_semi").select("row.*").select(*docs.columns)
+    key, key2 = common.row_keys()
+    distinct = docs.filter(worded).groupBy(key.alias("key"), key2.alias("key2")).agg(F.min(row).alias("row"))
+    stay = distinct.join(ngram_join.survivors(docs.select("doc_id", "text")), ["key", "key2"], "left_semi").select("row.*").select(*docs.columns)
     return stay.unionByName(docs.filter(~worded))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes passages out that stand elsewhere in the corpus too; ``n_chars`` counts what is left."""
-    rest = suffix_dedup.remove_repeats(docs, keep=[c for c in docs.columns if c not in ("doc_id", "text")])
-    return rest.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rest = suffix_dedup.remove_repeats(docs, PASSAGE_BYTES, keep=[c for c in docs.columns if c not in ("doc_id", "text", "n_chars")])
+    return rest.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
