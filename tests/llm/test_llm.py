@@ -1,6 +1,8 @@
 """The ten operators against brute force, round trips and held-out accuracy, and their edge cases."""
 
 import hashlib
+import html
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -309,6 +311,41 @@ def test_language_edges(spark, docs):
     assert {r.lang_pred for r in language_id.identify(odd, language_id.train(empty(spark))).collect()} == {"und"}
 
 
+def test_a_text_without_letters_has_no_language(spark):
+    labelled = spark.createDataFrame([(1, "the and of to", "en"), (2, "der die das und", "de")], "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(1, "\U0001f600\U0001f600"), (2, "\U0001d7ce\U0001d7d8 12"), (3, "\U0001d518\U0001d52b"), (4, "the \U0001f600"), (None, "of the")], "doc_id long, text string")
+    got = {r.doc_id: r for r in language_id.identify(odd, language_id.train(labelled)).withColumn("held_out", queries.held_out()).collect()}
+    assert got[1].lang_pred == got[2].lang_pred == "und" and got[1].score == 0 and got[3].lang_pred != "und" and got[4].lang_pred == "en"
+    assert got[None].held_out is False
+
+
+def test_prototypes_are_those_of_brute_force(spark):
+    """Cosines of trigram vectors built letter by letter."""
+    rows = [(i, prose(60 + i, 12) if i % 2 else " ".join(f"w{i}{j}x" for j in range(9)), "en" if i % 2 else "de") for i in range(8)]
+    v, size = language_id.letter_vectors().astype(int), language_id.DIM
+    number = {chr(c): 1 + c - 97 for c in range(97, 123)}
+
+    def vector(text):
+        t, out = re.sub(r"[^a-z]+", " ", f" {text.lower()} "), np.zeros(size)
+        for a, b, c in zip(t, t[1:], t[2:]):
+            out += np.roll(v[number.get(a, 0)], 2) * np.roll(v[number.get(b, 0)], 1) * v[number.get(c, 0)]
+        return out / np.linalg.norm(out)
+
+    sums = {lang: sum(vector(t) for _, t, k in rows if k == lang) for lang in ("de", "en")}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for r in language_id.identify(docs, language_id.train(docs)).collect():
+        cosines = {k: float(vector(r.text) @ s / np.linalg.norm(s)) for k, s in sums.items()}
+        assert r.lang_pred == max(cosines, key=cosines.get) and abs(r.score - cosines[r.lang_pred]) < 1e-3
+
+
+def test_training_samples_are_thinned_alike_however_rows_are_dealt(spark):
+    from tidewatch.llm import common
+
+    rows = spark.range(20_000).withColumn("k", F.col("id").cast("string"))
+    a, b = ({r.id for r in common.thinned(x, F.col("k"), 500).collect()} for x in (rows, rows.repartition(7, F.lit(1))))
+    assert a == b and 500 < len(a) < 720 and common.thinned(rows.limit(0), F.col("k"), 5).count() == 0
+
+
 def brute_quality(text):
     raw = (text or "").encode()
     w = raw.split()
@@ -331,6 +368,50 @@ def test_quality_verdict_learns_the_labels(spark):
     assert r.filter("quality = 0").agg(F.avg(F.col("kept").cast("int"))).first()[0] < 0.2
 
 
+def test_quality_verdicts_match_brute_force(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    verdict = quality_rules.train(docs, labels)
+    t = verdict.trees
+    for r in quality_rules.judge(docs, verdict).collect():
+        counts = brute_quality(r.text)
+        failed = counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
+        total, features = t.base, quality_rules.measure(r.text)[1]
+        for node in t.roots.tolist():
+            while t.feature[node] >= 0:
+                node = int(t.left[node] if features[t.feature[node]] <= t.threshold[node] else t.right[node])
+            total += t.value[node]
+        score = 1 / (1 + np.exp(-total))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (*counts, failed)
+        assert abs(r.quality_score - score) < 1e-9 and r.kept == (not failed and r.quality_score >= verdict.threshold)
+
+
+def test_quality_and_urls_of_nothing(spark):
+    assert quality_rules.judge(empty(spark), quality_rules.train(empty(spark), empty(spark))).count() == 0
+    assert url_filters.filter_urls(spark.createDataFrame([], "page_id long, url string, host int")).count() == 0
+
+
+def test_url_verdicts_of_the_test_table_match_brute_force(spark):
+    rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+    d, seen = "/root/testdata/sf0.01", Counter()
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    extra = [(-1, None), (-2, ""), (-3, "x"), (-4, "http://A.ORG/x?y#z"), (-5, "a://b.com/fr/" + "q" * 30_000), (-6, "://example.org/en/1"), (-7, "ftp://com/de/"), (-8, "http://ORG/")]
+    both = pages.select("page_id", "url").unionByName(spark.createDataFrame(extra, "page_id long, url string"))
+    for r in url_filters.filter_urls(both).collect():
+        host = path = ""
+        if r.url and "://" in r.url:
+            rest = r.url.split("://", 1)[1]
+            k = next((i for i, c in enumerate(rest) if c in "/?#"), len(rest))
+            host, path = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:k]), re.split("[?#]", rest[k:])[0]
+        fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert (r.host, r.path) == (host, path)
+        if fits:
+            assert (r.rule, r.verdict) == max(fits)[1:]
+        else:
+            assert r.rule is None and r.verdict == ("allow" if r.score >= 0.5 else "block")
+        seen[bool(fits)] += 1
+    assert seen[True] and seen[False]
+
+
 def test_quality_without_labels_keeps_what_the_base_rules_keep(spark, docs):
     v = quality_rules.train(docs, empty(spark))
     assert quality_rules.judge(docs, v).filter("kept = base_failed").count() == 0
@@ -378,14 +459,15 @@ def trees():
     return html_extract.train()
 
 
-def test_extraction_of_generated_pages(trees):
-    maker, hit, miss, extra = html_extract.Maker(12345), 0, 0, 0
+@pytest.mark.parametrize("mix, least", [(0.0, 0.95), (0.4, 0.9)])
+def test_extraction_of_generated_pages(trees, mix, least):
+    maker, hit, miss, extra = html_extract.Maker(12345, mix), 0, 0, 0
     for _ in range(60):
         page, main = maker.page()
         got = html_extract.extract([page], trees)[0]
         found = sum(len(t) for t in main if t in got)
         hit, miss, extra = hit + found, miss + sum(map(len, main)) - found, extra + max(0, len(got) - found - len(main))
-    assert hit / (hit + miss) > 0.95 and hit / (hit + extra) > 0.95
+    assert hit / (hit + miss) > least and hit / (hit + extra) > least
 
 
 def test_extraction_edges(trees):
@@ -396,9 +478,41 @@ def test_extraction_edges(trees):
     assert got[1:4] == ["", "", ""] and got[5] == ""
 
 
-def test_extraction_of_the_test_table_is_its_articles(spark, sf):
-    for r, p in zip(queries.op5_html_extraction(spark, sf).orderBy("page_id").collect(), spark.read.parquet(f"{sf}/pages.parquet").orderBy("page_id").collect()):
-        assert r.n_chars == len(r.text) > 0 and p.html.split("<nav>")[1].split('">')[1].split("<")[0] + " " not in r.text[:1] and "©" not in r.text
+@pytest.mark.parametrize("tag", ["div", "article", "main", "section"])
+@pytest.mark.parametrize(
+    "name",
+    [
+        "content", "promo-free content", "post more-text", "entry top-story", "side-by-side article", "main-content share-enabled", "ad-free story", "article header-large",
+        "related-article body", "content-with-sidebar",
+    ],
+)
+def test_no_class_token_decides_alone(trees, tag, name):
+    texts = ["A title", "This is the first paragraph of a text that goes on for a while, with commas, and more words to follow it. " * 3]
+    texts.append("The second one says other things; it is as long as the first, and it ends with a full stop. " * 3)
+    inside = f"<h1>{texts[0]}</h1><p>{texts[1]}</p><p>{texts[2]}</p>"
+    page = f"<html><body><nav><a href='/'>Home</a> <a href='/x'>News</a></nav><{tag} class='{name}'>{inside}</{tag}><footer>(c) 2024 Us</footer></body></html>"
+    assert html_extract.extract([page], trees) == [" ".join(t.strip() for t in texts)]
+
+
+@pytest.mark.parametrize("d", ["sf0.001", "sf0.01"])
+def test_extraction_of_the_test_table_is_its_articles(spark, d):
+    """Against the article element itself, found by name and stripped of tags; white space aside."""
+    folder = f"/root/testdata/{d}"
+    got = {r.page_id: r for r in queries.op5_html_extraction(spark, folder).collect()}
+    pages = spark.read.parquet(f"{folder}/pages.parquet").collect()
+    assert len(got) == len(pages)
+    for p in pages:
+        inside = re.sub(r"<[^>]+>", " ", re.search(r"<article[^>]*>(.*?)</article>", p.html, re.S)[1])
+        assert "".join(html.unescape(inside).split()) == "".join(got[p.page_id].text.split()) and got[p.page_id].n_chars == len(got[p.page_id].text)
+        assert got[p.page_id].text == " ".join(got[p.page_id].text.split())
+
+
+def test_extraction_of_nothing_and_of_clashing_columns(spark, trees):
+    nothing = spark.createDataFrame([], "page_id long, html string, text string, n_chars int")
+    assert html_extract.extract_text(nothing, trees=trees).collect() == []
+    odd = spark.createDataFrame([(1, "<article><p>Some words, and more of them here.</p></article>", "mine", 7), (2, None, None, None), (3, "no element at all", "x", 1)], nothing.schema)
+    got = {r.page_id: r for r in html_extract.extract_text(odd, trees=trees).collect()}
+    assert got[1].text == "Some words, and more of them here." and got[2].text == "" and got[2].n_chars == 0 and got[3].text is not None
 
 
 def payloads() -> list[bytes]:
@@ -634,6 +748,12 @@ def test_pipeline_stages_in_order(spark, sf):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in after}
 
 
+def test_stages_of_nothing(spark, sf):
+    nothing = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, sf).count() == 0
+
+
 def test_run_is_the_stages_together(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
 

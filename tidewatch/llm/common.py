@@ -30,6 +30,13 @@ def cut_lineage(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, folder: str, *names: str) -> None:
+    """Delete tables of ``cut_lineage`` that nothing reads any more."""
+    for name in names:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def width(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session sets them for the size of its data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -41,6 +48,15 @@ def row_keys(id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Co
     return F.xxhash64(*parts), F.xxhash64(F.lit("second"), *parts)
 
 
+def thinned(df: DataFrame, key: Column, rows: int) -> DataFrame:
+    """A sample of about 1.2 times ``rows`` rows of ``df`` by the hash of ``key``, or all of fewer: what a training set is picked from.
+
+    Which rows stay does not depend on how they are dealt out, and no task keeps more than its share.
+    """
+    share = min(1.0, 1.2 * rows / max(1, df.count()))
+    return df.filter(F.shiftrightunsigned(F.xxhash64(key), 11) <= int(share * (1 << 53)))
+
+
 def even_labels(spark: SparkSession, parts: int) -> list[int]:
     """A number for each of ``parts`` partitions that ``repartition(parts, column)`` sends there: one bucket each, none empty."""
     tried = spark.range(0, 40 * parts + 400, 1, 1).select(F.col("id").cast("int").alias("x"))

@@ -319,14 +319,19 @@ def assemble(root: Node, nodes: list[Node], keep: np.ndarray) -> str:
 
 
 #: Pages that the trees are trained on, and the seed of their generator.
-TRAIN_PAGES, SEED = 420, 7
+TRAIN_PAGES, SEED = 700, 7
+#: Share of names on those pages that hold a token of the other side as well.
+MIXED = 0.4
+
+
+_FOR, _AGAINST = sorted(FOR), sorted(AGAINST)
 
 
 class Maker:
     """Builds pages whose main blocks are known."""
 
-    def __init__(self, seed: int) -> None:
-        self.r = random.Random(seed)
+    def __init__(self, seed: int, mix: float = MIXED) -> None:
+        self.r, self.mix = random.Random(seed), mix
         self.syllables = [a + b for a in "b c d f g l m n p r s t v st tr ch".split() for b in "a e i o u é ö ou en er".split()]
 
     def word(self) -> str:
@@ -341,12 +346,27 @@ class Maker:
         return " ".join(self.sentence() for _ in range(self.r.randint(low, high)))
 
     def links(self, n: int) -> list[str]:
-        return [f'<a href="/{self.word()}">{" ".join(self.word() for _ in range(self.r.randint(1, 5)))}</a>' for _ in range(n)]
+        r = self.r
+        words = lambda: " ".join(self.word() + r.choice(("", "", "", "", ".", ",")) for _ in range(r.randint(1, 5)))
+        return [f'<a href="/{self.word()}">{r.choice((str.capitalize, str))(words())}</a>' for _ in range(n)]
+
+    def mixed(self, name: str, decoys: list[str]) -> str:
+        """A class or id, at times with a token that speaks for something else, as in ``content-with-sidebar``."""
+        r = self.r
+        if r.random() >= self.mix:
+            return name
+        other = r.choice(decoys)
+        forms = (f"{name}-with-{other}", f"{name} {other}-{self.word()}", f"{other}-free {name}", f"{name}-{other}", f"{other}-{name}", f"{self.word()}-{other} {name} {self.word()}")
+        return r.choice(forms)
+
+    def named(self, tag: str, inside: str, decoys: list[str]) -> str:
+        r = self.r.random()
+        return f"<{tag}>{inside}</{tag}>" if r < 0.55 else f'<{tag} class="{self.mixed(self.word(), decoys)}">{inside}</{tag}>'
 
-    def box(self, names: str, inside: str, tags: str = "div div div section aside") -> str:
+    def box(self, names: str, inside: str, tags: str = "div div div section aside", decoys: list[str] = _FOR) -> str:
         """An element that says what it is by name, class or id, or only by its content."""
         tag, name, r = self.r.choice(tags.split()), self.r.choice(names.split()), self.r.random()
-        name = self.r.choice((name, f"{name}-box", f"site-{name}", f"{name}{self.r.randint(1, 9)}", f"c-{name}"))
+        name = self.mixed(self.r.choice((name, f"{name}-box", f"site-{name}", f"{name}{self.r.randint(1, 9)}", f"c-{name}")), decoys)
         return f'<{tag} class="{name}">{inside}</{tag}>' if r < 0.6 else f'<{tag} id="{name}">{inside}</{tag}>' if r < 0.85 else f'<{tag} class="{self.word()} {name}">{inside}</{tag}>'
 
     def boiler(self) -> str:
@@ -415,13 +435,13 @@ class Maker:
             body.insert(r.randint(1, len(body)), self.boiler())
         inside, k = "".join(body), r.random()
         if k < 0.45:
-            core = f"<article>{inside}</article>"
+            core = self.named("article", inside, _AGAINST)
         elif k < 0.55:
-            core = f"<main>{inside}</main>"
+            core = self.named("main", inside, _AGAINST)
         elif k < 0.9:
-            core = self.box("content post entry article main story body text article-body post-content", inside, "div div div section")
+            core = self.box("content post entry article main story body text article-body post-content", inside, "div div div section", _AGAINST)
         else:
-            core = f"<div>{inside}</div>"
+            core = self.named("div", inside, _AGAINST)
         parts = [self.boiler() for _ in range(r.randint(0, 4))] + [core] + [self.boiler() for _ in range(r.randint(0, 4))]
         whole = "".join(parts)
         for _ in range(r.choice((0, 0, 1, 2))):
@@ -447,7 +467,7 @@ def train(pages: int = TRAIN_PAGES, seed: int = SEED) -> gbt.Trees:
         xs.append(describe(nodes, texts))
         ys.append(y)
         ws.append(np.where(np.expm1(xs[-1][:, 3]) > 0, 1.0, 0.6))
-    return gbt.fit(np.concatenate(xs), np.concatenate(ys), trees=45, depth=5, rate=0.2, bins=32, min_leaf=6, weight=np.concatenate(ws))
+    return gbt.fit(np.concatenate(xs), np.concatenate(ys), trees=60, depth=5, rate=0.2, bins=32, min_leaf=6, weight=np.concatenate(ws))
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text", trees: gbt.Trees | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,10 +37,11 @@ def trigram_vectors() -> np.ndarray:
     return (pair.reshape(-1, 1, DIM) * v[None, :, :]).reshape(-1, DIM)
 
 
+@lru_cache(1)
 def symbol_table() -> np.ndarray:
-    """Symbol of every code point of the basic plane: 0 for all that is no letter."""
-    table = np.zeros(1 << 16, dtype=np.int32)
-    for c in range(1 << 16):
+    """Symbol of every code point: 0 for all that is no letter."""
+    table = np.zeros(0x110000, dtype=np.int32)
+    for c in range(0x110000):
         s = chr(c)
         if s.isalpha():
             table[c] = 1 + (ord(s) - 97 if "a" <= s <= "z" else 26 + c % (SYMBOLS - 26))
@@ -57,7 +59,7 @@ class Profiler:
         if not text:
             return None
         codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        s = self.symbols[np.where(codes < 1 << 16, codes, 0x3042)]
+        s = self.symbols[codes]
         if not s.any():
             return None
         keep = np.ones(len(s), dtype=bool)  # one space between words
@@ -91,9 +93,15 @@ class Prototypes:
 def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = TRAIN_PER_LANGUAGE) -> Prototypes:
     """Prototypes from at most ``per_language`` documents of each language, those of the smallest hash of the id.
 
-    Tasks bundle their own documents; the driver gets one vector for each language and task that had any.
+    They are ranked among those that a threshold on the hash leaves of each language, so a language in most rows is no large
+    group.  Tasks bundle their own documents; the driver gets one vector for each language and task that had any.
     """
     picked = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and id is not null")
+    count = {r["lang"]: r["count"] for r in picked.groupBy("lang").count().collect()}  # one row for each language
+    if not count:
+        return Prototypes([], np.zeros((0, DIM), dtype=np.float32))
+    share = F.create_map(*[F.lit(x) for k, n in count.items() for x in (k, int(min(1.0, 1.2 * per_language / n) * (1 << 53)))])
+    picked = picked.filter(F.shiftrightunsigned(F.xxhash64(F.col("id").cast("string")), 11) <= share[F.col("lang")])
     rank = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string")), "id")
     ids = picked.withColumn("_n", F.row_number().over(rank)).filter(F.col("_n") <= per_language).select("id").distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null")

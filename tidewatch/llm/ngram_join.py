@@ -359,7 +359,9 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
         far = labels.select(F.col("sid").alias("new"), F.col("comp").alias("jump"))
         moved = common.cut_lineage(low.join(far, "new").select("sid", F.least("new", "jump").alias("comp"), (F.least("new", "jump") != F.col("comp")).alias("moved")), folder, f"{name}-{step}")
         labels = moved.select("sid", "comp")
+        common.drop(links.sparkSession, folder, f"{name}-{step - 1}")
         if not moved.filter("moved").limit(1).count():
+            common.drop(links.sparkSession, folder, f"{name}-links")
             return labels
 
 
@@ -456,6 +458,7 @@ def members(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4, id_col: str
         moved = named_sets.select("sid", "comp").join(merged.select(F.col("sid").alias("comp"), F.col("comp").alias("new")), "comp", "left")
         comp = common.cut_lineage(moved.select("sid", F.coalesce("new", "comp").alias("comp")), folder, f"{step}-labels")
 
+    common.drop(spark, folder, "kept", "sets", *(f"{step}{part}" for step in ("star", "near", "all") for part in ("", "-links")))
     return info.join(comp, "sid", "left").select("key", "key2", "id", "n_shingles", F.when(F.col("sid") != 0, F.coalesce("comp", "sid")).alias("comp"))
 
 

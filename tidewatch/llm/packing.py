@@ -124,7 +124,7 @@ def pack(
 
     A document is its text's ids and then ``end_id``, so a null or empty text is that one id.  Every id lies in exactly
     one piece, and every sequence is gapless from offset 0.  Repeated rows are packed once each.  Other columns are not
-    read.  An empty table gives no row.  Memory is that of one batch of texts and fewer than 2 * sqrt(capacity) open
+    read.  An empty table gives no row.  A very long text is cut into full sequences like any other.  Memory is that of one batch of texts and fewer than 2 * sqrt(capacity) open
     sequences.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

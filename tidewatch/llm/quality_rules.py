@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm import gbt
+from tidewatch.llm import common, gbt
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = (
@@ -103,12 +103,14 @@ class Verdict:
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Verdict:
     """Trees fitted on at most ``rows`` labelled documents, those of the smallest hash of the id.
 
-    Documents that the base rules refuse are left out.  Without labels of both kinds everything is kept.
+    Documents that the base rules refuse are left out.  Of several labels of one document the largest counts.  Without labels
+    of both kinds everything is kept.
     """
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).filter("id is not null and y is not null")
     picked = (
-        labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
-        .filter("id is not null and y is not null")
-        .dropDuplicates(["id"])
+        common.thinned(known, F.col("id").cast("string"), rows)  # so that no task holds or sends more than its share
+        .groupBy("id")
+        .agg(F.max("y").alias("y"))
         .orderBy(F.xxhash64(F.col("id").cast("string")), "id")
         .limit(rows)
     )

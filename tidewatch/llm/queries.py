@@ -40,7 +40,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out():
-    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
 def languages(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm import gbt
+from tidewatch.llm import common, gbt
 
 
 @dataclass(frozen=True)
@@ -35,6 +35,8 @@ RULES = (
     Rule("com", "/fr/", True),
     Rule("com", "/de/", False),
 )
+#: Types of columns that tell rows apart.
+_HASHED = ("string", "byte", "short", "integer", "long", "date", "timestamp")
 #: Labelled URLs that the trees are fitted on, at most; the smallest hashes are taken.
 TRAIN_ROWS = 6000
 #: Host endings with a learned statistic, at most.
@@ -102,7 +104,8 @@ def filter_urls(pages: DataFrame, url_col: str = "url", rules: tuple[Rule, ...]
     """``pages`` with ``host``, ``path``, ``rule``, ``verdict`` and ``score`` in place of any columns of these names.
 
     A null URL and one without ``://`` have an empty host and path; no rule fits them and the trees decide.  Without a
-    labelled URL every page that no rule fits is allowed.  Repeated rows get equal values; an empty table gives an empty one.
+    labelled URL every page that no rule fits is allowed.  Whole URLs are read, however long.  Repeated rows get equal values;
+    an empty table gives an empty one.  The trees are fitted on at most ``train_rows`` URLs, those of the smallest hash.
     """
     own = ("host", "path", "rule", "verdict", "score")
     kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in own]
@@ -114,9 +117,11 @@ def filter_urls(pages: DataFrame, url_col: str = "url", rules: tuple[Rule, ...]
     base = lexical_features(base)
 
     plain = [f"_f_{k}" for k in FEATURES[:-1]]
+    # by all of a row that can be hashed, so that a URL in many rows is thinned like others
+    row = F.xxhash64("_url", *[F.col(f"`{f.name}`") for f in pages.schema.fields if f.name.lower() not in own and f.dataType.typeName() in _HASHED])
+    ruled = base.withColumn("_h", row).filter(F.col("_allow").isNotNull()).select("_suffix", "_allow", *plain, "_h")
     sample = (
-        base.filter(F.col("_allow").isNotNull())
-        .select("_suffix", "_allow", *plain, F.xxhash64("_url").alias("_h"))
+        common.thinned(ruled, F.col("_h"), train_rows)
         .orderBy("_h", *plain)
         .limit(train_rows)
         .collect()
