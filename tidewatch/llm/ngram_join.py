@@ -14,7 +14,7 @@ allows.  A document whose shared keys weigh less than q can have no partner and
 Candidates whose parity sketches already differ in too many bits are none; the others are verified on the full sets.
 Only connections matter for components, so a key with many documents first yields a star or a few around its most
 central ones, those that share most keys with others: of near copies of one text, that is the text itself, for every
-key.  Then, across the components so far, come a few pairs for each document, different ones for each key.  After
+key.  Each document joins the stars of a few of its keys only, whatever their number.  Then, across the components so far, come a few pairs for each document, different ones for each key.  After
 each step components are contracted, and in the end all pairs of a key that still lie in different components are
 verified too.  Nothing is capped.
 """
@@ -225,7 +225,7 @@ def shared(labels: np.ndarray):
 
 
 def allocate(bands: Bands, labels: np.ndarray):
-    """All shared keys of each set: it stays if they weigh enough, and is probed with the rarest (``freq`` 1, else 0)."""
+    """All shared keys of each set: it stays if they weigh enough, is probed with the rarest (bit 0 of ``freq``) and joins the stars of a few (bit 1)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         doc, table, key, kind, freq = _unpack(batches)
@@ -247,7 +247,10 @@ def allocate(bands: Bands, labels: np.ndarray):
         table = table.copy()
         table["mass"][doc] = np.repeat(np.add.reduceat(freq.astype(np.int64), runs), to - runs)
         probe = own & (total[group] - before > (q - 1)[group])  # what is left out weighs q - 1 at most
-        yield _pack(doc[stays], table, key[stays], kind[stays], probe[stays].astype("<u4"), _bucket(sid[stays], labels))
+        star = np.zeros(len(doc), dtype=bool)
+        for k in range(CHOSEN):  # from its rarest to its most frequent key, evenly
+            star[start + k * (end - start - 1) // (CHOSEN - 1)] = True
+        yield _pack(doc[stays], table, key[stays], kind[stays], (probe + 2 * star)[stays].astype("<u4"), _bucket(sid[stays], labels))
 
     return run
 
@@ -278,8 +281,8 @@ def by_key(labels: np.ndarray):
     return run
 
 
-#: Stars that a key yields, each among the sets that the one before did not reach.
-STARS = 3
+#: Stars that a key yields, each among the sets that the one before did not reach, and keys of a set in whose stars it is.
+STARS, CHOSEN = 3, 5
 #: Of a key's sets in an order that the key itself mixes, those so many places apart are tried before all pairs are.
 NEAR = (1, 2)
 PAIR = "a long, b long, x long, y long"
@@ -292,7 +295,8 @@ def pairs(bands: Bands, step: str):
         doc, table, key, kind, probe = _unpack(batches, SKETCHED)
         sid, n = table["sid"][doc], table["n"][doc].astype(np.int64)
         order = np.lexsort((sid, -table["mass"][doc] if step == "star" else n, key))
-        doc, key, kind, probe, sid, n = doc[order], key[order], kind[order], probe[order] > 0, sid[order], n[order]
+        doc, key, kind, probe, sid, n = doc[order], key[order], kind[order], probe[order], sid[order], n[order]
+        probe, star = probe & 1 > 0, probe & 2 > 0
         comp, most, found = table["comp"][doc], bands.largest(n), set()
         sketches = table["sketch"]
 
@@ -305,7 +309,7 @@ def pairs(bands: Bands, step: str):
             found.update(zip(sid[i].tolist(), sid[j].tolist(), comp[i].tolist(), comp[j].tolist()))
 
         for s, e in zip(*_runs(key)):
-            if e - s < 2 or not probe[s:e].any():
+            if e - s < 2 or not (star if step == "star" else probe)[s:e].any():
                 continue
             if step == "star":
                 left = np.arange(s, e)
@@ -315,7 +319,8 @@ def pairs(bands: Bands, step: str):
                     if not len(left):
                         break
                     near = (np.maximum(n[left], n[hub]) <= np.minimum(most[left], most[hub])) & may_link(np.full(len(left), hub), left)
-                    put(np.full(int(near.sum()), hub), left[near])
+                    reached = left[near & star[left]]
+                    put(np.full(len(reached), hub), reached)
                     left = left[~near]
                     if len(left) < 2:
                         break
