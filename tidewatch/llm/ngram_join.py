@@ -434,7 +434,7 @@ def members(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4, id_col: str
             yield pd.DataFrame({"sid": batch["sid"], "data": [s.tobytes() for s in found], "sketch": [sketch(s).tobytes() for s in found]})
 
     wanted = kept.select("docs").mapInPandas(names, "sid long").distinct()
-    one = info.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("key", "key2")).alias("row")).select("row.*", "sid")
+    one = info.groupBy("sid").agg(F.min(F.struct("key", "key2")).alias("row")).join(wanted, "sid", "left_semi").select("row.*", "sid")  # copies meet before they are dealt out
     sets = keyed.select("key", "key2", "text").join(one.hint("shuffle_hash"), windows.KEY).select("sid", "text").mapInPandas(full, "sid long, data binary, sketch binary")
     sets = common.cut_lineage(sets, folder, "sets")
 
