@@ -274,3 +274,28 @@ def test_rate_score_is_the_maximum_with_the_multivariate_one(spark, sf):
     assert odd and got.keys() == want.keys()
     for key, (score, kind, flagged) in want.items():
         assert got[key]["score"] == pytest.approx(score, abs=1e-4) and (got[key]["alert_type"], got[key]["is_anomalous"]) == (kind, flagged)
+
+
+def test_csv_comes_back(spark, tmp_path):
+    from tidewatch.sources import sinks
+
+    rows = spark.createDataFrame([(1, "a,b"), (2, 'quo"te'), (3, None)], "t long, text string")
+    sinks.csv(rows, str(tmp_path / "out"))
+    back = spark.read.option("header", True).schema(rows.schema).csv(str(tmp_path / "out"))
+    assert sorted(back.collect()) == sorted(rows.collect())
+
+
+def test_charts_do_not_depend_on_who_else_is_in_the_group(spark):
+    import numpy as np
+
+    rng, rows = np.random.default_rng(3), []
+    for p in range(9):
+        for b in range(int(rng.integers(1, 90))):
+            rows.append((f"p{p}", 60 * (b + p), int(rng.poisson(3 + (p == 2 and b > 40) * 9)), float(rng.gamma(2.0) * 100), 1))
+    cells = spark.createDataFrame(rows, "payer string, bucket long, event_count long, amount_sum double, distinct_payees long")
+    whole = {(r.payer, r.bucket): r for r in drift.charts(cells).collect()}
+    assert len(whole) == len(rows)
+    for p in ("p2", "p5"):
+        alone = drift.charts(cells.filter(F.col("payer") == p)).collect()
+        assert alone and all(whole[p, r.bucket] == r for r in alone)
+    assert max(r.s_volume for r in whole.values()) > 0

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,62 +36,71 @@ def grid(payers: DataFrame, cfg: Drift = Drift()) -> DataFrame:
     return cells.join(payers, ["payer", "bucket"], "left").fillna(zero)
 
 
-class _Chart:
-    """One one-sided chart with the baseline it is judged against."""
-
-    def __init__(self, cfg: Drift) -> None:
-        self.cfg = cfg
-        self.slow, self.fast = 1.0 - 0.5 ** (1.0 / cfg.halflife), 1.0 - 0.5 ** (1.0 / cfg.ewma_halflife)
-        self.n, self.mean, self.var, self.s, self.run, self.recent, self.since = 0, 0.0, 0.0, 0.0, 0, 0.0, None
-
-    def learn(self, x: float) -> None:
-        self.n += 1
-        if self.n == 1:
-            self.mean, self.var = x, 0.0
-            return
-        rate = 1.0 / self.n if self.n <= self.cfg.warmup else self.slow
-        d = x - self.mean
-        self.mean += rate * d
-        self.var = (1.0 - rate) * (self.var + rate * d * d)
-
-    def step(self, x: float, at: int, floor: float, warming: bool) -> None:
-        c = self.cfg
-        z = (x - self.mean) / max(math.sqrt(max(self.var, 0.0)), floor) if self.n >= 2 else 0.0
-        z = min(c.clip, max(-c.clip, z))
-        self.recent += self.fast * (z - self.recent)
-        self.s = 0.0 if warming else min(max(0.0, self.s + z - c.k), c.cap)
-        if self.s > 0.0:
-            self.since = at if self.since is None else self.since
-            self.run += 1
-        else:
-            self.since, self.run = None, 0
-        if warming or self.s < c.freeze:
-            self.learn(x)
+def _fold(x: np.ndarray, warming: np.ndarray, floor, cfg: Drift) -> dict[str, np.ndarray]:
+    """One chart of many payers: rows are payers, columns their buckets from the first one on.  State after every column.
+
+    ``floor`` gives the least deviation by the means so far.  A payer's row may hold fewer buckets than there are columns;
+    what stands in the rest is of no use.
+    """
+    many, wide = x.shape
+    slow, fast = 1.0 - 0.5 ** (1.0 / cfg.halflife), 1.0 - 0.5 ** (1.0 / cfg.ewma_halflife)
+    zero = lambda kind: np.zeros(many, dtype=kind)
+    known, mean, var, total, run, recent, since = zero(np.int64), zero(float), zero(float), zero(float), zero(np.int64), zero(float), np.full(many, -1)
+    out = {k: np.zeros(x.shape, dtype=t) for k, t in (("s", float), ("run", np.int64), ("ewma", float), ("mean", float), ("var", float), ("since", np.int64))}
+    for i in range(wide):
+        off = x[:, i] - mean
+        z = np.where(known >= 2, np.clip(off / np.maximum(np.sqrt(np.maximum(var, 0.0)), floor(mean)), -cfg.clip, cfg.clip), 0.0)
+        recent = recent + fast * (z - recent)
+        total = zero(float) if warming[i] else np.minimum(np.maximum(0.0, total + z - cfg.k), cfg.cap)
+        rising = total > 0.0
+        run, since = np.where(rising, run + 1, 0), np.where(rising, np.where(since < 0, i, since), -1)
+        learns = np.full(many, True) if warming[i] else total < cfg.freeze
+        share = np.where(known + 1 <= cfg.warmup, 1.0 / (known + 1), slow)
+        new_mean, new_var = mean + share * off, (1.0 - share) * (var + share * off * off)
+        fresh = known == 0
+        mean = np.where(learns, np.where(fresh, x[:, i], new_mean), mean)
+        var = np.where(learns, np.where(fresh, 0.0, new_var), var)
+        known = known + learns
+        for k, v in (("s", total), ("run", run), ("ewma", recent), ("mean", mean), ("var", var), ("since", since)):
+            out[k][:, i] = v
+    return out
 
 
 def charts(cells: DataFrame, cfg: Drift = Drift()) -> DataFrame:
-    """State of both charts after every bucket of every payer; payers are folded apart from each other."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bucket")
-        volume, amount, events, moved, out = _Chart(cfg), _Chart(cfg), 0, 0.0, []
-        for i, (at, n, total, payees) in enumerate(zip(pdf["bucket"], pdf["event_count"], pdf["amount_sum"], pdf["distinct_payees"]), 1):
-            warming = i < cfg.warmup
-            floors = max(cfg.count_floor, math.sqrt(max(volume.mean, 0.25))), max(cfg.amount_floor, cfg.amount_relative * amount.mean)
-            volume.step(float(n), at, floors[0], warming)
-            amount.step(float(total), at, floors[1], warming)
-            open_ = [c.since for c in (volume, amount) if c.since is not None]
-            start = min(open_) if open_ else at
-            if not open_:
-                events, moved = 0, 0.0
-            elif start == at:
-                events, moved = n, total
-            else:
-                events, moved = events + n, moved + total
-            out.append((at, key[0], i, n, total, payees, volume.s, amount.s, volume.run, amount.run, volume.recent, amount.recent, volume.mean, amount.mean, volume.var, amount.var, start, events, moved))
-        return pd.DataFrame(out, columns=list(COLUMNS))
-
-    return cells.groupBy("payer").applyInPandas(run, SCHEMA)
+    """State of both charts after every bucket of every payer.
+
+    Payers are dealt into groups, and a group's payers are folded together, one bucket of each at a time; they never see
+    each other's numbers.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["payer", "bucket"], ignore_index=True)
+        start = np.flatnonzero(pdf["payer"].ne(pdf["payer"].shift()).to_numpy())
+        size = np.diff(np.append(start, len(pdf)))
+        row = np.repeat(np.arange(len(start)), size)
+        col = np.arange(len(pdf)) - start[row]
+        filled = lambda c, kind: (x := np.zeros((len(start), size.max()), dtype=kind), x.__setitem__((row, col), pdf[c].to_numpy(dtype=kind)))[0]
+        count, amount, at = filled("event_count", np.int64), filled("amount_sum", float), filled("bucket", np.int64)
+        warming = np.arange(1, size.max() + 1) < cfg.warmup
+        v = _fold(count.astype(float), warming, lambda m: np.maximum(cfg.count_floor, np.sqrt(np.maximum(m, 0.25))), cfg)
+        a = _fold(amount, warming, lambda m: np.maximum(cfg.amount_floor, cfg.amount_relative * m), cfg)
+        never = size.max() + 1
+        opened = np.minimum(*(np.where(c["since"] < 0, never, c["since"]) for c in (v, a)))
+        events, moved, window = np.zeros(count.shape, dtype=np.int64), np.zeros(count.shape), at.copy()
+        people, e, m = np.arange(len(start)), np.zeros(len(start), dtype=np.int64), np.zeros(len(start))
+        for i in range(count.shape[1]):
+            begin = opened[:, i]
+            e = np.where(begin == never, 0, np.where(begin == i, count[:, i], e + count[:, i]))
+            m = np.where(begin == never, 0.0, np.where(begin == i, amount[:, i], m + amount[:, i]))
+            events[:, i], moved[:, i], window[:, i] = e, m, at[people, np.where(begin == never, i, begin)]
+        out = pdf[["bucket", "payer", "event_count", "amount_sum", "distinct_payees"]].assign(i=col + 1, window_start=window[row, col], exc_events=events[row, col], exc_amount=moved[row, col])
+        for name, chart in (("volume", v), ("amount", a)):
+            for k in ("s", "run", "ewma", "mean", "var"):
+                out[f"{k}_{name}"] = chart[k][row, col]
+        return out[list(COLUMNS)]
+
+    groups = 4 * int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.groupBy(F.pmod(F.xxhash64("payer"), F.lit(groups)).alias("_group")).applyInPandas(run, SCHEMA)
 
 
 def assess(states: DataFrame, cfg: Drift = Drift()) -> DataFrame:
@@ -152,3 +160,13 @@ def latest(assessed: DataFrame) -> DataFrame:
 def top(assessed: DataFrame, n: int = 10) -> DataFrame:
     """Leaderboard by the larger chart; n is held to 1..100."""
     return latest(assessed).withColumn("s_max", F.greatest("s_volume", "s_amount")).orderBy(F.desc("s_max"), "payer").limit(max(1, min(100, n)))
+
+
+def tracked(assessed: DataFrame, cfg: Drift = Drift()) -> DataFrame:
+    """How many payers have a chart, and how many of these have seen enough buckets."""
+    return latest(assessed).agg(F.count("*").alias("tracked"), F.count_if(F.col("i") >= cfg.warmup).alias("warm"))
+
+
+def first_flagged(assessed: DataFrame) -> DataFrame:
+    """The first bucket of each payer that is anomalous, with the buckets seen until then."""
+    return assessed.filter("is_anomalous").groupBy("payer").agg(F.min("bucket").alias("first_bucket"), F.min("i").alias("after"), F.count("*").alias("buckets"))

@@ -154,3 +154,17 @@ def level_alerts(lv: DataFrame) -> DataFrame:
         F.col("at").alias("t"), F.lit("threat_level_change").alias("alert_type"), sev.alias("severity"), F.lit("global").alias("entity_type"), F.lit("global").alias("entity_id"),
         F.col("global_score").alias("score"), F.lit("fused").alias("source"), summary.alias("summary"), F.lit(1).alias("rank"),
     )
+
+
+def snapshots(lv: DataFrame, states: DataFrame, cfg: Fusion = Fusion()) -> DataFrame:
+    """The full picture at every tick (Q1): score, level, since when it holds, breadth, who speaks the loudest, and the strongest entities."""
+    order = Window.orderBy("tick")  # one row a tick
+    since = F.coalesce(F.last(F.when(F.col("level") != F.col("previous"), F.col("tick")), ignorenulls=True).over(order), F.first("tick").over(order))
+    claims = contributors(states, cfg).groupBy("tick").agg(F.array_sort(F.collect_list(F.struct((-F.col("claim")).alias("c"), "model", "tag"))).alias("c"))
+    best = top_entities(states, cfg).groupBy("tick").agg(F.array_sort(F.collect_list(F.struct("rank", "entity_type", "entity_id"))).alias("e"))
+    listed = lambda items, text: F.coalesce(F.array_join(F.transform(items, text), ","), F.lit(""))
+    rows = lv.withColumn("since", since).join(claims, "tick", "left").join(best, "tick", "left")
+    return rows.select(
+        "tick", "global_score", "level", "since", "lit_entities", "corroboration",
+        listed("c", lambda x: x["model"]).alias("contributors"), listed("e", lambda x: F.concat(x["entity_type"], F.lit(":"), x["entity_id"])).alias("entities"),
+    )

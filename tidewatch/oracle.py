@@ -345,6 +345,16 @@ SELECT bucket, entity_id, CASE WHEN n < 200 THEN 0.0 ELSE {R(f"list_avg(list_sor
         "drift_top": _with("drift", f"SELECT payer, i, {R('s_max', 4)} AS s_max FROM (SELECT payer, max(i) AS i, max_by(greatest(s_volume, s_amount), i) AS s_max FROM drift GROUP BY 1) ORDER BY 3 DESC, 1 LIMIT 10"),
         "drift_evidence": _with("drift", f"SELECT payer, count(*) AS buckets, max(exc_events) AS events, {R('max(exc_amount)', 2)} AS amount, {R('max(greatest(s_volume, s_amount))', 4)} AS peak FROM drift WHERE is_anomalous GROUP BY 1"),
         "drift_amplitude": _with("day_grid", f"SELECT payer AS entity, count(*) AS n, {R(f'(avg(event_count) FILTER (bucket >= {CHANGE}) - avg(event_count) FILTER (bucket < {CHANGE})) / nullif(stddev_pop(event_count) FILTER (bucket < {CHANGE}), 0)', 6)} AS shift_sigma FROM day_grid GROUP BY 1"),
+        "drift_worst": _with("drift", f"SELECT payer, i, {R('s_volume', 4)} AS s_volume, {R('s_amount', 4)} AS s_amount FROM (SELECT *, row_number() OVER (PARTITION BY payer ORDER BY i DESC) AS r FROM drift) WHERE r = 1 ORDER BY greatest(drift.s_volume, drift.s_amount) DESC, payer LIMIT 1".replace("drift.s_", "s_")),
+        "drift_tracked": _with("drift", "SELECT count(*) AS tracked, count(*) FILTER (seen >= 30) AS warm FROM (SELECT payer, max(i) AS seen FROM drift GROUP BY 1)"),
+        "drift_first_flagged": _with("drift", "SELECT payer, min(bucket) AS first_bucket, min(i) AS after, count(*) AS buckets FROM drift WHERE is_anomalous GROUP BY 1"),
+        "entity_cases": _with(
+            "ew_mean drift",
+            f""", seen AS (SELECT payer_id AS entity_id, count(*) AS events, max(t) AS last_seen FROM tele WHERE payer_id IS NOT NULL GROUP BY 1
+), base AS (SELECT entity_id, max(i) AS n, {R('max_by(event_count_mean, i)', 6)} AS mean_events FROM ew WHERE entity_type = 'payer' GROUP BY 1
+), chart AS (SELECT payer AS entity_id, {R('max_by(s_volume, i)', 4)} AS s_volume, {R('max_by(s_amount, i)', 4)} AS s_amount, max(i) AS i FROM drift GROUP BY 1)
+SELECT entity_id, n, mean_events, s_volume, s_amount, i, events, last_seen FROM seen LEFT JOIN base USING (entity_id) LEFT JOIN chart USING (entity_id)""",
+        ),
         "scores_by_model": _with("docs", "SELECT model, count(*) AS docs, count(*) FILTER (is_anomalous) AS anomalous FROM docs GROUP BY 1"),
         "max_score_over_time": _with("docs", "SELECT CAST(t // 86400 * 86400 AS BIGINT) AS bucket, entity_type, max(score) AS max_score FROM docs GROUP BY 1, 2"),
         "fusion_gate": _with("gated", "SELECT model, disposition, count(*) AS docs FROM gated GROUP BY 1, 2"),
@@ -364,12 +374,30 @@ SELECT bucket, entity_id, CASE WHEN n < 200 THEN 0.0 ELSE {R(f"list_avg(list_sor
     SELECT n.tick, n.i, p.since, p.last, n.global_score, n.level, n.level <> n.previous OR n.tick - p.since >= {EMIT} OR abs(n.global_score - p.last) >= {FU.emit_delta} AS go FROM emit p JOIN levels n ON n.i = p.i + 1) l)
 SELECT tick, window_start, global_score, level FROM emit WHERE emitted""",
         ).replace("WITH tele", "WITH RECURSIVE tele"),
+        "level_change_alerts": _with("levels", "SELECT tick AS t, CASE level WHEN 'critical' THEN 'high' WHEN 'elevated' THEN 'medium' ELSE 'low' END AS severity, global_score AS score, printf('Threat level %s -> %s (score %.2f)', previous, level, global_score) AS summary FROM levels WHERE level <> previous"),
+        "threat_snapshots": _with(
+            "levels",
+            f""", loud AS (SELECT tick, string_agg(model, ',' ORDER BY claim DESC, model) AS contributors FROM (
+  SELECT tick, model, {R('max(least(1.0, value / weight))', 4)} AS claim FROM contrib JOIN states USING (tick, entity_type, entity_id) WHERE entity_score >= 0.05 AND value >= 0.05 GROUP BY 1, 2) GROUP BY 1
+), strong AS (SELECT tick, string_agg(entity_type || ':' || entity_id, ',' ORDER BY rank) AS entities FROM (
+  SELECT *, row_number() OVER (PARTITION BY tick ORDER BY {R('entity_score', 6)} DESC, entity_type, entity_id) AS rank FROM states WHERE entity_score >= 0.05 AND entity_type <> 'global') WHERE rank <= {FU.top} GROUP BY 1)
+SELECT tick, l.global_score, level, coalesce(max(CASE WHEN level <> previous THEN tick END) OVER (ORDER BY tick), min(tick) OVER ()) AS since, coalesce(lit_entities, 0) AS lit_entities,
+  coalesce(corroboration, 0) AS corroboration, coalesce(contributors, '') AS contributors, coalesce(entities, '') AS entities
+FROM levels l LEFT JOIN pic USING (tick) LEFT JOIN loud USING (tick) LEFT JOIN strong USING (tick)""",
+        ),
         "threat_history": _with("levels", "SELECT min(global_score) AS min, max(global_score) AS max, max_by(global_score, tick) AS latest, count(*) AS points FROM (SELECT * FROM levels ORDER BY tick DESC LIMIT 120)"),
         "alerts_by_severity": _with("alerts", _terms_time("severity", 3, "alerts")),
         "alerts_by_type": _with("alerts", _terms("alert_type", 10, "alerts")),
         "alert_feed": _with("alerts", f", day AS (SELECT * FROM alerts WHERE t > {NOW - 86400} AND t <= {NOW}) SELECT t, alert_type, severity, entity_type, entity_id, source, (SELECT count(*) FROM day) AS total FROM day ORDER BY t DESC, entity_type, entity_id, alert_type, source LIMIT 30"),
         "alert_dedup": _with("sent", "SELECT t, alert_type, entity_type, entity_id, sent, suppressed_prior FROM sent"),
         "dedup_stats": _with("sent", "SELECT alert_type, count(*) FILTER (sent) AS sent, count(*) FILTER (NOT sent) AS suppressed FROM sent GROUP BY 1"),
+        "monitor_summaries": _with("monitor", f"SELECT errors || ' errors in the last {S} s' AS key, count(*) AS count, max(t) AS latest FROM monitor GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 15").replace("HAVING sum(n) > 30", "HAVING sum(n) > 20"),
+        "pulse": _with(
+            "drift monitor",
+            f""", traffic AS ({_hist(NOW - 86400, NOW, 600)}), payers AS (SELECT payer, max(i) AS seen FROM drift GROUP BY 1)
+SELECT (SELECT CAST(sum(total) AS BIGINT) FROM traffic) AS total, (SELECT CAST(sum(errors) AS BIGINT) FROM traffic) AS errors, (SELECT CAST(sum(attacks) AS BIGINT) FROM traffic) AS attacks,
+  (SELECT count(*) FROM payers) AS tracked, (SELECT count(*) FROM payers WHERE seen >= 30) AS warm, (SELECT count(*) FROM monitor) AS alerts, (SELECT max(errors) FROM monitor) AS most""",
+        ).replace("HAVING sum(n) > 30", "HAVING sum(n) > 20"),
         "error_monitor_sliding": _with("monitor", f"SELECT t, errors, errors || ' errors in the last {S} s' AS summary FROM monitor"),
         "notification_text": _with(
             "monitor",

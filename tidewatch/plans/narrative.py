@@ -7,18 +7,12 @@ from __future__ import annotations
 
 import json
 
-#: Tags in plain words.
-WORDS = {
-    "rate_spike": "a spike in request rate", "payload_anomaly": "unusual payload sizes", "error_ratio_spike": "a rise in errors", "multivariate_outlier": "an unusual shape of traffic",
-    "sqli_probe": "SQL injection probes", "path_traversal": "path traversal attempts", "scanner_probe": "scanner probes", "auth_failure": "repeated failed logins",
-    "slow_exfiltration": "slow cumulative drift", "log_classification": "suspicious log content", "anomalous": "anomalous activity",
-}
 HEADLINES = {"normal": "Traffic is normal", "elevated": "Threat level is elevated", "critical": "Threat level is critical"}
 
 
 def words(tag: str) -> str:
-    """A tag's words; an unknown one is read as its name."""
-    return WORDS.get(tag) or tag.replace("_", " ").strip() or WORDS["anomalous"]
+    """A tag is read as its name."""
+    return " ".join(tag.split("_")).strip() or "anomaly"
 
 
 def listed(items: list[str]) -> str:

@@ -356,6 +356,31 @@ def drift_top(spark, sf_dir):
     return drift.top(drift_states(spark, sf_dir), 10).select("payer", "i", rnd(F.col("s_max"), 4).alias("s_max"))
 
 
+@query
+def drift_worst(spark, sf_dir):
+    return serving.worst_drift(drift.latest(drift_states(spark, sf_dir))).select("payer", "i", rnd(F.col("s_volume"), 4).alias("s_volume"), rnd(F.col("s_amount"), 4).alias("s_amount"))
+
+
+@query
+def drift_tracked(spark, sf_dir):
+    return drift.tracked(drift_states(spark, sf_dir))
+
+
+@query
+def drift_first_flagged(spark, sf_dir):
+    return drift.first_flagged(drift_states(spark, sf_dir))
+
+
+@query
+def entity_cases(spark, sf_dir):
+    """Baseline, drift state and number of events of every payer."""
+    rows = tele(spark, sf_dir)
+    events = rows.filter("payer_id IS NOT NULL").groupBy(F.lit("payer").alias("entity_type"), F.col("payer_id").alias("entity_id")).agg(F.count("*").alias("events"), F.max("t").alias("last_seen"))
+    base = rate.baselines(feats(spark, sf_dir), final=True).select("entity_type", "entity_id", "n", rnd(F.col("event_count_mean"), 6).alias("mean_events"))
+    case = serving.entity_case(events.select("entity_type", "entity_id"), base, drift.latest(drift_states(spark, sf_dir)), events)
+    return case.select("entity_id", "n", "mean_events", *[rnd(F.col(c), 4).alias(c) for c in ("s_volume", "s_amount")], "i", "events", "last_seen")
+
+
 @query
 def drift_evidence(spark, sf_dir):
     return serving.evidence(drift_states(spark, sf_dir))
@@ -439,6 +464,17 @@ def threat_history(spark, sf_dir):
     return serving.history(levels(spark, sf_dir))
 
 
+@query
+def threat_snapshots(spark, sf_dir):
+    st = states(spark, sf_dir)
+    return fusion.snapshots(fusion.levels(spark, fusion.picture(st), START, TICK, END), st)
+
+
+@query
+def level_change_alerts(spark, sf_dir):
+    return fusion.level_alerts(levels(spark, sf_dir)).select("t", "severity", "score", "summary")
+
+
 # -- alerts -------------------------------------------------------------------------------------------------------------
 
 
@@ -474,6 +510,24 @@ def error_monitor_sliding(spark, sf_dir):
     return dedup.monitor(tele(spark, sf_dir), SECONDS, SECONDS // 6, 30).select("t", "errors", "summary")
 
 
+@query
+def monitor_summaries(spark, sf_dir):
+    """Summaries of the error monitor by when they last came."""
+    return serving.feed_by_summary(dedup.monitor(tele(spark, sf_dir), SECONDS, SECONDS // 6, 20))
+
+
+@query
+def pulse(spark, sf_dir):
+    """Traffic, drift and the monitor side by side."""
+    rows = tele(spark, sf_dir)
+    parts = {
+        "traffic": serving.totals(serving.traffic(rows, "24h", NOW), ["total", "errors", "attacks"]),
+        "drift": drift.tracked(drift_states(spark, sf_dir)),
+        "monitor": dedup.monitor(rows, SECONDS, SECONDS // 6, 20).agg(F.count("*").alias("alerts"), F.max("errors").alias("most")),
+    }
+    return serving.pulse(parts).select("traffic.*", "drift.*", "monitor.*")
+
+
 @query
 def notification_text(spark, sf_dir):
     rows = dedup.throttle(dedup.monitor(tele(spark, sf_dir), SECONDS, SECONDS // 6, 30).drop("errors", "rank"), DEDUP + 1)

@@ -44,3 +44,8 @@ def fan_out(*writers: Callable[[DataFrame], None]) -> Callable[[DataFrame, int],
             batch.unpersist()
 
     return run
+
+
+def csv(df: DataFrame, path: str) -> None:
+    """Flat rows as CSV with a header, one file for each partition."""
+    df.write.mode("overwrite").option("header", True).csv(path)

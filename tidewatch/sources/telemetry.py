@@ -60,7 +60,7 @@ def telemetry(events: DataFrame) -> DataFrame:
     copies = F.when(burst, 5).when(drift, 6).otherwise(1)
     base = events.select("event_id", epoch().alias("t"), "user_id", "event_type", F.col("value").alias("amount"))
     base = base.withColumn("rep", F.explode(F.sequence(F.lit(0), copies - 1)))
-    base = base.withColumn("t", F.when(burst, t).otherwise(t + F.col("rep") * SPREAD)).filter(t < UNTIL)
+    base = base.withColumn("t", F.when(burst, t).otherwise(t + F.col("rep") * SPREAD)).filter((F.col("rep") == 0) | (t < UNTIL))
     again = F.col("rep") > 0
     kind = e % 60
     who = F.concat(F.lit("user-"), F.col("user_id").cast("string"))
@@ -109,7 +109,7 @@ tele_base AS (
   SELECT event_id, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS t, user_id, event_type, value AS amount FROM events
 ), tele_rep AS (
   SELECT * FROM (SELECT b.* EXCLUDE (t), CASE WHEN t >= {BURST[0]} AND t < {BURST[1]} THEN t ELSE t + r.rep * {SPREAD} END AS t, r.rep FROM tele_base b JOIN (SELECT unnest(range(6)) AS rep) r
-  ON r.rep < CASE WHEN t >= {BURST[0]} AND t < {BURST[1]} THEN 5 WHEN user_id = {DRIFT_USER} AND t >= {DRIFT_FROM} THEN 6 ELSE 1 END) WHERE t < {UNTIL}
+  ON r.rep < CASE WHEN t >= {BURST[0]} AND t < {BURST[1]} THEN 5 WHEN user_id = {DRIFT_USER} AND t >= {DRIFT_FROM} THEN 6 ELSE 1 END) WHERE rep = 0 OR t < {UNTIL}
 ), tele_cols AS (
   SELECT *, CASE WHEN event_id % 97 = 0 THEN NULL ELSE 'user-' || user_id END AS payer_id,
     'merchant-' || (event_id % 200) AS payee_id,
