@@ -46,15 +46,17 @@ def contributions(gated: DataFrame, cfg: Fusion = Fusion(), halflife: float | No
     """Each hit with its weighted claim, its tag and when the next hit of its entity and model takes over.
 
     Decay commutes with the maximum: claim * 2 ^ -((now - t) / halflife) is ordered as log2(claim) + t / halflife, so the
-    value that a fold would hold is a running maximum over the entity's hits.
+    value that a fold would hold is a running maximum over the entity's hits; ``held`` and ``held_t`` are the claim that
+    holds it and its time, as decay is more exact from them than from the logarithm.
     """
     half = halflife or cfg.halflife
     weights = F.create_map(*[F.lit(x) for kv in cfg.weights.items() for x in kv])
     rows = gated.filter("disposition = 'folded'").withColumn("weight", F.coalesce(weights[F.col("model")], F.lit(cfg.default_weight)))
     rows = rows.withColumns({"claim": F.col("weight") * F.least("score", F.lit(1.0)), "tag": tag()})
     order = Window.partitionBy("entity_type", "entity_id", "model").orderBy("t")
-    rows = rows.withColumn("level", F.max(F.log2("claim") + F.col("t") / half).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.withColumn("next_t", F.lead("t").over(order)).select("entity_type", "entity_id", "model", "t", "next_t", "weight", "claim", "tag", "level")
+    best = F.max(F.struct((F.log2("claim") + F.col("t") / half).alias("level"), "claim", "t")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_b", best).withColumn("next_t", F.lead("t").over(order))
+    return rows.select("entity_type", "entity_id", "model", "t", "next_t", "weight", "claim", "tag", "_b.level", F.col("_b.claim").alias("held"), F.col("_b.t").alias("held_t"))
 
 
 def at_ticks(hits: DataFrame, start: int, step: int, end: int, halflife: float) -> DataFrame:
@@ -66,7 +68,7 @@ def at_ticks(hits: DataFrame, start: int, step: int, end: int, halflife: float)
     until = F.least(F.coalesce(F.col("next_t") - 1, F.lit(end)), F.col("t") + int(HORIZON * halflife), F.lit(end))
     last = F.floor((until - start) / step)
     rows = hits.filter(last >= first).withColumn("_k", F.explode(F.sequence(first.cast("long"), last.cast("long")))).withColumn("tick", F.col("_k") * step + start).drop("_k")
-    return rows.withColumn("value", F.pow(F.lit(2.0), F.col("level") - F.col("tick") / halflife))
+    return rows.withColumn("value", F.col("held") * F.pow(F.lit(2.0), (F.col("held_t") - F.col("tick")) / halflife))
 
 
 def entity_states(values: DataFrame, cfg: Fusion = Fusion()) -> DataFrame:
