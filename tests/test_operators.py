@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import queries
 from tidewatch.config import Drift, Fusion, Rate
-from tidewatch.functions import logs
+from tidewatch.functions import common, logs
 from tidewatch.operators import content, dedup, drift, evaluate, fusion, multivariate, normalize, rate, templates
 from tidewatch.plans import narrative, serving
 from tidewatch.sources import sinks, telemetry
@@ -257,8 +257,63 @@ def test_neighbours_of_all_vectors_in_the_whole_reservoir(spark, sf):
     assert got == pytest.approx(dict(zip(zip(rows["bucket"], rows["entity_id"]), ratio)), abs=1e-5)
 
 
+def _refit_fold(feats, cfg):
+    """Scores bucket after bucket by the model fitted last, as a stream would."""
+    of = {}
+    for r in multivariate.vectors(feats).orderBy("bucket", "first.t", "first.event_id", "first.rep", "entity_id").collect():
+        of.setdefault(r["bucket"], []).append((r["entity_id"], [float(r[c]) for c in multivariate.VECTOR]))
+    held, model, since, found, fits = [], None, 0, {}, 0
+    for b in sorted(r["bucket"] for r in feats.filter("entity_type = 'global'").collect()):
+        here = of.get(b, [])
+        scores = model.score(np.array([v for _, v in here]))["mv_score"] if model and here else [0.0] * len(here)
+        found.update({(b, e): m for (e, _), m in zip(here, scores)})
+        held, since = (held + [v for _, v in here])[-cfg.reservoir :], since + 1
+        if since >= cfg.refit and len(held) >= cfg.min_fit:
+            model, since, fits = multivariate.Model(np.array(held), cfg), 0, fits + 1
+    return found, fits
+
+
+@pytest.mark.parametrize("cfg", [Rate(), Rate(reservoir=70, min_fit=50, refit=9)])
+def test_refits_are_those_of_a_fold(spark, sf, cfg, monkeypatch):
+    monkeypatch.setattr(multivariate, "CHUNK", 40)
+    feats = queries.feats(spark, sf).cache()
+    want, fits = _refit_fold(feats, cfg)
+    got = multivariate.score_by_epochs(multivariate.vectors(feats), feats.filter("entity_type = 'global'").select("bucket"), cfg).collect()
+    assert fits > 1 and len(got) == len(want) and {(r["bucket"], r["entity_id"]): r["mv_score"] for r in got} == pytest.approx(want, abs=1e-9)
+    few = multivariate.score_by_epochs(multivariate.vectors(feats), feats.filter("entity_type = 'global'").select("bucket"), Rate(min_fit=10**6))
+    assert few.filter("mv_score != 0").count() == 0 and few.count() == len(want)
+    feats.unpersist()
+
+
+def test_dates_ids_rates_and_classes(spark):
+    days = spark.createDataFrame([("01/04/2010 07:31:14",), (" 1/4/2010 7:31:14 ",), ("31/12/2010 00:00:00",), ("",), (None,)], "c string").select(common.epoch_day(F.col("c")).alias("d"))
+    assert [r["d"] for r in days.collect()] == [14613, 14613, None, None, None]
+    alert = spark.createDataFrame([("rate", "a", "payer", "x", 1), ("rate", "a", "payer", None, 1), ("rate", "a", "payer", "x", 2)], "source string, alert_type string, entity_type string, entity_id string, t long")
+    ids = [r[0] for r in alert.select(common.alert_id()).collect()]
+    assert len(set(ids)) == 3 and ids == [r[0] for r in alert.select(common.alert_id()).collect()]
+    rates = spark.createDataFrame([(1, 2.0), (1, None), (2, None), (3, 0.0)], "t long, rate double")
+    assert {r["t"]: r["total_rate"] for r in evaluate.total_rate(rates, ["t"]).collect()} == {1: 2.0, 2: None, 3: 0.0}
+    taken = spark.createDataFrame([(0.0, 0.0), (0.0, 2.0), (1.0, 1.0), (2.0, 2.0)], "label double, prediction double")
+    assert sorted(tuple(r) for r in evaluate.class_confusion(taken).collect()) == [(0, 1, 0, 1, 0.75), (1, 0, 1, 0, 0.75), (2, 0, 0, 1, 0.75)]
+    assert evaluate.class_confusion(taken.limit(0)).count() == 0
+
+
+def test_content_model_on_held_out_addresses(spark, sf):
+    rows = queries.content_model_holdout(spark, sf).collect()
+    held = queries.content_windows(spark, sf).filter("crc32(client_ip) % 5 = 0").count()
+    assert sum(r[f"as_{k}"] for r in rows for k in range(3)) == held > 0 and rows[0]["accuracy"] >= 0.97
+    content.check_contract(list(content.FEATURES), rows[0]["accuracy"])
+
+
+def test_suspects_have_a_reason_of_each_model(spark):
+    claims = [(0.9, "rate", "rate_spike"), (0.5, "content", "sqli_probe"), (0.3, "drift", None)]
+    states = spark.createDataFrame([(0, "payer", f"p{i}", 0.9 - i / 10, 3, claims) for i in range(8)], "tick long, entity_type string, entity_id string, entity_score double, active_models long, claims array<struct<claim double, model string, tag string>>")
+    rows = fusion.suspects(states, n=3, shown=2).orderBy("rank").collect()
+    assert [(r["entity_id"], r["reasons"]) for r in rows] == [(f"p{i}", ["content:sqli_probe", "drift:"]) for i in range(3)]
+
+
 def test_rate_score_is_the_maximum_with_the_multivariate_one(spark, sf):
-    mv = {(r["bucket"], r["entity_id"]): r["mv_score"] for r in queries.isolation_scores(spark, sf).collect()}
+    mv, _ = _refit_fold(queries.feats(spark, sf), Rate())
     want, odd = {}, 0
     for r in rate.z_scores(queries.feats(spark, sf)).collect():
         key, cfg = (r["bucket"], r["entity_type"], r["entity_id"]), Rate()

@@ -34,3 +34,13 @@ def number(c: Column, digits: int) -> Column:
 def thousands(c: Column) -> Column:
     """Whole numbers with separators."""
     return F.format_number(c, 0)
+
+
+def epoch_day(c: Column) -> Column:
+    """Days since 1970 of a date like 01/04/2010 07:31:14, month first; null where it is none."""
+    return F.datediff(F.try_to_timestamp(F.trim(c), F.lit("M/d/yyyy H:m:s")), F.lit("1970-01-01").cast("date"))
+
+
+def alert_id(keys: tuple[str, ...] = ("source", "alert_type", "entity_type", "entity_id", "t")) -> Column:
+    """A digest of what names an alert (F34): a job that runs again gives it the same id, unlike a random one."""
+    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]), 256)

@@ -107,6 +107,13 @@ def train_model(win: DataFrame, trees: int = 40, depth: int = 3, seed: int = 133
     return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), OneVsRest(classifier=gbt)]).fit(labelled)
 
 
+def holdout(win: DataFrame, part: int = 5, **training) -> DataFrame:
+    """``label, prediction`` of the addresses whose checksum falls in one of ``part`` parts, by a model of the others."""
+    held = F.crc32(F.col("client_ip").cast("binary")) % part == 0
+    model = train_model(win.filter(~held), **training)
+    return model.transform(win.filter(held).withColumn("label", rule_level(Content().storm).cast("double"))).select("label", "prediction")
+
+
 def check_contract(names: list[str], accuracy: float, least: float = 0.97) -> None:
     """A model whose inputs differ or whose accuracy is too low is refused (M7)."""
     if tuple(names) != FEATURES:

@@ -1,4 +1,4 @@
-"""Detection quality and load measurements."""
+"""Detection quality and load measurements."""
 
 from __future__ import annotations
 
@@ -29,6 +29,17 @@ def recall_by(truth: DataFrame, flagged: DataFrame, keys: list[str], kinds: str)
     return rows.groupBy("kind").agg(F.count("*").alias("windows"), F.count_if("flagged").alias("found")).withColumn("recall", rnd(F.col("found") / F.col("windows"), 4))
 
 
+def class_confusion(rows: DataFrame, classes: int = 3) -> DataFrame:
+    """Of each true class how many rows are taken for which, and the share of right ones among all.
+
+    ``rows`` has label and prediction, from 0 on.
+    """
+    every = Window.partitionBy()  # one row a class
+    counts = [F.count_if(F.col("prediction") == k).alias(f"as_{k}") for k in range(classes)]
+    cells = rows.groupBy(F.col("label").cast("int").alias("label")).agg(*counts, F.count_if(F.col("prediction") == F.col("label")).alias("right"), F.count("*").alias("n"))
+    return cells.withColumn("accuracy", rnd(F.sum("right").over(every) / F.sum("n").over(every), 4)).drop("right", "n")
+
+
 def amplitude(series: DataFrame, since) -> DataFrame:
     """Shift of each entity's mean from ``since`` on in deviations of what came before (A27). ``series`` has entity, x and at."""
     before = F.col("at") < since
@@ -63,6 +74,11 @@ def counter_rates(samples: DataFrame, counter: str, by: list[str]) -> DataFrame:
     return samples.withColumn("rate", F.when((change >= 0) & (time > 0), rnd(change / time, 6)))
 
 
+def total_rate(rates: DataFrame, by: list[str]) -> DataFrame:
+    """Sum of the known rates; null where none is known."""
+    return rates.groupBy(*by).agg(rnd(F.sum("rate"), 6).alias("total_rate"))
+
+
 def throughput(samples: DataFrame, counters: list[str], by: list[str]) -> DataFrame:
     """Growth of each counter over the span, nulls aside."""
     delta = lambda c: (F.max_by(c, F.when(F.col(c).isNotNull(), F.col("t"))) - F.min_by(c, F.when(F.col(c).isNotNull(), F.col("t")))).alias(f"{c}_delta")

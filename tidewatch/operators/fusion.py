@@ -106,6 +106,13 @@ def top_entities(states: DataFrame, cfg: Fusion = Fusion()) -> DataFrame:
     return rows.withColumn("rank", rank).filter(F.col("rank") <= cfg.top)
 
 
+def suspects(states: DataFrame, n: int = 6, shown: int = 4, cfg: Fusion = Fusion()) -> DataFrame:
+    """The first n of each tick's strongest entities with the first few of their reasons, one for each model."""
+    reason = lambda c: F.concat(c["model"], F.lit(":"), F.coalesce(c["tag"], F.lit("")))
+    reasons = F.slice(F.array_sort(F.transform("claims", reason)), 1, shown)
+    return top_entities(states, cfg).filter(F.col("rank") <= n).withColumn("reasons", reasons)
+
+
 def spine(spark, start: int, step: int, end: int) -> DataFrame:
     """All ticks (ST8)."""
     return spark.range(0, (end - start) // step + 1).select((F.col("id") * step + start).alias("tick"))

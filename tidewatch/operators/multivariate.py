@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.config import Rate
@@ -97,35 +97,105 @@ def knn_reference(points: np.ndarray, k: int) -> float:
     return max(float(np.percentile(np.concatenate(means), 99)), 1e-6)
 
 
+class Model:
+    """Scaler, forest and neighbours of a reservoir's points (M1, M2)."""
+
+    def __init__(self, points: np.ndarray, cfg: Rate) -> None:
+        self.mean, self.std, self.k = points.mean(axis=0), points.std(axis=0), cfg.neighbours
+        self.std[self.std == 0] = 1.0
+        self.points = (points - self.mean) / self.std
+        self.forest, self.reference = Forest(self.points), knn_reference(self.points, cfg.neighbours)
+
+    def score(self, x: np.ndarray) -> pd.DataFrame:
+        x = (x - self.mean) / self.std
+        iso = np.clip(-self.forest.decision(x) / 0.15, 0, 1)
+        near = [np.zeros(0)]
+        for i in range(0, len(x), 256):
+            d = np.sqrt(((x[i : i + 256, None, :] - self.points[None, :, :]) ** 2).sum(axis=2))
+            near.append(np.partition(d, self.k - 1, axis=1)[:, : self.k].mean(axis=1))
+        ratio = np.concatenate(near) / self.reference
+        return pd.DataFrame({"iso": iso, "knn_ratio": ratio, "mv_score": np.maximum(iso, np.clip((ratio - 1.0) / 2.0, 0, 1))})
+
+
+SCORES = ("iso", "knn_ratio", "mv_score")
+
+
+def unscored(vecs: DataFrame) -> DataFrame:
+    """Vectors that no model rules score 0."""
+    return vecs.withColumns({c: F.lit(0.0) for c in SCORES})
+
+
 def score(vecs: DataFrame, res: DataFrame, cfg: Rate = Rate()) -> DataFrame:
-    """``iso``, ``knn`` and ``mv_score`` of every vector against a reservoir; 0 while it has too few (M1-M3).
+    """``iso``, ``knn_ratio`` and ``mv_score`` of every vector against a reservoir; 0 while it has too few (M1-M3).
 
     The reservoir is bounded by its definition, so it and the forest travel with the tasks; vectors stay where they are.
     """
     points = np.array([[r[c] for c in VECTOR] for r in res.select(*VECTOR).collect()], dtype=float).reshape(-1, len(VECTOR))
     if len(points) < cfg.min_fit:
-        return vecs.withColumns({"iso": F.lit(0.0), "knn_ratio": F.lit(0.0), "mv_score": F.lit(0.0)})
-    mean, std = points.mean(axis=0), points.std(axis=0)
-    std[std == 0] = 1.0
-    scaled = (points - mean) / std
-    forest, reference = Forest(scaled), knn_reference(scaled, cfg.neighbours)
+        return unscored(vecs)
+    model = Model(points, cfg)
 
     @F.pandas_udf("iso double, knn_ratio double, mv_score double")
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for cols in batches:
-            x = (np.stack([c.to_numpy(dtype=float) for c in cols], axis=1) - mean) / std
-            iso = np.clip(-forest.decision(x) / 0.15, 0, 1)
-            near = []
-            for i in range(0, len(x), 256):
-                d = np.sqrt(((x[i : i + 256, None, :] - scaled[None, :, :]) ** 2).sum(axis=2))
-                near.append(np.partition(d, cfg.neighbours - 1, axis=1)[:, : cfg.neighbours].mean(axis=1))
-            ratio = np.concatenate(near) / reference if near else np.zeros(0)
-            knn = np.clip((ratio - 1.0) / 2.0, 0, 1)
-            yield pd.DataFrame({"iso": iso, "knn_ratio": ratio, "mv_score": np.maximum(iso, knn)})
+            yield model.score(np.stack([c.to_numpy(dtype=float) for c in cols], axis=1))
 
     return vecs.withColumn("_s", run(*[F.col(c) for c in VECTOR])).select("*", "_s.*").drop("_s")
 
 
+#: Vectors that one call of a fitted model scores.
+CHUNK = 50_000
+
+
+def refits(vecs: DataFrame, spine: DataFrame, cfg: Rate = Rate()) -> DataFrame:
+    """``bucket, before, seen, fit``: vectors before and up to a bucket, and how many had come at the fit that rules it (M4).
+
+    A model is fitted after a bucket once ``cfg.refit`` buckets have passed since the last fit and the reservoir has
+    enough, and rules from the next bucket on; ``fit`` is null before the first.  ``spine`` has each finalized bucket
+    once, one row of a few numbers, so that its order may be one task's.
+    """
+    order, every = Window.orderBy("bucket"), Window.partitionBy()
+    rows = spine.join(vecs.groupBy("bucket").agg(F.count("*").alias("n")), "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
+    rows = rows.select("bucket", (F.row_number().over(order) - 1).alias("i"), F.sum("n").over(order).alias("seen"), "n")
+    rows = rows.withColumn("first_fit", F.min(F.when((F.col("i") >= cfg.refit - 1) & (F.col("seen") >= cfg.min_fit), F.col("i"))).over(every))
+    rows = rows.withColumn("fits", (F.col("i") >= F.col("first_fit")) & ((F.col("i") - F.col("first_fit")) % cfg.refit == 0))
+    ruling = F.last(F.when(F.col("fits"), F.col("seen")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.select("bucket", (F.col("seen") - F.col("n")).alias("before"), "seen", ruling.alias("fit"))
+
+
+def score_by_epochs(vecs: DataFrame, spine: DataFrame, cfg: Rate = Rate()) -> DataFrame:
+    """``bucket, entity_id`` and scores of every vector by the model in force when its bucket closed (M3, M4).
+
+    A vector's place in order of arrival says in which block of ``cfg.reservoir`` places it stands; a reservoir lies in two
+    blocks at most, so it is gathered by an equi-join.  A group is one reservoir and a chunk of the vectors that its model rules.
+    """
+    ruled = refits(vecs, spine, cfg)
+    arrival = Window.partitionBy("bucket").orderBy("first.t", "first.event_id", "first.rep", "entity_id")
+    placed = vecs.withColumn("_r", F.row_number().over(arrival)).join(ruled.select("bucket", "before"), "bucket")
+    placed = placed.select(*VECTOR, (F.col("before") + F.col("_r") - 1).alias("place"))
+    last = F.floor((F.col("fit") - 1) / cfg.reservoir)
+    fits = ruled.filter("fit IS NOT NULL").groupBy("fit").agg(F.sum(F.col("seen") - F.col("before")).alias("n"))
+    wanted = fits.select("fit", F.explode(F.array(last, last - 1)).alias("block")).filter("block >= 0")
+    held = placed.withColumn("block", F.floor(F.col("place") / cfg.reservoir)).join(wanted, "block")
+    held = held.filter((F.col("place") < F.col("fit")) & (F.col("place") >= F.col("fit") - cfg.reservoir)).select("fit", "place", *VECTOR)
+    chunks = F.ceil(F.col("n") / CHUNK)
+    spread = fits.filter("n > 0").select("fit", F.explode(F.sequence(F.lit(0), (chunks - 1).cast("int"))).alias("chunk"))
+    points = held.join(spread, "fit").select(F.col("fit").alias("of"), F.col("chunk").alias("part"), "place", *[F.col(c).alias(f"{c}_held") for c in VECTOR])
+    rows = vecs.join(ruled.select("bucket", "fit"), "bucket").select("bucket", "entity_id", *VECTOR, "fit")
+    live = rows.filter("fit IS NOT NULL").join(fits, "fit").withColumn("chunk", F.pmod(F.xxhash64("bucket", "entity_id"), chunks).cast("int")).drop("n")
+
+    def run(mine: pd.DataFrame, reservoir: pd.DataFrame) -> pd.DataFrame:
+        found = mine[["bucket", "entity_id"]].reset_index(drop=True)
+        if not len(mine):
+            return found.assign(**{c: 0.0 for c in SCORES})
+        model = Model(reservoir.sort_values("place")[[f"{c}_held" for c in VECTOR]].to_numpy(dtype=float), cfg)
+        return pd.concat([found, model.score(mine[list(VECTOR)].to_numpy(dtype=float))], axis=1)
+
+    kind = vecs.schema["entity_id"].dataType.simpleString()
+    scored = live.groupBy("fit", "chunk").cogroup(points.groupBy("of", "part")).applyInPandas(run, f"bucket long, entity_id {kind}, iso double, knn_ratio double, mv_score double")
+    return scored.unionByName(unscored(rows.filter("fit IS NULL").select("bucket", "entity_id")))
+
+
 def nearest(vecs: DataFrame, res: DataFrame, k: int = 5) -> DataFrame:
     """Mean distance of each vector to its k nearest points of the bounded reservoir, in DataFrame operations only (M2).
 

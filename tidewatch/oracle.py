@@ -384,10 +384,19 @@ SELECT tick, window_start, global_score, level FROM emit WHERE emitted""",
 SELECT tick, l.global_score, level, coalesce(max(CASE WHEN level <> previous THEN tick END) OVER (ORDER BY tick), min(tick) OVER ()) AS since, coalesce(lit_entities, 0) AS lit_entities,
   coalesce(corroboration, 0) AS corroboration, coalesce(contributors, '') AS contributors, coalesce(entities, '') AS entities
 FROM levels l LEFT JOIN pic USING (tick) LEFT JOIN loud USING (tick) LEFT JOIN strong USING (tick)""",
+        ),
+        "suspects": _with(
+            "states",
+            f""", spoken AS (SELECT tick, entity_type, entity_id, model, arg_max(tag, claim * pow(2.0, (t - tick) / {HALFLIFE})) AS tag, max(claim * pow(2.0, (t - tick) / {HALFLIFE})) AS value
+  FROM ticks JOIN hits ON t <= tick AND tick <= t + {int(30 * HALFLIFE)} GROUP BY 1, 2, 3, 4
+), why AS (SELECT tick, entity_type, entity_id, string_agg(model || ':' || coalesce(tag, ''), ',' ORDER BY model) AS reasons FROM spoken WHERE value >= 0.05 GROUP BY 1, 2, 3
+), strong AS (SELECT *, row_number() OVER (PARTITION BY tick ORDER BY {R('entity_score', 6)} DESC, entity_type, entity_id) AS rank FROM states WHERE entity_score >= 0.05 AND entity_type <> 'global')
+SELECT tick, rank, entity_type, entity_id, coalesce(reasons, '') AS reasons FROM strong LEFT JOIN why USING (tick, entity_type, entity_id) WHERE rank <= {min(6, FU.top)}""",
         ),
         "threat_history": _with("levels", "SELECT min(global_score) AS min, max(global_score) AS max, max_by(global_score, tick) AS latest, count(*) AS points FROM (SELECT * FROM levels ORDER BY tick DESC LIMIT 120)"),
         "alerts_by_severity": _with("alerts", _terms_time("severity", 3, "alerts")),
         "alerts_by_type": _with("alerts", _terms("alert_type", 10, "alerts")),
+        "alert_ids": _with("alerts", "SELECT t, source, sha256(concat_ws('|', source, alert_type, entity_type, coalesce(entity_id, ''), CAST(CAST(t AS BIGINT) AS VARCHAR))) AS alert_id FROM alerts"),
         "alert_feed": _with("alerts", f", day AS (SELECT * FROM alerts WHERE t > {NOW - 86400} AND t <= {NOW}) SELECT t, alert_type, severity, entity_type, entity_id, source, (SELECT count(*) FROM day) AS total FROM day ORDER BY t DESC, entity_type, entity_id, alert_type, source LIMIT 30"),
         "alert_dedup": _with("sent", "SELECT t, alert_type, entity_type, entity_id, sent, suppressed_prior FROM sent"),
         "dedup_stats": _with("sent", "SELECT alert_type, count(*) FILTER (sent) AS sent, count(*) FILTER (NOT sent) AS suppressed FROM sent GROUP BY 1"),
@@ -410,6 +419,7 @@ SELECT t, '[MEDIUM] error_rate_spike global:global - ' || errors || ' errors in
         "confusion_metrics": _with("truth", f"SELECT tp, fp, fn, tn, {rate('tp', '(tp + fp)')} AS precision, {rate('tp', '(tp + fn)')} AS recall, {rate('2 * tp', '(2 * tp + fp + fn)')} AS f1, {rate('fp', '(fp + tn)')} AS fp_rate FROM (SELECT count(*) FILTER (attack AND flagged) AS tp, count(*) FILTER (NOT attack AND flagged) AS fp, count(*) FILTER (attack AND NOT flagged) AS fn, count(*) FILTER (NOT attack AND NOT flagged) AS tn FROM judged)"),
         "family_recall": _with("truth", f"SELECT kind, count(*) AS windows, count(*) FILTER (flagged) AS found, {R('count(*) FILTER (flagged) / count(*)', 4)} AS recall FROM (SELECT unnest(kinds) AS kind, flagged FROM judged) GROUP BY 1"),
         "counter_rates": _with("samples", f"SELECT event_type, t, counter, CASE WHEN counter >= lag(counter) OVER w THEN {R('(counter - lag(counter) OVER w) / (t - lag(t) OVER w)', 6)} END AS rate FROM samples WINDOW w AS (PARTITION BY event_type ORDER BY t)"),
+        "counter_rate_total": _with("samples", f"SELECT t, {R('sum(rate)', 6)} AS total_rate FROM (SELECT t, CASE WHEN counter >= lag(counter) OVER w THEN {R('(counter - lag(counter) OVER w) / (t - lag(t) OVER w)', 6)} END AS rate FROM samples WINDOW w AS (PARTITION BY event_type ORDER BY t)) GROUP BY t"),
         "counter_throughput": _with("samples", "SELECT event_type, max(t) - min(t) AS span, max_by(counter, t) - min_by(counter, t) AS counter_delta FROM samples GROUP BY 1"),
         "growth_streaks": _with("samples", ", g AS (SELECT *, coalesce(counter > lag(counter) OVER (PARTITION BY event_type ORDER BY t), false) AS up FROM samples), isl AS (SELECT *, sum(CASE WHEN up THEN 0 ELSE 1 END) OVER (PARTITION BY event_type ORDER BY t) AS island FROM g), s AS (SELECT event_type, t, count(*) FILTER (up) OVER (PARTITION BY event_type, island ORDER BY t) AS streak FROM isl) SELECT * FROM s WHERE streak >= 3"),
     }

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions.common import bucket, rnd
+from tidewatch.functions.common import alert_id, bucket, rnd
 from tidewatch.operators import buckets, content, dedup, drift, evaluate, fusion, multivariate, normalize, rate, templates
 from tidewatch.plans import serving
 from tidewatch.sources import telemetry as source
@@ -36,7 +36,8 @@ def feats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rate_scored(f: DataFrame, whole: bool) -> DataFrame:
     """Rate scores; ``whole`` has the multivariate component too (M3), which SQL cannot follow."""
     v = multivariate.vectors(f)
-    mv = multivariate.score(v, multivariate.reservoir(v, END)).select("bucket", "entity_id", "mv_score") if whole else None
+    spine = f.filter("entity_type = 'global'").select("bucket")
+    mv = multivariate.score_by_epochs(v, spine).select("bucket", "entity_id", "mv_score") if whole else None
     return rate.score(rate.z_scores(f), multivariate=mv)
 
 
@@ -470,6 +471,12 @@ def threat_snapshots(spark, sf_dir):
     return fusion.snapshots(fusion.levels(spark, fusion.picture(st), START, TICK, END), st)
 
 
+@query
+def suspects(spark, sf_dir):
+    rows = fusion.suspects(states(spark, sf_dir))
+    return rows.select("tick", "rank", "entity_type", "entity_id", F.array_join("reasons", ",").alias("reasons"))
+
+
 @query
 def level_change_alerts(spark, sf_dir):
     return fusion.level_alerts(levels(spark, sf_dir)).select("t", "severity", "score", "summary")
@@ -505,6 +512,11 @@ def dedup_stats(spark, sf_dir):
     return rows.groupBy("alert_type").agg(F.count_if("sent").alias("sent"), F.count_if(~F.col("sent")).alias("suppressed"))
 
 
+@query
+def alert_ids(spark, sf_dir):
+    return scorer_alerts(spark, sf_dir).select("t", "source", alert_id().alias("alert_id"))
+
+
 @query
 def error_monitor_sliding(spark, sf_dir):
     return dedup.monitor(tele(spark, sf_dir), SECONDS, SECONDS // 6, 30).select("t", "errors", "summary")
@@ -571,6 +583,11 @@ def counter_rates(spark, sf_dir):
     return evaluate.counter_rates(_samples(spark, sf_dir), "counter", ["event_type"])
 
 
+@query
+def counter_rate_total(spark, sf_dir):
+    return evaluate.total_rate(evaluate.counter_rates(_samples(spark, sf_dir), "counter", ["event_type"]), ["t"])
+
+
 @query
 def counter_throughput(spark, sf_dir):
     return evaluate.throughput(_samples(spark, sf_dir), ["counter"], ["event_type"])
@@ -582,7 +599,7 @@ def growth_streaks(spark, sf_dir):
     return rows.select("event_type", "t", "streak")
 
 
-# -- with the multivariate component (M3): an isolation forest has no SQL --------------------------------------------------
+# -- with trained models, which have no SQL: the multivariate component (M3, M4) and the content model --------------------------------------------------
 
 
 def rate_scores_multivariate(spark, sf_dir):
@@ -598,8 +615,13 @@ def threat_levels_multivariate(spark, sf_dir):
     return levels(spark, sf_dir, True).select("tick", "global_score", "level")
 
 
-def multivariate_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (rate_scores_multivariate, scorer_alerts_multivariate, threat_levels_multivariate)}
+def content_model_holdout(spark, sf_dir):
+    """What a model of the content windows, trained on the other addresses, says of a fifth of them."""
+    return evaluate.class_confusion(content.holdout(content_windows(spark, sf_dir), trees=5))
+
+
+def model_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (rate_scores_multivariate, scorer_alerts_multivariate, threat_levels_multivariate, content_model_holdout)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
