@@ -144,6 +144,33 @@ def test_cohort_matches_a_plain_fold(spark):
         assert (r["n"], r["mean"], r["var"]) == (want[r["bucket"]][0], pytest.approx(want[r["bucket"]][1]), pytest.approx(want[r["bucket"]][2]))
 
 
+@pytest.mark.parametrize("size", [0, 1, 2, 3, 17, 4000])
+def test_baselines_are_those_of_a_plain_fold(size):
+    x, a = np.random.default_rng(size).poisson(5, size).astype(float), Rate().alpha
+    mean, var = rate._fold(x, a)
+    assert len(mean) == len(var) == size + 1
+    m = v = 0.0
+    for i, value in enumerate(x):
+        assert (mean[i], var[i]) == (pytest.approx(m), pytest.approx(v))
+        d = value - m
+        m, v = (value, 0.0) if i == 0 else (m + a * d, (1 - a) * (v + a * d * d))
+    assert (mean[size], var[size]) == (pytest.approx(m), pytest.approx(v))
+    power, shift, c0, c1, c2 = rate._after(x, a)
+    m, v = 7.0, 2.0
+    for value in x:
+        d = value - m
+        m, v = m + a * d, (1 - a) * (v + a * d * d)
+    assert (power * 7.0 + shift, power * 2.0 + c2 * 49.0 + c1 * 7.0 + c0) == (pytest.approx(m), pytest.approx(v))
+
+
+def test_payers_beyond_the_cap_are_named(spark):
+    rows = spark.createDataFrame([("c", 0), ("a", 60), ("b", 60), ("a", 0), ("d", 120), ("d", 180)], "payer string, bucket long").selectExpr("*", "1L AS event_count", "1.0D AS amount_sum", "1L AS distinct_payees")
+    cfg = drift.Drift(max_payers=2)
+    assert {r["payer"] for r in drift.grid(rows, cfg).collect()} == {"a", "c"}
+    assert {tuple(r) for r in drift.rejected(rows, cfg).collect()} == {("b", 60), ("d", 120)}
+    assert drift.rejected(rows, drift.Drift(max_payers=None)).count() == 0
+
+
 def test_forest_and_neighbours_rank_an_outlier():
     x = np.random.default_rng(0).normal(size=(400, 4))
     forest = multivariate.Forest(x)

@@ -18,6 +18,8 @@ class Rate:
     min_fit: int = 200
     refit: int = 15
     neighbours: int = 5
+    #: Width of the spans of a bucket whose addresses are reduced in one place.
+    part_seconds: int = 5
 
     @property
     def alpha(self) -> float:
@@ -53,7 +55,7 @@ class Drift:
     event_cap: float = 1_000_000.0
     emit_floor: float = 2.0
     max_alerts: int = 5
-    max_payers: int = 10_000
+    max_payers: int | None = 10_000
 
 
 @dataclass(frozen=True)

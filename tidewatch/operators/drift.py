@@ -20,16 +20,29 @@ SCHEMA = (
 )
 
 
+def _seen(payers: DataFrame) -> DataFrame:
+    return payers.groupBy("payer").agg(F.min("bucket").alias("first"))
+
+
+def _tracked(payers: DataFrame, cfg: Drift) -> DataFrame:
+    """(payer, first) of the payers that have a chart: the first ``max_payers`` to appear.  Each task keeps its own first ones."""
+    seen = _seen(payers)
+    return seen if cfg.max_payers is None else seen.orderBy("first", "payer").limit(cfg.max_payers)
+
+
+def rejected(payers: DataFrame, cfg: Drift = Drift()) -> DataFrame:
+    """(payer, first) of the payers beyond the cap, which have no chart."""
+    return _seen(payers).join(_tracked(payers, cfg).select("payer"), "payer", "left_anti")
+
+
 def grid(payers: DataFrame, cfg: Drift = Drift()) -> DataFrame:
     """Every tracked payer in every bucket from its first one on that has any attributed event; missing ones count 0 (J1, ST7).
 
     Buckets of a payer are made from the sorted list of all buckets, one row of one number a bucket, so there is no range
-    join; the payers above the cap of tracked ones, in order of appearance, are left out as the detector rejects them.
+    join; the payers above the cap of tracked ones, in order of appearance, are left out as the detector rejects them
+    (``rejected`` names them).
     """
-    first = payers.groupBy("payer").agg(F.min("bucket").alias("first"))
-    order = Window.orderBy("first", "payer")
-    if cfg.max_payers is not None:
-        first = first.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= cfg.max_payers).drop("place")
+    first = _tracked(payers, cfg)
     all_buckets = payers.agg(F.array_sort(F.collect_set("bucket")).alias("all"))
     cells = first.join(F.broadcast(all_buckets)).select("payer", F.explode(F.filter("all", lambda b: b >= F.col("first"))).alias("bucket"))
     zero = {"event_count": 0, "amount_sum": 0.0, "distinct_payees": 0}

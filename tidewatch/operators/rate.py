@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.config import Rate
 from tidewatch.functions.common import iso, rnd, severity
@@ -14,21 +16,38 @@ FLOORS = {"event_count": (1.0, 0.1), "mean_payload": (20.0, 0.1), "error_ratio":
 
 
 def _fold(x: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and variance before each value; entry i has seen i values."""
-    mean, var = np.zeros(len(x) + 1), np.zeros(len(x) + 1)
-    m = v = 0.0
-    for i, value in enumerate(x):
-        if i == 0:
-            m, v = float(value), 0.0
-        else:
-            d = value - m
-            m += alpha * d
-            v = (1.0 - alpha) * (v + alpha * d * d)
-        mean[i + 1], var[i + 1] = m, v
-    return mean, var
+    """Mean and variance before each value and after the last; entry i has seen i values.
 
+    Both are first-order recurrences: the mean's over the values, the variance's over the squared steps from the mean before.
+    """
+    smooth = lambda y: pd.Series(y).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+    if not len(x):
+        return np.zeros(1), np.zeros(1)
+    mean = smooth(x)
+    steps = np.append(0.0, (1.0 - alpha) * (x[1:] - mean[:-1]) ** 2)
+    return np.append(0.0, mean), np.append(0.0, smooth(steps))
+
+
+STATES = ("n", *(f"{f}_{s}" for f in FLOORS for s in ("mean", "var")))
+
+
+def _states(rows: DataFrame, cfg: Rate, final: bool) -> DataFrame:
+    """``rows`` with the state before each; with ``final`` each entity's last row only, with the state after it."""
+    kinds = ", ".join(f"{c} {'long' if c == 'n' else 'double'}" for c in STATES)
+    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(kinds).fields])
 
-STATE = "bucket long, entity_type string, entity_id string, n long, " + ", ".join(f"{f}_mean double, {f}_var double" for f in FLOORS)
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("bucket")
+        at = slice(-1, None) if final else slice(None, -1)
+        more = [np.arange(len(table) + 1)[at]]
+        for f in FLOORS:
+            more += [state[at] for state in _fold(table[f].to_numpy().astype(float), cfg.alpha)]
+        out = table.slice(len(table) - 1) if final else table
+        for name, values in zip(STATES, more):
+            out = out.append_column(name, pa.array(values, type=pa.int64() if name == "n" else pa.float64()))
+        return out
+
+    return rows.filter("entity_type != 'client_ip'").groupBy("entity_type", "entity_id").applyInArrow(run, schema)
 
 
 def baselines(feats: DataFrame, cfg: Rate = Rate(), final: bool = False) -> DataFrame:
@@ -37,20 +56,8 @@ def baselines(feats: DataFrame, cfg: Rate = Rate(), final: bool = False) -> Data
     The fold runs over an entity's buckets in time order; rows are counts per bucket, so even the entity of all traffic has
     one row a minute.  A closed form over windows would overflow after some 120,000 buckets.
     """
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bucket")
-        at = slice(-1, None) if final else slice(None, -1)
-        out = {"bucket": pdf["bucket"].to_numpy()[-1:] if final else pdf["bucket"].to_numpy()}
-        k = len(out["bucket"])
-        out |= {"entity_type": [key[0]] * k, "entity_id": [key[1]] * k, "n": [len(pdf)] if final else np.arange(k)}
-        for f in FLOORS:
-            mean, var = _fold(pdf[f].to_numpy(dtype=float), cfg.alpha)
-            out |= {f"{f}_mean": mean[at], f"{f}_var": var[at]}
-        return pd.DataFrame(out)
-
-    rows = feats.filter("entity_type != 'client_ip'").select("bucket", "entity_type", "entity_id", *FLOORS)
-    return rows.groupBy("entity_type", "entity_id").applyInPandas(run, STATE)
+    rows = feats.select("bucket", "entity_type", "entity_id", *FLOORS)
+    return _states(rows, cfg, final).select("bucket", "entity_type", "entity_id", *STATES)
 
 
 def _z(x, mean, var, n, absolute: float, relative: float):
@@ -58,9 +65,11 @@ def _z(x, mean, var, n, absolute: float, relative: float):
 
 
 def z_scores(feats: DataFrame, cfg: Rate = Rate()) -> DataFrame:
-    """z of rate, payload and error ratio, judged before the bucket is folded in."""
-    state = baselines(feats, cfg)
-    rows = feats.join(state, ["bucket", "entity_type", "entity_id"])
+    """z of rate, payload and error ratio, judged before the bucket is folded in.
+
+    The fold hands every row on with the state before it, so features are computed once and joined with nothing.
+    """
+    rows = _states(feats, cfg, False)
     for f, (absolute, relative) in FLOORS.items():
         rows = rows.withColumn(f"{f}_z", _z(F.col(f), F.col(f"{f}_mean"), F.col(f"{f}_var"), F.col("n"), absolute, relative))
     return rows
@@ -104,30 +113,51 @@ def score(zs: DataFrame, cfg: Rate = Rate(), multivariate: DataFrame | None = No
     return rows.filter((F.col("entity_type") == "global") | F.col("is_anomalous") | (F.col("event_count") >= cfg.min_events))
 
 
+def _after(x: np.ndarray, alpha: float) -> np.ndarray:
+    """What the values do, one after another, to any (mean, var): ``power, shift, c0, c1, c2``.
+
+    The mean becomes power * mean + shift, the variance power * var + c2 * mean * mean + c1 * mean + c0.  Neighbours are
+    composed in pairs, and the pairs again, so n values take log2(n) steps over whole arrays.
+    """
+    a, b, one = alpha, 1.0 - alpha, np.ones(len(x))
+    maps = np.stack([b * one, a * x, b * a * x * x, -2.0 * b * a * x, b * a * one])
+    if not len(x):
+        return np.array([1.0, 0.0, 0.0, 0.0, 0.0])
+    while maps.shape[1] > 1:
+        rest = maps[:, -1:] if maps.shape[1] % 2 else maps[:, :0]
+        p, s, c0, c1, c2 = maps[:, : maps.shape[1] // 2 * 2 : 2]
+        q, t, d0, d1, d2 = maps[:, 1::2]
+        pairs = np.stack([q * p, q * s + t, q * c0 + d2 * s * s + d1 * s + d0, q * c1 + 2.0 * d2 * p * s + d1 * p, q * c2 + d2 * p * p])
+        maps = np.concatenate([pairs, rest], axis=1)
+    return maps[:, 0]
+
+
 def cohort_states(ips: DataFrame, cfg: Rate = Rate()) -> DataFrame:
     """(bucket, n, mean, var): the state of the one baseline of all addresses before each bucket.
 
-    What a bucket's counts x_1..x_m do to (mean, var) is affine in mean and quadratic for var, so every bucket is first
-    reduced to six numbers in parallel, and only those, one row a bucket, are folded in order.
+    What counts x_1..x_m do to (mean, var) is affine in mean and quadratic for var, so they are first reduced to a few
+    numbers in parallel, those of ``part_seconds`` of a bucket in one place.  Only these parts, at most as many as a bucket
+    has such spans, are folded in order.
     """
-    a, b = cfg.alpha, 1.0 - cfg.alpha
-
-    def reduce(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(["first_t", "first_id", "first_rep", "entity_id"])["event_count"].to_numpy(dtype=float)
-        m, shift, c0, c1, c2 = len(x), 0.0, 0.0, 0.0, 0.0
-        power = 1.0
-        for v in x:  # mean so far is power * mean0 + shift
-            d = v - shift
-            c0, c1, c2 = b * (c0 + a * d * d), b * (c1 - 2 * a * d * power), b * (c2 + a * power * power)
-            shift, power = b * shift + a * v, b * power
-        # the first bucket of all starts from its first value instead
-        mean, var = _fold(x, a)
-        return pd.DataFrame([(key[0], m, power, shift, c0, c1, c2, mean[-1], var[-1])], columns=["bucket", "m", "power", "shift", "c0", "c1", "c2", "mean1", "var1"])
+
+    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["bucket", "part", "first_t", "first_id", "first_rep", "entity_id"])
+        at, part, x = (pdf[c].to_numpy() for c in ("bucket", "part", "event_count"))
+        start = np.flatnonzero(np.append(True, (np.diff(at) != 0) | (np.diff(part) != 0)))
+        out = []
+        for s, e in zip(start.tolist(), [*start[1:].tolist(), len(x)]):
+            one, rest = float(x[s]), _after(x[s + 1 : e].astype(float), cfg.alpha)
+            # the first part of all starts from its first value
+            mean, var = rest[0] * one + rest[1], rest[4] * one * one + rest[3] * one + rest[2]
+            out.append((at[s], part[s], e - s, *_after(x[s:e].astype(float), cfg.alpha), mean, var))
+        return pd.DataFrame(out, columns=["bucket", "part", "m", *form])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, mean, var, out = 0, 0.0, 0.0, []
-        for r in pdf.sort_values("bucket").itertuples():
-            out.append((r.bucket, n, mean, var))
+        n, mean, var, out, last = 0, 0.0, 0.0, [], None
+        for r in pdf.sort_values(["bucket", "part"]).itertuples():
+            if r.bucket != last:
+                out.append((r.bucket, n, mean, var))
+                last = r.bucket
             if n == 0:
                 mean, var = r.mean1, r.var1
             else:
@@ -136,8 +166,12 @@ def cohort_states(ips: DataFrame, cfg: Rate = Rate()) -> DataFrame:
             n += r.m
         return pd.DataFrame(out, columns=["bucket", "n", "mean", "var"])
 
-    rows = ips.select("bucket", "entity_id", "event_count", F.col("first.t").alias("first_t"), F.col("first.event_id").alias("first_id"), F.col("first.rep").alias("first_rep"))
-    parts = rows.groupBy("bucket").applyInPandas(reduce, "bucket long, m long, power double, shift double, c0 double, c1 double, c2 double, mean1 double, var1 double")
+    form = ["power", "shift", "c0", "c1", "c2", "mean1", "var1"]
+    first = F.col("first.t")
+    span = F.floor((first - F.col("bucket")) / cfg.part_seconds).cast("long")
+    rows = ips.select("bucket", span.alias("part"), "entity_id", "event_count", first.alias("first_t"), F.col("first.event_id").alias("first_id"), F.col("first.rep").alias("first_rep"))
+    groups = 4 * int(ips.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # of several parts each
+    parts = rows.groupBy(F.pmod(F.xxhash64("bucket", "part"), F.lit(groups)).alias("_group")).applyInPandas(reduce, "bucket long, part long, m long, " + ", ".join(f"{c} double" for c in form))
     return parts.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(fold, "bucket long, n long, mean double, var double")
 
 

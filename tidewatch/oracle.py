@@ -347,6 +347,7 @@ SELECT bucket, entity_id, CASE WHEN n < 200 THEN 0.0 ELSE {R(f"list_avg(list_sor
         "drift_amplitude": _with("day_grid", f"SELECT payer AS entity, count(*) AS n, {R(f'(avg(event_count) FILTER (bucket >= {CHANGE}) - avg(event_count) FILTER (bucket < {CHANGE})) / nullif(stddev_pop(event_count) FILTER (bucket < {CHANGE}), 0)', 6)} AS shift_sigma FROM day_grid GROUP BY 1"),
         "drift_worst": _with("drift", f"SELECT payer, i, {R('s_volume', 4)} AS s_volume, {R('s_amount', 4)} AS s_amount FROM (SELECT *, row_number() OVER (PARTITION BY payer ORDER BY i DESC) AS r FROM drift) WHERE r = 1 ORDER BY greatest(drift.s_volume, drift.s_amount) DESC, payer LIMIT 1".replace("drift.s_", "s_")),
         "drift_tracked": _with("drift", "SELECT count(*) AS tracked, count(*) FILTER (seen >= 30) AS warm FROM (SELECT payer, max(i) AS seen FROM drift GROUP BY 1)"),
+        "drift_rejected_payers": _with("grid", "SELECT payer, first FROM (SELECT payer, min(bucket) AS first, row_number() OVER (ORDER BY min(bucket), payer) AS place FROM payer_all GROUP BY 1) WHERE place > 40"),
         "drift_first_flagged": _with("drift", "SELECT payer, min(bucket) AS first_bucket, min(i) AS after, count(*) AS buckets FROM drift WHERE is_anomalous GROUP BY 1"),
         "entity_cases": _with(
             "ew_mean drift",

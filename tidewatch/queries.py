@@ -43,7 +43,7 @@ def rate_scored(f: DataFrame, whole: bool) -> DataFrame:
 
 def rate_docs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     f = feats(spark, sf_dir)
-    return rate.documents(rate_scored(f, whole), rate.cohort_scores(f), SECONDS)
+    return rate.documents(rate_scored(f, whole), rate.cohort_scores(f, RATE), SECONDS)
 
 
 def content_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,8 @@ def drift_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The amount of an event here is in hundreds, not in hundreds of thousands.
 DRIFT = drift.Drift(amount_floor=50.0)
+#: A bucket here has as many parts as one of a minute.
+RATE = rate.Rate(part_seconds=SECONDS // 12)
 
 
 def score_docs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
@@ -235,13 +237,13 @@ def rate_scores(spark, sf_dir):
 
 @query
 def ip_cohort_states(spark, sf_dir):
-    rows = rate.cohort_states(feats(spark, sf_dir).filter("entity_type = 'client_ip'"))
+    rows = rate.cohort_states(feats(spark, sf_dir).filter("entity_type = 'client_ip'"), RATE)
     return rows.select("bucket", "n", rnd(F.col("mean"), 6).alias("mean"), rnd(F.col("var"), 6).alias("var"))
 
 
 @query
 def ip_cohort_scores(spark, sf_dir):
-    return rate.cohort_scores(feats(spark, sf_dir)).select("bucket", "entity_id", "event_count", rnd(F.col("z"), 6).alias("z"), "score")
+    return rate.cohort_scores(feats(spark, sf_dir), RATE).select("bucket", "entity_id", "event_count", rnd(F.col("z"), 6).alias("z"), "score")
 
 
 @query
@@ -367,6 +369,12 @@ def drift_tracked(spark, sf_dir):
     return drift.tracked(drift_states(spark, sf_dir))
 
 
+@query
+def drift_rejected_payers(spark, sf_dir):
+    """Payers beyond a cap of forty, in order of appearance."""
+    return drift.rejected(buckets.payer_buckets(tele(spark, sf_dir), SECONDS, DRIFT.event_cap), drift.Drift(max_payers=40))
+
+
 @query
 def drift_first_flagged(spark, sf_dir):
     return drift.first_flagged(drift_states(spark, sf_dir))
