@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import html_extract, language_id, media_jpeg, ngram_join, packing, quality_rules, sentencepiece_viterbi, substring_dedup, suffix_dedup, url_filters
+from tidewatch.llm import (
+    centroid_clustering, collocations, html_extract, language_id, media_jpeg, nearest_neighbours, ngram_join, packing, quality_rules, sentencepiece_viterbi, substring_dedup, suffix_dedup, url_filters,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +93,20 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_viterbi.digest(docs, model).select("doc_id", "digest.*")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroid_clustering.cluster(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the rows whose id 50 divides; all rows are searched."""
+    return nearest_neighbours.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents").select("text", "lang"), least=30, top=2000)
+
+
 def queries() -> dict:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -103,6 +119,9 @@ def queries() -> dict:
         "op8_media_columns": op8_media_columns,
         "op9_url_filters": op9_url_filters,
         "op10_sentencepiece": op10_sentencepiece,
+        "op11_centroid_clustering": op11_centroid_clustering,
+        "op12_nearest_neighbours": op12_nearest_neighbours,
+        "op13_collocations": op13_collocations,
     }
 
 
@@ -152,6 +171,53 @@ FROM words w LEFT JOIN gone_list g ON g.doc_id = w.doc_id LEFT JOIN kept k ON k.
 )
 
 
+#: Vectors without null or non-finite components.
+_REAL = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _op11(k: int = 16, rounds: int = 3) -> str:
+    steps = [
+        f"""kept AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE {_REAL} AND len(embedding) = 64)""",
+        f"""c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v FROM kept QUALIFY c < {k})""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""a{i} AS (SELECT row, vec_id, v, c, d FROM (SELECT x.*, c, list_sum(list_transform(range(1, 65), lambda j: (x.v[j] - y.v[j]) * (x.v[j] - y.v[j]))) AS d FROM kept x, c{i} y)
+  QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, c) = 1)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""m{i} AS (SELECT c, list((s - (s % n + n) % n) // n ORDER BY j) AS v FROM (SELECT c, j, sum(CAST(x AS HUGEINT)) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{i}) GROUP BY c, j) GROUP BY c
+), c{i + 1} AS (SELECT c, coalesce(m.v, o.v) AS v FROM c{i} o LEFT JOIN m{i} m USING (c))"""
+            )
+    return (
+        "WITH "
+        + "\n, ".join(steps)
+        + f"""
+SELECT a.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(o.v, lambda x: CAST(x AS VARCHAR)), ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} o USING (c)"""
+    )
+
+
+_OP12 = f"""WITH real AS (SELECT row_number() OVER () AS row, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE {_REAL} AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))) AS score
+  FROM real q JOIN real c ON q.row <> c.row AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score FROM pairs QUALIFY rank <= 5"""
+
+_OP13 = r"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+), words AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), places AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, (SELECT unnest([1, 2, 3, 4]) AS m)
+), counts AS (SELECT lang, m, w[i:i + m - 1] AS w, count(*) AS f FROM places GROUP BY ALL
+), totals AS (SELECT lang, sum(f) AS n FROM counts WHERE m = 1 GROUP BY 1
+), long AS (SELECT * FROM counts WHERE m > 1 AND f >= 30
+), cuts AS (SELECT c.lang, c.w, c.m, c.f AS a, l.f AS l, r.f AS r, CAST(2000000 AS HUGEINT) * c.f // (CAST(l.f AS HUGEINT) + r.f) AS score, k
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM long) c JOIN counts l ON l.lang = c.lang AND l.w = c.w[1:c.k] JOIN counts r ON r.lang = c.lang AND r.w = c.w[c.k + 1:c.m]
+), scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1
+), inner_ AS (SELECT lang, w[i:i + s - 1] AS w, max(f) AS longer FROM (SELECT *, unnest(range(1, m - s + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS s FROM long)) GROUP BY 1, 2
+), kept AS (SELECT s.lang, array_to_string(s.w, ' ') AS phrase, a, l, r, score FROM scored s LEFT JOIN inner_ i ON i.lang = s.lang AND i.w = s.w WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Of the operators that SQL can express; the others rest on tokenizers, trained models or a file format."""
-    return {"op1_ngram_join": _OP1, "op3_suffix_dedup": _OP3, "op6_substring_dedup": _OP6}
+    return {"op1_ngram_join": _OP1, "op3_suffix_dedup": _OP3, "op6_substring_dedup": _OP6, "op11_centroid_clustering": _op11(), "op12_nearest_neighbours": _OP12, "op13_collocations": _OP13}
