@@ -289,7 +289,7 @@ def test_words_that_fool_polynomials_differ(spark):
 def test_ranges_cover_every_window_once(part, monkeypatch):
     monkeypatch.setattr(windows, "PART", part)
     values = windows.mix(np.random.default_rng(1).integers(0, 4, 700, dtype=np.uint64))
-    p, n, _, digest = windows.ranges(values, values, 20, 6)
+    p, n, _, _, digest = windows.ranges(values, values, 20, 6)
     assert p[0] == 0 and (p[1:] == (p + n)[:-1]).all() and p[-1] + n[-1] == 700 - 19 and len(digest) == 16 * len(p)
 
 

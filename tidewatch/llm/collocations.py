@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -118,7 +118,8 @@ def parts(text: str, size: int = BATCH) -> Iterator[str]:
         cut = min((i for i in (text.find(c, size) for c in ".,;:!?\n\x0b\x0c\r") if i >= 0), default=len(text) - 1) + 1
         yield text[:cut]
         text = text[cut:]
-    yield text
+    if text:
+        yield text
 
 
 # -- bitmaps of frequent hashes ---------------------------------------------------------------------------------------
@@ -304,12 +305,9 @@ def pointers(docs: DataFrame, words: Filter, pairs: Filter, buckets: int) -> Dat
             _, first, count = np.unique(code, return_index=True, return_counts=True)
             keys, h, lang = keys[first], h[first], t.lang[at[first]]
             hot = pairs.holds(h, 1)
-            rest = mix(keys[:, 2].astype(np.uint64) * np.uint64(31) + np.uint64(5)) if DEPTH > 2 else h
-            if hot.any():
-                own = t.hashes()[0]
-                rest = np.zeros(len(h), dtype=np.uint64)
-                for d in range(2, DEPTH):
-                    rest = mix(rest + np.where(keys[:, d] < 0, np.uint64(0), own[keys[:, d]]))
+            of_word, rest = t.hashes()[0], np.zeros(len(h), dtype=np.uint64)
+            for d in range(2, DEPTH):
+                rest = mix(rest + np.where(keys[:, d] < 0, np.uint64(0), of_word[keys[:, d]]))
             bucket = (np.where(hot, mix(h ^ rest), h) % np.uint64(buckets)).astype(np.int32)
             columns = [t.names.take(pa.array(np.where(keys[:, d] < 0, 0, keys[:, d]), mask=keys[:, d] < 0)) for d in range(DEPTH)]
             phrase = pc.binary_join_element_wise(*columns, pa.scalar(" ", pa.large_string()), null_handling="skip").cast(pa.string())
@@ -356,27 +354,31 @@ def _counted(least: int):
     return run
 
 
-def count_phrases(docs: DataFrame, least: int, folder: str) -> DataFrame:
+def count_phrases(docs: DataFrame, least: int, folder: str, hot: int = HOT) -> DataFrame:
     """``lang``, ``phrase``, ``f`` of the phrases of 1 to ``DEPTH`` words with ``f`` of ``least`` or more, and each language's number of words under a null phrase."""
-    spark = docs.sparkSession
     docs = docs.select("text", "lang")
     words = common.cut_lineage(count_words(docs).filter(F.col("phrase").isNull() | (F.col("f") >= least)), folder, "words")
     frequent = Filter(words.filter("phrase IS NOT NULL").mapInArrow(_word_hashes, _HASHES), [least])
-    pairs = Filter(pair_hashes(docs, frequent), [least, HOT])
-    width = common.width(spark)
+    pairs = Filter(pair_hashes(docs, frequent), [least, hot])
+    width = common.width(docs.sparkSession)
     routed = pointers(docs, frequent, pairs, 64 * width).repartition(width, "bucket").sortWithinPartitions("bucket")
     found = routed.mapInArrow(_counted(least), "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
     return common.cut_lineage(words.unionByName(found), folder, "phrases")
 
 
-def collocations(docs: DataFrame, least: int = 30, top: int = 2000, inside: tuple[int, int] = (80, 100), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def score_of(a: str, l: str, r: str) -> Column:  # noqa: E741
+    """``floor(2000000 * a / (l + r))``, exact whatever fits 64 bits."""
+    return F.expr(f"2000000BD * cast({a} AS decimal(20,0)) div (cast({l} AS decimal(20,0)) + cast({r} AS decimal(20,0)))").cast("long")
+
+
+def collocations(docs: DataFrame, least: int = 30, top: int = 2000, inside: tuple[int, int] = (80, 100), text_col: str = "text", lang_col: str = "lang", hot: int = HOT) -> DataFrame:
     """The best ``top`` phrases of every language: ``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score``.
 
     A phrase stands for no more than a longer one that holds it if that occurs at least ``inside[0] / inside[1]`` as often.
     """
-    spark, folder = docs.sparkSession, common.shared_dir(docs.sparkSession)
+    folder = common.shared_dir(docs.sparkSession)
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"))
-    counts = count_phrases(rows, least, folder)
+    counts = count_phrases(rows, least, folder, hot)
     f, w = counts.filter("phrase IS NOT NULL"), F.split("phrase", " ", -1)
     n = counts.filter("phrase IS NULL").select("lang", F.col("f").alias("n"))
     long = f.withColumn("w", w).filter(F.size("w") > 1).select("lang", "phrase", "w", F.col("f").alias("a"))
@@ -386,8 +388,7 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, inside: tupl
     part = lambda name, alias: f.select("lang", F.col("phrase").alias(name), F.col("f").alias(alias))
     cuts = cuts.join(part("first", "l"), ["lang", "first"]).join(part("rest", "r"), ["lang", "rest"])
     wide = lambda c: F.col(c).cast("decimal(38,0)")
-    score = F.expr("cast(2000000BD * cast(a AS decimal(20,0)) div cast(cast(l AS decimal(20,0)) + cast(r AS decimal(20,0)) AS decimal(21,0)) AS long)")
-    cuts = cuts.withColumn("score", score)
+    cuts = cuts.withColumn("score", score_of("a", "l", "r"))
     scored = cuts.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r")).alias("s")).select("lang", "phrase", "s.a", "s.l", "s.r", "s.score")
     sizes = F.explode(F.sequence(F.lit(2), F.size("w") - 1))
     subs = long.filter(F.size("w") > 2).withColumn("m", sizes).withColumn("i", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("m") + 1)))

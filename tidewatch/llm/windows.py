@@ -2,7 +2,8 @@
 
 Of the k-grams in a window the one with the smallest hash is its anchor, so equal windows have equal anchors at equal
 places, and consecutive windows share one: a sequence falls into *ranges* of windows with a common anchor, about one
-range for every half window.  Windows can only be equal if their anchors are, and copies of a whole range, known by a
+range for every half window.  Where a sequence repeats itself within a window, as in a run of one letter, the anchor may
+move on without changing, and such windows are still one range, which has to be compared with itself.  Windows can only be equal if their anchors are, and copies of a whole range, known by a
 cryptographic digest of 128 bits, are equal in every window.  So anchors are shuffled, not windows, and the operators
 compare only ranges whose anchor repeats while their content does not.  Fingerprints of anchors only route; two
 different anchors with one fingerprint cost a comparison.
@@ -122,8 +123,8 @@ def word_values(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
-def ranges(values: np.ndarray, content: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
-    """First window, number of windows, anchor and content digest of each range; ``content`` are the elements themselves."""
+def ranges(values: np.ndarray, content: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """First window, number of windows, anchor, whether it moves, and content digest of each range; ``content`` are the elements themselves."""
     found, digests = [], []
     raw, size = memoryview(np.ascontiguousarray(content)).cast("B"), content.itemsize
     for at in range(0, max(0, len(values) - window + 1), PART):
@@ -132,18 +133,19 @@ def ranges(values: np.ndarray, content: np.ndarray, window: int, k: int) -> tupl
         kh = grams(h, k)
         order = (kh & _HIGH) | np.arange(len(kh), dtype=np.uint64)
         anchor = (sliding_min(order, window - k + 1) & _LOW).astype(np.int64)
-        cut = np.flatnonzero(np.diff(anchor)) + 1
+        gram = kh[anchor]
+        cut = np.flatnonzero(gram[1:] != gram[:-1]) + 1
         first, last = np.concatenate([[0], cut]), np.concatenate([cut, [m]])
-        found.append((first + at, last - first, kh[anchor[first]]))
+        found.append((first + at, last - first, gram[first], anchor[first] != anchor[last - 1]))
         digests += [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(((first + at) * size).tolist(), ((last + at + window - 1) * size).tolist())]
     if not found:
         zero = np.zeros(0, dtype=np.int64)
-        return zero, zero, zero.astype(np.uint64), b""
+        return zero, zero, zero.astype(np.uint64), zero.astype(bool), b""
     return *(np.concatenate(x) for x in zip(*found)), b"".join(digests)
 
 
-#: A range on its way: anchor, content, row key, rank of the document, first window, windows, copies (2: two or more).
-RANGE = np.dtype([("f", "<u8"), ("r1", "<u8"), ("r2", "<u8"), ("key", "<i8"), ("key2", "<i8"), ("rank", "<i8"), ("p", "<i8"), ("n", "<i4"), ("c", "<i4")])
+#: A range on its way: anchor, content, row key, rank of the document, first window, windows, copies (2: two or more), whether the anchor moves.
+RANGE = np.dtype([("f", "<u8"), ("r1", "<u8"), ("r2", "<u8"), ("key", "<i8"), ("key2", "<i8"), ("rank", "<i8"), ("p", "<i8"), ("n", "<i4"), ("c", "<i2"), ("moves", "<i2")])
 KEY = ["key", "key2"]
 SETTLED = "key long, key2 long, p long, n int"
 
@@ -187,10 +189,10 @@ def exchange(docs: DataFrame, split, window: int, k: int, keep_first: bool, part
             held: list[np.ndarray] = []
             for key, key2, rank, text in zip(batch["key"], batch["key2"], batch["rank"], batch["text"]):
                 content, values = split(text or "")
-                p, n, f, digest = ranges(values, content, window, k)
+                p, n, f, moves, digest = ranges(values, content, window, k)
                 one = np.empty(len(p), dtype=RANGE)
                 both = np.frombuffer(digest, dtype="<u8").reshape(-1, 2)
-                one["f"], one["r1"], one["r2"], one["key"], one["key2"], one["rank"], one["p"], one["n"], one["c"] = f, both[:, 0], both[:, 1], key, key2, rank, p, n, 1
+                one["f"], one["r1"], one["r2"], one["key"], one["key2"], one["rank"], one["p"], one["n"], one["c"], one["moves"] = f, both[:, 0], both[:, 1], key, key2, rank, p, n, 1, moves
                 held.append(one)
             if not held:
                 continue
@@ -224,7 +226,7 @@ def exchange(docs: DataFrame, split, window: int, k: int, keep_first: bool, part
         yield out(r[known], [None] * int(known.sum()))
         reps = r[first]
         kinds = np.bincount(np.cumsum(starts_of(reps["f"])) - 1)[np.cumsum(starts_of(reps["f"])) - 1]
-        open_ = kinds > 1
+        open_ = (kinds > 1) | ((reps["moves"] > 0) & ~known[first])
         yield out(reps[open_], np.where(known[first][open_], 0, 1))
 
     return docs.mapInPandas(local, "bucket int, data binary").repartition(parts, "bucket").mapInPandas(settled, "key long, key2 long, rank long, p long, n int, f long, todo int")
