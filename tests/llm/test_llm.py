@@ -3,6 +3,7 @@
 import hashlib
 import html
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -170,6 +171,12 @@ def test_both_encoders_agree_and_special_text_takes_the_slow_one():
         assert e(text).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_of_a_million_spaces(spark):
+    df = spark.createDataFrame([(1, " " * 1_000_001), (2, "\n" * 1_000_001 + "x"), (3, "a" * 300_000)], "doc_id long, text string")
+    r = queries.tokens_packed(df).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("d")).collect()
+    assert len(r) == 3 and all(x.n == x.d for x in r)
+
+
 def test_packing_of_nothing(spark):
     assert queries.tokens_packed(empty(spark)).count() == 0
 
@@ -225,6 +232,44 @@ def test_dedup_of_the_test_table_matches_brute_force(spark, sf):
     assert Counter(tuple(r) for r in queries.op6_substring_dedup(spark, sf).collect()) == brute_words(rows)
 
 
+def test_runs_are_few_ranges_and_still_compared(spark):
+    """One letter or word over and over is one range a part; windows that repeat in it are found though no other text has them."""
+    raw, values = suffix_dedup.byte_split("a" * 100_000)
+    assert len(windows.ranges(values, raw, 400, 32)[0]) == 1
+    values, _ = substring_dedup.word_split("w " * 50_000)
+    assert len(windows.ranges(values, values, 20, 6)[0]) == 1
+    rows = [(1, "a" * 100_000), (2, "xy" * 700 + "z" + "b" * 399), (3, "c" * 400), (4, "c" * 401), (5, "w " * 50_000), (6, prose(8, 90) + " w" * 21), (7, "p q r " * 40), (8, "d" * 450 + prose(5, 100))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((r.doc_id, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(df).collect()) == sorted((i, *cut_bytes(rows, i)) for i, _ in rows)
+    kept = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(df).collect()}
+    assert kept == {i: cut_words(rows, i) for i, _ in rows}
+
+
+def cut_bytes(rows, doc):
+    """Bytes and runs that go, by counting every string of 400 bytes."""
+    seen = Counter(t[p : p + 400] for _, t in rows for p in range(len(t) - 399))
+    text = dict(rows)[doc]
+    gone = np.zeros(len(text) + 1, dtype=bool)
+    for p in range(len(text) - 399):
+        if seen[text[p : p + 400]] > 1:
+            gone[p : p + 400] = True
+    return int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) > 0).sum())
+
+
+def cut_words(rows, doc):
+    seen = set()
+    for i, t in rows:
+        w = t.split()
+        gone = np.zeros(len(w), dtype=bool)
+        for p in range(len(w) - 19):
+            key = tuple(w[p : p + 20])
+            if key in seen:
+                gone[p : p + 20] = True
+            seen.add(key)
+        if i == doc:
+            return len(w), int(gone.sum())
+
+
 def test_dedup_of_nothing(spark):
     assert suffix_dedup.remove_repeats(empty(spark)).collect() == [] and substring_dedup.remove_repeats(empty(spark)).collect() == []
 
@@ -712,6 +757,35 @@ def test_blocks_do_not_change_ids(spark, sf, block, monkeypatch):
     assert [None if x is None else x.tolist() for x in encoder.many(texts)] == whole
 
 
+def test_search_commits_where_backpointers_converge():
+    """Also inside a stretch whose every boundary some match goes across, and so that the window stays small."""
+    v = sentencepiece_viterbi.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    encoder, inside, kept = sentencepiece_viterbi.Encoder(v), 0, []
+    for seed in range(200):
+        text = "▁" + prose(seed, 60).replace(" ", "") + "tion" * (seed % 4)
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)[: 60 + seed]
+        out, done = encoder._search(v.classes[codes], codes, False)
+        whole, _ = encoder._search(v.classes[codes], codes, True)
+        stream = sentencepiece_viterbi.Stream(v)
+        for c in codes.tolist():
+            stream.push(chr(c))
+        stream.converge()
+        assert done == stream.done  # the character-by-character walk comes to the same boundary
+        assert [(i, int(p)) for i, p in enumerate(out[:done]) if p > -2] == stream.committed == [(i, int(p)) for i, p in enumerate(whole[:done]) if p > -2]
+        crossed = any(text[a:b] in v.pieces for a in range(max(0, done - v.longest), done) for b in range(done + 1, min(len(codes), a + v.longest) + 1))
+        inside += crossed and done > 0
+        kept.append(len(codes) - done)
+    assert inside > 20 and np.median(kept) <= 2 * v.longest
+
+
+@pytest.mark.parametrize("text", ["=" * 200_000, " " * 200_000, "a" * 200_000, "ab" * 100_000, "\n" * 200_000])
+def test_sentencepiece_of_long_runs_takes_linear_time(text):
+    v = sentencepiece_viterbi.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    began = time.process_time()
+    ids = sentencepiece_viterbi.Encoder(v)(text)
+    assert sentencepiece_viterbi.joined(ids, v.bytes_of) == text and time.process_time() - began < 30
+
+
 def test_sentencepiece_of_nothing(spark):
     model = public_tokenizers.path("piece_bpe_32k.model")
     nothing = spark.createDataFrame([], "doc_id long, text string, digest string, ids string")

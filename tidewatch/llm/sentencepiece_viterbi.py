@@ -1,16 +1,18 @@
 """Encoding and decoding with the pieces of a SentencePiece model by streaming Viterbi search.
 
 The best segmentation is the one with the largest sum of piece scores.  The search reads texts from left to right in
-blocks.  All pieces that match in a block are found first; a boundary that none of them goes across is one on which all
-paths that are still alive converge, so what stands before it is final: its ids are committed and only the window after
-the last such boundary, which no piece outgrows, is carried into the next block.  Between two convergence points the
-search takes one character of every open stretch at a time, over whole arrays; a stretch without a convergence point for
-longer than ``DENSE`` characters goes through ``Stream``, which walks its backpointers to find one.
+blocks.  All pieces that match in a block are found first, and every boundary gets its best score and a backpointer.  A
+piece still to come can start at one of the last boundaries only, as many as the longest piece has characters; what the
+backpointers of all of these have in common is final: its ids are committed, and only what follows is carried into the
+next block.  A boundary that no match goes across is one on which all paths converge; between two such ones the search
+takes one character of every open stretch at a time, over whole arrays, and a stretch without one for longer than
+``DENSE`` characters goes through ``Stream``, which walks its backpointers as it goes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -116,41 +118,47 @@ class Vocabulary:
 
 
 class Stream:
-    """Viterbi search over characters that come one by one; ``committed`` grows as paths converge."""
+    """Viterbi search over characters that come one by one; ``committed`` grows as paths converge.
+
+    Convergence is looked for whenever the window has grown by the longest piece, and after each failure only when it has
+    doubled, so the search takes time in proportion to the text even where no two paths ever meet.
+    """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
         self.committed: list[tuple[int, int]] = []  # start and id of each piece; id -1: bytes
         self.done = 0  # characters before the last committed boundary
-        self.text = ""  # characters since the last committed boundary
-        self.best = [0.0]
+        self.recent = ""  # the last characters, as many as the longest piece has
+        self.best = [0.0]  # of every boundary since the last committed one
         self.back: list[tuple[int, int]] = [(-1, -1)]  # start of the last piece and its id; id -1: bytes
         self.widest = 0  # positions that the stream ever held
+        self.next = 2 * vocabulary.longest
 
     def push(self, char: str) -> None:
-        self.text += char
-        n, v, best = len(self.text), self.v, self.best
+        v, best = self.v, self.best
+        n = len(best)
+        self.recent = recent = (self.recent + char)[-min(v.longest, n) :]
         top, how = best[n - 1] + v.unknown, (n - 1, -1)
-        for start in range(max(0, n - v.longest), n):
-            hit = v.pieces.get(self.text[start:n])
+        for i in range(len(recent)):
+            hit = v.pieces.get(recent[i:])
+            start = n - len(recent) + i
             if hit is not None and (score := best[start] + hit[0]) > top:  # of equal sums the longest last piece
                 top, how = score, (start, hit[1])
         best.append(top)
         self.back.append(how)
         self.widest = max(self.widest, n)
-        if n >= 2 * v.longest and n % v.longest == 0:
-            self._converge()
-
-    def _converge(self) -> None:
-        n = len(self.text)
-        paths = set(range(max(0, n - self.v.longest + 1), n + 1))  # a piece still to come can start at any of these
-        while len(paths) > 1:
-            last = max(paths)
-            paths.remove(last)
-            paths.add(self.back[last][0])
-        at = paths.pop()
+        if n >= self.next:
+            self.converge()
+
+    def converge(self, lowest: int | None = None) -> None:
+        """Commit what all paths have in common; a piece still to come starts at boundary ``lowest`` of the text or later, at one of the last by itself."""
+        n = len(self.best) - 1
+        first = n - self.v.longest + 1 if lowest is None else lowest - self.done
+        at = converged(range(max(0, first), n + 1), lambda i: self.back[i][0])
         if at > 0:
             self._commit(at)
+        left = len(self.best) - 1
+        self.next = max(left + self.v.longest, 2 * self.v.longest) if at > 0 else 2 * n
 
     def _commit(self, at: int) -> None:
         found: list[tuple[int, int]] = []
@@ -162,16 +170,27 @@ class Stream:
         self.committed.extend(reversed(found))
         self.done += at
         base = self.best[at]
-        self.text = self.text[at:]
         self.best = [b - base for b in self.best[at:]]
         self.back = [(s - at, p) for s, p in self.back[at:]]
+        self.recent = self.recent[-(len(self.best) - 1) :] if len(self.best) > 1 else ""
 
     def finish(self) -> list[tuple[int, int]]:
-        if self.text:
-            self._commit(len(self.text))
+        if len(self.best) > 1:
+            self._commit(len(self.best) - 1)
         return self.committed
 
 
+def converged(boundaries, before) -> int:
+    """The last boundary that the best paths to all of ``boundaries`` have in common; ``before`` gives the one before on a path."""
+    paths = [-b for b in set(boundaries)]
+    heapq.heapify(paths)
+    while len(paths) > 1:
+        last = before(-heapq.heappop(paths))
+        if -last not in paths:
+            heapq.heappush(paths, -last)
+    return -paths[0]
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
@@ -179,8 +198,9 @@ class Encoder:
     def _search(self, letters: np.ndarray, text: np.ndarray, last: bool) -> tuple[np.ndarray, int]:
         """Piece ids by the place where each starts (-1: bytes, -2: none starts here) and the boundary up to which they are final.
 
-        ``letters`` are the classes of ``text``; class -1 stands between texts.  Unless it is the ``last`` block, a match could
-        go on beyond its end, so nothing in the last ``longest`` characters is final.
+        ``letters`` are the classes of ``text``; class -1 stands between texts.  Unless it is the ``last`` block, a piece could
+        start at any of the last ``longest`` boundaries and go on beyond the end; final is what the best paths to all of these
+        have in common, also where matches of other paths go across.
         """
         v, n, w = self.v, len(text), self.v.longest
         padded = np.concatenate([letters, np.full(w, -1, dtype=letters.dtype)]).astype(np.int64)
@@ -212,8 +232,6 @@ class Encoder:
                 single[at[ends]] = True
         far = np.maximum.accumulate(reach) if n else reach
         meet = np.concatenate([[0], np.flatnonzero(far == np.arange(1, n + 1)) + 1])  # boundaries that no match goes across
-        if not last:
-            meet = meet[meet <= max(0, n - w)]
         start, end = meet[:-1], meet[1:]
         size, out = end - start, np.full(n, -2, dtype=np.int32)
         # matches by the number of characters before their end in the stretch, the longest first, so that it wins equal sums
@@ -245,8 +263,22 @@ class Encoder:
             better = np.flatnonzero(total > best[ends])
             ends = ends[better]
             best[ends], choice[ends] = total[better], better + i
-        short = np.flatnonzero(size <= DENSE)
-        first, slot = slot[short], end[short] + short
+        done, stops = n, end.copy()
+        if not last and n:
+            # no match of the block goes across a boundary of ``meet``: all paths to later ones lead through this stretch's end
+            open_ = int(np.searchsorted(end, max(0, n - w), "right"))
+            lowest = max(int(start[open_]), n - w + 1)
+            if size[open_] <= DENSE:
+                done = converged(range(lowest, int(end[open_]) + 1), lambda i: int(low[choice[i + open_]]) - open_ if i > start[open_] else i)
+                stops[open_] = done
+            else:
+                dense, more = self._streamed(text[start[open_] : end[open_]], lowest - int(start[open_]))
+                done = int(start[open_]) + more
+                out[start[open_] : done] = dense
+                stops[open_] = start[open_]
+            stops[open_ + 1 :] = start[open_ + 1 :]
+        short = np.flatnonzero((size <= DENSE) & (stops > start))
+        first, slot = slot[short], stops[short] + short
         piece = np.where(node > 0, v.piece[node], -1)
         while len(slot):
             m = choice[slot]
@@ -254,13 +286,9 @@ class Encoder:
             out[slot - short] = piece[m]
             use = slot > first
             slot, first, short = slot[use], first[use], short[use]
-        for i in np.flatnonzero(size > DENSE):
-            stream = Stream(v)
-            for c in text[start[i] : end[i]].tolist():
-                stream.push(SPACE if c == 32 else chr(c))
-            for a, p in stream.finish():
-                out[start[i] + a] = p
-        return out, int(meet[-1])
+        for i in np.flatnonzero((size > DENSE) & (stops > start)):
+            out[start[i] : end[i]] = self._streamed(text[start[i] : end[i]], enough=len(text))[0]
+        return out, done
 
     def _ids(self, out: np.ndarray, text: np.ndarray) -> np.ndarray:
         """Ids in order, characters without a piece as those of their bytes."""
@@ -277,19 +305,38 @@ class Encoder:
         return ids
 
     def _lone(self, codes: np.ndarray) -> np.ndarray:
-        """A text beyond a block: each block starts at the last boundary that is final."""
-        parts, at, size = [], 0, BLOCK
+        """A text beyond a block: each block starts at the boundary up to which the one before is final."""
+        parts, at = [], 0
         while at < len(codes):
-            block = codes[at : at + size]
-            last = at + len(block) == len(codes)
-            out, done = self._search(self.v.classes[block], block, last)
-            if not done:  # no convergence yet
-                size *= 2
-                continue
-            parts.append(self._ids(out[:done], block[:done]))
-            at, size = at + done, BLOCK
+            block = codes[at : at + BLOCK]
+            out, done = self._search(self.v.classes[block], block, at + len(block) == len(codes))
+            if not done:  # no convergence in a whole block
+                out, done = self._streamed(codes[at:])
+            parts.append(self._ids(out[:done], codes[at : at + done]))
+            at += done
         return np.concatenate(parts)
 
+    def _streamed(self, codes: np.ndarray, lowest: int | None = None, enough: int = BLOCK // 2) -> tuple[np.ndarray, int]:
+        """As ``_search``, one character at a time, up to the first convergence after ``enough`` characters or to the end.
+
+        ``lowest``: the text goes on, with pieces that start at this boundary or later.
+        """
+        stream = Stream(self.v)
+        for i in range(0, len(codes), BLOCK):
+            for c in codes[i : i + BLOCK].tolist():
+                stream.push(SPACE if c == 32 else chr(c))
+            if stream.done > enough and i + BLOCK < len(codes):
+                break
+        else:
+            if lowest is None:
+                stream.finish()
+            else:
+                stream.converge(lowest)
+        out = np.full(stream.done, -2, dtype=np.int32)
+        for start, piece in stream.committed:
+            out[start] = piece
+        return out, stream.done
+
     def many(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
         """Ids of texts in turn; short ones share a block."""
         held: list[np.ndarray] = []
