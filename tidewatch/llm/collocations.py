@@ -33,7 +33,7 @@ from tidewatch.llm import common
 from tidewatch.llm.windows import mix
 
 DEPTH = 4
-#: Places from which on a leading pair is routed by all words.
+#: Places from which on a leading pair is routed by all words; about, as counts of 32 bits of a hash and 16 of a batch say it.
 HOT = 1 << 16
 #: Bits of a filter: 16 MB whatever the corpus holds, in pieces of 4 KB.
 BITS, PIECE = 27, 15
@@ -125,15 +125,17 @@ def parts(text: str, size: int = BATCH) -> Iterator[str]:
 # -- bitmaps of frequent hashes ---------------------------------------------------------------------------------------
 
 _HASHES = "bucket int, data binary"
-_HASH = np.dtype([("h", "<u8"), ("c", "<i8")])
+#: Of a hash, the 32 bits after those of the bucket, and its count in a batch: a count beyond 16 bits says no more than a full one.
+_HASH = np.dtype([("h", "<u4"), ("c", "<u2")])
+_TOP = 64 - BITS + PIECE
 
 
 def dealt(h: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Hashes with their counts, by the piece of the bitmap that they fall into."""
-    one, at = np.unique(h, return_inverse=True)
+    one, at = np.unique(h >> np.uint64(_TOP - 32), return_inverse=True)
     rows = np.empty(len(one), dtype=_HASH)
-    rows["h"], rows["c"] = one, np.bincount(at, c, len(one)).astype(np.int64)
-    bucket = (one >> np.uint64(64 - BITS + PIECE)).astype(np.int32)
+    rows["h"], rows["c"] = one & np.uint64(0xFFFFFFFF), np.minimum(np.bincount(at, c, len(one)), 0xFFFF)
+    bucket = (one >> np.uint64(32)).astype(np.int32)
     b, cuts = np.unique(bucket, return_index=True)
     if len(b):
         yield pa.RecordBatch.from_arrays([pa.array(b), pa.array([x.tobytes() for x in np.split(rows, cuts[1:])], pa.binary())], names=["bucket", "data"])
@@ -147,7 +149,7 @@ def _bits(levels: list[int]):
         one, at = np.unique(rows["h"], return_inverse=True)
         counts, out = np.bincount(at, rows["c"], len(one)), []
         for least in levels:
-            place = (one[counts >= least] >> np.uint64(64 - BITS)).astype(np.int64) & ((1 << PIECE) - 1)
+            place = one[counts >= least] >> np.uint32(32 - PIECE)
             flags = np.zeros(1 << PIECE, dtype=bool)
             flags[place] = True
             out.append(np.packbits(flags).tobytes() if len(place) else b"")
