@@ -38,7 +38,7 @@ HOT = 1 << 16
 #: Bits of a filter: 16 MB whatever the corpus holds, in pieces of 4 KB.
 BITS, PIECE = 27, 15
 #: Bytes of text that are tokenized at once.
-BATCH = 1 << 23
+BATCH = 1 << 22
 
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = True
@@ -57,18 +57,17 @@ class Tokens:
         data = texts.buffers()[2]
         raw = _LOWER[np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]]] if data is not None else np.zeros(0, dtype=np.uint8)
         ends_of_texts = offsets[1:] - offsets[0]
-        # a word never spans two texts: the places where one ends count as gaps of their own
         gap = _GAP[raw]
-        inside = np.concatenate([[False], ~gap, [False]])
-        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        edge = np.flatnonzero(np.diff(~gap, prepend=False, append=False))
         starts, ends = edge[::2], edge[1::2]
+        # a word never spans two texts: the places where one ends are cut
         cut = ends_of_texts[:-1][(ends_of_texts[:-1] > 0) & (ends_of_texts[:-1] < len(raw))]
         cut = np.unique(cut)
         cut = cut[~gap[cut] & ~gap[cut - 1]] if len(cut) else cut
         if len(cut):
             starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
         text = np.searchsorted(ends_of_texts, starts, side="right")
-        breaks = np.concatenate([[0], np.cumsum(_BREAK[raw])])[starts] if len(starts) else starts
+        breaks = np.searchsorted(np.flatnonzero(_BREAK[raw]), starts)
         self.piece = np.cumsum(np.concatenate([[True], (breaks[1:] != breaks[:-1]) | (text[1:] != text[:-1])])) if len(starts) else starts
         keep = raw[~gap]
         word_offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
@@ -100,14 +99,16 @@ def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[Tokens]:
     """Texts by about ``BATCH`` bytes; longer ones by pieces."""
     texts, langs, size = [], [], 0
     for batch in batches:
-        for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist()):
-            for part in parts(text or ""):
-                texts.append(part)
-                langs.append(lang)
-                size += len(part)
-                if size >= BATCH:
-                    yield Tokens(pa.array(texts, pa.string()), pa.array(langs, pa.string()))
-                    texts, langs, size = [], [], 0
+        for at in range(0, len(batch), 256):  # few texts at a time as Python objects
+            some = batch.slice(at, 256)
+            for text, lang in zip(some["text"].to_pylist(), some["lang"].to_pylist()):
+                for part in parts(text or ""):
+                    texts.append(part)
+                    langs.append(lang)
+                    size += len(part)
+                    if size >= BATCH:
+                        yield Tokens(pa.array(texts, pa.string()), pa.array(langs, pa.string()))
+                        texts, langs, size = [], [], 0
     if texts:
         yield Tokens(pa.array(texts, pa.string()), pa.array(langs, pa.string()))
 
