@@ -20,6 +20,8 @@ class Rate:
     neighbours: int = 5
     #: Width of the spans of a bucket whose addresses are reduced in one place.
     part_seconds: int = 5
+    #: Width of the chunks of time whose parts are folded in order in one place.
+    chunk_seconds: int = 21_600
 
     @property
     def alpha(self) -> float:

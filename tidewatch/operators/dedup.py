@@ -9,16 +9,22 @@ from pyspark.sql import functions as F
 from tidewatch.config import DEDUP_SECONDS, MONITOR_ERRORS
 
 
-def throttle(alerts: DataFrame, seconds: int = DEDUP_SECONDS) -> DataFrame:
+KEYS = ("entity_type", "entity_id", "alert_type")
+#: A saved throttle: when the last alert of a key was sent, and how many were suppressed since.
+SAVED = "entity_type string, entity_id string, alert_type string, last long, held long"
+
+
+def throttle(alerts: DataFrame, seconds: int = DEDUP_SECONDS, initial: DataFrame | None = None) -> DataFrame:
     """``sent`` and ``suppressed_prior`` of every alert: a kind of alert of an entity is sent once in ``seconds``.
 
     The anchor is the last one sent, so this is a fold per key; keys are independent.  Of alerts at one time the order is
-    by source and summary.  A key that is quiet for long keeps its count of suppressed ones.
+    by source and summary.  A key that is quiet for long keeps its count of suppressed ones.  ``turn`` numbers a key's alerts,
+    and ``last`` and ``held`` are the state after each, from which a later run can go on as ``initial`` (S9, ``throttled``).
     """
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(pdf: pd.DataFrame, last: int | None, held: int) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "source", "summary"], kind="stable")
-        sent, prior, last, held = [], [], None, 0
+        sent, prior, lasts, helds = [], [], [], []
         for t in pdf["t"]:
             if last is None or t - last >= seconds:
                 sent.append(True)
@@ -28,10 +34,25 @@ def throttle(alerts: DataFrame, seconds: int = DEDUP_SECONDS) -> DataFrame:
                 sent.append(False)
                 prior.append(0)
                 held += 1
-        return pdf.assign(sent=sent, suppressed_prior=prior)
+            lasts.append(last)
+            helds.append(held)
+        return pdf.assign(sent=sent, suppressed_prior=prior, turn=range(len(pdf)), last=lasts, held=helds)
+
+    def resumed(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        return fold(pdf, *((int(before["last"].iloc[0]), int(before["held"].iloc[0])) if len(before) else (None, 0)))
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in alerts.schema.fields) + ", sent boolean, suppressed_prior long, turn long, last long, held long"
+    if initial is None:
+        return alerts.groupBy(*KEYS).applyInPandas(lambda pdf: fold(pdf, None, 0), schema)
+    return alerts.groupBy(*KEYS).cogroup(initial.groupBy(*KEYS)).applyInPandas(resumed, schema)
+
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in alerts.schema.fields) + ", sent boolean, suppressed_prior long"
-    return alerts.groupBy("entity_type", "entity_id", "alert_type").applyInPandas(run, schema)
+def throttled(rows: DataFrame, initial: DataFrame | None = None) -> DataFrame:
+    """Each key's last state of ``throttle``; keys of ``initial`` without a new alert keep theirs."""
+    states = rows.select(*KEYS, "turn", "last", "held")
+    if initial is not None:
+        states = states.unionByName(initial.select(*KEYS, F.lit(-1).cast("long").alias("turn"), "last", "held"))
+    return states.groupBy(*KEYS).agg(F.max_by(F.struct("last", "held"), "turn").alias("s")).select(*KEYS, "s.*")
 
 
 def message(limit: int | None = None):

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.config import Fusion
 from tidewatch.functions.common import rnd
+from tidewatch.operators import scan
+from tidewatch.sources import sinks
 
 #: Half-lives after which a hit is worth less than any rounding shows.
 HORIZON = 30
@@ -42,21 +46,40 @@ def gate(docs: DataFrame, cfg: Fusion = Fusion(), now=None) -> DataFrame:
     return docs.withColumn("model", model).withColumn("disposition", what)
 
 
-def contributions(gated: DataFrame, cfg: Fusion = Fusion(), halflife: float | None = None) -> DataFrame:
+HIT = ("entity_type", "entity_id", "model", "t", "weight", "claim", "tag", "level", "held", "held_t")
+#: A saved claim: a model's last hit on an entity, with the claim that holds the running maximum.
+SAVED = "entity_type string, entity_id string, model string, t long, weight double, claim double, tag string, level double, held double, held_t long"
+
+
+def hits(gated: DataFrame, cfg: Fusion = Fusion()) -> DataFrame:
+    """Folded documents with their weight, weighted claim and tag."""
+    weights = F.create_map(*[F.lit(x) for kv in cfg.weights.items() for x in kv])
+    rows = gated.filter("disposition = 'folded'").withColumn("weight", F.coalesce(weights[F.col("model")], F.lit(cfg.default_weight)))
+    return rows.withColumns({"claim": F.col("weight") * F.least("score", F.lit(1.0)), "tag": tag()})
+
+
+def contributions(gated: DataFrame, cfg: Fusion = Fusion(), halflife: float | None = None, initial: DataFrame | None = None) -> DataFrame:
     """Each hit with its weighted claim, its tag and when the next hit of its entity and model takes over.
 
     Decay commutes with the maximum: claim * 2 ^ -((now - t) / halflife) is ordered as log2(claim) + t / halflife, so the
     value that a fold would hold is a running maximum over the entity's hits; ``held`` and ``held_t`` are the claim that
-    holds it and its time, as decay is more exact from them than from the logarithm.
+    holds it and its time, as decay is more exact from them than from the logarithm.  ``initial`` has the ``saved`` claims of an
+    earlier run, which rule until the first hit of this one (S9).
     """
     half = halflife or cfg.halflife
-    weights = F.create_map(*[F.lit(x) for kv in cfg.weights.items() for x in kv])
-    rows = gated.filter("disposition = 'folded'").withColumn("weight", F.coalesce(weights[F.col("model")], F.lit(cfg.default_weight)))
-    rows = rows.withColumns({"claim": F.col("weight") * F.least("score", F.lit(1.0)), "tag": tag()})
+    rows = hits(gated, cfg)
+    rows = rows.select(*HIT[:7], (F.log2("claim") + F.col("t") / half).alias("level"), F.col("claim").alias("held"), F.col("t").alias("held_t"))
+    if initial is not None:
+        rows = initial.select(*HIT).unionByName(rows)
     order = Window.partitionBy("entity_type", "entity_id", "model").orderBy("t")
-    best = F.max(F.struct((F.log2("claim") + F.col("t") / half).alias("level"), "claim", "t")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    best = F.max(F.struct("level", "held", "held_t")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_b", best).withColumn("next_t", F.lead("t").over(order))
-    return rows.select("entity_type", "entity_id", "model", "t", "next_t", "weight", "claim", "tag", "_b.level", F.col("_b.claim").alias("held"), F.col("_b.t").alias("held_t"))
+    return rows.select("entity_type", "entity_id", "model", "t", "next_t", "weight", "claim", "tag", "_b.level", "_b.held", "_b.held_t")
+
+
+def saved(contributed: DataFrame) -> DataFrame:
+    """The claims that hold after the last hit, to go on from."""
+    return contributed.filter("next_t IS NULL").select(*HIT)
 
 
 def at_ticks(hits: DataFrame, start: int, step: int, end: int, halflife: float) -> DataFrame:
@@ -118,19 +141,24 @@ def spine(spark, start: int, step: int, end: int) -> DataFrame:
     return spark.range(0, (end - start) // step + 1).select((F.col("id") * step + start).alias("tick"))
 
 
-def levels(spark, pic: DataFrame, start: int, step: int, end: int, cfg: Fusion = Fusion()) -> DataFrame:
+LEVELS = ("normal", "elevated", "critical")
+
+
+def levels(spark, pic: DataFrame, start: int, step: int, end: int, cfg: Fusion = Fusion(), initial: str = "normal", width: int = scan.WIDTH) -> DataFrame:
     """Threat level at every tick (W9) and the one before it.
 
-    Hysteresis is two independent latches, each set by its upper and reset below its lower threshold.  The latches of
-    one sequence of ticks are a running "last set or reset": ticks are one row each of a few numbers.
+    Hysteresis is two independent latches, each set by its upper and reset below its lower threshold, so a latch is the last
+    "set" or "reset" so far.  That is found in chunks of ``width`` ticks at once (``scan``), never over all ticks in one place.
+    ``initial`` is the level before the first tick (S9); the ``critical`` latch is never set without the other.
     """
-    rows = spine(spark, start, step, end).join(pic, "tick", "left").select("tick", F.coalesce("global_score", F.lit(0.0)).alias("global_score"), F.coalesce("lit_entities", F.lit(0)).alias("lit_entities"), F.coalesce("corroboration", F.lit(0)).alias("corroboration"))
-    order = Window.orderBy("tick")
-    g = F.col("global_score")
-    latch = lambda up, down: F.coalesce(F.last(F.when(g >= up, True).when(g < down, False), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False))
-    level = F.when(F.col("_c"), "critical").when(F.col("_e"), "elevated").otherwise("normal")
-    rows = rows.withColumns({"_c": latch(cfg.critical_up, cfg.critical_down), "_e": latch(cfg.elevated_up, cfg.elevated_down)})
-    return rows.withColumn("level", level).withColumn("previous", F.coalesce(F.lag("level").over(order), F.lit("normal"))).drop("_c", "_e")
+    ticks = spine(spark, start, step, end).withColumn("k", ((F.col("tick") - start) / step).cast("long"))
+    rows = ticks.join(pic, "tick", "left").select("k", "tick", F.coalesce("global_score", F.lit(0.0)).alias("global_score"), F.coalesce("lit_entities", F.lit(0)).alias("lit_entities"), F.coalesce("corroboration", F.lit(0)).alias("corroboration"))
+    g, at = F.col("global_score"), LEVELS.index(initial)
+    rows = rows.withColumns({n: F.when(g >= up, True).when(g < down, False) for n, up, down in (("_c", cfg.critical_up, cfg.critical_down), ("_e", cfg.elevated_up, cfg.elevated_down))})
+    rows = scan.running_last(sinks.stored(rows), "k", ["_c", "_e"], width)
+    level = F.when(F.coalesce("_c", F.lit(at == 2)), "critical").when(F.coalesce("_e", F.lit(at >= 1)), "elevated").otherwise("normal")
+    rows = scan.lagged(sinks.stored(rows.withColumn("level", level)), "k", "level", "previous", width)
+    return rows.select("tick", "global_score", "lit_entities", "corroboration", "level", F.coalesce("previous", F.lit(initial)).alias("previous"), "k")
 
 
 def transitions(lv: DataFrame) -> DataFrame:
@@ -138,21 +166,44 @@ def transitions(lv: DataFrame) -> DataFrame:
     return lv.filter("level != previous").select(F.col("tick").alias("at"), F.col("previous").alias("from_level"), F.col("level").alias("to_level"), "global_score").orderBy(F.desc("at"))
 
 
-def emissions(lv: DataFrame, emit_every: float, cfg: Fusion = Fusion()) -> DataFrame:
-    """Ticks at which a document is published, and from when its window runs (W11): a fold over ticks, one row each."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, since, last = [], None, 0.0
-        for r in pdf.sort_values("tick").itertuples():
-            if since is None:
-                since = r.tick
-                continue
-            if r.level != r.previous or r.tick - since >= emit_every or abs(r.global_score - last) >= cfg.emit_delta:
-                out.append((r.tick, since, r.global_score, r.level))
-                since, last = r.tick, r.global_score
-        return pd.DataFrame(out, columns=["tick", "window_start", "global_score", "level"])
+def emissions(lv: DataFrame, emit_every: float, cfg: Fusion = Fusion(), step: float | None = None, initial: tuple[int, float] | None = None, width: int = scan.WIDTH) -> DataFrame:
+    """Ticks at which a document is published, and from when its window runs.
 
-    return lv.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "tick long, window_start long, global_score double, level string")
+    Which tick comes next after an emission depends on that tick alone, and it comes within ``emit_every``: emissions are a
+    chain of bounded jumps, followed in chunks of ticks at once (``scan``).  The first tick only opens the window.  ``step`` is the
+    least time between ticks; ticks without a number ``k`` (a table of few rows, by hand) get one and are looked through for it.
+    ``initial`` is the last emission of an earlier run and its score (S9).
+    """
+    if "k" not in lv.columns:
+        lv = lv.withColumn("k", F.row_number().over(Window.orderBy("tick")) - 1)
+    if step is None:
+        step = scan.lagged(lv, "k", "tick", "_before", width).agg(F.min(F.col("tick") - F.col("_before")).alias("d")).first()["d"] or emit_every
+    hops = max(1, math.ceil(emit_every / step))
+    delta, resumed = cfg.emit_delta, initial is not None
+
+    def jumps(pdf: pd.DataFrame) -> list[int]:
+        g, moved, at = (pdf[c].to_numpy() for c in ("global_score", "changed", "tick"))
+        was = g.copy()
+        if not resumed and len(pdf):
+            was[pdf["k"].to_numpy() == 0] = 0.0  # the first tick opens, it tells nothing
+        n, out = len(pdf), [0] * len(pdf)
+        for d in range(hops, 0, -1):
+            if d < n:
+                hit = moved[d:] | (at[d:] - at[:-d] >= emit_every) | (abs(g[d:] - was[:-d]) >= delta)
+                for i in hit.nonzero()[0].tolist():
+                    out[i] = d
+        return out
+
+    rows = lv.select("k", "tick", "global_score", "level", (F.col("level") != F.col("previous")).alias("changed"))
+    first = 0
+    if resumed:
+        since, last = initial
+        due = F.col("changed") | (F.col("tick") - since >= emit_every) | (F.abs(F.col("global_score") - last) >= delta)
+        found = rows.filter(due & (F.col("k") < hops)).agg(F.min("k").alias("k")).first()["k"]
+        first = -1 if found is None else found
+    chain = scan.chained(rows, "k", "tick", hops, jumps, first, width)
+    out = chain.select("tick", F.coalesce("_from", F.lit(initial[0] if resumed else None)).alias("window_start"), "global_score", "level")
+    return out if resumed else out.filter("window_start IS NOT NULL")
 
 
 def level_alerts(lv: DataFrame) -> DataFrame:
@@ -167,12 +218,12 @@ def level_alerts(lv: DataFrame) -> DataFrame:
 
 def snapshots(lv: DataFrame, states: DataFrame, cfg: Fusion = Fusion()) -> DataFrame:
     """The full picture at every tick (Q1): score, level, since when it holds, breadth, who speaks the loudest, and the strongest entities."""
-    order = Window.orderBy("tick")  # one row a tick
-    since = F.coalesce(F.last(F.when(F.col("level") != F.col("previous"), F.col("tick")), ignorenulls=True).over(order), F.first("tick").over(order))
+    since = F.when((F.col("level") != F.col("previous")) | (F.col("k") == 0), F.col("tick"))
+    lv = scan.running_last(lv.withColumn("since", since), "k", ["since"])
     claims = contributors(states, cfg).groupBy("tick").agg(F.array_sort(F.collect_list(F.struct((-F.col("claim")).alias("c"), "model", "tag"))).alias("c"))
     best = top_entities(states, cfg).groupBy("tick").agg(F.array_sort(F.collect_list(F.struct("rank", "entity_type", "entity_id"))).alias("e"))
     listed = lambda items, text: F.coalesce(F.array_join(F.transform(items, text), ","), F.lit(""))
-    rows = lv.withColumn("since", since).join(claims, "tick", "left").join(best, "tick", "left")
+    rows = lv.join(claims, "tick", "left").join(best, "tick", "left")
     return rows.select(
         "tick", "global_score", "level", "since", "lit_entities", "corroboration",
         listed("c", lambda x: x["model"]).alias("contributors"), listed("e", lambda x: F.concat(x["entity_type"], F.lit(":"), x["entity_id"])).alias("entities"),

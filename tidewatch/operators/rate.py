@@ -11,16 +11,20 @@ from pyspark.sql import types as T
 
 from tidewatch.config import Rate
 from tidewatch.functions.common import iso, rnd, severity
+from tidewatch.operators import scan
 
 FLOORS = {"event_count": (1.0, 0.1), "mean_payload": (20.0, 0.1), "error_ratio": (0.05, 0.0)}
 
 
-def _fold(x: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and variance before each value and after the last; entry i has seen i values.
+def _fold(x: np.ndarray, alpha: float, start: tuple[float, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and variance before each value and after the last; entry i has seen i values, and those of ``start`` if given.
 
     Both are first-order recurrences: the mean's over the values, the variance's over the squared steps from the mean before.
     """
     smooth = lambda y: pd.Series(y).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+    if start is not None:
+        mean = smooth(np.append(start[0], x))
+        return mean, smooth(np.append(start[1], (1.0 - alpha) * (x - mean[:-1]) ** 2))
     if not len(x):
         return np.zeros(1), np.zeros(1)
     mean = smooth(x)
@@ -29,47 +33,71 @@ def _fold(x: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 STATES = ("n", *(f"{f}_{s}" for f in FLOORS for s in ("mean", "var")))
+ENTITY = ("entity_type", "entity_id")
+#: A saved baseline: the entity's last bucket and its state after it.
+SAVED = "bucket long, entity_type string, entity_id string, " + ", ".join(f"{c} {'long' if c == 'n' else 'double'}" for c in STATES)
+
+
+def fold_entity(table: pa.Table, saved: dict | None, alpha: float, final: bool) -> pa.Table:
+    """One entity's buckets with the state before each; with ``final`` its last one with the state after it."""
+    table = table.sort_by("bucket")
+    n = saved["n"] if saved else 0
+    at = slice(-1, None) if final else slice(None, -1)
+    more = [n + np.arange(len(table) + 1)[at]]
+    for f in FLOORS:
+        more += [state[at] for state in _fold(table[f].to_numpy().astype(float), alpha, (saved[f"{f}_mean"], saved[f"{f}_var"]) if n else None)]
+    if final and not len(table):  # nothing new: what was saved holds
+        kept = {c: [saved["bucket"] if c == "bucket" else saved.get(c)] for c in table.column_names}
+        out = pa.table({c: pa.array(v, table.schema.field(c).type) for c, v in kept.items()})
+    else:
+        out = table.slice(len(table) - 1) if final else table
+    for name, values in zip(STATES, more):
+        out = out.append_column(name, pa.array(values, type=pa.int64() if name == "n" else pa.float64()))
+    return out
 
 
-def _states(rows: DataFrame, cfg: Rate, final: bool) -> DataFrame:
-    """``rows`` with the state before each; with ``final`` each entity's last row only, with the state after it."""
+def _states(rows: DataFrame, cfg: Rate, final: bool, initial: DataFrame | None = None) -> DataFrame:
+    """``rows`` with the state before each; with ``final`` each entity's last row only, with the state after it.
+
+    ``initial`` has saved baselines (S9): the fold of an entity goes on from its own, if there is one.
+    """
     kinds = ", ".join(f"{c} {'long' if c == 'n' else 'double'}" for c in STATES)
     schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(kinds).fields])
+    rows = rows.filter("entity_type != 'client_ip'")
+    if initial is None:
+        return rows.groupBy(*ENTITY).applyInArrow(lambda table: fold_entity(table, None, cfg.alpha, final), schema)
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("bucket")
-        at = slice(-1, None) if final else slice(None, -1)
-        more = [np.arange(len(table) + 1)[at]]
-        for f in FLOORS:
-            more += [state[at] for state in _fold(table[f].to_numpy().astype(float), cfg.alpha)]
-        out = table.slice(len(table) - 1) if final else table
-        for name, values in zip(STATES, more):
-            out = out.append_column(name, pa.array(values, type=pa.int64() if name == "n" else pa.float64()))
-        return out
+    def run(table: pa.Table, before: pa.Table) -> pa.Table:
+        return fold_entity(table, before.to_pylist()[0] if len(before) else None, cfg.alpha, final)
 
-    return rows.filter("entity_type != 'client_ip'").groupBy("entity_type", "entity_id").applyInArrow(run, schema)
+    return rows.groupBy(*ENTITY).cogroup(initial.select("bucket", *ENTITY, *STATES).groupBy(*ENTITY)).applyInArrow(run, schema)
 
 
-def baselines(feats: DataFrame, cfg: Rate = Rate(), final: bool = False) -> DataFrame:
+def baselines(feats: DataFrame, cfg: Rate = Rate(), final: bool = False, initial: DataFrame | None = None) -> DataFrame:
     """Each bucket's row with the state before it; with ``final`` each entity's last state.
 
     The fold runs over an entity's buckets in time order; rows are counts per bucket, so even the entity of all traffic has
-    one row a minute.  A closed form over windows would overflow after some 120,000 buckets.
+    one row a minute.  A closed form over windows would overflow after some 120,000 buckets.  A run over later buckets
+    goes on from ``initial``, the final baselines of the one before, as if the two were one.
     """
     rows = feats.select("bucket", "entity_type", "entity_id", *FLOORS)
-    return _states(rows, cfg, final).select("bucket", "entity_type", "entity_id", *STATES)
+    return _states(rows, cfg, final, initial).select("bucket", "entity_type", "entity_id", *STATES)
 
 
 def _z(x, mean, var, n, absolute: float, relative: float):
     return F.when(n < 2, 0.0).otherwise((x - mean) / F.greatest(F.sqrt(F.greatest(var, F.lit(0.0))), F.lit(absolute), relative * mean))
 
 
-def z_scores(feats: DataFrame, cfg: Rate = Rate()) -> DataFrame:
+def z_scores(feats: DataFrame, cfg: Rate = Rate(), initial: DataFrame | None = None) -> DataFrame:
     """z of rate, payload and error ratio, judged before the bucket is folded in.
 
     The fold hands every row on with the state before it, so features are computed once and joined with nothing.
     """
-    rows = _states(feats, cfg, False)
+    return with_z(_states(feats, cfg, False, initial))
+
+
+def with_z(rows: DataFrame) -> DataFrame:
+    """z of rows that have the state before them."""
     for f, (absolute, relative) in FLOORS.items():
         rows = rows.withColumn(f"{f}_z", _z(F.col(f), F.col(f"{f}_mean"), F.col(f"{f}_var"), F.col("n"), absolute, relative))
     return rows
@@ -132,12 +160,31 @@ def _after(x: np.ndarray, alpha: float) -> np.ndarray:
     return maps[:, 0]
 
 
-def cohort_states(ips: DataFrame, cfg: Rate = Rate()) -> DataFrame:
-    """(bucket, n, mean, var): the state of the one baseline of all addresses before each bucket.
+COHORT = "n long, mean double, var double"
+
+
+def _cohort_apply(state: tuple, row: tuple) -> tuple:
+    """What a row of maps (m, power, shift, c0, c1, c2, mean1, var1) makes of (n, mean, var)."""
+    n, mean, var = state
+    m, power, shift, c0, c1, c2, mean1, var1 = row
+    if n == 0:
+        return int(m), mean1, var1
+    return int(n + m), power * mean + shift, power * var + c2 * mean * mean + c1 * mean + c0
+
+
+def _cohort_compose(a: tuple, b: tuple) -> tuple:
+    m, p, s, c0, c1, c2, mean1, var1 = a
+    k, q, t, d0, d1, d2, _, _ = b
+    start = _cohort_apply((m, mean1, var1), b)
+    return m + k, q * p, q * s + t, q * c0 + d2 * s * s + d1 * s + d0, q * c1 + 2.0 * d2 * p * s + d1 * p, q * c2 + d2 * p * p, start[1], start[2]
+
+
+def cohort_states(ips: DataFrame, cfg: Rate = Rate(), initial: tuple[int, float, float] = (0, 0.0, 0.0), final: bool = False) -> DataFrame:
+    """(bucket, n, mean, var): the state of the one baseline of all addresses before each bucket, or after the last one.
 
-    What counts x_1..x_m do to (mean, var) is affine in mean and quadratic for var, so they are first reduced to a few
-    numbers in parallel, those of ``part_seconds`` of a bucket in one place.  Only these parts, at most as many as a bucket
-    has such spans, are folded in order.
+    What counts x_1..x_m do to (mean, var) is affine in mean and quadratic for var, so those of ``part_seconds`` of a bucket
+    are reduced to a few numbers, the parts of ``chunk_seconds`` to as few again, and these are composed by ``scan``: no task
+    has more than the parts of one chunk in order.  ``initial`` is a state to go on from (S9).
     """
 
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -149,36 +196,41 @@ def cohort_states(ips: DataFrame, cfg: Rate = Rate()) -> DataFrame:
             one, rest = float(x[s]), _after(x[s + 1 : e].astype(float), cfg.alpha)
             # the first part of all starts from its first value
             mean, var = rest[0] * one + rest[1], rest[4] * one * one + rest[3] * one + rest[2]
-            out.append((at[s], part[s], e - s, *_after(x[s:e].astype(float), cfg.alpha), mean, var))
-        return pd.DataFrame(out, columns=["bucket", "part", "m", *form])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, mean, var, out, last = 0, 0.0, 0.0, [], None
-        for r in pdf.sort_values(["bucket", "part"]).itertuples():
-            if r.bucket != last:
-                out.append((r.bucket, n, mean, var))
-                last = r.bucket
-            if n == 0:
-                mean, var = r.mean1, r.var1
-            else:
-                var = r.power * var + r.c2 * mean * mean + r.c1 * mean + r.c0
-                mean = r.power * mean + r.shift
-            n += r.m
-        return pd.DataFrame(out, columns=["bucket", "n", "mean", "var"])
+            out.append((at[s] // cfg.chunk_seconds, at[s], part[s], e - s, *_after(x[s:e].astype(float), cfg.alpha), mean, var))
+        return pd.DataFrame(out, columns=["chunk", "bucket", "part", "m", *form])
+
+    def whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        maps = pdf.sort_values(["bucket", "part"])[["m", *form]].itertuples(index=False, name=None)
+        out = next(maps)
+        for row in maps:
+            out = _cohort_compose(out, row)
+        return pd.DataFrame([(key[0], *out)], columns=["chunk", "m", *form])
+
+    def fold(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        state, out, last = next(before[["n", "mean", "var"]].itertuples(index=False, name=None)), [], None
+        for bucket, _, *row in pdf.sort_values(["bucket", "part"])[["bucket", "part", "m", *form]].itertuples(index=False):
+            if bucket != last:
+                out.append((bucket, *state))
+                last = bucket
+            state = _cohort_apply(state, tuple(row))
+        return pd.DataFrame([(last, *state)] if final else out, columns=["bucket", "n", "mean", "var"])
 
     form = ["power", "shift", "c0", "c1", "c2", "mean1", "var1"]
+    numbers = "m long, " + ", ".join(f"{c} double" for c in form)
     first = F.col("first.t")
     span = F.floor((first - F.col("bucket")) / cfg.part_seconds).cast("long")
     rows = ips.select("bucket", span.alias("part"), "entity_id", "event_count", first.alias("first_t"), F.col("first.event_id").alias("first_id"), F.col("first.rep").alias("first_rep"))
     groups = 4 * int(ips.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # of several parts each
-    parts = rows.groupBy(F.pmod(F.xxhash64("bucket", "part"), F.lit(groups)).alias("_group")).applyInPandas(reduce, "bucket long, part long, m long, " + ", ".join(f"{c} double" for c in form))
-    return parts.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(fold, "bucket long, n long, mean double, var double")
+    parts = rows.groupBy(F.pmod(F.xxhash64("bucket", "part"), F.lit(groups)).alias("_group")).applyInPandas(reduce, f"chunk long, bucket long, part long, {numbers}")
+    before = scan.states_before(parts.groupBy("chunk").applyInPandas(whole, f"chunk long, {numbers}"), initial, _cohort_apply, _cohort_compose, COHORT)
+    states = parts.groupBy("chunk").cogroup(before.groupBy("chunk")).applyInPandas(fold, f"bucket long, {COHORT}")
+    return states.groupBy().agg(F.max_by(F.struct("*"), "bucket").alias("s")).select("s.*") if final else states
 
 
-def cohort_scores(feats: DataFrame, cfg: Rate = Rate()) -> DataFrame:
+def cohort_scores(feats: DataFrame, cfg: Rate = Rate(), initial: tuple[int, float, float] = (0, 0.0, 0.0)) -> DataFrame:
     """Addresses that tower over the cohort."""
     ips = feats.filter("entity_type = 'client_ip'")
-    rows = ips.join(cohort_states(ips, cfg), "bucket")
+    rows = ips.join(cohort_states(ips, cfg, initial), "bucket")
     z = _z(F.col("event_count"), F.col("mean"), F.col("var"), F.col("n"), 1.0, 0.5)
     rows = rows.withColumn("z", z).filter((F.col("z") > cfg.z) & (F.col("event_count") >= cfg.min_alert_events) & (F.col("n") >= cfg.warmup * 10))
     return rows.withColumns(

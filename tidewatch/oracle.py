@@ -424,4 +424,5 @@ SELECT t, '[MEDIUM] error_rate_spike global:global - ' || errors || ' errors in
         "counter_throughput": _with("samples", "SELECT event_type, max(t) - min(t) AS span, max_by(counter, t) - min_by(counter, t) AS counter_delta FROM samples GROUP BY 1"),
         "growth_streaks": _with("samples", ", g AS (SELECT *, coalesce(counter > lag(counter) OVER (PARTITION BY event_type ORDER BY t), false) AS up FROM samples), isl AS (SELECT *, sum(CASE WHEN up THEN 0 ELSE 1 END) OVER (PARTITION BY event_type ORDER BY t) AS island FROM g), s AS (SELECT event_type, t, count(*) FILTER (up) OVER (PARTITION BY event_type, island ORDER BY t) AS streak FROM isl) SELECT * FROM s WHERE streak >= 3"),
     }
-    return q
+    # a run in two parts is one run
+    return q | {f"{name}_resumed": q[name] for name in ("rate_z_scores", "ew_baseline_payer", "ip_cohort_states", "drift_cusum", "alert_dedup", "threat_levels", "threat_emissions")}

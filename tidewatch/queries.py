@@ -16,10 +16,12 @@ from tidewatch.operators import buckets, content, dedup, drift, evaluate, fusion
 from tidewatch.plans import serving
 from tidewatch.sources import telemetry as source
 from tidewatch.sources import sinks
+from tidewatch.streaming import jobs
 
 SECONDS = 21600
 START, END = 1704067200, 1706659200
 NOW = 1706184000
+MIDDLE = START + 60 * SECONDS
 TICK, HALFLIFE, EMIT = SECONDS // 4, 2.0 * SECONDS, SECONDS / 2
 DEDUP = SECONDS
 CHANGE = 1705795200
@@ -42,7 +44,7 @@ def rate_scored(f: DataFrame, whole: bool) -> DataFrame:
 
 
 def rate_docs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    f = feats(spark, sf_dir)
+    f = sinks.stored(feats(spark, sf_dir))
     return rate.documents(rate_scored(f, whole), rate.cohort_scores(f, RATE), SECONDS)
 
 
@@ -55,14 +57,14 @@ def content_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drift_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = drift.grid(buckets.payer_buckets(tele(spark, sf_dir), SECONDS, drift.Drift().event_cap), DRIFT)
+    cells = drift.grid(sinks.stored(buckets.payer_buckets(tele(spark, sf_dir), SECONDS, drift.Drift().event_cap)), DRIFT)
     return drift.assess(drift.charts(cells, DRIFT), DRIFT)
 
 
 #: The amount of an event here is in hundreds, not in hundreds of thousands.
 DRIFT = drift.Drift(amount_floor=50.0)
 #: A bucket here has as many parts as one of a minute.
-RATE = rate.Rate(part_seconds=SECONDS // 12)
+RATE = rate.Rate(part_seconds=SECONDS // 12, chunk_seconds=20 * SECONDS)
 
 
 def score_docs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
@@ -82,7 +84,7 @@ def scorer_alerts(spark: SparkSession, sf_dir: str, whole: bool = False) -> Data
 
 def states(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     hits = fusion.contributions(fusion.gate(score_docs(spark, sf_dir, whole)), halflife=HALFLIFE)
-    return fusion.entity_states(fusion.at_ticks(hits, START, TICK, END, HALFLIFE))
+    return fusion.entity_states(fusion.at_ticks(sinks.stored(hits), START, TICK, END, HALFLIFE))
 
 
 def levels(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
@@ -343,10 +345,13 @@ def drift_grid_zero_filled(spark, sf_dir):
     return cells.select("payer", "bucket", "event_count", rnd(F.col("amount_sum"), 2).alias("amount_sum"), "distinct_payees")
 
 
+def _cusum(rows):
+    return rows.select("payer", "bucket", "i", *[rnd(F.col(c), 4).alias(c) for c in ("s_volume", "s_amount", "ewma_volume", "ewma_amount", "mean_volume")], "run_volume", "run_amount", "window_start", "exc_events", "is_anomalous")
+
+
 @query
 def drift_cusum(spark, sf_dir):
-    rows = drift_states(spark, sf_dir)
-    return rows.select("payer", "bucket", "i", *[rnd(F.col(c), 4).alias(c) for c in ("s_volume", "s_amount", "ewma_volume", "ewma_amount", "mean_volume")], "run_volume", "run_amount", "window_start", "exc_events", "is_anomalous")
+    return _cusum(drift_states(spark, sf_dir))
 
 
 @query
@@ -465,7 +470,7 @@ def threat_transitions(spark, sf_dir):
 
 @query
 def threat_emissions(spark, sf_dir):
-    return fusion.emissions(levels(spark, sf_dir), EMIT)
+    return fusion.emissions(levels(spark, sf_dir), EMIT, step=TICK)
 
 
 @query
@@ -475,7 +480,7 @@ def threat_history(spark, sf_dir):
 
 @query
 def threat_snapshots(spark, sf_dir):
-    st = states(spark, sf_dir)
+    st = sinks.stored(states(spark, sf_dir))
     return fusion.snapshots(fusion.levels(spark, fusion.picture(st), START, TICK, END), st)
 
 
@@ -490,6 +495,86 @@ def level_change_alerts(spark, sf_dir):
     return fusion.level_alerts(levels(spark, sf_dir)).select("t", "severity", "score", "summary")
 
 
+# -- runs that go on from a saved state (S9): each equals the query of one run ------------------------------------------------------------------------
+
+
+def _saved(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """State as a job leaves it behind and the next one finds it."""
+    path = sinks.state_path(spark)
+    jobs.save_state(rows, path)
+    return jobs.load_state(spark, path)
+
+
+def _halves(rows: DataFrame, at: str = "bucket") -> tuple[DataFrame, DataFrame]:
+    return rows.filter(F.col(at) < MIDDLE), rows.filter(F.col(at) >= MIDDLE)
+
+
+@query
+def rate_z_scores_resumed(spark, sf_dir):
+    first, then = _halves(feats(spark, sf_dir))
+    state = _saved(spark, rate.baselines(first, final=True))
+    rows = rate.z_scores(first).unionByName(rate.z_scores(then, initial=state))
+    return rows.select("bucket", "entity_type", "entity_id", "n", *[rnd(F.col(f"{f}_z"), 6).alias(f"{f}_z") for f in rate.FLOORS])
+
+
+@query
+def ew_baseline_payer_resumed(spark, sf_dir):
+    """Last states, also of payers that only the first half has."""
+    first, then = _halves(feats(spark, sf_dir))
+    rows = rate.baselines(then, final=True, initial=_saved(spark, rate.baselines(first, final=True))).filter("entity_type = 'payer'")
+    return rows.select("entity_id", "n", *[rnd(F.col(f"{f}_{s}"), 6).alias(f"{f}_{s}") for f in rate.FLOORS for s in ("mean", "var")])
+
+
+@query
+def ip_cohort_states_resumed(spark, sf_dir):
+    first, then = _halves(feats(spark, sf_dir).filter("entity_type = 'client_ip'"))
+    last = _saved(spark, rate.cohort_states(first, RATE, final=True)).first()
+    rows = rate.cohort_states(first, RATE).unionByName(rate.cohort_states(then, RATE, (last["n"], last["mean"], last["var"]) if last else (0, 0.0, 0.0)))
+    return rows.select("bucket", "n", rnd(F.col("mean"), 6).alias("mean"), rnd(F.col("var"), 6).alias("var"))
+
+
+@query
+def drift_cusum_resumed(spark, sf_dir):
+    first, then = _halves(buckets.payer_buckets(tele(spark, sf_dir), SECONDS, DRIFT.event_cap))
+    one = drift.charts(drift.grid(first, DRIFT), DRIFT)
+    state = _saved(spark, drift.saved(one))
+    two = drift.charts(drift.grid(then, DRIFT, state), DRIFT, state)
+    return _cusum(drift.assess(one.unionByName(two), DRIFT))
+
+
+@query
+def alert_dedup_resumed(spark, sf_dir):
+    first, then = _halves(sinks.stored(scorer_alerts(spark, sf_dir)), "t")
+    one = dedup.throttle(first, DEDUP + 1)
+    two = dedup.throttle(then, DEDUP + 1, _saved(spark, dedup.throttled(one)))
+    return one.unionByName(two).select("t", "alert_type", "entity_type", "entity_id", "sent", "suppressed_prior")
+
+
+def _resumed_levels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Levels up to the middle of the month, and those after it from the claims and the level that hold there."""
+    gated = sinks.stored(fusion.gate(score_docs(spark, sf_dir)))
+    one = fusion.contributions(gated.filter(F.col("t") <= MIDDLE), halflife=HALFLIFE)
+    state = _saved(spark, fusion.saved(one))
+    two = fusion.contributions(gated.filter(F.col("t") > MIDDLE), halflife=HALFLIFE, initial=state)
+    lv = lambda hits, a, b, level: fusion.levels(spark, fusion.picture(fusion.entity_states(fusion.at_ticks(hits, a, TICK, b, HALFLIFE))), a, TICK, b, initial=level)
+    first = _saved(spark, lv(one, START, MIDDLE, "normal"))
+    return first, lv(two, MIDDLE + TICK, END, first.filter(F.col("tick") == MIDDLE).first()["level"])
+
+
+@query
+def threat_levels_resumed(spark, sf_dir):
+    first, then = _resumed_levels(spark, sf_dir)
+    return first.unionByName(then).select("tick", "global_score", "level")
+
+
+@query
+def threat_emissions_resumed(spark, sf_dir):
+    first, then = _resumed_levels(spark, sf_dir)
+    one = _saved(spark, fusion.emissions(first, EMIT, step=TICK))
+    last = one.orderBy(F.desc("tick")).first()
+    return one.unionByName(fusion.emissions(then, EMIT, step=TICK, initial=(last["tick"], last["global_score"]) if last else (START, 0.0)))
+
+
 # -- alerts -------------------------------------------------------------------------------------------------------------
 
 

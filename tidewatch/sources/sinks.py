@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,3 +51,21 @@ def fan_out(*writers: Callable[[DataFrame], None]) -> Callable[[DataFrame, int],
 def csv(df: DataFrame, path: str) -> None:
     """Flat rows as CSV with a header, one file for each partition."""
     df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def state_path(spark: SparkSession) -> str:
+    """A new folder for a saved state, under the one that the cluster shares; only a session on one machine may leave that unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tidewatch-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/tidewatch-state-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once and read from there, for a table that several branches of a plan use; lost executors cost no recomputation."""
+    path = state_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
