@@ -175,9 +175,9 @@ def assess(states: DataFrame, cfg: Drift = Drift()) -> DataFrame:
         }
     )
     bad = F.col("is_anomalous")
-    chart = lambda name: F.when((F.col(f"s_{name}") >= cfg.emit_floor) | bad, F.concat(F.format_string(f"cusum_{name}=%.1f", f"s_{name}"), F.when(F.col(f"s_{name}") >= cfg.h, f">{cfg.h:g}").otherwise("")))
+    chart = lambda name: F.when((F.col(f"s_{name}") >= cfg.emit_floor) | bad, F.concat(F.format_string(f"cusum_{name}=%.1f", rnd(F.col(f"s_{name}"), 1)), F.when(F.col(f"s_{name}") >= cfg.h, f">{cfg.h:g}").otherwise("")))
     reasons = F.array(
-        chart("volume"), chart("amount"), F.when(bad & (ratio > 1), F.format_string("cumulative_amount_drift=+%.0f%%", (ratio - 1) * 100)),
+        chart("volume"), chart("amount"), F.when(bad & (ratio > 1), F.format_string("cumulative_amount_drift=+%.0f%%", rnd((ratio - 1) * 100, 0))),
         F.when(bad, F.format_string("sustained=%dm", F.greatest("run_volume", "run_amount"))),
     )
     return rows.withColumn("reasons", F.filter(reasons, lambda r: r.isNotNull()))

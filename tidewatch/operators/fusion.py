@@ -206,6 +206,16 @@ def emissions(lv: DataFrame, emit_every: float, cfg: Fusion = Fusion(), step: fl
     return out if resumed else out.filter("window_start IS NOT NULL")
 
 
+def documents(emitted: DataFrame) -> DataFrame:
+    """Score documents of the fusion itself, one for each emission, in the shape of the scorers' (U2)."""
+    none = lambda kind: F.lit(None).cast(kind)
+    return emitted.select(
+        F.col("window_start").alias("bucket"), F.lit("global").alias("entity_type"), F.lit("global").alias("entity_id"), none("long").alias("event_count"), F.col("global_score").alias("score"), none("string").alias("alert_type"),
+        F.array(F.concat(F.lit("threat_level="), F.col("level"))).alias("reasons"), (F.col("level") != "normal").alias("is_anomalous"), F.lit(False).alias("warming_up"),
+        F.struct(F.col("tick").alias("t"), F.lit(0).cast("long").alias("event_id"), F.lit(0).alias("rep")).alias("first"), F.lit("fused").alias("model"), F.col("tick").alias("t"),
+    )
+
+
 def level_alerts(lv: DataFrame) -> DataFrame:
     """An alert for each change of level."""
     sev = F.when(F.col("to_level") == "critical", "high").when(F.col("to_level") == "elevated", "medium").otherwise("low")

@@ -214,9 +214,17 @@ CTE["levels"] = """level_rows AS (SELECT tick, coalesce(global_score, 0.0) AS g
 CTE["monitor"] = f"""monitor AS (
   SELECT CAST(step + k * {S // 6} AS BIGINT) AS t, CAST(sum(n) AS BIGINT) AS errors FROM (SELECT t // {S // 6} * {S // 6} AS step, count(*) AS n FROM tele WHERE error GROUP BY 1), (SELECT unnest(range(1, 7)) AS k)
   GROUP BY 1 HAVING sum(n) > 30)"""
+CTE["emitted"] = f"""emit AS (
+  SELECT tick, i, tick AS since, 0.0::DOUBLE AS last, false AS emitted, CAST(NULL AS BIGINT) AS window_start, global_score, level FROM levels WHERE i = 1
+  UNION ALL SELECT l.tick, l.i, CASE WHEN go THEN l.tick ELSE l.since END, CASE WHEN go THEN l.global_score ELSE l.last END, go, l.since, l.global_score, l.level FROM (
+    SELECT n.tick, n.i, p.since, p.last, n.global_score, n.level, n.level <> n.previous OR n.tick - p.since >= {EMIT} OR abs(n.global_score - p.last) >= {FU.emit_delta} AS go FROM emit p JOIN levels n ON n.i = p.i + 1) l
+), emitted AS (SELECT * FROM emit WHERE emitted)"""
+CTE["all_docs"] = """all_docs AS (SELECT entity_type, event_count, score, is_anomalous, model, t FROM docs
+  UNION ALL SELECT 'global', NULL, global_score, level <> 'normal', 'fused', tick FROM emitted)"""
 _AC = "t, alert_type, severity, entity_type, entity_id, score, source"
 CTE["alerts"] = f"""alerts AS (SELECT {_AC} FROM rate_alerts UNION ALL SELECT {_AC} FROM content_alerts UNION ALL SELECT {_AC} FROM drift_alerts
-  UNION ALL SELECT t, 'error_rate_spike', 'medium', 'global', 'global', NULL, 'monitor' FROM monitor)"""
+  UNION ALL SELECT t, 'error_rate_spike', 'medium', 'global', 'global', NULL, 'monitor' FROM monitor
+  UNION ALL SELECT tick, 'threat_level_change', CASE level WHEN 'critical' THEN 'high' WHEN 'elevated' THEN 'medium' ELSE 'low' END, 'global', 'global', global_score, 'fused' FROM levels WHERE level <> previous)"""
 CTE["sent"] = f"""keyed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY entity_type, entity_id, alert_type ORDER BY t, source) AS i FROM alerts
 ), throttle AS (
   SELECT *, t AS anchor, true AS sent, 0 AS held, 0 AS suppressed_prior FROM keyed WHERE i = 1
@@ -243,10 +251,14 @@ NEEDS = {
     "grain": ["tele"], "feat": ["grain"], "ew_mean": ["feat"], "zs": ["ew_mean"], "rate_score": ["zs"], "cohort": ["feat"], "cohort_score": ["cohort"], "rate_docs": ["rate_score", "cohort_score"],
     "rate_alerts": ["rate_docs"], "line": ["tele"], "win": ["line"], "content_score": ["win"], "content_docs": ["content_score"], "content_alerts": ["content_docs"], "grid": ["tele"], "day_grid": ["tele"],
     "drift": ["grid"], "drift_docs": ["drift"], "drift_alerts": ["drift"], "docs": ["rate_docs", "content_docs", "drift_docs"], "gated": ["docs"], "hits": ["gated"], "states": ["hits", "ticks"], "pic": ["states"],
-    "levels": ["pic", "ticks"], "monitor": ["tele"], "alerts": ["rate_alerts", "content_alerts", "drift_alerts", "monitor"], "sent": ["alerts"], "vec": ["feat"], "truth": ["content_score"], "samples": ["tele"],
+    "levels": ["pic", "ticks"], "monitor": ["tele"], "alerts": ["rate_alerts", "content_alerts", "drift_alerts", "monitor", "levels"], "emitted": ["levels"], "all_docs": ["docs", "emitted"], "sent": ["alerts"], "vec": ["feat"], "truth": ["content_score"], "samples": ["tele"],
 }
 
 
+def _cusum_reason(name: str) -> str:
+    return f"CASE WHEN s_{name} >= 2 OR is_anomalous THEN 'cusum_{name}=' || printf('%.1f', {R(f's_{name}', 1)}) || CASE WHEN s_{name} >= 6 THEN '>6' ELSE '' END END"
+
+
 def _with(needs: str, select: str) -> str:
     order: list[str] = []
 
@@ -356,8 +368,12 @@ SELECT bucket, entity_id, CASE WHEN n < 200 THEN 0.0 ELSE {R(f"list_avg(list_sor
 ), chart AS (SELECT payer AS entity_id, {R('max_by(s_volume, i)', 4)} AS s_volume, {R('max_by(s_amount, i)', 4)} AS s_amount, max(i) AS i FROM drift GROUP BY 1)
 SELECT entity_id, n, mean_events, s_volume, s_amount, i, events, last_seen FROM seen LEFT JOIN base USING (entity_id) LEFT JOIN chart USING (entity_id)""",
         ),
-        "scores_by_model": _with("docs", "SELECT model, count(*) AS docs, count(*) FILTER (is_anomalous) AS anomalous FROM docs GROUP BY 1"),
-        "max_score_over_time": _with("docs", "SELECT CAST(t // 86400 * 86400 AS BIGINT) AS bucket, entity_type, max(score) AS max_score FROM docs GROUP BY 1, 2"),
+        "scores_by_model": _with("all_docs", "SELECT model, count(*) AS docs, count(*) FILTER (is_anomalous) AS anomalous FROM all_docs GROUP BY 1"),
+        "max_score_over_time": _with("all_docs", "SELECT CAST(t // 86400 * 86400 AS BIGINT) AS bucket, entity_type, max(score) AS max_score FROM all_docs GROUP BY 1, 2"),
+        "fusion_gate_of_all": _with("all_docs", "SELECT model, CASE WHEN model = 'fused' THEN 'self' WHEN NOT is_anomalous OR score <= 0 THEN 'benign' WHEN event_count < 10 THEN 'below_floor' ELSE 'folded' END AS disposition, count(*) AS docs FROM all_docs GROUP BY 1, 2"),
+        "drift_documents": _with("drift", f"SELECT bucket, payer, score, is_anomalous, {R('ratio', 4)} AS mean_amount_ratio, concat_ws('; ', {_cusum_reason('volume')}, {_cusum_reason('amount')}, CASE WHEN is_anomalous AND ratio > 1 THEN 'cumulative_amount_drift=+' || printf('%.0f', floor((ratio - 1) * 100 + 0.5)) || '%' END, CASE WHEN is_anomalous THEN 'sustained=' || greatest(run_volume, run_amount) || 'm' END) AS reasons FROM (SELECT *, CASE WHEN exc_events > 0 AND mean_volume > 0 AND mean_amount > 0 THEN (exc_amount / exc_events) / (mean_amount / mean_volume) ELSE 0.0 END AS ratio FROM drift) WHERE is_anomalous OR greatest(s_volume, s_amount) >= 2"),
+        "drift_alert_summaries": _with("drift", f"SELECT bucket + {S} AS t, payer AS entity_id, exc_events || ' events moving ' || format('{{:,}}', CAST(round_even(exc_amount, 0) AS BIGINT)) || ' IDR accumulated over ' || greatest(1, (bucket + {S} - window_start) // 60) || ' min' AS summary FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY score DESC, payer) AS rank FROM drift WHERE is_anomalous) WHERE rank <= 5"),
+        "rate_alert_windows": _with("rate_alerts", f"SELECT t, entity_type, entity_id, alert_type, strftime(make_timestamp((CAST(t AS BIGINT) - {S}) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS window_start, summary FROM rate_alerts"),
         "fusion_gate": _with("gated", "SELECT model, disposition, count(*) AS docs FROM gated GROUP BY 1, 2"),
         "fusion_contributions": _with("hits", f"SELECT entity_type, entity_id, model, t, {R('claim', 6)} AS claim, tag, {R(f'(SELECT max(h.claim * pow(2.0, (h.t - hits.t) / {HALFLIFE})) FROM hits h WHERE h.entity_type = hits.entity_type AND h.entity_id = hits.entity_id AND h.model = hits.model AND h.t <= hits.t)', 6)} AS value FROM hits"),
         "fusion_entity_scores": _with("states", f"SELECT tick, entity_type, entity_id, active_models, {R('entity_score', 6)} AS entity_score FROM states WHERE entity_score >= 0.05"),
@@ -367,14 +383,7 @@ SELECT entity_id, n, mean_events, s_volume, s_amount, i, events, last_seen FROM
         "corroborated_entities": _with("states", "SELECT entity_type, entity_id, count(*) AS ticks, max(active_models) AS models FROM states WHERE entity_score >= 0.05 AND active_models >= 2 GROUP BY 1, 2"),
         "threat_levels": _with("levels", "SELECT tick, global_score, level FROM levels"),
         "threat_transitions": _with("levels", "SELECT tick AS at, previous AS from_level, level AS to_level, global_score FROM levels WHERE level <> previous"),
-        "threat_emissions": _with(
-            "levels",
-            f""", emit AS (
-  SELECT tick, i, tick AS since, 0.0::DOUBLE AS last, false AS emitted, CAST(NULL AS BIGINT) AS window_start, global_score, level FROM levels WHERE i = 1
-  UNION ALL SELECT l.tick, l.i, CASE WHEN go THEN l.tick ELSE l.since END, CASE WHEN go THEN l.global_score ELSE l.last END, go, l.since, l.global_score, l.level FROM (
-    SELECT n.tick, n.i, p.since, p.last, n.global_score, n.level, n.level <> n.previous OR n.tick - p.since >= {EMIT} OR abs(n.global_score - p.last) >= {FU.emit_delta} AS go FROM emit p JOIN levels n ON n.i = p.i + 1) l)
-SELECT tick, window_start, global_score, level FROM emit WHERE emitted""",
-        ).replace("WITH tele", "WITH RECURSIVE tele"),
+        "threat_emissions": _with("emitted", "SELECT tick, window_start, global_score, level FROM emitted"),
         "level_change_alerts": _with("levels", "SELECT tick AS t, CASE level WHEN 'critical' THEN 'high' WHEN 'elevated' THEN 'medium' ELSE 'low' END AS severity, global_score AS score, printf('Threat level %s -> %s (score %.2f)', previous, level, global_score) AS summary FROM levels WHERE level <> previous"),
         "threat_snapshots": _with(
             "levels",

@@ -67,19 +67,51 @@ DRIFT = drift.Drift(amount_floor=50.0)
 RATE = rate.Rate(part_seconds=SECONDS // 12, chunk_seconds=20 * SECONDS)
 
 
+def _scored(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the three scorers say, each computed once: documents of rate and content, assessed charts of drift."""
+    windows = content.documents(content_scored(spark, sf_dir), SECONDS)
+    return sinks.stored(rate_docs(spark, sf_dir, whole)), sinks.stored(windows), sinks.stored(drift_states(spark, sf_dir))
+
+
+def _union(scored: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    by_rate, by_content, charts = scored
+    return by_rate.unionByName(by_content).unionByName(drift.documents(charts, SECONDS))
+
+
 def score_docs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Documents of the three scorers."""
-    docs = rate_docs(spark, sf_dir, whole).unionByName(content.documents(content_scored(spark, sf_dir), SECONDS))
-    return docs.unionByName(drift.documents(drift_states(spark, sf_dir), SECONDS))
+    """Documents of the three scorers."""
+    return _union((rate_docs(spark, sf_dir, whole), content.documents(content_scored(spark, sf_dir), SECONDS), drift_states(spark, sf_dir)))
+
+
+ALERT = ["t", "alert_type", "severity", "entity_type", "entity_id", "score", "source", "summary"]
+
+
+def _alerts(spark: SparkSession, sf_dir: str, scored: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    by_rate, by_content, charts = scored
+    out = rate.alerts(by_rate).select(ALERT).unionByName(content.alerts(by_content).select(ALERT)).unionByName(drift.alerts(charts, SECONDS, DRIFT).select(ALERT))
+    return out.unionByName(dedup.monitor(tele(spark, sf_dir), SECONDS, SECONDS // 6, 30).select(ALERT))
 
 
 def scorer_alerts(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Alerts of the three scorers and of the monitor in one stream."""
-    cols = ["t", "alert_type", "severity", "entity_type", "entity_id", "score", "source", "summary"]
-    out = rate.alerts(rate_docs(spark, sf_dir, whole)).select(cols)
-    out = out.unionByName(content.alerts(content.documents(content_scored(spark, sf_dir), SECONDS)).select(cols))
-    out = out.unionByName(drift.alerts(drift_states(spark, sf_dir), SECONDS, DRIFT).select(cols))
-    return out.unionByName(dedup.monitor(tele(spark, sf_dir), SECONDS, SECONDS // 6, 30).select(cols))
+    """Alerts of the three scorers and of the monitor in one stream."""
+    return _alerts(spark, sf_dir, _scored(spark, sf_dir, whole))
+
+
+def _fused(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    hits = sinks.stored(fusion.contributions(fusion.gate(docs), halflife=HALFLIFE))
+    return fusion.levels(spark, fusion.picture(fusion.entity_states(fusion.at_ticks(hits, START, TICK, END, HALFLIFE))), START, TICK, END)
+
+
+def all_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every alert: the scorers', the monitor's and changes of the threat level."""
+    scored = _scored(spark, sf_dir)
+    return _alerts(spark, sf_dir, scored).unionByName(fusion.level_alerts(_fused(spark, _union(scored))).select(ALERT))
+
+
+def all_score_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every score document: the scorers' and the fusion's own (U2), which the fusion's gate leaves out again."""
+    docs = _union(_scored(spark, sf_dir))
+    return docs.unionByName(fusion.documents(fusion.emissions(_fused(spark, docs), EMIT, step=TICK)))
 
 
 def states(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
@@ -359,6 +391,24 @@ def drift_alerts(spark, sf_dir):
     return drift.alerts(drift_states(spark, sf_dir), SECONDS, DRIFT).select("t", "entity_id", "severity", "score", "rank")
 
 
+@query
+def drift_documents(spark, sf_dir):
+    """Score documents of drift with their reasons and the amount of an event against the usual one."""
+    rows = drift.emitted(drift_states(spark, sf_dir), DRIFT)
+    return rows.select("bucket", "payer", "score", "is_anomalous", rnd(F.col("mean_amount_ratio"), 4).alias("mean_amount_ratio"), F.concat_ws("; ", "reasons").alias("reasons"))
+
+
+@query
+def drift_alert_summaries(spark, sf_dir):
+    return drift.alerts(drift_states(spark, sf_dir), SECONDS, DRIFT).select("t", "entity_id", "summary")
+
+
+@query
+def rate_alert_windows(spark, sf_dir):
+    """Alerts with the window that they are about, in ISO-8601, and their summary."""
+    return rate.alerts(rate_docs(spark, sf_dir)).select("t", "entity_type", "entity_id", "alert_type", "window_start", "summary")
+
+
 @query
 def drift_top(spark, sf_dir):
     return drift.top(drift_states(spark, sf_dir), 10).select("payer", "i", rnd(F.col("s_max"), 4).alias("s_max"))
@@ -412,12 +462,18 @@ def drift_amplitude(spark, sf_dir):
 
 @query
 def scores_by_model(spark, sf_dir):
-    return score_docs(spark, sf_dir).groupBy("model").agg(F.count("*").alias("docs"), F.count_if("is_anomalous").alias("anomalous"))
+    return all_score_docs(spark, sf_dir).groupBy("model").agg(F.count("*").alias("docs"), F.count_if("is_anomalous").alias("anomalous"))
 
 
 @query
 def max_score_over_time(spark, sf_dir):
-    return serving.max_over_time(score_docs(spark, sf_dir), 86400)
+    return serving.max_over_time(all_score_docs(spark, sf_dir), 86400)
+
+
+@query
+def fusion_gate_of_all(spark, sf_dir):
+    """The fusion's own documents come back to it on the same topic, and are left out."""
+    return fusion.gate(all_score_docs(spark, sf_dir)).groupBy("model", "disposition").agg(F.count("*").alias("docs"))
 
 
 @query
@@ -544,7 +600,7 @@ def drift_cusum_resumed(spark, sf_dir):
 
 @query
 def alert_dedup_resumed(spark, sf_dir):
-    first, then = _halves(sinks.stored(scorer_alerts(spark, sf_dir)), "t")
+    first, then = _halves(sinks.stored(all_alerts(spark, sf_dir)), "t")
     one = dedup.throttle(first, DEDUP + 1)
     two = dedup.throttle(then, DEDUP + 1, _saved(spark, dedup.throttled(one)))
     return one.unionByName(two).select("t", "alert_type", "entity_type", "entity_id", "sent", "suppressed_prior")
@@ -580,34 +636,34 @@ def threat_emissions_resumed(spark, sf_dir):
 
 @query
 def alerts_by_severity(spark, sf_dir):
-    return serving.terms_over_time(scorer_alerts(spark, sf_dir), "severity", 86400, 3)
+    return serving.terms_over_time(all_alerts(spark, sf_dir), "severity", 86400, 3)
 
 
 @query
 def alerts_by_type(spark, sf_dir):
-    return serving.terms(scorer_alerts(spark, sf_dir), "alert_type", 10)
+    return serving.terms(all_alerts(spark, sf_dir), "alert_type", 10)
 
 
 @query
 def alert_feed(spark, sf_dir):
-    return serving.alert_feed(scorer_alerts(spark, sf_dir), NOW, 30).select("t", "alert_type", "severity", "entity_type", "entity_id", "source", "total")
+    return serving.alert_feed(all_alerts(spark, sf_dir), NOW, 30).select("t", "alert_type", "severity", "entity_type", "entity_id", "source", "total")
 
 
 @query
 def alert_dedup(spark, sf_dir):
-    rows = dedup.throttle(scorer_alerts(spark, sf_dir), DEDUP + 1)
+    rows = dedup.throttle(all_alerts(spark, sf_dir), DEDUP + 1)
     return rows.select("t", "alert_type", "entity_type", "entity_id", "sent", "suppressed_prior")
 
 
 @query
 def dedup_stats(spark, sf_dir):
-    rows = dedup.throttle(scorer_alerts(spark, sf_dir), DEDUP + 1)
+    rows = dedup.throttle(all_alerts(spark, sf_dir), DEDUP + 1)
     return rows.groupBy("alert_type").agg(F.count_if("sent").alias("sent"), F.count_if(~F.col("sent")).alias("suppressed"))
 
 
 @query
 def alert_ids(spark, sf_dir):
-    return scorer_alerts(spark, sf_dir).select("t", "source", alert_id().alias("alert_id"))
+    return all_alerts(spark, sf_dir).select("t", "source", alert_id().alias("alert_id"))
 
 
 @query
