@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch import queries
 from tidewatch.config import Drift, Fusion, Rate
 from tidewatch.functions import common, logs
-from tidewatch.operators import content, dedup, drift, evaluate, fusion, multivariate, normalize, rate, templates
+from tidewatch.operators import content, content_model, dedup, drift, evaluate, fusion, multivariate, normalize, rate, templates
 from tidewatch.plans import narrative, serving
 from tidewatch.sources import sinks, telemetry
 from tidewatch.streaming import jobs
@@ -332,6 +332,40 @@ def test_content_model_on_held_out_addresses(spark, sf):
     content.check_contract(list(content.FEATURES), rows[0]["accuracy"])
 
 
+def test_softmax_model_decides_in_the_cascade(spark, sf, tmp_path):
+    """Held-out addresses at .97 or more; what the model says differs from the rules' copy, and the verdicts agree with the rules."""
+    rows = queries.content_softmax_holdout(spark, sf).collect()
+    assert rows[0]["accuracy"] >= 0.97 and sum(r[f"as_{k}"] for r in rows for k in range(3)) > 0
+    win = queries.content_windows(spark, sf)
+    artifact = content_model.train(win)
+    content_model.save(spark, artifact, str(tmp_path / "m"))
+    loaded = content_model.load(spark, str(tmp_path / "m"))
+    p = content_model.predict(win, loaded)
+    assert loaded["trees"] == artifact["trees"] and len(loaded["trees"]) == 40
+    assert p.filter("abs(p_benign + p_suspicious + p_malicious - 1) > 1e-9 OR p_malicious IN (0.0, 1.0)").count() == 0
+    scored, copy = content.score(p), content.score(content.stand_in(win))
+    keys = ["bucket", "client_ip"]
+    both = scored.join(copy.select(*keys, F.col("is_anomalous").alias("by_rules")), keys, "full")
+    assert both.filter("is_anomalous IS DISTINCT FROM by_rules").count() <= 0.03 * win.count()
+    with pytest.raises(ValueError):
+        content_model.save(spark, artifact | {"accuracy": 0.9}, str(tmp_path / "n"))
+    with pytest.raises(ValueError):
+        content_model.save(spark, artifact | {"features": artifact["features"][::-1]}, str(tmp_path / "n"))
+    with pytest.raises(ValueError):
+        content_model.train(win.limit(0))
+    assert content_model.predict(win.limit(0), artifact).count() == 0
+
+
+def test_softmax_trees_learn_three_classes():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 4))
+    y = np.where(x[:, 1] > 0.8, 2, np.where(x[:, 0] * 1.0 > 0.2, 1, 0))
+    trees = content_model.fit(x[:2000], y[:2000], rounds=15)
+    p = content_model.probabilities(trees, x[2000:])
+    assert (p.argmax(1) == y[2000:]).mean() > 0.97 and np.allclose(p.sum(1), 1)
+    assert len(content_model.fit(np.zeros((5, 4)), np.zeros(5), rounds=2)) == 2
+
+
 def test_suspects_have_a_reason_of_each_model(spark):
     claims = [(0.9, "rate", "rate_spike"), (0.5, "content", "sqli_probe"), (0.3, "drift", None)]
     states = spark.createDataFrame([(0, "payer", f"p{i}", 0.9 - i / 10, 3, claims) for i in range(8)], "tick long, entity_type string, entity_id string, entity_score double, active_models long, claims array<struct<claim double, model string, tag string>>")

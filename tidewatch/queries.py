@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.common import alert_id, bucket, rnd
-from tidewatch.operators import buckets, content, dedup, drift, evaluate, fusion, multivariate, normalize, rate, templates
+from tidewatch.operators import buckets, content, content_model, dedup, drift, evaluate, fusion, multivariate, normalize, rate, templates
 from tidewatch.plans import serving
 from tidewatch.sources import telemetry as source
 from tidewatch.sources import sinks
@@ -769,8 +769,28 @@ def content_model_holdout(spark, sf_dir):
     return evaluate.class_confusion(content.holdout(content_windows(spark, sf_dir), trees=5))
 
 
+def _trained(spark, sf_dir) -> tuple[DataFrame, dict]:
+    """Content windows, and a model of them as a job finds it: trained, measured, saved and loaded again."""
+    win, path = sinks.stored(content_windows(spark, sf_dir)), sinks.state_path(spark)
+    content_model.save(spark, content_model.train(win), path)
+    return win, content_model.load(spark, path)
+
+
+def content_scores_model(spark, sf_dir):
+    """Content scores in which the trained trees decide, not a copy of the rules."""
+    win, artifact = _trained(spark, sf_dir)
+    rows = content.score(content_model.predict(win, artifact))
+    return rows.select("bucket", "client_ip", "window_events", "rule_level", "score", "is_anomalous", F.concat_ws("; ", "reasons").alias("reasons"))
+
+
+def content_softmax_holdout(spark, sf_dir):
+    """What the trees of all three classes say of the addresses that their fit has not seen."""
+    win, artifact = _trained(spark, sf_dir)
+    return evaluate.class_confusion(content_model.holdout(win, artifact))
+
+
 def model_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (rate_scores_multivariate, scorer_alerts_multivariate, threat_levels_multivariate, content_model_holdout)}
+    return {f.__name__: f for f in (rate_scores_multivariate, scorer_alerts_multivariate, threat_levels_multivariate, content_model_holdout, content_scores_model, content_softmax_holdout)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
