@@ -52,6 +52,24 @@ def test_fusion_decays_and_rewards_corroboration(spark):
     assert tags == {"rate_spike", "sqli_probe", "anomalous"}
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_swept_picture_is_that_of_every_tick(spark, seed):
+    """Pieces number a few a hit whatever the step, and give what evaluating every tick gives, ties at the thresholds included."""
+    rng = np.random.default_rng(seed)
+    rows = [("payer", f"p{rng.integers(0, 7)}", ["rate", "content", "drift", "odd"][rng.integers(0, 4)], int(t), float(rng.choice([1.0, 0.5, 0.25, 0.1, round(rng.random(), 4)])), True, 50, ["x"]) for t in rng.choice(6000, 90, replace=False)]
+    hits = fusion.contributions(fusion.gate(_docs(spark, rows))).persist()
+    many = []
+    for step in (60, 7):
+        every = fusion.picture(fusion.entity_states(fusion.at_ticks(hits, 0, step, 7000, 120.0)))
+        found = fusion.pieces(hits, 0, step, 7000, 120.0)
+        many.append(found.count())
+        got = fusion.swept(found, 0, step, 120.0, width=16 if seed else 1024, parts=3)
+        plain = lambda df: sorted((r["tick"], r["global_score"], r["lit_entities"], r["corroboration"]) for r in df.collect())
+        assert plain(got) == plain(every) and len(plain(got)) > 50
+    assert max(many) <= 4 * len(rows)
+    assert fusion.swept(fusion.pieces(hits.limit(0), 0, 60, 600, 120.0), 0, 60, 120.0).count() == 0
+
+
 def test_decayed_maximum_is_that_of_a_fold(spark):
     rng = np.random.default_rng(3)
     hits = [(int(t), float(s)) for t, s in zip(np.sort(rng.choice(5000, 60, replace=False)), rng.random(60))]

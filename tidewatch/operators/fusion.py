@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,11 +111,119 @@ def entity_states(values: DataFrame, cfg: Fusion = Fusion()) -> DataFrame:
 def picture(states: DataFrame, cfg: Fusion = Fusion()) -> DataFrame:
     """Global score, breadth and corroboration of each tick that has a lit entity."""
     lit = states.filter(F.col("entity_score") >= cfg.active)
-    rows = lit.groupBy("tick").agg(F.max("entity_score").alias("peak"), F.count("*").alias("lit_entities"), F.max("active_models").alias("corroboration"))
+    return _global(lit.groupBy("tick").agg(F.max("entity_score").alias("peak"), F.count("*").alias("lit_entities"), F.max("active_models").alias("corroboration")), cfg)
+
+
+def _global(rows: DataFrame, cfg: Fusion) -> DataFrame:
     breadth = cfg.breadth * F.log1p(F.greatest(F.lit(0), F.col("lit_entities") - 1))
     return rows.withColumn("global_score", rnd(F.least(F.lit(1.0), F.col("peak") + breadth), 4))
 
 
+# -- the picture by intervals, whatever the time between ticks (J3) -----------------------------------------------------
+
+PIECE = "entity_type string, entity_id string, k0 long, k1 long, score double, active_models long"
+
+
+def _last_at_least(value: np.ndarray, k: np.ndarray, step: float, halflife: float, least: float, until: np.ndarray) -> np.ndarray:
+    """The last tick up to ``until`` at which ``value``, decaying from tick ``k`` on, is ``least`` or more; below ``k`` if none."""
+    decayed = lambda at: value * 2.0 ** ((k - at) * step / halflife)
+    with np.errstate(divide="ignore"):
+        last = k + np.floor(np.nan_to_num(np.log2(value / least), neginf=-1.0) * halflife / step)
+    last = np.where(decayed(last + 1) >= least, last + 1, np.where(decayed(last) >= least, last, last - 1))
+    return np.minimum(last, until).astype(np.int64)
+
+
+def entity_pieces(rows: pd.DataFrame, start: int, step: int, end: int, halflife: float, cfg: Fusion) -> list[tuple]:
+    """(first tick, last tick, score at the first, active models) of the stretches in which nothing but decay changes an entity that is lit."""
+    t, following = rows["t"].to_numpy(), rows["next_t"].fillna(end + 1).to_numpy().astype(np.int64)
+    first = np.maximum(-((start - t) // step), 0)
+    last = (np.minimum(np.minimum(following - 1, t + int(HORIZON * halflife)), end) - start) // step
+    use = last >= first
+    first, last, held, held_t = first[use], last[use], rows["held"].to_numpy()[use], rows["held_t"].to_numpy()[use]
+    if not len(first):
+        return []
+    values = held * 2.0 ** ((held_t - (start + first * step)) / halflife)
+    active = _last_at_least(values, first, step, halflife, cfg.active, last)
+    edges = np.unique(np.concatenate([first, last + 1, active + 1]))
+    order, at, ruling, out = np.argsort(first, kind="stable"), 0, [], []
+    for k, after in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        while at < len(order) and first[order[at]] <= k:
+            ruling.append(order[at])
+            at += 1
+        ruling = [i for i in ruling if last[i] >= k]
+        if ruling:
+            base = sum(float(held[i]) * 2.0 ** ((int(held_t[i]) - (start + k * step)) / halflife) for i in ruling)
+            n = sum(1 for i in ruling if active[i] >= k)
+            out.append((k, after - 1, base * (1 + cfg.boost * (n - 1) if n >= 2 else 1.0), n))
+    if not out:
+        return []
+    k0, k1, score, n = (np.array(c) for c in zip(*out))
+    lit = _last_at_least(score, k0, step, halflife, cfg.active, k1)
+    return [(int(a), int(b), float(s), int(m)) for a, b, s, m in zip(k0, lit, score, n) if b >= a]
+
+
+def pieces(contributed: DataFrame, start: int, step: int, end: int, halflife: float, cfg: Fusion = Fusion()) -> DataFrame:
+    """Stretches of ticks in which a lit entity only decays: a few for each hit, however close the ticks are.
+
+    ``score`` is that at tick number ``k0`` before it is held to 1; at tick k it is ``score * 2 ^ ((k0 - k) * step / halflife)``.
+    An entity has one hit of a model a bucket at most, so its group is as long as the time.
+    """
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found = entity_pieces(rows, start, step, end, halflife, cfg)
+        return pd.DataFrame([(*key, *p) for p in found], columns=["entity_type", "entity_id", "k0", "k1", "score", "active_models"])
+
+    return contributed.select("entity_type", "entity_id", "t", "next_t", "held", "held_t").groupBy("entity_type", "entity_id").applyInPandas(run, PIECE)
+
+
+def _highest(low: np.ndarray, high: np.ndarray, width: int) -> np.ndarray:
+    """For each of ``width`` places the last of the intervals [low, high] over it, -1 for none: a tree of spans, filled level by level."""
+    tree, rank = np.full(2 * width, -1), np.arange(len(low))
+    a, b = low + width, high + width + 1
+    while len(a):
+        odd = (a & 1).astype(bool)
+        np.maximum.at(tree, a[odd], rank[odd])
+        odd_b = (b & 1).astype(bool)
+        np.maximum.at(tree, b[odd_b] - 1, rank[odd_b])
+        a, b = (a + odd) >> 1, (b - odd_b) >> 1
+        open_ = a < b
+        a, b, rank = a[open_], b[open_], rank[open_]
+    at, best = np.arange(width) + width, np.full(width, -1)
+    while at[0]:
+        best = np.maximum(best, tree[at])
+        at = at >> 1
+    return best
+
+
+def swept(found: DataFrame, start: int, step: int, halflife: float, cfg: Fusion = Fusion(), width: int = 1024, parts: int | None = None) -> DataFrame:
+    """``picture`` of the ticks with a lit entity, from ``pieces``.
+
+    A piece goes to the chunks of ``width`` ticks that it lies in, and there to one of ``parts`` by its entity.  Of the pieces
+    over a tick the one with the largest score decayed to a common time is the largest there too, so a chunk is swept once, by
+    a tree of spans; each part then has a row a tick, and these are put together.  ``width`` is a power of two.
+    """
+    parts = parts or int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        zero = key[0] * width
+        k0, score, n = pdf["k0"].to_numpy(), pdf["score"].to_numpy(), pdf["active_models"].to_numpy()
+        low, high = np.maximum(k0 - zero, 0), np.minimum(pdf["k1"].to_numpy() - zero, width - 1)
+        by = np.argsort(np.log2(score) + (k0 - zero) * step / halflife, kind="stable")
+        best = _highest(low[by], high[by], width)
+        most = _highest(*(x[np.argsort(n, kind="stable")] for x in (low, high)), width)
+        lit = np.cumsum(np.bincount(low, minlength=width + 1)[: width + 1] - np.bincount(high + 1, minlength=width + 1)[: width + 1])[:width]
+        k = np.flatnonzero(best >= 0)
+        top = by[best[k]]
+        peak = np.minimum(1.0, score[top] * 2.0 ** ((k0[top] - zero - k) * step / halflife))
+        return pd.DataFrame({"k": k + zero, "peak": peak, "lit": lit[k], "n": np.sort(n)[most[k]]})
+
+    chunks = F.sequence(F.floor(F.col("k0") / width).cast("long"), F.floor(F.col("k1") / width).cast("long"))
+    dealt = found.select("k0", "k1", "score", "active_models", F.explode(chunks).alias("chunk"), F.pmod(F.xxhash64("entity_type", "entity_id"), F.lit(parts)).alias("part"))
+    rows = dealt.groupBy("chunk", "part").applyInPandas(run, "k long, peak double, lit long, n long")
+    rows = rows.groupBy((F.col("k") * step + start).alias("tick")).agg(F.max("peak").alias("peak"), F.sum("lit").alias("lit_entities"), F.max("n").alias("corroboration"))
+    return _global(rows, cfg)
+
+
 def contributors(states: DataFrame, cfg: Fusion = Fusion()) -> DataFrame:
     """Each model's strongest claim at each tick, with the tag it carries there."""
     claims = states.filter(F.col("entity_score") >= cfg.active).select("tick", "entity_type", "entity_id", F.explode("claims").alias("c"))

@@ -98,8 +98,12 @@ def scorer_alerts(spark: SparkSession, sf_dir: str, whole: bool = False) -> Data
 
 
 def _fused(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    hits = sinks.stored(fusion.contributions(fusion.gate(docs), halflife=HALFLIFE))
-    return fusion.levels(spark, fusion.picture(fusion.entity_states(fusion.at_ticks(hits, START, TICK, END, HALFLIFE))), START, TICK, END)
+    hits = fusion.contributions(fusion.gate(docs), halflife=HALFLIFE)
+    return fusion.levels(spark, _picture(hits, START, END), START, TICK, END)
+
+
+def _picture(hits: DataFrame, start: int, end: int) -> DataFrame:
+    return fusion.swept(fusion.pieces(hits, start, TICK, end, HALFLIFE), start, TICK, HALFLIFE, width=64)
 
 
 def all_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +124,7 @@ def states(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
 
 
 def levels(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return fusion.levels(spark, fusion.picture(states(spark, sf_dir, whole)), START, TICK, END)
+    return _fused(spark, score_docs(spark, sf_dir, whole))
 
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -505,7 +509,8 @@ def fusion_top_entities(spark, sf_dir):
 
 @query
 def fusion_global_score(spark, sf_dir):
-    return fusion.picture(states(spark, sf_dir)).select("tick", "global_score", "lit_entities", "corroboration")
+    hits = fusion.contributions(fusion.gate(score_docs(spark, sf_dir)), halflife=HALFLIFE)
+    return _picture(hits, START, END).select("tick", "global_score", "lit_entities", "corroboration")
 
 
 @query
@@ -612,7 +617,7 @@ def _resumed_levels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     one = fusion.contributions(gated.filter(F.col("t") <= MIDDLE), halflife=HALFLIFE)
     state = _saved(spark, fusion.saved(one))
     two = fusion.contributions(gated.filter(F.col("t") > MIDDLE), halflife=HALFLIFE, initial=state)
-    lv = lambda hits, a, b, level: fusion.levels(spark, fusion.picture(fusion.entity_states(fusion.at_ticks(hits, a, TICK, b, HALFLIFE))), a, TICK, b, initial=level)
+    lv = lambda hits, a, b, level: fusion.levels(spark, _picture(hits, a, b), a, TICK, b, initial=level)
     first = _saved(spark, lv(one, START, MIDDLE, "normal"))
     return first, lv(two, MIDDLE + TICK, END, first.filter(F.col("tick") == MIDDLE).first()["level"])
 
