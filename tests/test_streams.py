@@ -1,6 +1,7 @@
 """Scorers and fusion as streams: row by row what the batch queries give."""
 
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 from tidewatch import queries
 from tidewatch.config import Fusion
 from tidewatch.operators import buckets, drift, fusion, rate
-from tidewatch.streaming import scorers
+from tidewatch.sources import sinks
+from tidewatch.streaming import jobs, scorers
 
 S, HALF = queries.SECONDS, queries.HALFLIFE
 
@@ -133,3 +135,46 @@ def test_a_stream_goes_on_from_a_batch(spark, by_day, tmp_path):
     names = ("bucket", "entity_type", "entity_id", "n", "event_count_z", "mean_payload_z", "error_ratio_z")
     want = rate.z_scores(feats).filter((F.col("bucket") >= queries.MIDDLE) & (F.col("bucket") <= last))
     assert rows_of(got, *names) == rows_of(want, *names)
+
+
+def test_a_failed_writer_leaves_one_copy(spark, by_day, tmp_path):
+    """The second writer fails once, after the first has written: the batch comes again and nothing is there twice."""
+    path, table = by_day
+    failed = []
+
+    def second(batch, number):
+        if number == 1 and not failed:
+            failed.append(number)
+            raise RuntimeError("the topic is away")
+        sinks.daily_batches(str(tmp_path / "copy"))(batch, number)
+
+    def start():
+        rows = stream(spark, path, table.schema).select("t", "event_id", "rep")
+        writers = sinks.fan_out(sinks.daily_batches(str(tmp_path / "store")), second)
+        return rows.writeStream.foreachBatch(writers).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+
+    with pytest.raises(Exception, match="topic is away"):
+        start().awaitTermination(300)
+    assert start().awaitTermination(300)
+    for name in ("store", "copy"):
+        assert rows_of(spark.read.parquet(str(tmp_path / name)), "t", "event_id", "rep") == rows_of(table, "t", "event_id", "rep")
+    assert failed == [1]
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    for t in (600, 1200, 1800, 100, 2400):  # the fourth is late
+        spark.createDataFrame([(t, "a", 10, False)], "t long, payer_id string, payload_bytes long, error boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "rows"))
+    late = jobs.LateRows()
+    spark.streams.addListener(late)
+    try:
+        feats = scorers.features(scorers.clocked(stream(spark, str(tmp_path / "rows"), spark.read.parquet(str(tmp_path / "rows")).schema)), 60)
+        q = feats.writeStream.outputMode("append").format("memory").queryName("late").trigger(availableNow=True).start()
+        assert q.awaitTermination(300)
+        for _ in range(100):
+            if late.counts.get(str(q.id)):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(late)
+    assert late.counts[str(q.id)] == 2  # in the grain of all and in the payer's
+    assert sorted(r["bucket"] for r in spark.table("late").filter("entity_type = 'global'").collect()) == [600, 1200, 1800]

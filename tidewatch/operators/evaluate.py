@@ -96,3 +96,25 @@ def streaks(samples: DataFrame, condition, length: int, by: list[str]) -> DataFr
 
 def growing(counter: str, by: list[str]):
     return F.col(counter) > F.lag(counter).over(Window.partitionBy(*by).orderBy("t"))
+
+
+def lags(sent: DataFrame, consumed: DataFrame, by: list[str]) -> DataFrame:
+    """What was sent since the first sample but not consumed yet, at each sample of ``sent``.
+
+    ``sent`` and ``consumed`` have ``t`` and a counter of their name, sampled at times of their own: of the consumed ones the last
+    up to the other's time counts, found in one ordered pass over both.  Null until there is one.
+    """
+    none = lambda c: F.lit(None).cast("long").alias(c)
+    rows = sent.select(*by, "t", F.col("sent").cast("long").alias("sent"), none("consumed")).unionByName(consumed.select(*by, "t", none("sent"), F.col("consumed").cast("long").alias("consumed")))
+    order = Window.partitionBy(*by).orderBy("t", F.col("consumed").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    first = lambda c: F.first(c, ignorenulls=True).over(order)
+    lag = (F.col("sent") - first("sent")) - (F.last("consumed", ignorenulls=True).over(order) - first("consumed"))
+    return rows.withColumn("lag", lag).filter("sent IS NOT NULL").select(*by, "t", "lag")
+
+
+def drained(lagging: DataFrame, by: list[str], flat: int = 10, times: int = 4, low: int = 100) -> DataFrame:
+    """When the backlog first is gone (``low`` or less), or has stayed flat, changing by less than ``flat`` ``times`` in a row."""
+    change = F.abs(F.col("lag") - F.lag("lag").over(Window.partitionBy(*by).orderBy("t")))
+    still = streaks(lagging, change < flat, times, by).select(*by, "t", F.lit("flat").alias("how"))
+    gone = lagging.filter(F.col("lag") <= low).select(*by, "t", F.lit("gone").alias("how"))
+    return still.unionByName(gone).groupBy(*by).agg(F.min(F.struct("t", "how")).alias("s")).select(*by, "s.t", "s.how")

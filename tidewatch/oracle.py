@@ -246,12 +246,17 @@ CTE["truth"] = f"""truth AS (SELECT CAST(t // {S} * {S} AS BIGINT) AS bucket, cl
 ), judged AS (SELECT t.*, coalesce(f.is_anomalous, false) AS flagged FROM truth t LEFT JOIN content_score f ON f.bucket = t.bucket AND f.client_ip = t.client_ip)"""
 CTE["samples"] = """sample_days AS (SELECT event_type, t // 86400 AS day, count(*) AS n FROM tele GROUP BY 1, 2
 ), samples AS (SELECT event_type, CAST(day * 86400 AS BIGINT) AS t, CAST(sum(n) OVER (PARTITION BY event_type, day // 10 ORDER BY day) AS BIGINT) AS counter FROM sample_days)"""
+CTE["lags"] = """lag_days AS (SELECT event_type, t // 86400 AS day, count(*) AS n, count(*) FILTER (event_id % 50 <> 0) AS m FROM tele GROUP BY 1, 2
+), lag_sent AS (SELECT event_type, (day + 1) * 86400 AS t, sum(n) OVER (PARTITION BY event_type ORDER BY day) AS sent FROM lag_days
+), lag_consumed AS (SELECT event_type, day * 86400 + 129600 AS t, sum(m) OVER (PARTITION BY event_type ORDER BY day) AS consumed FROM lag_days
+), lags AS (SELECT s.event_type, CAST(s.t AS BIGINT) AS t, CAST((s.sent - (SELECT min_by(sent, t) FROM lag_sent x WHERE x.event_type = s.event_type)) - (c.consumed - (SELECT min_by(consumed, t) FROM lag_consumed x WHERE x.event_type = s.event_type)) AS BIGINT) AS lag
+  FROM lag_sent s ASOF LEFT JOIN lag_consumed c ON s.event_type = c.event_type AND s.t >= c.t)"""
 
 NEEDS = {
     "grain": ["tele"], "feat": ["grain"], "ew_mean": ["feat"], "zs": ["ew_mean"], "rate_score": ["zs"], "cohort": ["feat"], "cohort_score": ["cohort"], "rate_docs": ["rate_score", "cohort_score"],
     "rate_alerts": ["rate_docs"], "line": ["tele"], "win": ["line"], "content_score": ["win"], "content_docs": ["content_score"], "content_alerts": ["content_docs"], "grid": ["tele"], "day_grid": ["tele"],
     "drift": ["grid"], "drift_docs": ["drift"], "drift_alerts": ["drift"], "docs": ["rate_docs", "content_docs", "drift_docs"], "gated": ["docs"], "hits": ["gated"], "states": ["hits", "ticks"], "pic": ["states"],
-    "levels": ["pic", "ticks"], "monitor": ["tele"], "alerts": ["rate_alerts", "content_alerts", "drift_alerts", "monitor", "levels"], "emitted": ["levels"], "all_docs": ["docs", "emitted"], "sent": ["alerts"], "vec": ["feat"], "truth": ["content_score"], "samples": ["tele"],
+    "levels": ["pic", "ticks"], "monitor": ["tele"], "alerts": ["rate_alerts", "content_alerts", "drift_alerts", "monitor", "levels"], "emitted": ["levels"], "all_docs": ["docs", "emitted"], "sent": ["alerts"], "vec": ["feat"], "truth": ["content_score"], "samples": ["tele"], "lags": ["tele"],
 }
 
 
@@ -431,6 +436,15 @@ SELECT t, '[MEDIUM] error_rate_spike global:global - ' || errors || ' errors in
         "counter_rates": _with("samples", f"SELECT event_type, t, counter, CASE WHEN counter >= lag(counter) OVER w THEN {R('(counter - lag(counter) OVER w) / (t - lag(t) OVER w)', 6)} END AS rate FROM samples WINDOW w AS (PARTITION BY event_type ORDER BY t)"),
         "counter_rate_total": _with("samples", f"SELECT t, {R('sum(rate)', 6)} AS total_rate FROM (SELECT t, CASE WHEN counter >= lag(counter) OVER w THEN {R('(counter - lag(counter) OVER w) / (t - lag(t) OVER w)', 6)} END AS rate FROM samples WINDOW w AS (PARTITION BY event_type ORDER BY t)) GROUP BY t"),
         "counter_throughput": _with("samples", "SELECT event_type, max(t) - min(t) AS span, max_by(counter, t) - min_by(counter, t) AS counter_delta FROM samples GROUP BY 1"),
+        "consumer_lag": _with("lags", "SELECT event_type, t, lag FROM lags"),
+        "consumer_drained": _with(
+            "lags",
+            """, steps AS (SELECT *, coalesce(abs(lag - lag(lag) OVER (PARTITION BY event_type ORDER BY t)) < 40, false) AS still FROM lags
+), isl AS (SELECT *, sum(CASE WHEN still THEN 0 ELSE 1 END) OVER (PARTITION BY event_type ORDER BY t) AS island FROM steps
+), runs AS (SELECT event_type, t, count(*) FILTER (still) OVER (PARTITION BY event_type, island ORDER BY t) AS streak FROM isl
+), found AS (SELECT event_type, t, 'flat' AS how FROM runs WHERE streak >= 4 UNION ALL SELECT event_type, t, 'gone' FROM lags WHERE lag <= 2)
+SELECT event_type, min(t) AS t, min_by(how, row(t, how)) AS how FROM found GROUP BY 1""",
+        ),
         "growth_streaks": _with("samples", ", g AS (SELECT *, coalesce(counter > lag(counter) OVER (PARTITION BY event_type ORDER BY t), false) AS up FROM samples), isl AS (SELECT *, sum(CASE WHEN up THEN 0 ELSE 1 END) OVER (PARTITION BY event_type ORDER BY t) AS island FROM g), s AS (SELECT event_type, t, count(*) FILTER (up) OVER (PARTITION BY event_type, island ORDER BY t) AS streak FROM isl) SELECT * FROM s WHERE streak >= 3"),
     }
     # a run in two parts is one run

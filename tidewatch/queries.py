@@ -753,6 +753,28 @@ def growth_streaks(spark, sf_dir):
     return rows.select("event_type", "t", "streak")
 
 
+def _backlog(spark, sf_dir):
+    """Events of a type sent by the end of a day, against those that a consumer, which leaves every fiftieth, had by noon."""
+    from pyspark.sql import Window
+
+    day = F.floor(F.col("t") / 86400).cast("long")
+    rows = tele(spark, sf_dir).groupBy("event_type", day.alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("event_id") % 50 != 0).alias("m"))
+    run = Window.partitionBy("event_type").orderBy("day")
+    sent = rows.select("event_type", ((F.col("day") + 1) * 86400).alias("t"), F.sum("n").over(run).alias("sent"))
+    consumed = rows.select("event_type", (F.col("day") * 86400 + 129600).alias("t"), F.sum("m").over(run).alias("consumed"))
+    return evaluate.lags(sent, consumed, ["event_type"])
+
+
+@query
+def consumer_lag(spark, sf_dir):
+    return _backlog(spark, sf_dir)
+
+
+@query
+def consumer_drained(spark, sf_dir):
+    return evaluate.drained(_backlog(spark, sf_dir), ["event_type"], flat=40, low=2)
+
+
 # -- with trained models, which have no SQL: the multivariate component (M3, M4) and the content model --------------------------------------------------
 
 

@@ -34,14 +34,38 @@ def to_topic(df: DataFrame, brokers: str, topic: str, checkpoint: str):
     return out.option("kafka.bootstrap.servers", brokers).option("topic", topic).option("checkpointLocation", checkpoint)
 
 
-def fan_out(*writers: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that computes a batch once and hands it to all writers."""
+def daily_batches(path: str) -> Callable[[DataFrame, int], None]:
+    """A writer for ``fan_out``: rows by day and batch under ``path``; a batch that comes again replaces what it had written."""
 
-    def run(batch: DataFrame, _: int) -> None:
-        batch.persist()
+    def write(batch: DataFrame, number: int) -> None:
+        rows = with_day(batch).withColumn("batch", F.lit(number).cast("long"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch").parquet(path)
+
+    return write
+
+
+def topic_batches(brokers: str, topic: str, key: Callable[[], object]) -> Callable[[DataFrame, int], None]:
+    """A writer for ``fan_out``: rows as JSON to a topic under a key that names the row, by which a compacted topic keeps one copy; needs the Kafka connector."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        out = batch.select(key().alias("key"), F.to_json(F.struct("*")).alias("value")).write.format("kafka")
+        out.option("kafka.bootstrap.servers", brokers).option("topic", topic).save()
+
+    return write
+
+
+def fan_out(*writers: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that computes a batch once and hands it with its number to all writers.
+
+    If one of them fails the batch comes again with the same number, to those that had written it too: with writers that
+    replace what a number has written, as ``daily_batches`` does, every row is there once.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
         try:
             for write in writers:
-                write(batch)
+                write(batch, number)
         finally:
             batch.unpersist()
 

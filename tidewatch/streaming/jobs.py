@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 
 from tidewatch.config import DEDUP_SECONDS
 from tidewatch.sources.telemetry import RAW_SCHEMA
@@ -29,6 +30,29 @@ def timed(raw: DataFrame, lateness: str = "0 seconds") -> DataFrame:
     return raw.withColumn("ts", F.try_to_timestamp("timestamp")).filter("ts is not null").withWatermark("ts", lateness)
 
 
+class LateRows(StreamingQueryListener):
+    """Counts, by query, the rows that came after the watermark had passed their bucket and were left out (ST4).
+
+    Add it with ``spark.streams.addListener``; ``counts`` goes by the query's id.
+    """
+
+    def __init__(self) -> None:
+        self.counts: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.counts.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.counts[str(p.id)] = self.counts.get(str(p.id), 0) + sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def slowest_first(streams: list[DataFrame], lateness: str = "0 seconds") -> DataFrame:
     """One stream for each partition: under the default policy the watermark is that of the slowest (ST2)."""
     out = timed(streams[0], lateness)
