@@ -202,6 +202,52 @@ def test_templates_merge_what_differs_in_a_variable(spark):
     assert got == {"GET /a <NUM> ok <*>": 2, "POST /b x": 1}
 
 
+class PlainTree:
+    """Drain's tree, one string after another: nodes are dicts, leaves lists of [pattern, size]."""
+
+    def __init__(self, levels, children, similarity):
+        self.levels, self.children, self.similarity, self.root = levels, children, similarity, {}
+
+    def leaf(self, parts):
+        node = self.root.setdefault(len(parts), {})
+        for token in parts[: self.levels]:
+            if token not in node:
+                full = sum(t != "<*>" for t in node) >= self.children - 1
+                token = "<*>" if full or any(c.isdigit() for c in token) else token
+            node = node.setdefault(token, {})
+        return node.setdefault("\0leaf", [])
+
+    def add(self, text, count):
+        parts = text.split(" ")
+        clusters, best, at = self.leaf(parts), (-1, -1), None
+        for c in clusters:
+            near = sum(a == b for a, b in zip(c[0], parts) if a != "<*>") / len(parts), c[0].count("<*>")
+            if near > best:
+                best, at = near, c
+        if best[0] < self.similarity:
+            at = [list(parts), 0]
+            clusters.append(at)
+        at[0][:] = [a if a == b else "<*>" for a, b in zip(at[0], parts)]
+        at[1] += count
+        return at
+
+
+@pytest.mark.parametrize("children", [100, 4])
+def test_templates_are_those_of_the_tree(spark, children):
+    """In order of arrival, with more first tokens than a node has room for."""
+    rng = np.random.default_rng(children)
+    words = ["GET", "POST", "login", "user", "failed", "ok", "<NUM>", "<IP>", "a1", "b2", "x", "y", "z"]
+    rows = [(" ".join(rng.choice(words, rng.integers(1, 7))), int(t)) for t in rng.permutation(700)]
+    tree, seen, count = PlainTree(2, children, 0.4), {}, {}
+    for text, _ in rows:
+        count[text] = count.get(text, 0) + 1
+    for text, _ in sorted(rows, key=lambda r: r[1]):
+        if text not in seen:
+            seen[text] = tree.add(text, count[text])
+    got = {r["template"]: (r["cluster"], r["size"]) for r in templates.mine(spark.createDataFrame(rows, "template string, t long").repartition(3), children=children).collect()}
+    assert got == {t: (" ".join(c[0]), c[1]) for t, c in seen.items()} and len({c for c, _ in got.values()}) > 20
+
+
 def test_delays_and_sets(spark):
     starts = spark.createDataFrame([("a", 10, 1), ("b", 10, 1), ("c", 10, 2)], "entity string, start_day int, scenario int")
     alarms = spark.createDataFrame([("a", 12), ("a", 5), ("b", 9)], "entity string, alarm_day int")

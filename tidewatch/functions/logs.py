@@ -36,9 +36,9 @@ def parse(df: DataFrame, line: str = "log_message") -> DataFrame:
             "log_payer": F.nullif(part(2), F.lit("-")),
             "method": part(4),
             "path": part(5),
-            "code": part(6).cast("int"),
-            "nbytes": part(7).cast("long"),
-            "latency": part(8).cast("long"),
+            "code": part(6).try_cast("int"),
+            "nbytes": part(7).try_cast("long"),
+            "latency": part(8).try_cast("long"),
             "msg": part(9),
         }
     )
@@ -55,7 +55,7 @@ def parse_apache(df: DataFrame, line: str = "value") -> DataFrame:
             "t": F.unix_timestamp(part(4), "dd/MMM/yyyy:HH:mm:ss Z"),
             "method": F.substring_index(request, " ", 1),
             "path": F.regexp_extract(request, r"^\S+ (.*?)(?: HTTP/[\d.]+)?$", 1),
-            "code": part(6).cast("int"),
+            "code": part(6).try_cast("int"),
             "nbytes": F.coalesce(F.expr(f"try_cast(regexp_extract({line}, '{APACHE.replace(chr(92), chr(92) * 2)}', 7) as long)"), F.lit(0)),
         }
     )
