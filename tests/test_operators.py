@@ -479,3 +479,38 @@ def test_charts_do_not_depend_on_who_else_is_in_the_group(spark):
         alone = drift.charts(cells.filter(F.col("payer") == p)).collect()
         assert alone and all(whole[p, r.bucket] == r for r in alone)
     assert max(r.s_volume for r in whole.values()) > 0
+
+
+def test_lines_of_several_splits_and_files_pair_by_place(spark, tmp_path):
+    """Both files fall into many splits, at other places; a second file has numbers of its own."""
+    lines = [f"line {i} " + "x" * (i * 7 % 50) for i in range(3000)]
+    (tmp_path / "log.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "labels.txt").write_text("\n".join(str(i) for i in range(3000)) + "\n")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        log, labels = str(tmp_path / "log.txt"), str(tmp_path / "labels.txt")
+        assert spark.read.text(log).rdd.getNumPartitions() > 5
+        rows = telemetry.read_labelled(spark, log, labels).collect()
+        assert len(rows) == 3000 and all(r["value"] == lines[r["line"]] and r["labels"] == str(r["line"]) for r in rows)
+        both = telemetry.numbered_lines(spark, str(tmp_path / "*.txt")).groupBy("file").agg(F.min("line"), F.max("line"), F.count_distinct("line")).collect()
+        assert sorted(tuple(r)[1:] for r in both) == [(0, 2999, 3000)] * 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_csv_and_json_sources_keep_odd_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"id,date,user\n1,01/04/2010 07:31:14,DTAA/X\n2,\xff\xfe,\n3,only two\n")
+    rows = telemetry.read_csv(spark, str(tmp_path / "a.csv")).collect()
+    assert [r["id"] for r in rows] == ["1", "2", "3"] and rows[2]["user"] is None
+    (tmp_path / "a.json").write_text('{"event_id": "1", "amount": 5}\nno json\n{"unknown": 1}\n')
+    rows = telemetry.read_json(spark, str(tmp_path / "a.json")).collect()
+    assert len(rows) == 3 and [r["amount"] for r in rows] == [5.0, None, None]
+
+
+def test_amounts_beyond_numbers_are_null(spark):
+    messages = spark.createDataFrame([('{"event_id": "1", "amount": 5}',), ('{"event_id": "2", "amount": 1e999}',), ('{"event_id": "3", "amount": null}',)], "value string")
+    good, _ = normalize.decode(messages)
+    assert {r["event_id"]: r["amount"] for r in normalize.flatten(normalize.normalize(good, 0)).collect()} == {"1": 5.0, "2": None, "3": None}

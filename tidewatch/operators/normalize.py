@@ -36,7 +36,7 @@ def flatten(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.unix_seconds("@timestamp").alias("t"), F.col("event.id").alias("event_id"), F.col("event.type").alias("event_type"), text("transaction.payer_id").alias("payer_id"),
         text("transaction.payee_id").alias("payee_id"), text("network.client_ip").alias("client_ip"), F.col("transaction.channel").alias("channel"),
-        F.when(~F.isnan("transaction.amount"), F.col("transaction.amount")).alias("amount"), F.col("transaction.status").alias("status"), F.col("error"),
+        F.when(F.abs("transaction.amount") < float("inf"), F.col("transaction.amount")).alias("amount"), F.col("transaction.status").alias("status"), F.col("error"),
         F.col("security.is_malformed").alias("is_malformed"), F.col("security.is_attack").alias("is_attack"), F.col("security.attack_pattern").alias("attack_pattern"),
         F.col("log.message").alias("log_message"), F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))).alias("payload_bytes"),
     )

@@ -380,6 +380,13 @@ SELECT entity_id, n, mean_events, s_volume, s_amount, i, events, last_seen FROM
         "drift_alert_summaries": _with("drift", f"SELECT bucket + {S} AS t, payer AS entity_id, exc_events || ' events moving ' || format('{{:,}}', CAST(round_even(exc_amount, 0) AS BIGINT)) || ' IDR accumulated over ' || greatest(1, (bucket + {S} - window_start) // 60) || ' min' AS summary FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY score DESC, payer) AS rank FROM drift WHERE is_anomalous) WHERE rank <= 5"),
         "rate_alert_windows": _with("rate_alerts", f"SELECT t, entity_type, entity_id, alert_type, strftime(make_timestamp((CAST(t AS BIGINT) - {S}) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS window_start, summary FROM rate_alerts"),
         "fusion_gate": _with("gated", "SELECT model, disposition, count(*) AS docs FROM gated GROUP BY 1, 2"),
+        "fusion_gate_replayed": _with("docs", f"SELECT model, CASE WHEN NOT is_anomalous OR score <= 0 THEN 'benign' WHEN {NOW} - t > 300 THEN 'stale' WHEN event_count < 10 THEN 'below_floor' ELSE 'folded' END AS disposition, count(*) AS docs FROM docs GROUP BY 1, 2"),
+        "fusion_contributor_tags": _with(
+            "states",
+            """, tagged AS (SELECT tick, entity_type, entity_id, model, max_by(tag, t) AS tag FROM ticks JOIN hits ON t <= tick GROUP BY ALL)
+SELECT tick, model, max(row(least(1.0, value / weight), tag)).tag AS tag FROM (SELECT tick, entity_type, entity_id, model, value, weight, tag FROM contrib JOIN states USING (tick, entity_type, entity_id) JOIN tagged USING (tick, entity_type, entity_id, model) WHERE entity_score >= 0.05 AND value >= 0.05) GROUP BY 1, 2""".replace("max(row(least(1.0, value / weight), tag)).tag", "max({'c': least(1.0, value / weight), 'tag': tag}).tag"),
+        ),
+        "service_health": _with("tele", f"SELECT event_type AS service, {END} - max(t) AS lag, CASE WHEN max(t) < {END} - 43200 THEN 'offline' WHEN count(*) FILTER (error) > count(*) / 2 THEN 'error' WHEN count(*) < 100 THEN 'warming' WHEN {END} - max(t) > 0 THEN 'degraded' ELSE 'ok' END AS state FROM tele GROUP BY 1"),
         "fusion_contributions": _with("hits", f"SELECT entity_type, entity_id, model, t, {R('claim', 6)} AS claim, tag, {R(f'(SELECT max(h.claim * pow(2.0, (h.t - hits.t) / {HALFLIFE})) FROM hits h WHERE h.entity_type = hits.entity_type AND h.entity_id = hits.entity_id AND h.model = hits.model AND h.t <= hits.t)', 6)} AS value FROM hits"),
         "fusion_entity_scores": _with("states", f"SELECT tick, entity_type, entity_id, active_models, {R('entity_score', 6)} AS entity_score FROM states WHERE entity_score >= 0.05"),
         "fusion_contributors": _with("states", f"SELECT tick, model, {R('max(least(1.0, value / weight))', 4)} AS claim FROM contrib JOIN states USING (tick, entity_type, entity_id) WHERE entity_score >= 0.05 AND value >= 0.05 GROUP BY 1, 2"),

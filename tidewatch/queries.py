@@ -485,6 +485,26 @@ def fusion_gate(spark, sf_dir):
     return fusion.gate(score_docs(spark, sf_dir)).groupBy("model", "disposition").agg(F.count("*").alias("docs"))
 
 
+@query
+def fusion_gate_replayed(spark, sf_dir):
+    """The gate at a given time: documents that are too old for it by then are stale (P11, ST9)."""
+    return fusion.gate(score_docs(spark, sf_dir), now=NOW).groupBy("model", "disposition").agg(F.count("*").alias("docs"))
+
+
+@query
+def fusion_contributor_tags(spark, sf_dir):
+    """What each model says the loudest at every tick, by the tag of the entity's latest hit."""
+    return fusion.contributors(states(spark, sf_dir)).select("tick", "model", "tag")
+
+
+@query
+def service_health(spark, sf_dir):
+    """State of each kind of event's source by what it has reported of late."""
+    rows = tele(spark, sf_dir).groupBy(F.col("event_type").alias("service")).agg(F.max("t").alias("last"), F.count("*").alias("n"), F.count_if("error").alias("errors"))
+    parts = rows.select("service", F.lit(True).alias("loaded"), (F.col("last") >= END - 43200).alias("reachable"), (F.col("errors") > F.col("n") / 2).alias("error"), (F.col("n") < 100).alias("warming"), (END - F.col("last")).alias("lag"))
+    return serving.health(parts).select("service", "lag", "state")
+
+
 @query
 def fusion_contributions(spark, sf_dir):
     hits = fusion.contributions(fusion.gate(score_docs(spark, sf_dir)), halflife=HALFLIFE)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,16 +31,23 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
 
 
-def read_labelled(spark: SparkSession, log: str, labels: str) -> DataFrame:
-    """Lines of two files paired by their place.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file``, ``line`` (from 0 in each file) and ``value`` of text files.
 
-    Spark numbers lines by file and place in it, so the pairing is an equi-join on a number and needs no single task.
+    Every split counts its own lines; a file's splits are few rows, whose sums say where each begins.  Within a split, lines
+    are numbered as they are read, so nothing is sorted and no line leaves the JVM.
     """
-    def numbered(path: str, name: str) -> DataFrame:
-        rows = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-        return rows.toDF(f"line long, {name} string")
+    place = {"file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start"), "at": F.monotonically_increasing_id()}
+    rows = spark.read.text(path).withColumns(place)
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("lines")).withColumn("before", before)
+    return rows.join(splits, ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first")).alias("line"), "value")
+
 
-    return numbered(log, "value").join(numbered(labels, "labels"), "line")
+def read_labelled(spark: SparkSession, log: str, labels: str) -> DataFrame:
+    """Lines of two files paired by their place (S11, J6): an equi-join on their numbers."""
+    lines = numbered_lines(spark, log).select("line", "value")
+    return lines.join(numbered_lines(spark, labels).select("line", F.col("value").alias("labels")), "line")
 
 
 def epoch(c: str = "ts"):
