@@ -539,6 +539,18 @@ def test_no_class_token_decides_alone(trees, tag, name):
     assert html_extract.extract([page], trees) == [" ".join(t.strip() for t in texts)]
 
 
+@pytest.mark.parametrize("around", ["<form>{}</form>", '<form id="aspnetForm" class="form">{}</form>', '<div id="page"><form method="post"><div>{}</div></form></div>'])
+def test_a_form_around_the_page_is_no_form(trees, around):
+    """Its article stays, and the form that stands in it goes."""
+    first = "The river rose in the night, and by morning the lower fields were under water. People came out to look at it. " * 3
+    second = "Nobody had seen it so high before; the oldest of them spoke of another spring, long ago, when the bridge went. " * 3
+    inner = f"""<nav><ul><li><a href="/">Home</a></li><li><a href="/a">About</a></li></ul></nav><div class="content"><h1>High water</h1><p>{first}</p><p>{second}</p></div>
+<form class="newsletter"><p>Subscribe to our letter</p><input name="m"><button>Send</button></form><footer><p>Copyright, all rights reserved</p></footer>"""
+    got = html_extract.extract(["<html><body>" + around.format(inner) + "</body></html>"], trees)[0]
+    assert got == " ".join(["High water", first.strip(), second.strip()])
+
+
+
 @pytest.mark.parametrize("d", ["sf0.001", "sf0.01"])
 def test_extraction_of_the_test_table_is_its_articles(spark, d):
     """Against the article element itself, found by name and stripped of tags; white space aside."""

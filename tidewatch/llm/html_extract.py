@@ -179,6 +179,18 @@ FEATURES = (
 )
 _FRAME = frozenset(("nav", "footer", "aside", "header", "form", "menu", "dialog", "fieldset"))
 
+#: A form that holds one of these is wrapped around the page, as some servers do, and says no more than a ``div``.
+_LANDMARKS = frozenset(("h1", "article", "main", "nav", "header", "footer", "aside"))
+
+
+def _wrappers(nodes: list[Node], parent: np.ndarray) -> list[bool]:
+    """Which nodes are forms around a page."""
+    holds = [False] * len(nodes)
+    for i in range(len(nodes) - 1, 0, -1):
+        if parent[i] >= 0 and (holds[i] or nodes[i].name in _LANDMARKS):
+            holds[parent[i]] = True
+    return [h and node.name == "form" for h, node in zip(holds, nodes)]
+
 
 def describe(nodes: list[Node], texts: list[list[str]]) -> np.ndarray:
     """Features of the blocks of one page."""
@@ -203,7 +215,10 @@ def describe(nodes: list[Node], texts: list[list[str]]) -> np.ndarray:
         while p is not None and id(p) not in number:
             p = p.parent
         parent[i] = number[id(p)] if p is not None else -1
-    below, count, against = own.copy(), np.ones(n), np.array([float(bool(x.tokens & AGAINST or x.name in _FRAME)) for x in nodes])
+    wrapper = _wrappers(nodes, parent)
+    names_of = ["div" if w else node.name for node, w in zip(nodes, wrapper)]
+    tokens = [frozenset() if w else node.tokens for node, w in zip(nodes, wrapper)]
+    below, count, against = own.copy(), np.ones(n), np.array([float(bool(t & AGAINST or x in _FRAME)) for t, x in zip(tokens, names_of)])
     kids: list[list[int]] = [[] for _ in nodes]
     below_against = against.copy()
     for i in range(n - 1, 0, -1):
@@ -214,22 +229,22 @@ def describe(nodes: list[Node], texts: list[list[str]]) -> np.ndarray:
             kids[p].append(i)
     x = np.zeros((n, len(FEATURES)))
     total, before = max(1.0, below[0, 0]), 0.0
-    pro = [float(len(node.tokens & FOR)) for node in nodes]
+    pro = [float(len(t & FOR)) for t in tokens]
     above = np.zeros((n, 4))
     for i, node in enumerate(nodes):
         p = parent[i]
         if p >= 0:
             above[i] = above[p]
             above[i, 0] += pro[p]
-            above[i, 1] += len(nodes[p].tokens & AGAINST)
-            above[i, 2] = max(above[i, 2], nodes[p].name in ("article", "main"))
-            above[i, 3] = max(above[i, 3], nodes[p].name in _FRAME)
+            above[i, 1] += len(tokens[p] & AGAINST)
+            above[i, 2] = max(above[i, 2], names_of[p] in ("article", "main"))
+            above[i, 3] = max(above[i, 3], names_of[p] in _FRAME)
         group = kids[p][::-1] if p >= 0 else [i]
         chars = max(1.0, below[i, 0])
         x[i] = (
-            NAME_NUMBER.get(node.name, 0), node.depth, np.log1p(below[i, 0]), np.log1p(own[i, 0]), below[i, 0] / total, below[i, 1] / chars, np.log1p(below[i, 0] / count[i]),
-            below[i, 2] / chars, np.log1p(below[i, 3]), len(kids[i]), len(group), 0.0, before / total, pro[i], len(node.tokens & AGAINST), above[i, 0], above[i, 1],
-            below_against[i] - against[i], max(above[i, 2], node.name in ("article", "main")), max(above[i, 3], node.name in _FRAME), 0.0,
+            NAME_NUMBER.get(names_of[i], 0), node.depth, np.log1p(below[i, 0]), np.log1p(own[i, 0]), below[i, 0] / total, below[i, 1] / chars, np.log1p(below[i, 0] / count[i]),
+            below[i, 2] / chars, np.log1p(below[i, 3]), len(kids[i]), len(group), 0.0, before / total, pro[i], len(tokens[i] & AGAINST), above[i, 0], above[i, 1],
+            below_against[i] - against[i], max(above[i, 2], names_of[i] in ("article", "main")), max(above[i, 3], names_of[i] in _FRAME), 0.0,
             np.log1p(below[i, 0] / max(1, len(kids[i]))), below[i, 4] / chars,
         )
         before += own[i, 0]
