@@ -514,3 +514,15 @@ def test_amounts_beyond_numbers_are_null(spark):
     messages = spark.createDataFrame([('{"event_id": "1", "amount": 5}',), ('{"event_id": "2", "amount": 1e999}',), ('{"event_id": "3", "amount": null}',)], "value string")
     good, _ = normalize.decode(messages)
     assert {r["event_id"]: r["amount"] for r in normalize.flatten(normalize.normalize(good, 0)).collect()} == {"1": 5.0, "2": None, "3": None}
+
+
+def test_tree_of_points_finds_what_a_scan_finds():
+    """Ties, equal points and points far away; few leaves are opened."""
+    rng = np.random.default_rng(8)
+    points = np.concatenate([rng.normal(size=(3000, 4)), np.repeat(rng.normal(size=(1, 4)), 300, axis=0), rng.integers(0, 3, (700, 4)).astype(float)])
+    x = np.concatenate([points[::50], rng.normal(size=(300, 4)) * 3, np.full((1, 4), 50.0)])
+    tree = multivariate.Tree(points)
+    d = np.sort(np.sqrt(((x[:, None, :] - points) ** 2).sum(axis=2)), axis=1)
+    assert (tree.distances(x, 5) == d[:, :5]).all() and tree.opened < 0.2 * len(x) * len(tree.low)
+    few = multivariate.Tree(points[:3]).distances(x[:4], 5)
+    assert np.isinf(few[:, 3:]).all() and np.isfinite(few[:, :3]).all() and multivariate.Tree(points[:1]).distances(x[:0], 2).shape == (0, 2)

@@ -87,14 +87,51 @@ class Forest:
         return self.offset - 2.0 ** (-self.depth(x) / max(self.c(self.sample), 1e-9))
 
 
-def knn_reference(points: np.ndarray, k: int) -> float:
+class Tree:
+    """A k-d tree whose leaves hold few points each; a query opens leaves in order of their boxes' distance, until the next is beyond its k-th nearest."""
+
+    def __init__(self, points: np.ndarray, leaf: int = 32) -> None:
+        todo, leaves = [np.arange(len(points))], []
+        while todo:
+            rows = todo.pop()
+            spread = np.ptp(points[rows], axis=0)
+            if len(rows) <= leaf or not spread.max() > 0:
+                leaves += [rows[i : i + leaf] for i in range(0, len(rows), leaf)]
+                continue
+            by = rows[np.argsort(points[rows, spread.argmax()], kind="stable")]
+            todo += [by[: len(by) // 2], by[len(by) // 2 :]]
+        self.low = np.stack([points[r].min(axis=0) for r in leaves])
+        self.high = np.stack([points[r].max(axis=0) for r in leaves])
+        self.members = np.full((len(leaves), leaf, points.shape[1]), np.inf)
+        for held, rows in zip(self.members, leaves):
+            held[: len(rows)] = points[rows]
+        self.opened = 0
+
+    def distances(self, x: np.ndarray, k: int) -> np.ndarray:
+        """Those to the k nearest points, the nearest first; infinite where there are fewer."""
+        out = [np.zeros((0, k))]
+        for i in range(0, len(x), 1024):
+            q = x[i : i + 1024]
+            off = np.maximum(np.maximum(self.low - q[:, None, :], q[:, None, :] - self.high), 0.0)
+            bound = (off**2).sum(axis=2)
+            order = np.argsort(bound, axis=1)
+            best = np.full((len(q), k), np.inf)
+            for rank in range(len(self.low)):
+                leaf = order[:, rank]
+                live = np.flatnonzero(bound[np.arange(len(q)), leaf] <= best[:, -1])
+                if not len(live):
+                    break
+                self.opened += len(live)
+                d = ((self.members[leaf[live]] - q[live, None, :]) ** 2).sum(axis=2)
+                best[live] = np.sort(np.concatenate([best[live], d], axis=1), axis=1)[:, :k]
+            out.append(np.sqrt(best))
+        return np.concatenate(out)
+
+
+def knn_reference(points: np.ndarray, k: int, tree: Tree | None = None) -> float:
     """99th percentile of each point's mean distance to its k nearest others."""
-    means = []
-    for i in range(0, len(points), 256):
-        d = np.sqrt(((points[i : i + 256, None, :] - points[None, :, :]) ** 2).sum(axis=2))
-        d.sort(axis=1)
-        means.append(d[:, 1 : k + 1].mean(axis=1))
-    return max(float(np.percentile(np.concatenate(means), 99)), 1e-6)
+    means = (tree or Tree(points)).distances(points, k + 1)[:, 1:].mean(axis=1)
+    return max(float(np.percentile(means, 99)), 1e-6)
 
 
 class Model:
@@ -104,16 +141,13 @@ class Model:
         self.mean, self.std, self.k = points.mean(axis=0), points.std(axis=0), cfg.neighbours
         self.std[self.std == 0] = 1.0
         self.points = (points - self.mean) / self.std
-        self.forest, self.reference = Forest(self.points), knn_reference(self.points, cfg.neighbours)
+        self.tree = Tree(self.points)
+        self.forest, self.reference = Forest(self.points), knn_reference(self.points, cfg.neighbours, self.tree)
 
     def score(self, x: np.ndarray) -> pd.DataFrame:
         x = (x - self.mean) / self.std
         iso = np.clip(-self.forest.decision(x) / 0.15, 0, 1)
-        near = [np.zeros(0)]
-        for i in range(0, len(x), 256):
-            d = np.sqrt(((x[i : i + 256, None, :] - self.points[None, :, :]) ** 2).sum(axis=2))
-            near.append(np.partition(d, self.k - 1, axis=1)[:, : self.k].mean(axis=1))
-        ratio = np.concatenate(near) / self.reference
+        ratio = self.tree.distances(x, self.k).mean(axis=1) / self.reference
         return pd.DataFrame({"iso": iso, "knn_ratio": ratio, "mv_score": np.maximum(iso, np.clip((ratio - 1.0) / 2.0, 0, 1))})
 
 
