@@ -93,6 +93,62 @@ def test_join_of_the_test_table_matches_brute_force(spark, sf):
     assert Counter(tuple(r) for r in queries.op1_ngram_join(spark, sf).collect()) == brute_components(rows)
 
 
+def template_group(k, linked):
+    """k texts of one template, 0.71 similar to each other, and ``linked`` that are 0.9 similar to one of them."""
+    rng = np.random.default_rng(k)
+    words = [f"t{i}" for i in range(300)]
+    rows = []
+    for d in range(k):
+        own = list(words)
+        own[d % 7 : d % 7 + 40] = [f"d{d}x{i}" for i in range(40)]  # 44 shingles of 296 are its own
+        at = 60 + int(rng.integers(0, 200))
+        own[at : at + 6] = [f"e{d}x{i}" for i in range(6)]
+        rows.append((d, " ".join(own)))
+        if d < linked:
+            rows.append((1000 + d, " ".join(own[:-8] + [f"z{d}"])))
+    return rows
+
+
+def test_join_of_a_template_group_makes_few_pairs(spark, tmp_path, monkeypatch):
+    """Sets that share their rarest keys without linking are not paired; those among them that do link are."""
+    made, early = [], ngram_join.early_pairs
+
+    def counted(*args):
+        found = early(*args)
+        made.append((args[0].count(), found.count()))
+        return found
+
+    monkeypatch.setattr(ngram_join, "early_pairs", counted)
+    for k in (60, 120, 240):
+        rows = template_group(k, 10)
+        got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), folder=str(tmp_path / str(k)))
+        assert Counter(tuple(r) for r in got.collect()) == brute_components(rows)
+        assert len({r.component_id for r in got.collect()}) == k
+    assert [opened >= k for (opened, _), k in zip(made, (60, 120, 240))] == [True] * 3
+    assert all(pairs <= opened for opened, pairs in made), made
+
+
+def test_first_common_elements_meet(spark, tmp_path):
+    """Without any other step, every link between open sets comes out of their early elements."""
+    rng, held = np.random.default_rng(3), []
+    for base in range(12):
+        s = rng.integers(1, 1 << 62, int(rng.integers(1, 90)), dtype=np.uint64)
+        for _ in range(8):
+            keep = s[rng.random(len(s)) < rng.choice([0.8, 0.9, 1.0])]
+            held.append(np.unique(np.concatenate([keep, rng.integers(1, 1 << 62, int(rng.integers(0, 1 + len(s) // 6)), dtype=np.uint64)])))
+    held = [s for s in held if len(s)]
+    sets = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(held)], "sid long, data binary")
+    opened = spark.createDataFrame([(i, i // 3 * 3) for i in range(len(held))], "sid long, comp long")
+    found = {(r.a, r.b) for r in ngram_join.early_pairs(opened, sets, 3, 4, str(tmp_path)).collect()}
+    links = set()
+    for j, b in enumerate(held):
+        for i, a in enumerate(held[:j]):
+            common = len(np.intersect1d(a, b))
+            if i // 3 != j // 3 and 4 * common >= 3 * (len(a) + len(b) - common):
+                links.add((i, j))
+    assert links and links <= found
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.join(empty(spark)).collect() == []
 

@@ -15,8 +15,12 @@ Candidates whose parity sketches already differ in too many bits are none; the o
 Only connections matter for components, so a key with many documents first yields a star or a few around its most
 central ones, those that share most keys with others: of near copies of one text, that is the text itself, for every
 key.  Each document joins the stars of a few of its keys only, whatever their number.  Then, across the components so far, come a few pairs for each document, different ones for each key.  After
-each step components are contracted, and in the end all pairs of a key that still lie in different components are
-verified too.  Nothing is capped.
+each step components are contracted.  What is left are *open* sets: those with a key whose sets still lie in different
+components.  A link between two components joins open sets, and these are few or, like the many versions of one
+template, alike without linking: all their pairs would be quadratic.  So their elements are put in order, the rarest
+first.  Of two sets that link, the smaller has its first common element so early that the rest can hold the overlap that
+a link needs; so only elements that early meet, across components only, and what linked sets cannot lack there decides
+which pairs are verified.  Nothing is capped.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm import common, windows
@@ -283,13 +287,15 @@ def by_key(labels: np.ndarray):
 
 #: Stars that a key yields, each among the sets that the one before did not reach, and keys of a set in whose stars it is.
 STARS, CHOSEN = 3, 5
-#: Of a key's sets in an order that the key itself mixes, those so many places apart are tried before all pairs are.
+#: Of a key's sets in an order that the key itself mixes, those so many places apart are tried in the second step.
 NEAR = (1, 2)
+#: How candidates are found, one way after the other.
+STEPS = ("star", "near", "rest")
 PAIR = "a long, b long, x long, y long"
 
 
 def pairs(bands: Bands, step: str):
-    """Candidates a, b of a partition of keys and their components x, y: stars; or sets that a mixed order puts near each other; or all pairs. The latter two across components only."""
+    """Candidates a, b of a partition of keys and their components x, y: stars; or sets that a mixed order puts near each other, across components only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         doc, table, key, kind, probe = _unpack(batches, SKETCHED)
@@ -326,7 +332,7 @@ def pairs(bands: Bands, step: str):
                         break
             elif comp[s:e].min() == comp[s:e].max():
                 continue
-            elif step == "near":
+            else:
                 mixed = s + np.argsort(windows.mix(sid[s:e].view(np.uint64) ^ key[s]))
                 for far in NEAR:
                     i, j = np.minimum(mixed[:-far], mixed[far:]), np.maximum(mixed[:-far], mixed[far:])
@@ -334,13 +340,6 @@ def pairs(bands: Bands, step: str):
                     i, j = i[use], j[use]
                     use = may_link(i, j)
                     put(i[use], j[use])
-            else:
-                for i in s + np.flatnonzero(probe[s:e]):
-                    to = s + int(np.searchsorted(n[s:e], most[i], "right"))
-                    other = np.arange(i + 1, to)
-                    other = other[(comp[other] != comp[i]) & ((kind[other] < 2) | (kind[i] < 2))]
-                    other = other[may_link(np.full(len(other), i), other)]
-                    put(np.full(len(other), i), other)
             if len(found) > 200_000:
                 yield pd.DataFrame(list(found), columns=["a", "b", "x", "y"])
                 found = set()
@@ -349,6 +348,62 @@ def pairs(bands: Bands, step: str):
     return run
 
 
+def open_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of a partition of keys the sets, with their components, of each key that is probed and whose sets lie in different components."""
+    doc, table, key, _, probe = _unpack(batches, SKETCHED)
+    order = np.argsort(key, kind="stable")
+    doc, key, probe = doc[order], key[order], probe[order] & 1 > 0
+    comp, wanted = table["comp"][doc], np.zeros(len(table), dtype=bool)
+    at, to = _runs(key)
+    if len(at):
+        mixed = (np.minimum.reduceat(comp, at) != np.maximum.reduceat(comp, at)) & np.logical_or.reduceat(probe, at)
+        wanted[doc[np.repeat(mixed, to - at)]] = True
+    _, first = np.unique(table["sid"][wanted], return_index=True)
+    yield pd.DataFrame({"sid": table["sid"][wanted][first], "comp": table["comp"][wanted][first]})
+
+
+def early_pairs(opened: DataFrame, sets: DataFrame, num: int, den: int, folder: str) -> DataFrame:
+    """Candidates a, b and their components x, y among open sets (sid, comp).
+
+    ``at`` is an element's place in its set when the rarest come first, the same order for all sets.  Of sets of n and
+    m >= n elements that link, num / (num + den) of n + m are common; so their first common element stands early enough in both for
+    so many to follow it.  Of an element's sets those of its largest component meet the others only, never each other.
+    """
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            size = batch["data"].map(len).to_numpy() // 8
+            cut = np.flatnonzero(np.diff(np.cumsum(size) // (1 << 18), prepend=0))  # bounded memory for long texts
+            for rows in np.split(np.arange(len(batch)), cut):
+                part, n = batch.iloc[rows], size[rows]
+                told = {c: np.repeat(x, n) for c, x in (("sid", part["sid"].to_numpy()), ("comp", part["comp"].to_numpy()), ("n", n))}
+                yield pd.DataFrame({**told, "token": np.frombuffer(b"".join(part["data"]), dtype="<i8")})
+
+    def up(a: Column, b: int) -> Column:
+        return F.floor((a + b - 1) / b)
+
+    elements = sets.select("sid", "data").join(opened, "sid").mapInPandas(spread, "sid long, comp long, n long, token long")
+    elements = common.cut_lineage(elements, folder, "elements")
+    often = elements.groupBy("token").agg(F.count("*").alias("f"))
+    order = Window.partitionBy("sid").orderBy("f", "token")
+    early = elements.join(often, "token").withColumn("at", F.row_number().over(order) - 1)
+    early = early.filter((F.col("f") > 1) & (F.col("at") <= F.col("n") - up(F.col("n") * num, den)))
+    early = early.withColumn("first", F.col("at") <= F.col("n") - up(2 * num * F.col("n"), num + den)).drop("f")
+    early = common.cut_lineage(early, folder, "early")
+    by_comp = early.groupBy("token", "comp").agg(F.count("*").alias("sets"), F.count_if("first").alias("firsts"))
+    largest = by_comp.groupBy("token").agg(F.max(F.struct("sets", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("firsts").alias("firsts"))
+    largest = largest.filter((F.col("comps") > 1) & (F.col("firsts") > 0)).select("token", F.col("top.comp").alias("top"))
+    early = early.join(largest, "token").withColumn("main", F.col("comp") == F.col("top")).drop("top")
+    one = early.filter("first").select("token", F.col("sid").alias("s"), F.col("n").alias("ns"), F.col("at").alias("i"), F.col("comp").alias("x"), F.explode(F.expr("if(main, array(false), array(false, true))")).alias("main"))
+    other = early.select("token", F.col("sid").alias("t"), F.col("n").alias("nt"), F.col("at").alias("j"), F.col("comp").alias("y"), "main")
+    needed = up(num * (F.col("ns") + F.col("nt")), num + den)
+    smaller = (F.col("ns") < F.col("nt")) | ((F.col("ns") == F.col("nt")) & (F.col("s") < F.col("t")))
+    met = one.join(other, ["token", "main"]).filter(smaller & (F.col("x") != F.col("y")) & (F.least(F.col("ns") - F.col("i"), F.col("nt") - F.col("j")) >= needed))
+    turn = F.col("s") > F.col("t")
+    pick = lambda a, b: F.when(turn, F.col(b)).otherwise(F.col(a))
+    return met.select(pick("s", "t").alias("a"), pick("t", "s").alias("b"), pick("x", "y").alias("x"), pick("y", "x").alias("y")).distinct()
+
+
 def components(links: DataFrame, folder: str, name: str) -> DataFrame:
     """(sid, comp) of every name in the links a, b: the smallest one that it is connected with.
 
@@ -448,11 +503,15 @@ def members(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4, id_col: str
             yield pd.DataFrame([(int(b), b"", b"", table[where == b].tobytes(), b"") for b in np.unique(where)], columns=fields)
 
     tried = comp = None
-    for step in ("star", "near", "all"):
+    for step in STEPS:
         named_sets = sets.select("sid", "sketch").withColumn("comp", F.col("sid")) if comp is None else sets.select("sid", "sketch").join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
         keys = kept.unionByName(named_sets.select("sid", "comp", "sketch").mapInPandas(labelled, FORM))
         by_keys = keys.repartition(parts, "bucket").mapInPandas(by_key(labels), FORM).repartition(parts, "bucket")
-        found = by_keys.mapInPandas(pairs(bands, step), PAIR).distinct()
+        if step == "rest":
+            opened = common.cut_lineage(by_keys.mapInPandas(open_sets, "sid long, comp long").distinct(), folder, "open")
+            found = early_pairs(opened, sets, num, den, folder)
+        else:
+            found = by_keys.mapInPandas(pairs(bands, step), PAIR).distinct()
         found = common.cut_lineage(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), folder, step)
         good = common.cut_lineage(verified(found, sets, num, den).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), folder, f"{step}-links")
         tried = found.select("a", "b") if tried is None else tried.unionByName(found.select("a", "b"))
@@ -463,7 +522,7 @@ def members(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4, id_col: str
         moved = named_sets.select("sid", "comp").join(merged.select(F.col("sid").alias("comp"), F.col("comp").alias("new")), "comp", "left")
         comp = common.cut_lineage(moved.select("sid", F.coalesce("new", "comp").alias("comp")), folder, f"{step}-labels")
 
-    common.drop(spark, folder, "kept", "sets", *(f"{step}{part}" for step in ("star", "near", "all") for part in ("", "-links")))
+    common.drop(spark, folder, "kept", "sets", "open", "elements", "early", f"{STEPS[1]}-labels", *(f"{step}{part}" for step in STEPS for part in ("", "-links")))
     return info.join(comp, "sid", "left").select("key", "key2", "id", "n_shingles", F.when(F.col("sid") != 0, F.coalesce("comp", "sid")).alias("comp"))
 
 
