@@ -41,6 +41,8 @@ SMALL = 48
 #: A band reaches from a size to twice that size; its smallest sets have so many segments for each element.
 SPREAD = 1.1
 DELETE_EVERY = 32
+#: Elements of sets that are indexed at once; copies in one batch are indexed once all the same.
+PART = 1 << 19
 _SEGMENT = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -460,15 +462,21 @@ def members(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4, id_col: str
                 info.append((key, key2, i, len(s), name))
                 if name:
                     held[name] = s
-            try:
-                found = index(held.items(), bands, labels, seed).assign(key=0, key2=0, id="", size=0, sid=0)
-            except Clash:
+            part, size, clash = [], 0, False
+            for item in [*held.items(), None]:
+                if item is not None:
+                    part.append(item)
+                    size += len(item[1])
+                if size >= PART or item is None:
+                    try:
+                        yield index(part, bands, labels, seed).assign(key=0, key2=0, id="", size=0, sid=0)
+                    except Clash:
+                        clash = True
+                    part, size = [], 0
+            if clash:
                 info.append((0, 0, None, -1, 0))
-                found = None
             rows = pd.DataFrame(info, columns=["key", "key2", "id", "size", "sid"])
             yield rows.assign(bucket=labels[rows["key"] % parts], docs=b"", keys=b"", kinds=b"", freq=b"")
-            if found is not None:
-                yield found
 
     first = keyed.select("key", "key2", F.col("id").cast("string").alias("id"), "text").mapInPandas(named, f"{INFO}, {FORM}")
     rows = common.cut_lineage(first.repartition(parts, "bucket").mapInPandas(shared(labels), f"{INFO}, {FORM}"), folder, "shared")
