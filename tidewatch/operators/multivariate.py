@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.config import Rate
+from tidewatch.sources.sinks import stored
 
 VECTOR = ("log_count", "mean_payload", "error_ratio", "malformed")
 
@@ -202,11 +203,12 @@ def score_by_epochs(vecs: DataFrame, spine: DataFrame, cfg: Rate = Rate()) -> Da
 
     A vector's place in order of arrival says in which block of ``cfg.reservoir`` places it stands; a reservoir lies in two
     blocks at most, so it is gathered by an equi-join.  A group is one reservoir and a chunk of the vectors that its model rules.
+    Places and ruling fits are written once, as several branches read them.
     """
-    ruled = refits(vecs, spine, cfg)
+    ruled = stored(refits(vecs, spine, cfg))
     arrival = Window.partitionBy("bucket").orderBy("first.t", "first.event_id", "first.rep", "entity_id")
     placed = vecs.withColumn("_r", F.row_number().over(arrival)).join(ruled.select("bucket", "before"), "bucket")
-    placed = placed.select(*VECTOR, (F.col("before") + F.col("_r") - 1).alias("place"))
+    placed = stored(placed.select(*VECTOR, (F.col("before") + F.col("_r") - 1).alias("place")))
     last = F.floor((F.col("fit") - 1) / cfg.reservoir)
     fits = ruled.filter("fit IS NOT NULL").groupBy("fit").agg(F.sum(F.col("seen") - F.col("before")).alias("n"))
     wanted = fits.select("fit", F.explode(F.array(last, last - 1)).alias("block")).filter("block >= 0")
