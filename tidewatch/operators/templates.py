@@ -12,8 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.common import bucket
+from tidewatch.operators import buckets
+
 SIMILARITY, DEPTH, CHILDREN = 0.4, 4, 100
 WILD = "<*>"
+ARRIVAL = ("t", "event_id", "rep")
 
 
 def _similar(pattern: list[str], parts: list[str]) -> tuple[float, int]:
@@ -35,14 +39,21 @@ def _routed(rows: DataFrame, levels: int, children: int) -> DataFrame:
     return rows
 
 
-def mine(lines: DataFrame, template: str = "template", similarity: float = SIMILARITY, depth: int = DEPTH, children: int = CHILDREN, arrival: tuple[str, ...] = ("t", "event_id", "rep")) -> DataFrame:
+def mine(lines: DataFrame, template: str = "template", similarity: float = SIMILARITY, depth: int = DEPTH, children: int = CHILDREN, arrival: tuple[str, ...] = ARRIVAL) -> DataFrame:
     """(template, cluster, size): the cluster's pattern has ``<*>`` where its members differ.
 
     Strings come in the order of ``arrival``, of those columns that ``lines`` has, then of their own text.
     """
     came = [c for c in arrival if c in lines.columns]
     text = F.col(template).alias("template")
-    counted = lines.groupBy(text).agg(F.count("*").alias("count"), F.min(F.struct(*came, F.col(template).alias("_text"))).alias("first"))
+    if set(came) == set(ARRIVAL) and all(lines.schema[c].dataType.simpleString() in ("bigint", "int") for c in came):
+        # by day first, where arrivals are single numbers whose minimum is hashed; that of structs would sort all lines
+        rows = lines.withColumn("bucket", bucket(F.col("t"), 86400)).withColumn("arrival", buckets.arrival())
+        lines = rows.groupBy(text, "bucket").agg(F.count("*").alias("count"), F.min("arrival").alias("arrival")).withColumn("first", buckets.arrived())
+        lines, text, n = lines.select("template", "count", "first.*"), F.col("template"), F.sum("count")
+    else:
+        n = F.count("*")
+    counted = lines.groupBy(text).agg(n.alias("count"), F.min(F.struct(*came, text.alias("_text"))).alias("first"))
     keyed = _routed(counted.withColumn("tokens", F.split("template", " ")).withColumn("n", F.size("tokens")), depth - 2, children)
     keyed = keyed.withColumn("turn", F.row_number().over(Window.partitionBy("path").orderBy("first")))
 
