@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch import queries
 from tidewatch.config import Drift, Fusion, Rate
 from tidewatch.functions import common, logs
-from tidewatch.operators import content, content_model, dedup, drift, evaluate, fusion, multivariate, normalize, rate, templates
+from tidewatch.operators import buckets, content, content_model, dedup, drift, evaluate, fusion, multivariate, normalize, rate, templates
 from tidewatch.plans import narrative, serving
 from tidewatch.sources import sinks, telemetry
 from tidewatch.streaming import jobs
@@ -526,3 +526,66 @@ def test_tree_of_points_finds_what_a_scan_finds():
     assert (tree.distances(x, 5) == d[:, :5]).all() and tree.opened < 0.2 * len(x) * len(tree.low)
     few = multivariate.Tree(points[:3]).distances(x[:4], 5)
     assert np.isinf(few[:, 3:]).all() and np.isfinite(few[:, :3]).all() and multivariate.Tree(points[:1]).distances(x[:0], 2).shape == (0, 2)
+
+
+def test_baselines_of_many_entities_are_folded_together(spark):
+    """One group of entities, short, long (of more buckets than ``LONG``), constant, and with a saved state: each as if folded alone."""
+    rng = np.random.default_rng(3)
+    sizes = {f"p{i}": int(n) for i, n in enumerate(rng.integers(1, 9, 20))} | {"long": rate.LONG + 40, "same": 7}
+    rows = [("payer", p, 60 * i, 1 if p == "same" else int(rng.integers(1, 50)), 100.0, 0.25 * int(rng.integers(0, 4))) for p, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "entity_type string, entity_id string, bucket long, event_count long, mean_payload double, error_ratio double").orderBy(F.rand(1))
+    table, alpha = rate.pa.Table.from_pandas(df.toPandas(), preserve_index=False), Rate().alpha
+    alone = lambda t, p: t.filter(rate.pa.compute.equal(t["entity_id"], p))
+    early, late = table.filter(rate.pa.compute.less(table["bucket"], 180)), table.filter(rate.pa.compute.greater_equal(table["bucket"], 180))
+    saved = rate.fold_entities(early, None, alpha, True)
+    for final in (False, True):
+        together, then = rate.fold_entities(table, None, alpha, final), rate.fold_entities(late, saved, alpha, final)
+        for p in sizes:
+            assert alone(together, p).to_pylist() == rate.fold_entity(alone(table, p), None, alpha, final).to_pylist()
+            want = rate.fold_entity(alone(late, p), alone(saved, p).to_pylist()[0], alpha, final)
+            assert [tuple(r[c] for c in ("bucket", *rate.STATES)) for r in alone(then, p).to_pylist()] == [tuple(r[c] for c in ("bucket", *rate.STATES)) for r in want.to_pylist()]
+    plan = rate.baselines(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_group" in plan  # and not a group for each entity
+
+
+def test_arrivals_as_numbers_keep_their_order(spark):
+    big = 2**63 - 1
+    rows = [(0, 21599, big, 2), (0, 5, -big - 1, -3), (0, 5, None, 1), (0, 5, 3, None), (0, 86399, 0, 0), (-21600, -21600, 7, 2**31 - 1), (-21600, -1, -7, -(2**31))]
+    df = spark.createDataFrame(rows, "bucket long, t long, event_id long, rep int").withColumn("arrival", buckets.arrival()).withColumn("first", buckets.arrived())
+    assert all(tuple(r["first"]) == (r["t"], r["event_id"], r["rep"]) for r in df.collect())
+    order = lambda *by: [tuple(r["first"]) for r in df.filter("bucket = 0").orderBy(*by).collect()]
+    assert order("arrival") == order("t", "event_id", "rep")
+
+
+def test_no_sum_by_bucket_sorts_all_events(spark, sf):
+    for rows in (buckets.grains(queries.tele(spark, sf), queries.SECONDS), queries.content_windows(spark, sf)):
+        assert "SortAggregate" not in rows._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_lines_are_parsed_once_whatever_they_hold(spark):
+    """A separator within a line, a line break at its end, empty parts, and what is no line."""
+    line = lambda path, msg, end="": f'1.2.3.4 - u [10/Jan/2024:00:00:00 +0000] "GET {path} HTTP/1.1" 200 10 5ms "{msg}"{end}'
+    lines = [line("/a", "x"), line("", ""), line("/a\x01b", "c\x01"), line("/$1", "\\ $2"), line("/n", "m", "\n"), line("/n", "m", " "), 'no "', "no", "\x01", ""]
+    got = logs.parse(spark.createDataFrame([(x,) for x in lines], "log_message string"))
+    each = spark.createDataFrame([(x,) for x in lines], "log_message string").filter(F.col("log_message").rlike(logs.GATEWAY))
+    want = each.select("log_message", *[F.regexp_extract("log_message", logs.GATEWAY, i) for i in (1, 2, 4, 5, 9)])
+    assert sorted(tuple(r) for r in got.select("log_message", "log_ip", "log_payer", "method", "path", "msg").collect()) == sorted(tuple(r) for r in want.collect())
+    assert got.count() == 5
+
+
+def test_neighbours_are_searched_in_many_tasks(spark):
+    rng = np.random.default_rng(5)
+    x, p = rng.normal(size=(60, 4)), rng.normal(size=(40, 4))
+    frame = lambda a: spark.createDataFrame([(i, "e", *map(float, r)) for i, r in enumerate(a)], "bucket long, entity_id string, " + ", ".join(f"{c} double" for c in multivariate.VECTOR)).coalesce(1)
+    got = multivariate.nearest(frame(x), frame(p))
+    brute = np.sort(np.sqrt(((x[:, None] - p) ** 2).sum(axis=2)), axis=1)
+    assert [r["mean_distance"] for r in got.orderBy("bucket").collect()] == pytest.approx(brute[:, :5].mean(axis=1))
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert multivariate.nearest(frame(x), frame(p[:2])).agg(F.min("mean_distance")).first()[0] == pytest.approx(np.sort(np.sqrt(((x[:, None] - p[:2]) ** 2).sum(axis=2)), axis=1).mean(axis=1).min())
+    assert multivariate.nearest(frame(x), frame(p).limit(0)).filter("mean_distance IS NULL").count() == 60
+
+
+def test_only_loud_charts_leave_the_fold(spark, sf):
+    every, loud = (drift.emitted(queries.drift_states(spark, sf, x), queries.DRIFT) for x in (False, True))
+    assert every.count() > 0 and every.exceptAll(loud).count() == 0 and loud.exceptAll(every).count() == 0
+    assert queries.drift_states(spark, sf, True).count() == loud.count()
