@@ -2,6 +2,9 @@
 
 import json
 import math
+import re
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -15,6 +18,9 @@ from tidewatch.plans import narrative, serving
 from tidewatch.sources import sinks, telemetry
 from tidewatch.streaming import jobs
 
+sys.path.insert(0, str(Path(__file__).parent))
+import compare  # noqa: E402
+
 
 @pytest.mark.parametrize(
     "scores, last",
@@ -589,3 +595,26 @@ def test_only_loud_charts_leave_the_fold(spark, sf):
     every, loud = (drift.emitted(queries.drift_states(spark, sf, x), queries.DRIFT) for x in (False, True))
     assert every.count() > 0 and every.exceptAll(loud).count() == 0 and loud.exceptAll(every).count() == 0
     assert queries.drift_states(spark, sf, True).count() == loud.count()
+
+
+def test_telemetry_equals_its_sql_on_odd_events(spark, tmp_path):
+    """Numbers, users and kinds that are null, negative numbers, and lines of every kind."""
+    c = compare.duckdb.connect()
+    odd = "CASE WHEN i % 11 = 0 THEN NULL ELSE i - 600 END AS event_id, TIMESTAMP '2024-01-20 10:00:00' + INTERVAL (i * 7) SECOND AS ts, CASE WHEN i % 13 = 0 THEN NULL ELSE i % 17 END AS user_id"
+    kind = "CASE WHEN i % 7 = 0 THEN NULL ELSE ['error', 'view', 'purchase', 'signup'][1 + i % 4] END AS event_type"
+    c.execute(f"COPY (SELECT {odd}, {kind}, i * 0.25 AS value, '' AS props FROM range(1200) t(i)) TO '{tmp_path}/events.parquet'")
+    rows = queries.tele(spark, str(tmp_path)).drop("currency")
+    sql = f"WITH {telemetry.TELEMETRY_SQL} SELECT {', '.join(rows.columns)} FROM tele"
+    assert compare.spark_rows(rows) == compare.sql_rows(compare.connect(str(tmp_path)), sql)
+
+
+@pytest.mark.parametrize("of", ["bucket_grains", "content_scores"])
+def test_generated_methods_are_small_enough_to_be_compiled(spark, sf, capsys, of):
+    """The JVM interprets methods over 8,000 bytes of code instead of compiling them."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        queries.queries()[of](spark, sf).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
