@@ -563,6 +563,24 @@ def test_arrivals_as_numbers_keep_their_order(spark):
     assert order("arrival") == order("t", "event_id", "rep")
 
 
+def test_first_arrivals_of_numbers_of_any_size(spark):
+    """Numbers with and without room in a long, in one bucket and alone: the first is that of the structs."""
+    big = 2**43
+    numbers = [0, 1, big - 1, big, 2**63 - 1, -1, -(2**63), None]
+    rows = [(g, t, e, r) for g, ts in enumerate([(0,), (5, 7), (131071, 131072), (200000,)]) for t in ts for e in numbers for r in (0, 7, 8, -1, None)]
+    df = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "i int, g int, t long, event_id long, rep int").withColumn("bucket", F.lit(0).cast("long"))
+    least = lambda by: df.withColumns(buckets.arrivals()).groupBy("bucket", *by).agg(F.min(F.struct("t", "event_id", "rep")).alias("want"), F.min("near").alias("near"), F.min("arrival").alias("arrival")).withColumn("first", buckets.first_arrival())
+    for by in (["i"], ["g"], ["g", "t"], ["event_id"], ["rep"]):
+        assert all(r["first"] == r["want"] for r in least(by).collect())
+    assert df.withColumns(buckets.arrivals()).filter("(near IS NULL) = (arrival IS NULL)").count() == 0
+    assert least(["g"]).filter("near IS NOT NULL").count() == 3
+
+
+def test_events_of_common_numbers_make_no_decimals(spark, sf):
+    rows = queries.tele(spark, sf).withColumn("bucket", F.floor(F.col("t") / 86400) * 86400).withColumns(buckets.arrivals())
+    assert rows.filter("near IS NULL OR arrival IS NOT NULL").count() == 0
+
+
 def test_no_sum_by_bucket_sorts_all_events(spark, sf):
     for rows in (buckets.grains(queries.tele(spark, sf), queries.SECONDS), queries.content_windows(spark, sf)):
         assert "SortAggregate" not in rows._jdf.queryExecution().sparkPlan().toString()
