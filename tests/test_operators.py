@@ -132,6 +132,26 @@ def test_scanner_signature_can_be_swapped(spark):
     assert df.select(logs.family(logs.SCANNER_NO_PHP)).first()[0] == "other"
 
 
+def test_families_of_odd_paths_are_those_of_the_signatures(spark):
+    """Paths that are looked through for signatures and paths that are not, with three scanner signatures, against plain regular expressions."""
+    bits = ["/", "a", "-", "--", ".", "..", "%27", "%2E%2e", "'", ";", "phpmyadmin", "phpMyAdmin", "actuator/", "wp-", "WP-x", ".git", "x.PHP", "union select", "DROP+table", "\u00e9", "_", "\t", "?", "api/v1/settlements/"]
+    paths = ["", *(a + b + c for a in ("/", "", "/a-b/") for b in bits for c in ("", "x", "/wp-1", "-b", "/\r"))]
+    paths += [logs.ROUTE, logs.ROUTE + "/", "/api/v1/accounts/a'b/balance", "/api/v1/accounts/--/balance", "/api/v1/accounts/a b/balance", "/api/v1/transactions/wp-1/status", "/api/v1/settlements/a\n", "/a\n"]
+    df = spark.createDataFrame([(p, 200, "x") for p in (*paths, None)], "path string, code int, msg string")
+    rules = [(logs.TRAVERSAL, "path_traversal"), (logs.SQLI, "sqli_probe"), (None, "scanner_probe"), (f"^{logs.ROUTE}\\Z", "route"), (logs.BALANCE, "balance"), (logs.STATUS, "status"), (logs.SETTLEMENT, "settlement")]
+    for scanner in (logs.SCANNER, logs.SCANNER_NO_PHP, r"(?i)/a-b/"):
+        want = {p: next((kind for rule, kind in rules if re.search(rule or scanner, p, re.ASCII)), "other") for p in paths}
+        got = {r["path"]: r["family"] for r in df.select("path", logs.family(scanner).alias("family")).collect()}
+        assert got == want | {None: "other"}
+
+
+def test_lines_are_parsed_by_compiled_code(spark):
+    """A lambda over the parts has the pattern and all else in it interpreted, event by event."""
+    rows = logs.parse(spark.createDataFrame([("x",), (None,)], "log_message string"))
+    assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.count() == 0
+
+
 def test_apache_lines_and_labels(spark):
     line = '192.168.0.1 - - [04/Mar/2020:19:18:43 +0000] "GET /login.php?x=1 HTTP/1.1" 302 -'
     r = logs.parse_apache(spark.createDataFrame([(line,), ("junk",)], "value string")).collect()
